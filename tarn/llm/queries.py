@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tarn.llm import mixing, sharding
+from tarn.llm import mixing, quality, sharding
 
 QUERIES = {
     "op4_systematic_mix": mixing.op4_systematic_mix,
+    "op5_line_first_rules": quality.op5_line_first_rules,
     "op7_byte_prefix_shards": sharding.op7_byte_prefix_shards,
 }
 ORACLE = {
     "op4_systematic_mix": mixing.OP4_SQL,
+    "op5_line_first_rules": quality.OP5_SQL,
 }
