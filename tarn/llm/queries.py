@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tarn.llm import mixing, quality, sharding
+from tarn.llm import mixing, quality, sharding, simhash
 
 QUERIES = {
     "op4_systematic_mix": mixing.op4_systematic_mix,
     "op5_line_first_rules": quality.op5_line_first_rules,
+    "op6_simhash_components": simhash.op6_simhash_components,
     "op7_byte_prefix_shards": sharding.op7_byte_prefix_shards,
 }
 ORACLE = {
