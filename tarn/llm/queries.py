@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tarn.llm import mixing, quality, sharding, simhash
+from tarn.llm import mixing, mtree, quality, sharding, simhash
 
 QUERIES = {
+    "op1_mtree_topk": mtree.op1_mtree_topk,
     "op4_systematic_mix": mixing.op4_systematic_mix,
     "op5_line_first_rules": quality.op5_line_first_rules,
     "op6_simhash_components": simhash.op6_simhash_components,
     "op7_byte_prefix_shards": sharding.op7_byte_prefix_shards,
 }
 ORACLE = {
+    "op1_mtree_topk": mtree.OP1_SQL,
     "op4_systematic_mix": mixing.OP4_SQL,
     "op5_line_first_rules": quality.OP5_SQL,
 }
