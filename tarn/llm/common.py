@@ -25,9 +25,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, without its lineage."""
+    """df computed once and kept in the shared folder, without its lineage, in at most a few files for each core."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
 
 
 def words(text: Column) -> Column:
