@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarn.llm import mixing, mtree, quality, sharding, simhash
+from tarn.llm import classifier, mixing, mtree, quality, sharding, simhash
 
 QUERIES = {
     "op1_mtree_topk": mtree.op1_mtree_topk,
+    "op3_additive_quality": classifier.op3_additive_quality,
     "op4_systematic_mix": mixing.op4_systematic_mix,
     "op5_line_first_rules": quality.op5_line_first_rules,
     "op6_simhash_components": simhash.op6_simhash_components,
