@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import classifier, ctw, mixing, mtree, quality, sharding, simhash
+from tarn.llm import classifier, ctw, mixing, mtree, pieces, quality, sharding, simhash
 
 QUERIES = {
     "op1_mtree_topk": mtree.op1_mtree_topk,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_simhash_components": simhash.op6_simhash_components,
     "op7_byte_prefix_shards": sharding.op7_byte_prefix_shards,
     "op9_context_tree_scores": ctw.op9_context_tree_scores,
+    "op10_suffix_array_pieces": pieces.op10_suffix_array_pieces,
 }
 ORACLE = {
     "op1_mtree_topk": mtree.OP1_SQL,
