@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import classifier, ctw, mixing, mtree, pieces, quality, sharding, simhash
+from tarn.llm import chunks, classifier, ctw, mixing, mtree, pieces, quality, sharding, simhash
 
 QUERIES = {
     "op1_mtree_topk": mtree.op1_mtree_topk,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_line_first_rules": quality.op5_line_first_rules,
     "op6_simhash_components": simhash.op6_simhash_components,
     "op7_byte_prefix_shards": sharding.op7_byte_prefix_shards,
+    "op8_gear_chunk_dedup": chunks.op8_gear_chunk_dedup,
     "op9_context_tree_scores": ctw.op9_context_tree_scores,
     "op10_suffix_array_pieces": pieces.op10_suffix_array_pieces,
 }
