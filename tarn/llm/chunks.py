@@ -24,7 +24,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 class Cuts:
     """Sizes in bytes; `bits` bits of the rolling hash must be zero at a cut. `least_run` is what is worth removing."""
 
-    smallest: int = 24
+    smallest: int = 16
     largest: int = 1024
     bits: int = 2
     least_run: int = 96
