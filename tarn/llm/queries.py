@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarn.llm import chunks, classifier, ctw, mixing, mtree, pieces, quality, sharding, simhash
+from tarn.llm import chunks, classifier, ctw, mixing, mtree, pieces, quality, sharding, simhash, suffixes
 
 QUERIES = {
     "op1_mtree_topk": mtree.op1_mtree_topk,
+    "op2_suffix_sorted_dedup": suffixes.op2_suffix_sorted_dedup,
     "op3_additive_quality": classifier.op3_additive_quality,
     "op4_systematic_mix": mixing.op4_systematic_mix,
     "op5_line_first_rules": quality.op5_line_first_rules,
