@@ -11,7 +11,7 @@ from tarn.llm.common import WORD, documents, settled
 WEIGHTS = (5, 2, 1)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: int = 2, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> DataFrame:
     """How often each document goes into a mix whose sources have given weights.
 
     Sources in code-point order (null last) take `weights` in turn and divide `share` of all words by them. No
@@ -24,32 +24,35 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     The place in the order comes from the sums of all earlier buckets plus a count within the bucket, so that a
     source with most of the rows is spread over 256 buckets a class instead of one task.
 
-    Returns id, size, source, source_size, target, expected, copies, taken (copies * size).
+    Returns id, size, source, source_size, target, expected, copies, taken (copies * size); with `carry` also doc, the row.
 
     A null text has size 0. Documents of size 0 take part (taken 0). A source without words has target 0. Null ids
     share one bucket. Repeated rows are counted one by one. An empty table gives an empty result.
     """
     n = F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(WORD)).cast("long")
-    sized = settled(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n.alias("size")))
+    whole = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n.alias("size"), F.struct(*docs.columns).alias("doc"))
+    sized = settled(whole.drop("doc"))
     key = [F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name")]
     bits = F.length(F.bin("size"))
-    rows = sized.select(
+    bucket = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
+    placed = [
         "doc_id", "size", *key,
         (bits * 8 + F.expr("shiftright(size * 8, length(bin(size)))")).cast("int").alias("class"),
-        F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 2).alias("bucket"),
-    )
+        bucket.alias("bucket"),
+    ]
     place = ["no_source", "name", "class", "bucket"]
-    counts = rows.groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    counts = sized.select(*placed).groupBy(*place).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
     earlier = Window.partitionBy("no_source", "name").orderBy("class", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     rates = _rates(counts.groupBy("no_source", "name").agg(F.sum("words").alias("source_size")), weights, share, most, seed)
     starts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n", "words").join(rates, ["no_source", "name"])
     nth = F.row_number().over(Window.partitionBy(*place).orderBy("size", F.col("doc_id").asc_nulls_first()))
     last = F.col("before") + F.col("nth")
     copies = F.floor(last * F.col("expected") + F.col("offset")) - F.floor((last - 1) * F.col("expected") + F.col("offset"))
+    rows = whole.select(*placed, "doc") if carry else sized.select(*placed)
     return (
         rows.withColumn("nth", nth).join(starts, place)
         .withColumn("copies", copies.cast("long"))
-        .select("doc_id", "size", F.when(~F.col("no_source"), F.col("name")).alias("source"), "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("doc_id", "size", F.when(~F.col("no_source"), F.col("name")).alias("source"), "source_size", "target", "expected", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["doc"] if carry else []))
     )
 
 

@@ -51,11 +51,11 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     return (n > 0) & (noisy | open_ended | menu | stock)
 
 
-def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """Judge each line, drop those that fail, and reject documents that lose too much.
 
     Returns id, the counts (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words), base_failed, kept,
-    n_lines, n_removed_lines and cleaned (the text without the lines that failed).
+    n_lines, n_removed_lines and cleaned (the text without the lines that failed); with `carry` also doc, the row.
 
     A document fails at the base if it has fewer than `min_words` words, or if more than `max_repeated` percent of
     them lie in five-word windows that occur twice. It is kept if it passes that and its remaining lines hold at
@@ -66,11 +66,12 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     table gives an empty result. Other columns are ignored.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("w", words(F.col("text"))).withColumn("lines", F.split("text", "\n"))
+    more = ["doc"] if carry else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([F.struct(*docs.columns).alias("doc")] if carry else [])).withColumn("w", words(F.col("text"))).withColumn("lines", F.split("text", "\n"))
     n = F.size("w")
     window = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(5))))
     rows = rows.select(
-        "doc_id", "text", n.cast("long").alias("n_words"),
+        *more, "doc_id", "text", n.cast("long").alias("n_words"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         F.filter("lines", lambda x: x.rlike(WORD)).alias("full"),
@@ -85,13 +86,15 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     covered = F.lit(5) + F.aggregate(F.sequence(F.lit(1), F.size("at") - 1), F.lit(0), lambda acc, i: acc + F.least(F.lit(5), F.get("at", i) - F.get("at", i - 1)))
     cleaned = F.array_join("good", "\n")
     rows = rows.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
+        *more, "doc_id", "n_words", "word_chars", "n_symbols", (F.size("full") - F.size(F.array_distinct("full"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("at").isNotNull(), covered).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
         "n_lines", (F.col("n_lines") - F.size("good")).alias("n_removed_lines"), cleaned.alias("cleaned"),
     )
     failed = (F.col("n_words") < rules.min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * rules.max_repeated)
     left = F.length(F.translate("cleaned", SPACES, ""))
-    return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= F.col("word_chars") * (1 - rules.max_loss)))
+    rows = rows.withColumn("base_failed", failed).withColumn("kept", ~failed & (left >= F.col("word_chars") * (1 - rules.max_loss)))
+    # A generator of one row: a filter on the result stays above it, instead of repeating all this below.
+    return rows.select(F.inline_outer(F.array(F.struct(*rows.columns))))
 
 
 def op5_line_first_rules(spark, sf_dir: str) -> DataFrame:

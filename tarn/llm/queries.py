@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tarn.llm import chunks, classifier, ctw, mixing, mtree, pieces, quality, sharding, simhash, suffixes
 
 QUERIES = {
@@ -15,9 +16,12 @@ QUERIES = {
     "op8_gear_chunk_dedup": chunks.op8_gear_chunk_dedup,
     "op9_context_tree_scores": ctw.op9_context_tree_scores,
     "op10_suffix_array_pieces": pieces.op10_suffix_array_pieces,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {
     "op1_mtree_topk": mtree.OP1_SQL,
     "op4_systematic_mix": mixing.OP4_SQL,
     "op5_line_first_rules": quality.OP5_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -15,7 +15,6 @@ from tarn.llm.common import documents, settled
 from tarn.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-BLOCKS = 6
 #: Rows of a key that one task compares with as many others; larger keys are split.
 HALF = 2000
 #: Rows that one task takes on average.
@@ -96,19 +95,27 @@ def linked(group: np.ndarray, half: np.ndarray, fp: np.ndarray, most: int) -> tu
     return np.array(got_a, np.uint64), np.array(got_b, np.uint64)
 
 
+def agreeing(rows: int, most: int) -> int:
+    """How many blocks pairs must agree in: more as rows grow, so that the pairs formed grow with the rows only."""
+    return next((k for k in range(2, 5) if 16 << (64 * k // (most + k)) >= rows), 4)
+
+
 def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     """(a, b): links that connect all of the distinct fingerprints (column fp) that differ in `most` or fewer bits.
 
     The pivot table discards pairs, but it can't say which pairs to form. So pairs form only among fingerprints that
-    agree in two of six blocks of bits: of six blocks, four or fewer differ, so no link is lost. A key with more than
-    HALF rows is split in parts, and each two parts meet in a group of their own, so no task grows with a key.
+    agree in k of `most` + k blocks of bits: at most `most` blocks differ, so no link is lost, whatever k is. A key
+    with more than HALF rows is split in parts, and each two parts meet in a group of their own, so no task grows
+    with a key.
     """
-    if not 0 <= most <= BLOCKS - 2:
-        raise ValueError(f"at most {BLOCKS - 2} differing bits")
-    edges = [64 * k // BLOCKS for k in range(BLOCKS + 1)]
-    masks = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(BLOCKS)]
+    count = distinct.count()
+    agree = agreeing(count, most)
+    blocks = most + agree
+    edges = [64 * k // blocks for k in range(blocks + 1)]
+    masks = [((1 << edges[k + 1]) - 1) ^ ((1 << edges[k]) - 1) for k in range(blocks)]
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(masks[a] | masks[b]))).alias("bits")) for k, (a, b) in enumerate(combinations(range(BLOCKS), 2))))
+    picks = [sum(masks[k] for k in pick) for pick in combinations(range(blocks), agree)]
+    keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("bits")) for k, mask in enumerate(picks)))
     rows = distinct.select("fp", F.explode(keys).alias("key")).select("fp", "key.kind", "key.bits")
     parts = rows.groupBy("kind", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HALF).select("kind", "bits", F.ceil(F.col("n") / HALF).cast("int").alias("parts"))
     rows = rows.join(parts, ["kind", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
@@ -117,7 +124,7 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     # A part's own group holds it once (other = half); the groups of two parts hold both.
     rows = rows.withColumn("part", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("half"))).drop("half")
     by = ["kind", "bits", "low", "high"]
-    tasks = max(1, -(-distinct.count() * len(list(combinations(range(BLOCKS), 2))) // TASK_ROWS))
+    tasks = max(1, -(-count * len(picks) // TASK_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None  # about TASK_ROWS rows
