@@ -72,28 +72,27 @@ class Anchored:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        self.hash = h
-        # The leftmost place of the least hash among the LENGTH - GRAM + 1 grams from each place on, by doubling.
-        value, at, width, want = h, np.arange(n, dtype=np.int32), 1, LENGTH - GRAM + 1
-        while width < want and len(value) > (step := min(width, want - width)):
-            left = value[:-step] <= value[step:]
-            value, at = np.where(left, value[:-step], value[step:]), np.where(left, at[:-step], at[step:])
+        # The leftmost place of the least hash among the LENGTH - GRAM + 1 grams from each place on, by doubling:
+        # hash and place are one number, so equal hashes leave the smaller place.
+        least, width, want = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(n, dtype=np.uint64), 1, LENGTH - GRAM + 1
+        while width < want and len(least) > (step := min(width, want - width)):
+            least = np.minimum(least[:-step], least[step:])
             width += step
+        at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
         fits = np.flatnonzero(np.repeat(self.ends, sizes) - np.arange(n) >= LENGTH)
         at, owner = at[fits], owner[fits]
         new = np.ones(len(fits), bool)
         new[1:] = (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]) | (fits[1:] != fits[:-1] + 1)
         first = np.flatnonzero(new)
-        self.anchor, self.owner, self.low = at[first].astype(np.int64), owner[first], fits[first]
+        self.anchor, self.owner, self.low = at[first], owner[first], fits[first]
         self.high = fits[np.append(first[1:], len(fits)) - 1] if len(first) else fits[:0]
+        self.keys = h[self.anchor] >> np.uint64(16)  # 48 bits of the hash of each anchor's gram
+        self.lead = self.words[self.anchor]
+        del self.words
 
-    def keys(self) -> np.ndarray:
-        """48 bits of the hash of each anchor's gram."""
-        return self.hash[self.anchor] >> np.uint64(16)
 
-
-def _split(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, Anchored]]:
+def _split(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, Anchored]]:
     """Slices of the texts: which document each piece is of, where in it, and its strings; no string is in two slices."""
     docs, begins, held, size = [], [], [], 0
     for i, t in enumerate(texts):
@@ -137,11 +136,6 @@ def _from_planes(x: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(x.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for so many places each."""
-    return np.repeat(start - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
-
-
 def _noted(info: pa.Table, kind: int) -> pa.Table:
     """The notes of one kind, by their number; a page without any notes has a table without columns."""
     if not info.num_rows:
@@ -160,20 +154,19 @@ def _page(table: pa.Table, info: pa.Table) -> tuple[np.ndarray, list[bytes], np.
     return ids[order], [texts[i].as_py() or b"" for i in order.tolist()], copy
 
 
-def _page_keys(ids: np.ndarray, texts: list[bytes], copy: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _slices(texts: list[bytes], copy: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, Anchored]]:
+    return list(_split([b"" if c else t for t, c in zip(texts, copy, strict=True)]))
+
+
+def _page_keys(ids: np.ndarray, slices: list[tuple[np.ndarray, np.ndarray, Anchored]]) -> tuple[np.ndarray, np.ndarray]:
     """The page's different gram keys, sorted, and whether each is in two or more of its documents."""
-    keys, docs = [], []
-    for d, _, a in _split(ids, [b"" if c else t for t, c in zip(texts, copy, strict=True)]):
-        keys.append(a.keys())
-        docs.append(ids[d[a.owner]])
-    if not keys:
+    if not slices:
         return np.zeros(0, np.uint64), np.zeros(0, bool)
-    keys, docs = np.concatenate(keys), np.concatenate(docs)
+    keys, docs = np.concatenate([a.keys for _, _, a in slices]), np.concatenate([ids[d[a.owner]] for d, _, a in slices])
     order = np.argsort(keys, kind="stable")
     keys, docs = keys[order], docs[order]
-    new = np.append(True, keys[1:] != keys[:-1])
-    first = np.flatnonzero(new)
-    return keys[first], np.maximum.reduceat(docs, first) != np.minimum.reduceat(docs, first)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], (np.maximum.reduceat(docs, first) != np.minimum.reduceat(docs, first)) if len(keys) else np.zeros(0, bool)
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -218,20 +211,23 @@ def _match(doc: np.ndarray, low: np.ndarray, off: np.ndarray, size: np.ndarray,
     run = np.cumsum(~same) - 1
     many = np.bincount(run, minlength=run.max(initial=-1) + 1) > 1
     rows = rest[order[many[run]]]
+    group = run[many[run]]
+    bounds = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
     got_doc, got_a = [], []
-    earliest: dict[bytes, int] = {}
-    for r in rows.tolist():
-        s, d = own[r], docs[r]
-        for i in range(len(s) - LENGTH + 1):
-            w = s[i : i + LENGTH]
-            if earliest.setdefault(w, d) > d:
-                earliest[w] = d
-    for r in rows.tolist():
-        s, d, at = own[r], docs[r], int(low[r])
-        for i in range(len(s) - LENGTH + 1):
-            if earliest[s[i : i + LENGTH]] < d:
-                got_doc.append(d)
-                got_a.append(at + i)
+    for x, y in zip(bounds.tolist(), [*bounds[1:].tolist(), len(rows)], strict=True):
+        earliest: dict[bytes, int] = {}  # of the strings around one gram
+        for r in rows[x:y].tolist():
+            s, d = own[r], docs[r]
+            for i in range(len(s) - LENGTH + 1):
+                w = s[i : i + LENGTH]
+                if earliest.setdefault(w, d) > d:
+                    earliest[w] = d
+        for r in rows[x:y].tolist():
+            s, d, at = own[r], docs[r], int(low[r])
+            for i in range(len(s) - LENGTH + 1):
+                if earliest[s[i : i + LENGTH]] < d:
+                    got_doc.append(d)
+                    got_a.append(at + i)
     a = np.array(got_a, np.int64)
     return np.concatenate((doc[whole], np.array(got_doc, np.int64))), np.concatenate((low[whole], a)), np.concatenate((low[whole] + size[whole], a + LENGTH))
 
@@ -261,7 +257,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     size = F.octet_length("text")
     seen = settled(named.select("doc_id", size.alias("size"), F.xxhash64("text").alias("sig"), F.unhex(F.sha2("text", 256)).alias("full")))
     total = seen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    pages, buckets = max(1, total // PAGE), max(1, total // (4 * PAGE))
+    pages, buckets = max(1, total // PAGE), max(1, total // PAGE)
     page = lambda c: F.pmod(F.xxhash64(c), F.lit(pages)).cast("int")
     firsts = seen.groupBy("full").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("full", "first")
     copies = seen.join(settled(firsts), "full").where("doc_id > first").select(page("doc_id").alias("page"), F.lit(0).alias("kind"), F.col("doc_id").alias("of"), "sig", F.lit(None).cast("binary").alias("data"))
@@ -271,8 +267,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, a in _split(np.arange(batch.num_rows), [x.as_py() for x in batch.column("text")]):
-                yield pa.RecordBatch.from_arrays([pa.array(a.words[a.anchor[::16]].view(np.int64))], names=["word"])
+            for _, _, a in _split([x.as_py() for x in batch.column("text")]):
+                yield pa.RecordBatch.from_arrays([pa.array(a.lead[::16].copy().view(np.int64))], names=["word"])
 
     drawn = named.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).select("text").mapInArrow(sample, "word long").toArrow()
     drawn = np.sort(drawn.column("word").to_numpy().astype(np.int64).view(np.uint64))
@@ -281,7 +277,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def listed(left: pa.Table, right: pa.Table) -> pa.Table:
         number, bucket, data = [], [], []
         if left.num_rows:
-            keys, _ = _page_keys(*_page(left, right))
+            ids, texts, copy = _page(left, right)
+            keys, _ = _page_keys(ids, _slices(texts, copy))
             cut = np.concatenate(([0], np.searchsorted(keys, _edges(buckets)), [len(keys)]))
             for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if b > a:
@@ -306,18 +303,19 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         number, bucket, data = [], [], []
         if left.num_rows:
             ids, texts, copy = _page(left, right)
-            keys, twice = _page_keys(ids, texts, copy)
+            slices = _slices(texts, copy)
+            keys, twice = _page_keys(ids, slices)
             marks = _noted(right, 1).column("data")
             hit = [np.unpackbits(b)[: n[0]] for n, b in (_unpack(x.as_py(), np.int64, np.uint8) for x in marks)]
             keys = keys[(np.concatenate(hit).astype(bool) if hit else np.zeros(0, bool)) | twice]
             earliest: dict[bytes, int] = {}
             done: list[tuple[int, int, int]] = []
             out: dict[int, list] = {}
-            for d, begin, a in _split(ids, [b"" if c else t for t, c in zip(texts, copy, strict=True)]):
-                k = a.keys()
+            for d, begin, a in slices:
+                k = a.keys
                 at = np.searchsorted(keys, k)
                 pick = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == k) if len(keys) else np.zeros(0, int)
-                where = np.searchsorted(splitters, a.words[a.anchor[pick]], side="right")
+                where = np.searchsorted(splitters, a.lead[pick], side="right")
                 doc, low = ids[d[a.owner[pick]]], a.low[pick]
                 size, off = a.high[pick] + LENGTH - low, a.anchor[pick] - low
                 place = low - a.base[a.owner[pick]] + begin[a.owner[pick]]
