@@ -23,6 +23,8 @@ from tarn.streaming.cells import cell_sums
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 NY, TILT, SIGMA, P = 100, 20.0, 2.0, Params()
+#: A factor of many digits, so that no result lies half way between two rounded ones.
+KEPT = 0.98765432101
 A, B = (0.8, 0.6, 0.4), (0.3, 0.35, 0.5)
 
 
@@ -63,7 +65,7 @@ def holes(spark: SparkSession, d: str) -> DataFrame:
 def per_order(spark: SparkSession, d: str) -> DataFrame:
     """n, rain (lineitems), decay, quantity of each order."""
     lines = _table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("n")).agg(
-        F.count(F.lit(1)).cast("double").alias("rain"), (1 - F.avg(F.col("l_discount").cast("double"))).alias("decay"), F.sum(F.col("l_quantity").cast("double")).alias("quantity"))
+        F.count(F.lit(1)).cast("double").alias("rain"), ((1 - F.avg(F.col("l_discount").cast("double"))) * KEPT).alias("decay"), F.sum(F.col("l_quantity").cast("double")).alias("quantity"))
     return height(spark, d).select("n").join(lines, "n", "left").select("n", F.coalesce("rain", F.lit(0.0)).alias("rain"), F.coalesce("decay", F.lit(1.0)).alias("decay"), F.coalesce("quantity", F.lit(0.0)).alias("quantity"))
 
 
@@ -79,7 +81,7 @@ def grid_of(spark: SparkSession, d: str) -> Grid:
 _ORDERS = "SELECT CAST(o_orderkey AS BIGINT) AS n, CAST(o_orderkey // 100 AS INTEGER) AS x, CAST(o_orderkey % 100 AS INTEGER) AS y, CAST(o_totalprice AS DOUBLE) AS h, o_orderstatus AS status FROM orders"
 _TILT = f"SELECT n, x, y, h * 0.0001::DOUBLE + x * {TILT}::DOUBLE AS h FROM ({_ORDERS})"
 _HOLES = f"SELECT n, x, y, CASE WHEN status = 'P' THEN NULL ELSE h END AS h FROM ({_ORDERS})"
-_PER = f"SELECT o.n, coalesce(rain, 0)::DOUBLE AS rain, coalesce(decay, 1)::DOUBLE AS decay, coalesce(quantity, 0)::DOUBLE AS quantity FROM ({_ORDERS}) o LEFT JOIN (SELECT l_orderkey AS n, count(*) AS rain, 1 - avg(CAST(l_discount AS DOUBLE)) AS decay, sum(CAST(l_quantity AS DOUBLE)) AS quantity FROM lineitem GROUP BY 1) l ON o.n = l.n"
+_PER = f"SELECT o.n, coalesce(rain, 0)::DOUBLE AS rain, coalesce(decay, 1)::DOUBLE AS decay, coalesce(quantity, 0)::DOUBLE AS quantity FROM ({_ORDERS}) o LEFT JOIN (SELECT l_orderkey AS n, count(*) AS rain, (1 - avg(CAST(l_discount AS DOUBLE))) * {KEPT}::DOUBLE AS decay, sum(CAST(l_quantity AS DOUBLE)) AS quantity FROM lineitem GROUP BY 1) l ON o.n = l.n"
 _LAYERS = f"SELECT o.n, o.x, o.y, h / 1e5::DOUBLE AS bedrock, quantity / 100 AS sediment, rain, decay FROM ({_ORDERS}) o JOIN ({_PER}) p ON o.n = p.n"
 _SHIFTS = Edge.D8.shifts
 
@@ -260,9 +262,9 @@ def _laplacian1(spark, d):
     return stencil.laplacian(height(spark, d), ["h"], _SX, _SY).select("n", *_r("l_h", digits=7))
 
 
-@query("laplacian_2ch", f"SELECT n, round({_laplace_sql('bedrock')}, 10) AS l_bedrock, round({_laplace_sql('sediment')}, 10) AS l_sediment FROM {around(_LAYERS, ['bedrock', 'sediment'])}")
+@query("laplacian_2ch", f"SELECT n, round({_laplace_sql('bedrock')}, 12) AS l_bedrock, round({_laplace_sql('sediment')}, 12) AS l_sediment FROM {around(_LAYERS, ['bedrock', 'sediment'])}")
 def _laplacian2(spark, d):
-    return stencil.laplacian(layers(spark, d), ["bedrock", "sediment"], _SX, _SY).select("n", *_r("l_bedrock", "l_sediment", digits=10))
+    return stencil.laplacian(layers(spark, d), ["bedrock", "sediment"], _SX, _SY).select("n", *_r("l_bedrock", "l_sediment", digits=12))
 
 
 def _upwind_sql(low: str, high: str, scale: float, exit_: float = P.exit_slope) -> str:
@@ -424,20 +426,20 @@ def _mosaic(spark, d):
     return raster.mosaic(a.unionByName(b), (2.0, 2.0))
 
 
-_NEW = "(SELECT CAST(range AS BIGINT) AS n, CAST(range // 64 AS INTEGER) AS x, CAST(range % 64 AS INTEGER) AS y FROM range(64 * 64))"
+_NEW = "(SELECT CAST(range AS BIGINT) AS n, CAST(range // 60 AS INTEGER) AS x, CAST(range % 60 AS INTEGER) AS y FROM range(60 * 60))"
 _NX = f"(SELECT max(x) + 1 FROM ({_ORDERS}))"
 
 
-@query("resize_nearest", f"SELECT c.n, c.x, c.y, o.h FROM {_NEW} c LEFT JOIN ({_ORDERS}) o ON o.x = floor(c.x * {_NX} / 64.0::DOUBLE) AND o.y = floor(c.y * {NY} / 64.0::DOUBLE)")
+@query("resize_nearest", f"SELECT c.n, c.x, c.y, o.h FROM {_NEW} c LEFT JOIN ({_ORDERS}) o ON o.x = floor(c.x * {_NX} / 60.0::DOUBLE) AND o.y = floor(c.y * {NY} / 60.0::DOUBLE)")
 def _nearest(spark, d):
-    return raster.resize_nearest(height(spark, d), grid_of(spark, d), Grid(64, 64))
+    return raster.resize_nearest(height(spark, d), grid_of(spark, d), Grid(60, 60))
 
 
-@query("resize_bilinear", f"""SELECT c.n, c.x, c.y, round(sum(h * CASE WHEN i = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * CASE WHEN j = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END), 7) AS h
-FROM (SELECT *, x * ({_NX} / 64.0::DOUBLE) AS u, y * ({NY} / 64.0::DOUBLE) AS w FROM {_NEW}) c CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j)
+@query("resize_bilinear", f"""SELECT c.n, c.x, c.y, round(sum(h * CASE WHEN i = 1 THEN u - floor(u) ELSE 1 - (u - floor(u)) END * CASE WHEN j = 1 THEN w - floor(w) ELSE 1 - (w - floor(w)) END), 6) AS h
+FROM (SELECT *, x * ({_NX} / 60.0::DOUBLE) AS u, y * ({NY} / 60.0::DOUBLE) AS w FROM {_NEW}) c CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j)
 JOIN ({_ORDERS}) o ON o.x = least(floor(u) + i, {_NX} - 1) AND o.y = least(floor(w) + j, {NY - 1}) GROUP BY ALL""")
 def _bilinear(spark, d):
-    return raster.resize_bilinear(height(spark, d), grid_of(spark, d), Grid(64, 64)).select("n", "x", "y", *_r("h", digits=7))
+    return raster.resize_bilinear(height(spark, d), grid_of(spark, d), Grid(60, 60)).select("n", "x", "y", *_r("h"))
 
 
 _VERTICES = f"(SELECT *, row_number() OVER (ORDER BY x, y) - 1 AS id FROM ({_HOLES}) WHERE h IS NOT NULL)"
