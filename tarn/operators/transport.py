@@ -13,6 +13,7 @@ from tarn.functions.values import over
 from tarn.operators.stencil import neighbourhood, upwind_columns
 from tarn.operators.terrain import EPS
 from tarn.plans.model import Grid, Params
+from tarn.plans.state import ship
 
 #: Bytes of fields that every task may get; particles that a task walks at a time.
 FIELD_BYTES, PARTICLES = 512 << 20, 65536
@@ -76,6 +77,7 @@ def _walked(spark: SparkSession, count: int, grid: Grid, walk: Callable[[np.ndar
         hit = np.flatnonzero(total.any(axis=0))
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), *(pa.array(t[hit]) for t in total)], names=["n", *columns])
 
+    ship(spark)
     parts = min(spark.sparkContext.defaultParallelism * 2, max(1, count // 4096))
     flux = spark.range(0, count, 1, parts).mapInArrow(run, "n long, " + ", ".join(f"{c} double" for c in columns))
     return flux.groupBy("n").agg(*(F.sum(c).alias(c) for c in columns))

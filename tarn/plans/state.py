@@ -1,16 +1,42 @@
-"""Cutting lineage between the rounds of an iteration."""
+"""What iterations and Python workers need of the session: settled tables, and this package on the executors."""
 
 from __future__ import annotations
 
+import importlib.util
 import tempfile
+import zipfile
+from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once into the session's checkpoint folder; a temporary one only where the session names none."""
-    spark = df.sparkSession
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once, as they needn't share the driver's folders."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(importlib.util.find_spec("tarn").origin).parent
+    archive = Path(tempfile.mkdtemp(prefix="tarn-")) / "tarn.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one only where the session names none."""
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tarn-"))
     if not known.isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarn-"))
-    return df.coalesce(4 * spark.sparkContext.defaultParallelism).checkpoint(eager=True)
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, without its lineage, in at most a few files for each core."""
+    shared_folder(df.sparkSession)
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)

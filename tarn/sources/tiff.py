@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from tarn.plans.state import ship
+
 # Tags of the TIFF 6.0 and GeoTIFF formats, and sizes of their field types: fixed values.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, ORIENTATION, SAMPLES, ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 274, 277, 278, 279, 284
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FORMAT = 322, 323, 324, 325, 339
@@ -208,6 +210,7 @@ class TiffSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    ship(spark)
     spark.dataSource.register(TiffSource)
 
 
@@ -233,6 +236,7 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
                     x, y = x.ravel() + np.int32(b[0]), y.ravel() + np.int32(b[1])
                     yield pa.RecordBatch.from_arrays([pa.array([m.filename] * len(x)), pa.array(x.astype(np.int64) * m.height + y), pa.array(x), pa.array(y), pa.array(v.ravel())], names=["file", "n", "x", "y", "h"])
 
+    ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, TiffSource({}).schema())
 
 
@@ -279,6 +283,7 @@ def write_folder(rasters: DataFrame, folder: str, ny: int, v: str = "h", bits: i
         write_array(os.path.join(folder, key[0].as_py()), values, None, bits)
         return pa.table({"file": pa.array([key[0].as_py()]), "cells": pa.array([len(n)], pa.int64())})
 
+    ship(rasters.sparkSession)
     return rasters.select("file", "n", F.col(v).cast("double").alias(v)).groupBy("file").applyInArrow(run, "file string, cells long")
 
 
