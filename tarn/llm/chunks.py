@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tarn.llm.common import documents, settled
+from tarn.llm.common import documents, settled, ship
 
 #: Bytes of text that a task cuts at a time.
 SLICE = 2 << 20
@@ -135,6 +135,7 @@ def dedup(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col
     called n_bytes, n_removed, n_spans or spans are replaced.
     """
     own = ["n_bytes", "n_removed", "n_spans", "spans"]
+    ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in own]
     rows = docs.select(*kept)
     chunks = chunk_table(rows, cuts, id_col, text_col)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import documents, id_remainder
+from tarn.llm.common import documents, id_remainder, ship
 
 FEATURES = (
     "log_words", "word_bytes", "upper", "digits", "symbols", "bangs", "bars", "ends", "commas", "distinct", "echoes", "top_word",
@@ -144,6 +144,7 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, pair_rounds: int = 80,
 
 
 def _featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 

@@ -2,34 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.plans.state import settled, shared_folder, ship
+
+__all__ = ["SPACES", "WORD", "documents", "id_remainder", "settled", "shared_folder", "ship", "words"]
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if not folder:
-        known = context._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tarn-")
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, without its lineage, in at most a few files for each core."""
-    shared_folder(df.sparkSession)
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
-
-
 def words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
 

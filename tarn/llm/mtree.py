@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.llm.common import settled
+from tarn.llm.common import settled, ship
 
 #: Entries of a page; vectors of a tree; queries that meet a tree in one task.
 PAGE, BLOCK, CHUNK = 512, 16384, 4096
@@ -151,6 +151,7 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
         q, u, s = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"quid": pa.array(q, pa.int64()), "uid": pa.array(u, pa.int64()), "score": pa.array(s, pa.int64())})
 
+    ship(vectors.sparkSession)
     hits = held.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(search, "quid long, uid long, score long")
     first = Window.partitionBy("quid").orderBy(F.desc("score"), "uid")
     hits = hits.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import documents
+from tarn.llm.common import documents, ship
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -275,6 +275,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     encoded alone, without a shuffle: repeated rows get equal ids, null ids of rows pass through, an empty table gives
     an empty result. Other columns are ignored.
     """
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,6 +293,7 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
 
 def decode(encoded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """doc_id and text of each row of ids; null and empty ids give an empty text, ids of control pieces nothing."""
+    ship(encoded.sparkSession)
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary.load(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

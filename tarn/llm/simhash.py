@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import documents, settled
+from tarn.llm.common import documents, settled, ship
 from tarn.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -50,6 +50,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             fp = np.fromiter((fingerprint(x.as_py() or b"", width) for x in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
 
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
@@ -136,6 +137,7 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
         a, b = linked(np.cumsum(new), table.column("part").to_numpy(), table.column("fp").to_numpy().view(np.uint64), most)
         yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+    ship(distinct.sparkSession)
     return rows.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
 
 

@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import documents, settled
+from tarn.llm.common import documents, settled, ship
 
 #: Bytes of a string, and of the gram in it that places it.
 LENGTH, GRAM = 50, 20
@@ -250,7 +250,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     from others. Repeated ids never take from each other. An empty table gives an empty result. Other columns are
     ignored.
     """
-    spark = docs.sparkSession
+    ship(docs.sparkSession)
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("text"))
     named = rows.where(F.col("doc_id").isNotNull())
