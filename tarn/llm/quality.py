@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tarn.llm.common import SPACES, WORD, documents, words
 
 SYMBOLS = "#*$%&|<>"
+#: What a line may end with.
+ENDS = ".!?:;\"')]…。»”"
 #: Stock phrases of web pages, in lower case; licence notes are left alone.
 BOILERPLATE = (
     "all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|accept cookies|enable javascript|javascript is disabled"
@@ -35,19 +37,27 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def measured(line: Column) -> Column:
+    """A line with the counts that the rules read, each counted once."""
+    end = F.right(F.rtrim(F.translate(line, SPACES, " " * len(SPACES))), F.lit(1))
+    return F.struct(
+        line.alias("text"), _count(line, WORD).alias("n"), _count(line, r"[!?#*$%&|<>~=_]{2,}").alias("noisy"), _count(line, r"[|»›•>]").alias("marks"),
+        F.position(end, F.lit(ENDS)).alias("ended"),
+    )
+
+
 def line_fails(line: Column, rules: LineRules) -> Column:
-    """Whether a line breaks the punctuation, the navigation or the boilerplate rule; lines without words never do.
+    """Whether a measured line breaks the punctuation, the navigation or the boilerplate rule; lines without words never do.
 
     Punctuation: too many words carry runs of marks (word!!, word%%%), or the line doesn't end a sentence and is
     short or has no sentence end at all. Navigation: separators stand between many of the words. Boilerplate: a short
     line has a stock phrase.
     """
-    n = _count(line, WORD)
-    noisy = _count(line, r"[!?#*$%&|<>~=_]{2,}") > n * rules.noisy_share
-    open_ended = ~line.rlike(r"[.!?:;\"')\]…。»”][\x20\x09-\x0D]*$") & ((n < rules.short_line) | ~line.rlike(r"[.!?]"))
-    marks = _count(line, r"[|»›•>]")
+    n, marks = line["n"], line["marks"]
+    noisy = line["noisy"] > n * rules.noisy_share
+    open_ended = (line["ended"] == 0) & ((n < rules.short_line) | ~line["text"].rlike(r"[.!?]"))
     menu = (marks >= rules.menu_marks) & (marks > n * rules.menu_share)
-    stock = (n <= rules.boilerplate_words) & F.lower(line).rlike(BOILERPLATE)
+    stock = (n <= rules.boilerplate_words) & F.lower(line["text"]).rlike(BOILERPLATE)
     return (n > 0) & (noisy | open_ended | menu | stock)
 
 
@@ -67,15 +77,15 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     more = ["doc"] if carry else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([F.struct(*docs.columns).alias("doc")] if carry else [])).withColumn("w", words(F.col("text"))).withColumn("lines", F.split("text", "\n"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([F.struct(*docs.columns).alias("doc")] if carry else [])).withColumn("w", words(F.col("text"))).withColumn("lines", F.transform(F.split("text", "\n"), measured))
     n = F.size("w")
     window = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(5))))
     rows = rows.select(
         *more, "doc_id", "text", n.cast("long").alias("n_words"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
-        F.filter("lines", lambda x: x.rlike(WORD)).alias("full"),
-        F.filter("lines", lambda x: ~line_fails(x, rules)).alias("good"), F.size("lines").alias("n_lines"),
+        F.transform(F.filter("lines", lambda x: x["n"] > 0), lambda x: x["text"]).alias("full"),
+        F.transform(F.filter("lines", lambda x: ~line_fails(x, rules)), lambda x: x["text"]).alias("good"), F.size("lines").alias("n_lines"),
         F.when(n > 5, window).otherwise(F.array().cast("array<bigint>")).alias("h"),
     )
     # Only documents with a window that comes twice are sorted.
