@@ -89,7 +89,7 @@ def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def chunk_table(docs: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, at, size, h1, h2): each chunk's place and 128-bit digest; rows without an id have none."""
+    """(doc_id, at, size, h1, h2): each chunk's place and digest, 96 of 128 bits; rows without an id have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,14 +100,14 @@ def chunk_table(docs: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> Data
                     continue
                 t, a, b = (np.array(x) for x in zip(*found, strict=True))
                 raw = b"".join([xxhash.xxh3_128_digest(texts[i][x:y]) for i, x, y in found])
-                h = np.frombuffer(raw, np.int64).reshape(-1, 2)
+                h = np.frombuffer(raw, [("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + t]), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())],
+                    [pa.array(ids[first + t]), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(h["h1"].copy()), pa.array(h["h2"].copy())],
                     names=["doc_id", "at", "size", "h1", "h2"],
                 )
 
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, at int, size int, h1 long, h2 long")
+    return rows.mapInArrow(run, "doc_id long, at int, size int, h1 long, h2 int")
 
 
 def _runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -123,7 +123,7 @@ def _runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
 def dedup(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents' columns with the text that is left, plus n_bytes, n_removed, n_spans, spans (byte offsets).
 
-    Texts are cut into chunks by content, and chunks are compared by a 128-bit digest. Each chunk belongs to the
+    Texts are cut into chunks by content, and chunks are compared by 96 bits of a digest. Each chunk belongs to the
     smallest doc_id that has it; in all others it is a repeat. Runs of neighbouring repeats of at least `least_run`
     bytes are removed. Repeats inside one document stay.
 
@@ -139,7 +139,7 @@ def dedup(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col
     kept = [c for c in docs.columns if c not in own]
     rows = docs.select(*kept)
     chunks = chunk_table(rows, cuts, id_col, text_col)
-    owners = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("last > owner").select("h1", "h2", "owner")
+    owners = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "owner")
     repeats = chunks.join(settled(owners), ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("__repeats")).withColumnRenamed("doc_id", "__repeats_of")
     inner = rows.join(repeats, F.col(id_col).cast("long") == F.col("__repeats_of"), "left").drop("__repeats_of")
     names = rows.columns
