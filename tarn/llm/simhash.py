@@ -17,6 +17,8 @@ from tarn.llm.components import components
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Rows of a key that one task compares with as many others; larger keys are split.
 HALF = 2000
+#: Nodes from here on are fingerprints of rows without an id.
+UNNAMED = 1 << 62
 #: Rows that one task takes on average.
 TASK_ROWS = 200_000
 
@@ -60,7 +62,7 @@ def pivots(count: int = 32, seed: int = 20) -> np.ndarray:
 
 
 def linked(group: np.ndarray, half: np.ndarray, fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (a forest) between fingerprints of one group that differ in `most` or fewer bits; rows are sorted by group.
+    """Pairs of rows (a forest) of one group that differ in `most` or fewer bits; rows are sorted by group.
 
     Rows of one half (if not negative) aren't compared with each other: that is done in the half's own group.
 
@@ -86,14 +88,14 @@ def linked(group: np.ndarray, half: np.ndarray, fp: np.ndarray, most: int) -> tu
             while root[q] != q:
                 q = root[q]
             if p != q:
-                got_a.append(fp[x])
-                got_b.append(fp[y])
+                got_a.append(x)
+                got_b.append(y)
                 root[max(p, q)] = min(p, q)
         if len(a):
             while (up := root[root]).tobytes() != root.tobytes():
                 root = up
         step += 1
-    return np.array(got_a, np.uint64), np.array(got_b, np.uint64)
+    return np.array(got_a, np.int64), np.array(got_b, np.int64)
 
 
 def agreeing(rows: int, most: int) -> int:
@@ -102,7 +104,7 @@ def agreeing(rows: int, most: int) -> int:
 
 
 def links(distinct: DataFrame, most: int = 4) -> DataFrame:
-    """(a, b): links that connect all of the distinct fingerprints (column fp) that differ in `most` or fewer bits.
+    """(a, b): links between the nodes of distinct fingerprints (node, fp) that differ in `most` or fewer bits.
 
     The pivot table discards pairs, but it can't say which pairs to form. So pairs form only among fingerprints that
     agree in k of `most` + k blocks of bits: at most `most` blocks differ, so no link is lost, whatever k is. A key
@@ -117,11 +119,11 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     picks = [sum(masks[k] for k in pick) for pick in combinations(range(blocks), agree)]
     keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("bits")) for k, mask in enumerate(picks)))
-    rows = distinct.select("fp", F.explode(keys).alias("key")).select("fp", "key.kind", "key.bits")
+    rows = distinct.select("node", "fp", F.explode(keys).alias("key")).select("node", "fp", "key.kind", "key.bits")
     parts = rows.groupBy("kind", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HALF).select("kind", "bits", F.ceil(F.col("n") / HALF).cast("int").alias("parts"))
     rows = rows.join(parts, ["kind", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("half", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("kind", "bits", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "half", "fp")
+    rows = rows.select("kind", "bits", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "half", "node", "fp")
     # A part's own group holds it once (other = half); the groups of two parts hold both.
     rows = rows.withColumn("part", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("half"))).drop("half")
     by = ["kind", "bits", "low", "high"]
@@ -135,7 +137,8 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
         new = np.ones(table.num_rows, bool)
         new[1:] = np.any([x[1:] != x[:-1] for x in c], axis=0)
         a, b = linked(np.cumsum(new), table.column("part").to_numpy(), table.column("fp").to_numpy().view(np.uint64), most)
-        yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+        node = table.column("node").to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], names=["a", "b"])
 
     ship(distinct.sparkSession)
     return rows.repartition(tasks, *by).sortWithinPartitions(*by).mapInArrow(run, "a long, b long")
@@ -155,11 +158,12 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, id_col: str
     columns are ignored.
     """
     fps = settled(fingerprints(docs, width, id_col, text_col))
-    nodes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes.select("fp"), most)).select(F.col("node").alias("fp"), "root")
-    placed = nodes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return fps.join(placed.select("fp", "root").join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    # A node is named by its smallest id, so the smallest node of a component is the component's id.
+    unnamed = F.lit(UNNAMED).bitwiseOR(F.col("fp").bitwiseAND(F.lit(UNNAMED - 1)))
+    nodes = settled(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).select("fp", F.coalesce("first", unnamed).alias("node")))
+    placed = nodes.join(components(links(nodes, most)), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    placed = settled(placed.select("fp", F.when(F.col("root") < UNNAMED, F.col("root")).alias("component_id")))
+    return fps.join(placed, "fp").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash_components(spark, sf_dir: str) -> DataFrame:

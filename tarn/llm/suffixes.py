@@ -212,9 +212,9 @@ def _match(doc: np.ndarray, low: np.ndarray, off: np.ndarray, size: np.ndarray,
     many = np.bincount(run, minlength=run.max(initial=-1) + 1) > 1
     rows = rest[order[many[run]]]
     group = run[many[run]]
-    bounds = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(group) else np.zeros(0, np.int64)
+    bounds = np.flatnonzero(np.append(True, np.diff(group) != 0)).tolist() if len(group) else []
     got_doc, got_a = [], []
-    for x, y in zip(bounds.tolist(), [*bounds[1:].tolist(), len(rows)], strict=True):
+    for x, y in zip(bounds, [*bounds[1:], len(rows)], strict=False):
         earliest: dict[bytes, int] = {}  # of the strings around one gram
         for r in rows[x:y].tolist():
             s, d = own[r], docs[r]
