@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.values import over
 from tarn.operators.stencil import neighbourhood, upwind_columns
 from tarn.operators.terrain import EPS
 from tarn.plans.model import Grid, Params
-from tarn.plans.state import ship
+from tarn.plans.state import settled, ship
 
-#: Bytes of fields that every task may get; particles that a task walks at a time.
-FIELD_BYTES, PARTICLES = 512 << 20, 65536
+#: Bytes of fields that every task may get; larger rasters are cut in tiles of so many cells a side.
+FIELD_BYTES, TILE = 256 << 20, 1024
+#: Particles that a task walks at a time.
+PARTICLES = 65536
 
 
 def _uniform(n: np.ndarray, seed: int) -> np.ndarray:
@@ -28,18 +31,46 @@ def _uniform(n: np.ndarray, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(16))).astype(float) / 4294967296.0
 
 
-def _fields(cells: DataFrame, grid: Grid, columns: list[str]) -> dict[str, np.ndarray]:
-    """The columns as arrays by cell; a size check comes before anything is collected."""
-    need = grid.cells * 8 * len(columns)
-    if need > FIELD_BYTES:
-        raise ValueError(f"fields of {need} bytes pass the bound of {FIELD_BYTES}; split the raster or raise FIELD_BYTES")
-    got = cells.select("n", *columns).toArrow()
-    n = got.column("n").to_numpy()
-    out = {}
-    for c in columns:
-        out[c] = np.full(grid.cells, np.nan)
-        out[c][n] = got.column(c).to_numpy().astype(float)
-    return out
+class Field:
+    """Columns of the cells of a grid or of one tile of it, with the cells beside the tile."""
+
+    def __init__(self, grid: Grid, table: pa.Table, columns: list[str], tile: int | None = None, side: int = 0):
+        self.grid = grid
+        if tile is None:
+            self.x0, self.y0, self.own = 0, 0, (0, 0, grid.nx, grid.ny)
+            wide, self.ny = grid.nx, grid.ny
+        else:
+            across = -(-grid.ny // side)
+            x, y = tile // across * side, tile % across * side
+            self.own = (x, y, min(x + side, grid.nx), min(y + side, grid.ny))
+            self.x0, self.y0 = x - 1, y - 1
+            wide, self.ny = self.own[2] - x + 2, self.own[3] - y + 2
+        n = table.column("n").to_numpy()
+        at = (n // grid.ny - self.x0) * self.ny + n % grid.ny - self.y0
+        self.values = {}
+        for c in columns:
+            self.values[c] = np.full(wide * self.ny, np.nan)
+            self.values[c][at] = table.column(c).to_numpy().astype(float)
+
+    def at(self, column: str, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.values[column][(i - self.x0) * self.ny + j - self.y0]
+
+    def of(self, column: str, cell: np.ndarray) -> np.ndarray:
+        return self.at(column, cell // self.grid.ny, cell % self.grid.ny)
+
+    def owns(self, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        x0, y0, x1, y1 = self.own
+        return (px >= x0) & (py >= y0) & (px < x1) & (py < y1)
+
+    def between(self, column: str, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        """The value between four cells; NaN beyond the last cell's corner."""
+        g = self.grid
+        i, j = np.floor(px).astype(int), np.floor(py).astype(int)
+        a, b = np.where(i >= g.nx - 1, 0, px - i), np.where(j >= g.ny - 1, 0, py - j)
+        i2, j2 = np.minimum(i + 1, g.nx - 1), np.minimum(j + 1, g.ny - 1)
+        at = lambda x, y: self.at(column, x, y)
+        v = (at(i, j) * (1 - b) + at(i, j2) * b) * (1 - a) + (at(i2, j) * (1 - b) + at(i2, j2) * b) * a
+        return np.where((px > g.nx - 1) | (py > g.ny - 1), np.nan, v)
 
 
 def _stepsize(px: np.ndarray, py: np.ndarray, dx: np.ndarray, dy: np.ndarray) -> np.ndarray:
@@ -52,88 +83,190 @@ def _stepsize(px: np.ndarray, py: np.ndarray, dx: np.ndarray, dy: np.ndarray) ->
     return (ways[0] + ways[1]) / 2
 
 
-def _bilinear(field: np.ndarray, grid: Grid, px: np.ndarray, py: np.ndarray) -> np.ndarray:
-    """The field between four cells; NaN beyond the last cell's corner."""
-    i, j = np.floor(px).astype(int), np.floor(py).astype(int)
-    a, b = px - i, py - j
-    a, b = np.where(i >= grid.nx - 1, 0, a), np.where(j >= grid.ny - 1, 0, b)
-    i2, j2 = np.minimum(i + 1, grid.nx - 1), np.minimum(j + 1, grid.ny - 1)
-    at = lambda x, y: field[x * grid.ny + y]
-    v = (at(i, j) * (1 - b) + at(i, j2) * b) * (1 - a) + (at(i2, j) * (1 - b) + at(i2, j2) * b) * a
-    return np.where((px > grid.nx - 1) | (py > grid.ny - 1), np.nan, v)
+def _cell(grid: Grid, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    return np.floor(px).astype(int) * grid.ny + np.floor(py).astype(int)
+
+
+def _inside(grid: Grid, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+    """False also where the place is NaN."""
+    return (px >= 0) & (py >= 0) & (px < grid.nx) & (py < grid.ny)
+
+
+class Walk:
+    """How one kind of particle begins and steps.
+
+    A particle's state is a column of numbers: place (2), last cell, steps so far, then what the kind needs.
+    """
+
+    fields: list[str]
+    names: list[str]
+    limit: int
+
+    def __init__(self, grid: Grid, seed: int):
+        self.grid, self.seed = grid, seed
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """0.5 to n - 0.5 along each axis, from the particle's number alone."""
+        u, v = 1 - _uniform(ids * 2, self.seed), 1 - _uniform(ids * 2 + 1, self.seed)
+        return 0.5 + u * (self.grid.nx - 1), 0.5 + v * (self.grid.ny - 1)
+
+    def begin(self, f: Field, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def step(self, f: Field, state: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The state one step on from `cell`, and which particles go on."""
+        raise NotImplementedError
+
+    def left(self, state: np.ndarray) -> np.ndarray:
+        """What a particle leaves in a cell that it enters, a row for each name."""
+        raise NotImplementedError
+
+    def run(self, f: Field, state: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Walks particles while the field owns their places, adding what they leave to total; returns those that left."""
+        gone = [state[:, :0]]
+        place = lambda cell: (cell // self.grid.ny - f.x0) * f.ny + cell % self.grid.ny - f.y0
+        while state.shape[1]:
+            here = f.owns(state[0], state[1])
+            gone.append(state[:, ~here])
+            state = state[:, here]
+            cell = _cell(self.grid, state[0], state[1])
+            new = cell != state[2]
+            if new.any():
+                for row, v in zip(total, self.left(state[:, new]), strict=True):
+                    np.add.at(row, place(cell[new]), v)
+            with np.errstate(all="ignore"):
+                state, keep = self.step(f, state, cell)
+            state[2], state[3] = cell, state[3] + 1
+            state = state[:, keep & (state[3] < self.limit) & _inside(self.grid, state[0], state[1])]
+        return np.concatenate(gone, axis=1)
 
 
-def _walked(spark: SparkSession, count: int, grid: Grid, walk: Callable[[np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]], columns: list[str]) -> DataFrame:
-    """n and the columns' sums over all particles. Each task sums what its particles leave before the shuffle."""
+def _walked(cells: DataFrame, grid: Grid, walk: Walk, count: int) -> DataFrame:
+    """n and the names' sums over `count` particles. Tasks sum what their particles leave before the shuffle.
+
+    Fields of up to FIELD_BYTES go to every task. Larger ones stay distributed: each round, every tile meets the
+    particles on it, walks them to its border, and the next round begins where they went on.
+    """
+    ship(cells.sparkSession)
+    flux = _walked_whole(cells, grid, walk, count) if grid.cells * 8 * len(walk.fields) <= FIELD_BYTES else _walked_tiled(cells, grid, walk, count)
+    return flux.groupBy("n").agg(*(F.sum(c).alias(c) for c in walk.names))
+
+
+def _parts(cells: DataFrame, count: int) -> int:
+    return max(1, min(cells.sparkSession.sparkContext.defaultParallelism * 2, count // 4096))
+
+
+def _walked_whole(cells: DataFrame, grid: Grid, walk: Walk, count: int) -> DataFrame:
+    spark = cells.sparkSession
+    shared = spark.sparkContext.broadcast(Field(grid, cells.select("n", *walk.fields).toArrow(), walk.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(columns), grid.cells))
+        f = shared.value
+        total = np.zeros((len(walk.names), grid.cells))
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for k in range(0, len(ids), PARTICLES):
-                for cell, values in walk(ids[k : k + PARTICLES]):
-                    for row, v in zip(total, values, strict=True):
-                        np.add.at(row, cell, v)
+                px, py = walk.places(ids[k : k + PARTICLES])
+                ok = _inside(grid, px, py)
+                with np.errstate(all="ignore"):
+                    state = walk.begin(f, px[ok], py[ok])
+                walk.run(f, state, total)
         hit = np.flatnonzero(total.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), *(pa.array(t[hit]) for t in total)], names=["n", *columns])
+        yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int64)), *(pa.array(t[hit]) for t in total)], names=["n", *walk.names])
 
-    ship(spark)
-    parts = min(spark.sparkContext.defaultParallelism * 2, max(1, count // 4096))
-    flux = spark.range(0, count, 1, parts).mapInArrow(run, "n long, " + ", ".join(f"{c} double" for c in columns))
-    return flux.groupBy("n").agg(*(F.sum(c).alias(c) for c in columns))
+    return spark.range(0, count, 1, _parts(cells, count)).mapInArrow(run, "n long, " + ", ".join(f"{c} double" for c in walk.names))
 
 
-def _cell(grid: Grid, px: np.ndarray, py: np.ndarray) -> np.ndarray:
-    return np.floor(px).astype(int) * grid.ny + np.floor(py).astype(int)
+def _walked_tiled(cells: DataFrame, grid: Grid, walk: Walk, count: int) -> DataFrame:
+    spark, across, side = cells.sparkSession, -(-grid.ny // TILE), TILE
 
+    def tile_of(px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        return np.floor(px).astype(int) // side * across + np.floor(py).astype(int) // side
 
-def _inside(grid: Grid, px: np.ndarray, py: np.ndarray) -> np.ndarray:
-    """False also where the place is NaN."""
-    return (px >= 0) & (py >= 0) & (px < grid.nx) & (py < grid.ny)
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            px, py = walk.places(batch.column(0).to_numpy())
+            ok = _inside(grid, px, py)
+            yield rows(tile_of(px[ok], py[ok]), np.stack([px[ok], py[ok]]))
+
+    def rows(key: np.ndarray, values: np.ndarray, kind: int = 1) -> pa.RecordBatch:
+        each = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1) * len(values), pa.int32()), pa.array(values.T.ravel()))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(key), kind, np.int32)), pa.array(key.astype(np.int64)), each], names=["kind", "key", "values"])
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [rows(np.zeros(0), np.zeros((1, 0)))]
+        if left.num_rows and right.num_rows:
+            f = Field(grid, left, walk.fields, left.column("key")[0].as_py(), side)
+            total = np.zeros((len(walk.names), len(f.values[walk.fields[0]])))
+            given = right.column("values").combine_chunks()
+            given = given.chunk(0) if isinstance(given, pa.ChunkedArray) else given
+            given = given.flatten().to_numpy().reshape(len(given), -1).T
+            for k in range(0, given.shape[1], PARTICLES):
+                state = given[:, k : k + PARTICLES].copy()
+                if len(state) == 2:
+                    with np.errstate(all="ignore"):
+                        state = walk.begin(f, state[0], state[1])
+                gone = walk.run(f, state, total)
+                out.append(rows(tile_of(gone[0], gone[1]), gone))
+            hit = np.flatnonzero(total.any(axis=0))
+            out.append(rows((hit // f.ny + f.x0) * grid.ny + hit % f.ny + f.y0, total[:, hit], 0))
+        return pa.Table.from_batches(out)
+
+    x, y = F.col("x"), F.col("y")
+    beside = [F.when((x + dx >= 0) & (x + dx < grid.nx) & (y + dy >= 0) & (y + dy < grid.ny), F.floor((x + dx) / side) * across + F.floor((y + dy) / side)) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    tiles = cells.select("n", *walk.fields, F.explode(F.array_distinct(F.array_compact(F.array(*beside)))).alias("key"))
+    schema = "kind int, key long, values array<double>"
+    parts, live = [], settled(spark.range(0, count, 1, _parts(cells, count)).mapInArrow(start, schema))
+    while live.limit(1).count():
+        done = settled(tiles.groupBy("key").cogroup(live.groupBy("key")).applyInArrow(meet, schema))
+        parts.append(done.where("kind = 0").select(F.col("key").alias("n"), *(F.col("values")[k].alias(c) for k, c in enumerate(walk.names))))
+        live = done.where("kind = 1")
+    if not parts:
+        return spark.createDataFrame([], "n long, " + ", ".join(f"{c} double" for c in walk.names))
+    return reduce(DataFrame.unionAll, parts)
+
+
+class UniformWalk(Walk):
+    def __init__(self, grid: Grid, seed: int, sources: list[str]):
+        super().__init__(grid, seed)
+        self.sources, self.fields, self.names = sources, ["vx", "vy", "decay", *sources], [f"flux_{s}" for s in sources]
+        self.limit, self.length = grid.nx + grid.ny, (grid.sx**2 + grid.sy**2) ** 0.5
+
+    def places(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (1 - _uniform(ids * 2, self.seed)) * self.grid.nx, (1 - _uniform(ids * 2 + 1, self.seed)) * self.grid.ny
+
+    def begin(self, f: Field, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        cell, whole = _cell(self.grid, px, py), self.grid.sx * self.grid.sy * self.grid.cells
+        carried = [f.of(s, cell) * whole for s in self.sources]
+        state = np.stack([px, py, cell.astype(float), np.zeros(len(px)), np.ones(len(px)), *carried])
+        return state[:, (np.abs(state[5:]) >= 1e-16).any(axis=0)]
+
+    def left(self, state: np.ndarray) -> np.ndarray:
+        return state[5:] * state[4]
+
+    def step(self, f: Field, state: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        px, py, att = state[0], state[1], state[4]
+        vx, vy = f.between("vx", px, py), f.between("vy", px, py)
+        speed = np.hypot(vx, vy)
+        step = _stepsize(px, py, vx / speed, vy / speed)
+        att = att * np.exp(-step * self.length / speed * f.of("decay", cell))
+        state = np.concatenate([np.stack([px + step * vx / speed, py + step * vy / speed]), state[2:4], att[None], state[5:]])
+        return state, (speed >= 1e-16) & (np.abs(att) > 1e-16)
 
 
 def solve_uniform(cells: DataFrame, grid: Grid, count: int, sources: list[str], seed: int = 0) -> DataFrame:
     """n and flux_<source>: what particles from uniform starts carry along the flow (vx, vy), losing `decay` on the way.
 
-    cells: n, vx, vy, decay and one or two sources. A start cell gets nothing, as its own source is added at the end;
-    where there is no flow the result is NULL.
+    cells: n, x, y, vx, vy, decay and one or two sources. A start cell gets nothing, as its own source is added at the
+    end; where there is no flow the result is NULL.
     """
     if len(sources) not in (1, 2):
         raise ValueError("one or two channels")
-    spark = cells.sparkSession
-    shared = spark.sparkContext.broadcast(_fields(cells, grid, ["vx", "vy", "decay", *sources]))
-    area, length = grid.sx * grid.sy, (grid.sx**2 + grid.sy**2) ** 0.5
-
-    def walk(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        f = shared.value
-        px, py = (1 - _uniform(ids * 2, seed)) * grid.nx, (1 - _uniform(ids * 2 + 1, seed)) * grid.ny
-        ok = _inside(grid, px, py)
-        px, py = px[ok], py[ok]
-        cell = _cell(grid, px, py)
-        carried = np.stack([f[s][cell] * area * grid.cells for s in sources])
-        att = np.ones(len(px))
-        keep = (np.abs(carried) >= 1e-16).any(axis=0)
-        for _ in range(grid.nx + grid.ny):
-            px, py, cell, att, carried = px[keep], py[keep], cell[keep], att[keep], carried[:, keep]
-            if not len(px):
-                return
-            now = _cell(grid, px, py)
-            new = now != cell
-            yield now[new], carried[:, new] * att[new]
-            cell = now
-            vx, vy = _bilinear(f["vx"], grid, px, py), _bilinear(f["vy"], grid, px, py)
-            speed = np.hypot(vx, vy)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                step = _stepsize(px, py, vx / speed, vy / speed)
-                att = att * np.exp(-step * length / speed * f["decay"][cell])
-                px, py = px + step * vx / speed, py + step * vy / speed
-            keep = (speed >= 1e-16) & _inside(grid, px, py) & (np.abs(att) > 1e-16)
-
-    names = [f"flux_{s}" for s in sources]
-    flux = _walked(spark, count, grid, walk, names)
+    walk = UniformWalk(grid, seed, sources)
+    flux = _walked(cells, grid, walk, count)
     speed = F.abs("vx") * grid.sy + F.abs("vy") * grid.sx
     rows = cells.select("n", "vx", "vy", *sources).join(flux, "n", "left")
-    return rows.select("n", *(over(F.col(s) * area + F.coalesce(k, F.lit(0.0)) / count, speed).alias(k) for s, k in zip(sources, names, strict=True)))
+    return rows.select("n", *(over(F.col(s) * (grid.sx * grid.sy) + F.coalesce(k, F.lit(0.0)) / count, speed).alias(k) for s, k in zip(sources, walk.names, strict=True)))
 
 
 def _sloped(cells: DataFrame, grid: Grid, p: Params) -> DataFrame:
@@ -142,71 +275,98 @@ def _sloped(cells: DataFrame, grid: Grid, p: Params) -> DataFrame:
     return rows.select(*cells.columns, ux.alias("ux"), uy.alias("uy"))
 
 
-def _starts(grid: Grid, ids: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    return 0.5 + (1 - _uniform(ids * 2, seed)) * (grid.nx - 1), 0.5 + (1 - _uniform(ids * 2 + 1, seed)) * (grid.ny - 1)
+class SlopeWalk(Walk):
+    """Particles that the slope drives; a kind says what slows them and what they carry."""
+
+    def __init__(self, grid: Grid, seed: int, samples: int, p: Params, velocity: tuple[str, str], viscosity: float, force: tuple[float, float]):
+        super().__init__(grid, seed)
+        self.p, self.velocity, self.viscosity, self.force = p, velocity, viscosity, force
+        self.limit, self.length = p.maxage - 1, (grid.sx**2 + grid.sy**2) ** 0.5
+        self.share = grid.sx * grid.sy * grid.cells / samples
+
+    def pull(self, f: Field, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(-self.p.gravity * f.of(u, cell) + self.viscosity * f.of(v, cell) for u, v in zip(("ux", "uy"), self.velocity, strict=True))
+
+    def steepness(self, f: Field, cell: np.ndarray) -> np.ndarray:
+        return np.hypot(f.of("ux", cell), f.of("uy", cell))
+
+    def sources(self, f: Field, cell: np.ndarray, pull: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        raise NotImplementedError
+
+    def begin(self, f: Field, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        cell = _cell(self.grid, px, py)
+        pull = self.pull(f, cell)
+        sx, sy = pull[0] + self.force[0], pull[1] + self.force[1]
+        root = np.sqrt(np.hypot(self.grid.sx * sx, self.grid.sy * sy))
+        sx, sy = sx / root, sy / root
+        kinds = np.ones((self.shares, len(px)))
+        state = np.concatenate([np.stack([px, py, cell.astype(float), np.zeros(len(px)), sx, sy]), kinds, self.sources(f, cell, pull)])
+        return state[:, np.hypot(sx, sy) >= EPS]
+
+    def left(self, state: np.ndarray) -> np.ndarray:
+        return state[6 + self.shares :] * state[6 : 6 + self.shares][self.kind]
+
+    def step(self, f: Field, state: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        px, py, sx, sy = state[0], state[1], state[4], state[5]
+        att, source = state[6 : 6 + self.shares], state[6 + self.shares :]
+        speed = np.hypot(sx, sy)
+        step = _stepsize(px, py, sx / speed, sy / speed)
+        way = step * self.length
+        slow, fade = self.losses(f, cell, att, source, speed, way)
+        pull = self.pull(f, cell)
+        ahead = [(s + way * (a + e)) / (1 + way * slow) for s, a, e in zip((sx, sy), pull, self.force, strict=True)]
+        moved = np.stack([px + step * sx / speed, py + step * sy / speed])
+        return np.concatenate([moved, state[2:4], np.stack(ahead), att * fade, source]), (speed >= EPS) & np.isfinite(fade).all(axis=0)
+
+
+class WaterWalk(SlopeWalk):
+    fields = ["ux", "uy", "rain", "water", "vx", "vy", "r", "g", "b"]
+    names = ["f_w", "f_m", "f_x", "f_y", "f_r", "f_g", "f_b"]
+    shares, kind = 3, np.array([0, 1, 2, 2, 1, 1, 1])  # of water, mass, velocity
+
+    def sources(self, f: Field, cell: np.ndarray, pull: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        p = self.p
+        shear = 0.125 * p.friction_factor / 8 * p.density_water * (f.of("vx", cell) ** 2 + f.of("vy", cell) ** 2)
+        mass = self.share * p.suspension_fluvial / 64 * (shear * self.steepness(f, cell)) ** p.fluvial_exponent
+        return np.stack([self.share * p.rainfall * f.of("rain", cell), mass, self.share * pull[0], self.share * pull[1], *(mass * f.of(c, cell) for c in "rgb")])
+
+    def losses(self, f: Field, cell, att, source, speed, way) -> tuple[float, np.ndarray]:
+        p, time = self.p, way / speed
+        drag = 0.125 * p.friction_factor / 8 / (EPS + f.of("water", cell))
+        return p.bed_shear_water + p.viscosity_water, np.stack([np.exp(-time * p.evap_rate), np.exp(-time * p.deposition_fluvial * 1.33), np.exp(-way * drag)])
+
+
+class DebrisWalk(SlopeWalk):
+    fields = ["ux", "uy", "dvx", "dvy", "r", "g", "b"]
+    names = ["f_d", "f_x", "f_y", "f_r", "f_g", "f_b"]
+    shares, kind = 2, np.array([0, 1, 1, 0, 0, 0])  # of debris, velocity
+
+    def sources(self, f: Field, cell: np.ndarray, pull: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        load = self.share * np.maximum(0, self.p.landslide_rate * (self.steepness(f, cell) - self.p.crit_slope_bedrock))
+        return np.stack([load, self.share * pull[0], self.share * pull[1], *(load * f.of(c, cell) for c in "rgb")])
+
+    def losses(self, f: Field, cell, att, source, speed, way) -> tuple[np.ndarray, np.ndarray]:
+        p, height = self.p, EPS + att[0] * source[0]
+        slow = p.viscosity_debris + p.bed_shear_debris / height
+        stress = p.gravity * (self.steepness(f, cell) - p.crit_slope_bedrock - p.yield_stress / height)
+        rate = np.where(stress < 0, p.deposition_debris, p.suspension_debris)
+        return slow, np.stack([np.exp(way / speed * rate * stress / speed), np.exp(-way * slow)])
 
 
 def transport_fluvial(cells: DataFrame, grid: Grid, samples: int, param: Params = Params(), seed: int = 0) -> DataFrame:
     """n, water, mass, vx, vy, albedo_r, albedo_g, albedo_b after one round of particles.
 
     cells: n, x, y, bedrock, sediment, rain, water, vx, vy, r, g, b. Each particle takes its start's sources along a
-    path that slope, drag and the body force bend; what it leaves in a cell is summed by task, then by cell. Particles
-    whose speed is no number end.
+    path that slope, drag and the body force bend. Particles whose speed is no number end.
     """
-    p, spark = param, cells.sparkSession
+    p, area = param, grid.sx * grid.sy
     rows = _sloped(cells, grid, p)
-    shared = spark.sparkContext.broadcast(_fields(rows, grid, ["ux", "uy", "rain", "water", "vx", "vy", "r", "g", "b"]))
-    area, length, grav = grid.sx * grid.sy, (grid.sx**2 + grid.sy**2) ** 0.5, p.gravity
-    q, drag = area * grid.cells / samples, p.friction_factor / 8
-    ks, kd = p.suspension_fluvial / 64, p.deposition_fluvial * 1.33
-    loss = p.bed_shear_water + p.viscosity_water
-
-    def walk(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        f = shared.value
-        px, py = _starts(grid, ids, seed)
-        ok = _inside(grid, px, py)
-        px, py = px[ok], py[ok]
-        cell = _cell(grid, px, py)
-        pull = lambda c: [-grav * f[u][c] + p.viscosity_water * f[v][c] for u, v in (("ux", "vx"), ("uy", "vy"))]
-        push = pull(cell)
-        with np.errstate(all="ignore"):
-            sx, sy = push[0] + p.force[0], push[1] + p.force[1]
-            root = np.sqrt(np.hypot(grid.sx * sx, grid.sy * sy))
-            sx, sy = sx / root, sy / root
-            v2 = f["vx"][cell] ** 2 + f["vy"][cell] ** 2
-            mass = q * ks * (0.125 * drag * p.density_water * v2 * np.hypot(f["ux"][cell], f["uy"][cell])) ** p.fluvial_exponent
-        source = np.stack([q * p.rainfall * f["rain"][cell], mass, q * push[0], q * push[1], *(mass * f[c][cell] for c in "rgb")])
-        att = np.ones((3, len(px)))  # water, mass, velocity
-        kind = np.array([0, 1, 2, 2, 1, 1, 1])
-        keep = np.hypot(sx, sy) >= EPS
-        for _ in range(p.maxage - 1):
-            px, py, sx, sy, cell, att, source = px[keep], py[keep], sx[keep], sy[keep], cell[keep], att[:, keep], source[:, keep]
-            if not len(px):
-                return
-            now = _cell(grid, px, py)
-            new = now != cell
-            yield now[new], source[:, new] * att[kind][:, new]
-            cell = now
-            with np.errstate(all="ignore"):
-                speed = np.hypot(sx, sy)
-                dx, dy = sx / speed, sy / speed
-                step = _stepsize(px, py, dx, dy)
-                way = step * length
-                push = pull(cell)
-                slow = 1 / (1 + way * loss)
-                sx, sy = slow * (sx + way * (push[0] + p.force[0])), slow * (sy + way * (push[1] + p.force[1]))
-                time = way / speed
-                att = att * np.stack([np.exp(-time * p.evap_rate), np.exp(-time * kd), np.exp(-way * 0.125 * drag / (EPS + f["water"][cell]))])
-                px, py = px + step * dx, py + step * dy
-            keep = (speed >= EPS) & _inside(grid, px, py)
-
-    names = ["f_w", "f_m", "f_x", "f_y", "f_r", "f_g", "f_b"]
-    flux = _walked(spark, samples, grid, walk, names)
-    rows = rows.join(flux, "n", "left").fillna(0.0, names)
+    flux = _walked(rows, grid, WaterWalk(grid, seed, samples, p, ("vx", "vy"), p.viscosity_water, p.force), samples)
+    rows = rows.join(flux, "n", "left").fillna(0.0, WaterWalk.names)
     coloured = (F.col("f_m") > 0) & (F.abs("f_r") + F.abs("f_g") + F.abs("f_b") > 0)
     return rows.select(
         "n", ((area * p.rainfall * F.col("rain") + F.col("f_w")) / grid.sy).alias("water"), (F.col("f_m") / grid.sy).alias("mass"),
-        *(((area * (-grav * F.col(u) + force) + F.col(k)) / grid.sy).alias(v) for u, k, v, force in (("ux", "f_x", "vx", p.force[0]), ("uy", "f_y", "vy", p.force[1]))),
+        *(((area * (-p.gravity * F.col(u) + force) + F.col(k)) / grid.sy).alias(v) for u, k, v, force in (("ux", "f_x", "vx", p.force[0]), ("uy", "f_y", "vy", p.force[1]))),
         *(F.when(coloured, over(F.col(f"f_{c}"), F.col("f_m"))).otherwise(F.col(c)).alias(f"albedo_{c}") for c in "rgb"),
     )
 
@@ -217,58 +377,11 @@ def transport_debris(cells: DataFrame, grid: Grid, samples: int, param: Params =
     cells: n, x, y, bedrock, sediment, dvx, dvy, r, g, b. Starts steeper than the critical slope let debris go; on the
     way it may take up more than it began with.
     """
-    p, spark = param, cells.sparkSession
+    p, area = param, grid.sx * grid.sy
     rows = _sloped(cells, grid, p)
-    shared = spark.sparkContext.broadcast(_fields(rows, grid, ["ux", "uy", "dvx", "dvy", "r", "g", "b"]))
-    area, length, grav = grid.sx * grid.sy, (grid.sx**2 + grid.sy**2) ** 0.5, p.gravity
-    q = area * grid.cells / samples
-
-    def walk(ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        f = shared.value
-        px, py = _starts(grid, ids, seed)
-        ok = _inside(grid, px, py)
-        px, py = px[ok], py[ok]
-        cell = _cell(grid, px, py)
-        pull = lambda c: [-grav * f[u][c] + p.viscosity_debris * f[v][c] for u, v in (("ux", "dvx"), ("uy", "dvy"))]
-        push = pull(cell)
-        with np.errstate(all="ignore"):
-            root = np.sqrt(np.hypot(grid.sx * push[0], grid.sy * push[1]))
-            sx, sy = push[0] / root, push[1] / root
-        load = q * np.maximum(0, p.landslide_rate * (np.hypot(f["ux"][cell], f["uy"][cell]) - p.crit_slope_bedrock))
-        source = np.stack([load, q * push[0], q * push[1], *(load * f[c][cell] for c in "rgb")])
-        att = np.ones((2, len(px)))  # debris, velocity
-        kind = np.array([0, 1, 1, 0, 0, 0])
-        keep = np.hypot(sx, sy) >= EPS
-        for _ in range(p.maxage - 1):
-            px, py, sx, sy, cell, att, source = px[keep], py[keep], sx[keep], sy[keep], cell[keep], att[:, keep], source[:, keep]
-            if not len(px):
-                return
-            now = _cell(grid, px, py)
-            new = now != cell
-            yield now[new], source[:, new] * att[kind][:, new]
-            cell = now
-            with np.errstate(all="ignore"):
-                speed = np.hypot(sx, sy)
-                dx, dy = sx / speed, sy / speed
-                step = _stepsize(px, py, dx, dy)
-                way = step * length
-                height = EPS + att[0] * source[0]
-                decay = p.viscosity_debris + p.bed_shear_debris / height
-                push = pull(cell)
-                slow = 1 / (1 + way * decay)
-                sx, sy = slow * (sx + way * push[0]), slow * (sy + way * push[1])
-                stress = grav * (np.hypot(f["ux"][cell], f["uy"][cell]) - p.crit_slope_bedrock - p.yield_stress / height)
-                rate = np.where(stress < 0, p.deposition_debris, p.suspension_debris)
-                att = att * np.stack([np.exp(way / speed * rate * stress / speed), np.exp(-way * decay)])
-                px, py = px + step * dx, py + step * dy
-            keep = (speed >= EPS) & _inside(grid, px, py) & np.isfinite(att[0])
-
-    names = ["f_d", "f_x", "f_y", "f_r", "f_g", "f_b"]
-    flux = _walked(spark, samples, grid, walk, names)
-    rows = rows.join(flux, "n", "left").fillna(0.0, names)
+    flux = _walked(rows, grid, DebrisWalk(grid, seed, samples, p, ("dvx", "dvy"), p.viscosity_debris, (0.0, 0.0)), samples)
+    rows = rows.join(flux, "n", "left").fillna(0.0, DebrisWalk.names)
     return rows.select(
-        "n", (F.col("f_d") / grid.sy).alias("debris"), ((-area * grav * F.col("ux") + F.col("f_x")) / grid.sy).alias("dvx"), ((-area * grav * F.col("uy") + F.col("f_y")) / grid.sy).alias("dvy"),
+        "n", (F.col("f_d") / grid.sy).alias("debris"), ((-area * p.gravity * F.col("ux") + F.col("f_x")) / grid.sy).alias("dvx"), ((-area * p.gravity * F.col("uy") + F.col("f_y")) / grid.sy).alias("dvy"),
         *(F.when(F.col("f_d") > 0, over(F.col(f"f_{c}"), F.col("f_d"))).otherwise(F.col(c)).alias(f"albedo_{c}") for c in "rgb"),
     )
-
-

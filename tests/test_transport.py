@@ -36,11 +36,17 @@ def test_result_is_the_same_for_any_partitions(spark, monkeypatch):
     assert [r["flux_s"] for r in a] == pytest.approx([r["flux_s"] for r in b])
 
 
-def test_fields_beyond_the_bound_raise(spark, monkeypatch):
+def test_tiles_give_the_same(spark, monkeypatch):
+    g = Grid(23, 14)
+    cells = constant(spark, g, 1.0, "s").withColumns({"vx": F.lit(0.7) + F.col("y") * 0.01, "vy": F.sin("x"), "decay": F.lit(0.01)})
+    loaded = _slope(spark, g, 1.5).withColumn("bedrock", F.col("bedrock") + F.sin(F.col("y") * 0.7))
+    runs = (lambda: transport.solve_uniform(cells, g, 3000, ["s"]), lambda: transport.transport_fluvial(loaded, g, 3000), lambda: transport.transport_debris(loaded, g, 3000))
+    whole = [f().orderBy("n").collect() for f in runs]
     monkeypatch.setattr(transport, "FIELD_BYTES", 10)
-    cells = constant(spark, Grid(4, 4), 1.0, "s").withColumns({"vx": F.lit(1.0), "vy": F.lit(0.0), "decay": F.lit(0.0)})
-    with pytest.raises(ValueError, match="bound"):
-        transport.solve_uniform(cells, Grid(4, 4), 10, ["s"])
+    monkeypatch.setattr(transport, "TILE", 5)
+    for f, want in zip(runs, whole, strict=True):
+        for a, b in zip(f().orderBy("n").collect(), want, strict=True):
+            assert list(a) == pytest.approx(list(b), rel=1e-9, nan_ok=True)
 
 
 def _slope(spark, g, tilt=0.1):
