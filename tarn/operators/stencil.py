@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import operator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,20 +17,26 @@ from tarn.plans.model import Edge
 STRIP = 256
 
 
+def in_strips(raster: DataFrame, radius: int, strip: int) -> DataFrame:
+    """The rows dealt into strips of `strip` rows of the grid, each with copies of the `radius` rows on either side."""
+    if radius > strip:
+        raise ValueError("a strip must be as wide as what it looks at")
+    x = F.col("x")
+    near = F.array_compact(F.array(
+        F.struct(F.lit(0).alias("by"), F.lit(True).alias("own")),
+        F.when(x % strip < radius, F.struct(F.lit(-1).alias("by"), F.lit(False).alias("own"))),
+        F.when(x % strip >= strip - radius, F.struct(F.lit(1).alias("by"), F.lit(False).alias("own"))),
+    ))
+    return raster.withColumn("__near", F.explode(near)).withColumn("__strip", F.floor(x / strip).cast("int") + F.col("__near.by")).repartition("__strip")
+
+
 def neighbourhood(raster: DataFrame, columns: list[str], strip: int = STRIP) -> DataFrame:
     """The rows with what `neighbour` reads: the columns of the eight cells around each, NULL outside.
 
     Strips of rows get copies of the rows beside them, and one shuffle by strip serves both windows: along x, then,
     with what that found, along y. Needs a dense grid; the columns keep NaN.
     """
-    x, y = F.col("x"), F.col("y")
-    near = F.array_compact(F.array(
-        F.struct(F.lit(0).alias("by"), F.lit(True).alias("own")),
-        F.when(x % strip == 0, F.struct(F.lit(-1).alias("by"), F.lit(False).alias("own"))),
-        F.when(x % strip == strip - 1, F.struct(F.lit(1).alias("by"), F.lit(False).alias("own"))),
-    ))
-    rows = raster.withColumn("__near", F.explode(near)).withColumn("__strip", F.floor(x / strip).cast("int") + F.col("__near.by"))
-    rows = rows.withColumn("__v", F.struct(*columns)).repartition("__strip")
+    rows = in_strips(raster.withColumn("__v", F.struct(*columns)), 1, strip)
     along = Window.partitionBy("__strip", "y").orderBy("x")
     pick = lambda f, w, c, v, d: F.when(f(c, 1).over(w) == F.col(c) + d, f(v, 1).over(w))
     rows = rows.withColumns({"__up": pick(F.lag, along, "x", "__v", -1), "__down": pick(F.lead, along, "x", "__v", 1)})
@@ -118,20 +126,26 @@ def drops(edge: Edge, v: str = "h") -> list[Column]:
     return [(F.col(v) - neighbour(dx, dy, v)) / ((dx * dx + dy * dy) ** 0.5) for dx, dy in edge.shifts]
 
 
-def gaussian_blur(raster: DataFrame, columns: list[str], sigma: float, radius: int = 16, normalize: bool = False) -> DataFrame:
+def gaussian_blur(raster: DataFrame, columns: list[str], sigma: float, radius: int = 16, normalize: bool = False, strip: int = STRIP) -> DataFrame:
     """The columns blurred along x, then y: 2 * radius + 1 taps, edges repeated; weights don't sum to one by default."""
     if len(columns) not in (1, 2):
         raise ValueError("one or two channels")
     weights = [_tap(k, sigma) for k in range(-radius, radius + 1)]
     if normalize:
         weights = [w / sum(weights) for w in weights]
-    out = raster
+    # Rows of a strip only lack neighbours where the grid ends, so the strip's first and last rows are the grid's.
+    out = in_strips(raster, radius, max(strip, radius))
     for fixed, moving in (("y", "x"), ("x", "y")):
-        w = Window.partitionBy(fixed).orderBy(moving)
+        w = Window.partitionBy("__strip", fixed).orderBy(moving)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        tap = lambda c, k, w=w, whole=whole: F.col(c) if k == 0 else F.coalesce(F.lag(c, -k).over(w), F.first(c).over(whole)) if k < 0 else F.coalesce(F.lead(c, k).over(w), F.last(c).over(whole))
-        out = out.withColumns({c: sum((tap(c, k - radius) * weights[k] for k in range(1, 2 * radius + 1)), tap(c, -radius) * weights[0]) for c in columns})
-    return out
+
+        def tap(c: str, k: int, w=w, whole=whole) -> Column:
+            if k == 0:
+                return F.col(c)
+            return F.coalesce(F.lag(c, -k).over(w), F.first(c).over(whole)) if k < 0 else F.coalesce(F.lead(c, k).over(w), F.last(c).over(whole))
+
+        out = out.withColumns({c: reduce(operator.add, (tap(c, k) * w_ for k, w_ in zip(range(-radius, radius + 1), weights, strict=True))) for c in columns})
+    return _plain(out.where("__near.own"))
 
 
 def _tap(k: int, sigma: float) -> float:

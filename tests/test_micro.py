@@ -107,6 +107,13 @@ def test_strips_meet(spark):
     assert a == b and len(a) == 63
 
 
+def test_blur_strips_meet(spark):
+    h = grid(spark, np.random.default_rng(2).random((23, 6)))
+    a, b = (stencil.gaussian_blur(h, ["h"], 1.5, radius=4, strip=k).orderBy("n").collect() for k in (100, 5))
+    assert [r["h"] for r in a] == pytest.approx([r["h"] for r in b]) and len(b) == 23 * 6
+    assert stencil.gaussian_blur(h, ["h"], 1.5)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+
+
 def test_one_shuffle_for_a_stencil(spark):
     h = grid(spark, np.random.default_rng(1).random((9, 7)))
     plan = flow.steepest(h, 7)._jdf.queryExecution().executedPlan().toString()
