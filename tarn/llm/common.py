@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.plans.state import settled, shared_folder, ship
 
-__all__ = ["SPACES", "WORD", "documents", "id_remainder", "settled", "shared_folder", "ship", "words"]
+__all__ = ["SPACES", "WORD", "documents", "gathered", "id_remainder", "settled", "shared_folder", "ship", "words"]
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,5 +22,10 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
+def gathered(df: DataFrame) -> DataFrame:
+    """df in at most a few files for each core; for results of a few numbers a row."""
+    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.llm.common import WORD, documents, settled
+from tarn.llm.common import WORD, documents, gathered, settled
 
 WEIGHTS = (5, 2, 1)
 
@@ -78,7 +78,7 @@ def _rates(sources: DataFrame, weights: tuple[int, ...], share: float, most: int
 
 
 def op4_systematic_mix(spark, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return gathered(mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken"))
 
 
 OP4_SQL = r"""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.llm.common import settled, ship
+from tarn.llm.common import gathered, settled, ship
 
 #: Entries of a page; vectors of a tree; queries that meet a tree in one task.
 PAGE, BLOCK, CHUNK = 512, 16384, 4096
@@ -171,7 +171,7 @@ def _matrix(table: pa.Table) -> np.ndarray:
 
 
 def op1_mtree_topk(spark, sf_dir: str) -> DataFrame:
-    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return gathered(top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
 
 
 OP1_SQL = """

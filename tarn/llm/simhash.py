@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import documents, settled, ship
+from tarn.llm.common import documents, gathered, settled, ship
 from tarn.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -167,4 +167,4 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, id_col: str
 
 
 def op6_simhash_components(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return gathered(near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
