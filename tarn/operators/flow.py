@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarn.functions.values import known, norm2, uniform
-from tarn.operators.stencil import drops, neighbourhood
+from tarn.operators.stencil import drops, neighbour, neighbourhood
 from tarn.plans.model import Edge, Grid, edge_of
 from tarn.plans.state import settled
 
@@ -67,6 +69,11 @@ def donor_count(graph: DataFrame) -> DataFrame:
     return graph.where("nxt >= 0").groupBy(F.col("nxt").alias("n")).agg(F.count(F.lit(1)).alias("donors"))
 
 
+def donor_lists(graph: DataFrame) -> DataFrame:
+    """n, donors (cells in order) of each cell that has any; at most eight, as donors are neighbours."""
+    return graph.where("nxt >= 0").groupBy(F.col("nxt").alias("n")).agg(F.sort_array(F.collect_list(graph["n"])).alias("donors"))
+
+
 def pits(graph: DataFrame) -> DataFrame:
     """The cells that aren't donors."""
     return graph.select("n").join(graph.where("nxt >= 0").select("n"), "n", "left_anti")
@@ -136,18 +143,51 @@ def multiflow(raster: DataFrame, ny: int, cells: int, runs: int, temperature: fl
     return sum_upstream(rows).groupBy((F.col("n") % cells).alias("n")).agg((F.sum("total") / runs).alias("total"))
 
 
-def roots(graph: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """n, root, depth: where each cell's water ends and how many steps that takes."""
-    state = settled(graph.select("n", F.when(F.col("nxt") >= 0, F.col("nxt")).otherwise(F.col("n")).alias("p"), (F.col("nxt") >= 0).cast("long").alias("d")))
+def roots(graph: DataFrame, most_rounds: int = 64, length: Column | None = None) -> DataFrame:
+    """n, root, depth, distance: where each cell's water ends, in how many steps, and over what summed `length`."""
+    goes = F.col("nxt") >= 0
+    far = F.when(goes, length if length is not None else F.lit(1.0)).otherwise(F.lit(0.0))
+    state = settled(graph.select("n", F.when(goes, F.col("nxt")).otherwise(F.col("n")).alias("p"), goes.cast("long").alias("d"), far.alias("s")))
     for _ in range(most_rounds):
-        far = state.select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("d").alias("d2"))
-        state = settled(state.join(far, "p").select("n", F.col("p2").alias("p"), (F.col("d") + F.col("d2")).alias("d"), (F.col("p") != F.col("p2")).alias("moved")))
+        ahead = state.select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("d").alias("d2"), F.col("s").alias("s2"))
+        state = settled(state.join(ahead, "p").select("n", F.col("p2").alias("p"), (F.col("d") + F.col("d2")).alias("d"), (F.col("s") + F.col("s2")).alias("s"), (F.col("p") != F.col("p2")).alias("moved")))
         if not state.where("moved").limit(1).count():
-            return state.select("n", F.col("p").alias("root"), F.col("d").alias("depth"))
+            return state.select("n", F.col("p").alias("root"), F.col("d").alias("depth"), F.col("s").alias("distance"))
         state = state.drop("moved")
     raise ValueError("the graph has a cycle")
 
 
+def flow_distance(graph: DataFrame, grid: Grid, target: int | None = None) -> DataFrame:
+    """n, distance: the scaled way along the flow to where it ends, or to a target for the cells upstream of it."""
+    step = F.col("nxt") - F.col("n")
+    dx = F.round(step / grid.ny)
+    length = norm2(dx * grid.sx, (step - dx * grid.ny) * grid.sy)
+    if target is None:
+        return roots(graph, length=length).select("n", "distance")
+    cut = graph.select("n", F.when(F.col("n") == target, F.lit(-1)).otherwise(F.col("nxt")).alias("nxt"))
+    return roots(cut, length=length).where(F.col("root") == target).select("n", "distance")
+
+
+def fill_depressions(raster: DataFrame, edge: Edge | str = Edge.D8, v: str = "h", most_rounds: int = 10_000) -> DataFrame:
+    """The raster with pits raised until every cell drains over its border.
+
+    Water starts infinitely high but at the border, and sinks to the larger of the ground and its lowest neighbour
+    until nothing moves; each round is settled. Missing and NaN cells count as border.
+    """
+    shifts = edge_of(edge).shifts
+    rows = neighbourhood(raster, [v])
+    outlet = reduce(lambda a, b: a | b, (known(neighbour(dx, dy, v)).isNull() for dx, dy in shifts))
+    state = settled(rows.select(*raster.columns, F.when(outlet, F.col(v)).otherwise(F.lit(float("inf"))).alias("w")))
+    for _ in range(most_rounds):
+        low = F.least(*(F.coalesce(known(neighbour(dx, dy, "w")), F.lit(float("inf"))) for dx, dy in shifts))
+        rows = neighbourhood(state, ["w"])
+        state = settled(rows.select(*raster.columns, F.least(F.col("w"), F.greatest(F.col(v), low)).alias("w"), F.col("w").alias("was")))
+        if not state.where("w < was").limit(1).count():
+            return state.select(*(F.col("w").alias(v) if c == v else F.col(c) for c in raster.columns))
+        state = state.drop("was")
+    raise ValueError("still moving")
+
+
 def upstream_of(graph: DataFrame, target: int) -> DataFrame:
     """n: the cells whose water passes the target, itself included."""
     cut = graph.select("n", F.when(F.col("n") == target, F.lit(-1)).otherwise(F.col("nxt")).alias("nxt"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -18,6 +20,19 @@ def arithmetic(a: DataFrame, b: DataFrame, how: str, v: str = "h") -> DataFrame:
     return rows.select("n", ops[how].alias(v))
 
 
+def concat(*rasters: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, rasters)
+
+
+def shown_discharge(raster: DataFrame, q: str = "q") -> DataFrame:
+    """shown: the logarithm of one plus the discharge, as plots have it."""
+    return raster.withColumn("shown", F.log(1 + F.col(q)))
+
+
+def has_sediment(layers: DataFrame, least: float = 1e-4) -> DataFrame:
+    return layers.withColumn("covered", F.col("sediment") > least)
+
+
 def clamp(raster: DataFrame, low: float, high: float, v: str = "h") -> DataFrame:
     return raster.withColumn(v, F.greatest(F.lit(low), F.least(F.col(v), F.lit(high))))
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions.noise import noise
-from tarn.functions.values import uniform_sql
-from tarn.operators import flow, raster, stencil, terrain, transport
+from tarn.functions.values import uniform, uniform_sql
+from tarn.operators import flow, raster, sampling, stencil, terrain, transport
 from tarn.plans.erosion import erosion_step
 from tarn.plans.model import Edge, Grid, NoiseParams, Params, with_cells
 from tarn.sources import tiff
@@ -223,6 +223,19 @@ def _upstream(spark, d):
     return flow.upstream_of(flow.steepest(tilted(spark, d), NY), 250)
 
 
+_LENGTH = "CASE WHEN abs(nxt - n) = 1 THEN 3.0::DOUBLE WHEN abs(nxt - n) = 100 THEN 2.0::DOUBLE ELSE sqrt(13.0::DOUBLE) END"
+
+
+@query("flow_distance", f"WITH RECURSIVE g AS MATERIALIZED (SELECT n, nxt, {_LENGTH} AS s FROM {_graph_sql(_TILT)}), walk AS (SELECT n, n AS cur, 0.0::DOUBLE AS d FROM g UNION ALL SELECT walk.n, g.nxt, d + s FROM walk JOIN g ON walk.cur = g.n WHERE g.nxt >= 0) SELECT n, round(max(d), 6) AS distance FROM walk GROUP BY n")
+def _distance(spark, d):
+    return flow.flow_distance(flow.steepest(tilted(spark, d), NY), Grid(0, NY, 2.0, 3.0)).select("n", *_r("distance"))
+
+
+@query("donor_lists", f"SELECT nxt AS n, array_to_string(list_sort(list(n)), ',') AS donors FROM {_graph_sql(_ORDERS)} WHERE nxt >= 0 GROUP BY nxt")
+def _donor_lists(spark, d):
+    return flow.donor_lists(flow.steepest(height(spark, d), NY)).select("n", F.array_join("donors", ",").alias("donors"))
+
+
 # ---- stencils
 
 _SX, _SY = 2.0, 3.0
@@ -442,6 +455,21 @@ def _bilinear(spark, d):
     return raster.resize_bilinear(height(spark, d), grid_of(spark, d), Grid(60, 60)).select("n", "x", "y", *_r("h"))
 
 
+@query("sample_bilinear", f"""WITH p AS (SELECT CAST(event_id AS BIGINT) AS id, {uniform_sql("CAST(event_id AS BIGINT)", 3)} * ({_NX} - 1) AS px, {uniform_sql("CAST(event_id AS BIGINT)", 4)} * {NY - 1} AS py FROM events),
+c AS (SELECT p.id, o.h, CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END AS a, CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END AS b, i * 2 - 1 AS u, j * 2 - 1 AS t
+FROM p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j) JOIN ({_HOLES}) o ON o.x = least(floor(px) + i, {_NX} - 1) AND o.y = least(floor(py) + j, {NY - 1}))
+SELECT id, CASE WHEN count(h) = 4 THEN round(sum(a * b * h), 5) END AS value, CASE WHEN count(h) = 4 THEN round(sum(u * b * h), 5) END AS gx, CASE WHEN count(h) = 4 THEN round(sum(t * a * h), 5) END AS gy FROM c GROUP BY id""")
+def _sampled(spark, d):
+    g, k = grid_of(spark, d), F.col("event_id").cast("long")
+    points = _table(spark, d, "events").select(k.alias("id"), (uniform(k, 3) * (g.nx - 1)).alias("px"), (uniform(k, 4) * (g.ny - 1)).alias("py"))
+    return sampling.at_points(points, holes(spark, d), g).select("id", *_r("value", "gx", "gy", digits=5))
+
+
+@query("log_discharge", f"SELECT n, round(ln(1 + rain), 9) AS shown, sediment > 1e-4::DOUBLE AS covered FROM ({_LAYERS})")
+def _shown(spark, d):
+    return raster.has_sediment(raster.shown_discharge(layers(spark, d), "rain")).select("n", F.round("shown", 9).alias("shown"), "covered")
+
+
 _VERTICES = f"(SELECT *, row_number() OVER (ORDER BY x, y) - 1 AS id FROM ({_HOLES}) WHERE h IS NOT NULL)"
 
 

@@ -5,7 +5,7 @@ import math
 import numpy as np
 import pytest
 
-from tarn.operators import flow, raster, stencil, terrain
+from tarn.operators import flow, raster, sampling, stencil, terrain
 from tarn.plans.model import Edge, Grid, edge_of
 from tarn.sources.tiff import from_array
 
@@ -129,6 +129,28 @@ def test_mesh_of_four(spark):
     assert sum(r["x"] for r in v.collect()) == pytest.approx(-0.5)
 
 
+def test_filled_pits_drain(spark):
+    h = grid(spark, [[9, 9, 9, 9], [9, 1, 2, 9], [9, 9, 9, 5]])
+    assert by_n(flow.fill_depressions(h), "h") == [9, 9, 9, 9, 9, 5, 5, 9, 9, 9, 9, 5]
+
+
+def test_points(spark):
+    h = grid(spark, [[0, 1], [2, 3]])
+    points = spark.createDataFrame([(0, 0.5, 0.5), (1, 1.0, 1.0), (2, 0.25, 0.0), (3, 1.5, 0.0)], "id long, px double, py double")
+    rows = {r["id"]: (r["value"], r["gx"], r["gy"]) for r in sampling.at_points(points, h, Grid(2, 2)).collect()}
+    assert rows == {0: (1.5, 2.0, 1.0), 1: (3.0, 0.0, 0.0), 2: (0.5, 2.0, 1.0), 3: (None, None, None)}
+    assert [r["px"] for r in sampling.halton(spark, Grid(2, 2), 3).collect()] == [0.5, 0.25, 0.75]
+    assert sampling.random_points(spark, Grid(9, 9), 50).where("px < 0 OR px > 8").count() == 0
+    assert sampling.select_cells(h, h.where("h > 1")).count() == 2
+    assert raster.concat(h, h).count() == 8
+
+
+def test_distance_to_a_target(spark):
+    g = flow.steepest(grid(spark, [[5, 4, 3, 2, 1]]), 5)
+    assert [r["distance"] for r in flow.flow_distance(g, Grid(1, 5, 1.0, 2.0)).orderBy("n").collect()] == [8, 6, 4, 2, 0]
+    assert [r["distance"] for r in flow.flow_distance(g, Grid(1, 5, 1.0, 2.0), 2).orderBy("n").collect()] == [4, 2, 0]
+
+
 def test_unknown_choices_raise(spark):
     h = grid(spark, [[1.0]])
     for bad in (lambda: edge_of("d6"), lambda: edge_of(9), lambda: stencil.laplacian(h, ["h"] * 3), lambda: stencil.gaussian_blur(h, [], 1.0), lambda: raster.arithmetic(h, h, "power")):
