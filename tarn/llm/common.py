@@ -24,7 +24,7 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
 
 def gathered(df: DataFrame) -> DataFrame:
     """df in at most a few files for each core; for results of a few numbers a row."""
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
