@@ -20,6 +20,7 @@ QUERIES = {
 }
 ORACLE = {
     "op1_mtree_topk": mtree.OP1_SQL,
+    "op2_suffix_sorted_dedup": suffixes.OP2_SQL,
     "op4_systematic_mix": mixing.OP4_SQL,
     "op5_line_first_rules": quality.OP5_SQL,
 }
