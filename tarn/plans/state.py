@@ -36,7 +36,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def fewer(df: DataFrame, per_core: int, per_task: int) -> DataFrame:
+    """df in at most `per_core` partitions for each core, or in one for each `per_task` bytes that it reads, if those are more.
+
+    So small results don't become thousands of files, and no task of a large one takes more than before.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(leaves.apply(k).stats().sizeInBytes().toString()) for k in range(leaves.size()))
+    return df.coalesce(min(max(per_core * df.sparkSession.sparkContext.defaultParallelism, read // per_task), 1 << 30))
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the shared folder, without its lineage, in at most a few files for each core."""
+    """df computed once and kept in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
-    return df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
+    return fewer(df, 8, 256 << 20).checkpoint(eager=True)
