@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.plans.state import settled, shared_folder, ship
+from tarn.plans.state import fewer, settled, shared_folder, ship
 
 __all__ = ["SPACES", "WORD", "documents", "gathered", "id_remainder", "settled", "shared_folder", "ship", "words"]
 #: A word is a run of anything but the six ASCII white-space characters.
@@ -23,8 +23,8 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
 
 
 def gathered(df: DataFrame) -> DataFrame:
-    """df in at most a few files for each core; for results of a few numbers a row."""
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    """df in a few files for each core, or one for each GB read; for results of a few numbers a row."""
+    return fewer(df, 2, 1 << 30)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
