@@ -42,7 +42,7 @@ def fewer(df: DataFrame, per_core: int, per_task: int) -> DataFrame:
     So small results don't become thousands of files, and no task of a large one takes more than before.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    read = sum(int(leaves.apply(k).stats().sizeInBytes().toString()) for k in range(leaves.size()))
+    read = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
     return df.coalesce(min(max(per_core * df.sparkSession.sparkContext.defaultParallelism, read // per_task), 1 << 30))
 
 
