@@ -42,7 +42,9 @@ def fewer(df: DataFrame, per_core: int, per_task: int) -> DataFrame:
     So small results don't become thousands of files, and no task of a large one takes more than before.
     """
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    read = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    leaves = [leaves.apply(k) for k in range(leaves.size())]
+    # Files only: what was settled before is small, and its size is only guessed from that of its inputs.
+    read = sum(int(x.stats().sizeInBytes()) for x in leaves if x.nodeName().startswith("LogicalRelation") or x.nodeName() == "Relation")
     return df.coalesce(min(max(per_core * df.sparkSession.sparkContext.defaultParallelism, read // per_task), 1 << 30))
 
 
