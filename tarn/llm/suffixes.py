@@ -16,7 +16,7 @@ from tarn.llm.common import documents, gathered, settled, ship
 #: Bytes of a string, and of the gram in it that places it.
 LENGTH, GRAM = 50, 20
 #: Bytes of text of a page, of a slice of it, and documents that splitters are sampled from.
-PAGE, SLICE, SAMPLED = 8 << 20, 1 << 20, 2000
+PAGE, SLICE, SAMPLED = 4 << 20, 1 << 20, 2000
 
 
 def _words(buf: np.ndarray) -> np.ndarray:
@@ -238,7 +238,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A byte goes if it is in a 50-byte string of its document that also starts in a document of smaller id, judged on
     the texts as given. Documents that equal an earlier one wholly are found by sha256 and take no further part.
 
-    The others are dealt into pages of about 8 MB by id. (1) Each page lists the hashes of its anchors' grams, sorted
+    The others are dealt into pages of about 4 MB by id. (1) Each page lists the hashes of its anchors' grams, sorted
     and packed; buckets of hash ranges say which are in two or more pages. (2) For those, and for grams in two or more
     documents of the page, each page sends suffixes: the run of strings around an anchor, of equal runs only the
     earliest, as the page settles later ones itself. So what the most frequent passage sends grows with pages, not
