@@ -328,11 +328,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         out.setdefault(x[0], []).append((x[1], x[2], x[3], x[4], s))
             number_ = left.column("page")[0].as_py()
             spans = _joined(*(np.array(c, np.int64) for c in (zip(*done, strict=True) if done else ((), (), ()))))
-            for k in sorted({*out, *([0] if done else [])}):
+            home = number_ % (len(splitters) + 1)  # the bucket that hands the page's own spans on: another for each page
+            for k in sorted({*out, home}):
                 c = list(zip(*out[k], strict=True)) if k in out else [(), (), (), (), ()]
                 number.append(number_)
                 bucket.append(k)
-                mine = spans if k == min({*out, 0} if done else out) else [x[:0] for x in spans]
+                mine = spans if k == home else [x[:0] for x in spans]
                 data.append(_pack(np.array(c[0], np.int64), np.array(c[1], np.int64), np.array(c[2], np.uint8), np.array(c[3], np.uint8), np.frombuffer(b"".join(c[4]), np.uint8), *mine))
         return pa.table({"page": pa.array(number, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary())})
 
