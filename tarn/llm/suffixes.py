@@ -87,7 +87,9 @@ class Anchored:
         first = np.flatnonzero(new)
         self.anchor, self.owner, self.low = at[first], owner[first], fits[first]
         self.high = fits[np.append(first[1:], len(fits)) - 1] if len(first) else fits[:0]
-        self.keys = h[self.anchor] >> np.uint64(16)  # 48 bits of the hash of each anchor's gram
+        # 48 bits of each anchor's gram, hashed anew: least hashes are small, and would crowd into the first buckets.
+        mixed = h[self.anchor] * np.uint64(0x9FB21C651E98DF25)
+        self.keys = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
         self.lead = self.words[self.anchor]
         del self.words
 
