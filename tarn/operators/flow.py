@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarn.functions.values import known, norm2, uniform
-from tarn.operators.stencil import drops, neighbour, neighbourhood
+from tarn.operators.stencil import TILE, drops, in_tiles, neighbour, neighbourhood
 from tarn.plans.model import Edge, Grid, edge_of
-from tarn.plans.state import settled
+from tarn.plans.state import settled, ship
 
 
 def _target(edge: Edge, k: Column, ny: int) -> Column:
@@ -99,61 +102,205 @@ def donor_weights(graph: DataFrame, ny: int, decay: DataFrame, edge: Edge | str
     return rows.select("n", "nxt", F.when(far, F.pow("decay", F.lit(1.414))).otherwise(F.col("decay")).alias("w"))
 
 
-def sum_upstream(nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
+def tiles_of(ny: int | None, cells: int | None = None, side: int = 256) -> Callable[[Column], Column]:
+    """The tile of cell number n: a square of the grid, or without `ny` a run of numbers; any function would do.
+
+    With `cells`, n counts on over several draws of one grid, and each draw has tiles of its own.
+    """
+    if ny is None:
+        return lambda n: F.floor(n / (side * side)).cast("long")
+    across = -(-ny // side)
+
+    def tile(n: Column) -> Column:
+        own = n % cells if cells else n
+        at = F.floor(F.floor(own / ny) / side) * across + F.floor((own % ny) / side)
+        return (F.floor(n / cells).cast("long") * (cells // side + across) + at if cells else at).cast("long")
+
+    return tile
+
+
+def _numbers(table: pa.Table, *columns: str) -> list[np.ndarray]:
+    return [table.column(c).to_numpy() for c in columns]
+
+
+def _places(n: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Where each of `of` is in n (sorted), -1 for none."""
+    if not len(n):
+        return np.full(len(of), -1)
+    at = np.minimum(np.searchsorted(n, of), len(n) - 1)
+    return np.where(n[at] == of, at, -1)
+
+
+def _rounds() -> Iterator[None]:
+    yield from (None for _ in range(64))
+    raise ValueError("the graph has a cycle")
+
+
+def _summed(p: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """v of each node and all that point to it, directly or not, weighed along the way; by pointer doubling."""
+    p, w, v, rounds = p.copy(), w.copy(), v.copy(), _rounds()
+    live = np.flatnonzero(p >= 0)
+    while len(live):
+        next(rounds)
+        to = p[live]
+        gain = np.bincount(to, w[live] * v[live], len(p))
+        further = p[to]
+        w[live] *= np.where(further >= 0, w[to], 1.0)
+        p[live] = further
+        v += gain
+        live = live[further >= 0]
+    return v
+
+
+def _followed(p: np.ndarray, w: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of each node: the last node on its way, the product of w up to it, and the sums of the others."""
+    last, w, sums, rounds = np.where(p >= 0, p, np.arange(len(p))), np.where(p >= 0, w, 1.0), [np.where(p >= 0, s, 0.0) for s in sums], _rounds()
+    while len(live := np.flatnonzero(last[last] != last)):
+        next(rounds)
+        to = last[live]
+        # Right sides are read before any node moves.
+        w_to, s_to, further = w[to], [s[to] for s in sums], last[to]
+        w[live] *= w_to
+        for s, more in zip(sums, s_to, strict=True):
+            s[live] += more
+        last[live] = further
+    if (p[last] >= 0).any():
+        raise ValueError("the graph has a cycle")
+    return last, w, *sums
+
+
+_NODE = "n long, nxt long, w double, v double"
+
+
+def sum_upstream(nodes: DataFrame, tile: Callable[[Column], Column] | None = None) -> DataFrame:
     """n, total: the sum of v over each node and all that flow to it, weighed along the way.
 
-    nodes: n, nxt (below 0: none), w (weight of the step to nxt), v. Pointer doubling: in each round every node adds
-    its sum to its pointer's and then points as far again, so paths of length L take log2(L) rounds. Each round is
-    settled in the shared folder. A cycle raises after `most_rounds`.
+    nodes: n, nxt (below 0: none), w (weight of the step to nxt), v. Each tile sums its own nodes; what leaves it goes
+    into entries of other tiles. From an entry the way through its tile is one step to the next entry, so sums over
+    entries are those of a much smaller graph, which `sum_doubling` has. Then each tile sums again with what comes in
+    at its entries. All nodes are shuffled twice, whatever the lengths of paths. A cycle raises.
     """
-    state = settled(nodes.select("n", F.when(F.col("nxt") >= 0, F.col("nxt")).alias("p"), F.col("w").cast("double").alias("w"), F.col("v").cast("double").alias("v")))
+    tile = tile or tiles_of(None)
+    rows = nodes.select(F.col("n").cast("long").alias("n"), F.when(F.col("nxt") >= 0, F.col("nxt")).otherwise(F.lit(-1)).cast("long").alias("nxt"), F.col("w").cast("double").alias("w"), F.col("v").cast("double").alias("v"))
+    rows = rows.withColumn("tile", tile(F.col("n")))
+    crossing = rows.where((F.col("nxt") >= 0) & (tile(F.col("nxt")) != F.col("tile")))
+    entries = settled(crossing.groupBy(F.col("nxt").alias("n")).agg(F.count(F.lit(1)).alias("times")).select("n", tile(F.col("n")).alias("tile")))
+
+    def local(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
+        n, nxt, w, v = _numbers(left, "n", "nxt", "w", "v")
+        order = np.argsort(n)
+        n, nxt, w, v = n[order], nxt[order], w[order], v[order].copy()
+        return n, nxt, w, v, _places(n, nxt), _places(n, right.column("n").to_numpy())
+
+    def reduced(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = [np.zeros(0), np.zeros(0), np.zeros(0), np.zeros(0)]
+        if left.num_rows:
+            n, nxt, w, v, p, at = local(left, right)
+            at = at[at >= 0]
+            last, through = _followed(p, w)
+            total = _summed(p, w, v)
+            leaves = np.flatnonzero((p < 0) & (nxt >= 0))
+            # What leaves, as sources without a way on, and the entries' ways, as nodes without a source.
+            out = [
+                np.concatenate((nxt[leaves], n[at])), np.concatenate((np.full(len(leaves), -2), nxt[last[at]])),
+                np.concatenate((np.zeros(len(leaves)), through[at] * w[last[at]])), np.concatenate((total[leaves] * w[leaves], np.zeros(len(at)))),
+            ]
+        return pa.table({"n": out[0].astype(np.int64), "nxt": out[1].astype(np.int64), "w": out[2], "v": out[3]})
+
+    by_tile = lambda df: df.groupBy("tile")
+    ship(nodes.sparkSession)
+    graph = by_tile(rows).cogroup(by_tile(entries)).applyInArrow(reduced, _NODE).groupBy("n").agg(F.max("nxt").alias("nxt"), F.max("w").alias("w"), F.sum("v").alias("v"))
+    # A target that is no node has no way of its own and is nobody's to report.
+    inflow = sum_doubling(graph, entries.count().bit_length() + 2).withColumnRenamed("total", "v").withColumn("tile", tile(F.col("n")))
+
+    def summed(left: pa.Table, right: pa.Table) -> pa.Table:
+        n, total = np.zeros(0, np.int64), np.zeros(0)
+        if left.num_rows:
+            n, _, w, v, p, at = local(left, right)
+            np.add.at(v, at[at >= 0], right.column("v").to_numpy()[at >= 0])
+            total = _summed(p, w, v)
+        return pa.table({"n": n, "total": total})
+
+    return by_tile(rows).cogroup(by_tile(inflow)).applyInArrow(summed, "n long, total double")
+
+
+def sum_doubling(nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """The same as `sum_upstream`, by pointer doubling over the whole graph.
+
+    In each round every live node adds its sum to its pointer's and then points as far again, so paths of length L
+    take log2(L) rounds. Nodes whose pointer has no further one are set aside and take no part in later rounds;
+    what they still gain is added up at the end. A cycle raises after `most_rounds`.
+    """
+    start = settled(nodes.select("n", F.when(F.col("nxt") >= 0, F.col("nxt")).alias("p"), F.col("w").cast("double").alias("w"), F.col("v").cast("double").alias("v")))
+    aside, live = [start.where("p is null").select("n", "v")], start.where("p is not null")
     for _ in range(most_rounds):
-        if not state.where("p is not null").limit(1).count():
-            return state.select("n", F.col("v").alias("total"))
-        live = state.where("p is not null")
+        if not live.limit(1).count():
+            return reduce(DataFrame.unionAll, aside).groupBy("n").agg(F.sum("v").alias("total")).join(start.select("n"), "n", "left_semi")
         gain = live.groupBy(F.col("p").alias("n")).agg(F.sum(F.col("w") * F.col("v")).alias("gain"))
-        far = state.select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("w").alias("w2"))
-        jump = live.join(far, "p").select("n", "p2", (F.col("w") * F.coalesce("w2", F.lit(1.0))).alias("w"))
-        state = settled(
-            state.select("n", "v").join(gain, "n", "left").join(jump, "n", "left")
-            .select("n", F.col("p2").alias("p"), F.coalesce("w", F.lit(1.0)).alias("w"), (F.col("v") + F.coalesce("gain", F.lit(0.0))).alias("v"))
-        )
+        far = live.select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("w").alias("w2"))
+        moved = live.join(far, "p", "left").select("n", F.col("p2").alias("p"), (F.col("w") * F.coalesce("w2", F.lit(1.0))).alias("w"), "v")
+        after = settled(moved.join(gain, "n", "full").select("n", "p", "w", (F.coalesce("v", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("v")))
+        aside.append(after.where("p is null").select("n", "v"))
+        live = after.where("p is not null")
     raise ValueError("the graph has a cycle")
 
 
-def accumulate(graph: DataFrame, source: DataFrame | None = None) -> DataFrame:
-    """n, total: each cell's source (one by default) and that of all cells upstream."""
+def accumulate(graph: DataFrame, source: DataFrame | None = None, ny: int | None = None) -> DataFrame:
+    """n, total: each cell's source (one by default) and that of all cells upstream. `ny` makes for square tiles."""
     rows = graph.select("n", "nxt", F.lit(1.0).alias("w"))
     rows = rows.join(source.select("n", F.col("s").alias("v")), "n") if source is not None else rows.withColumn("v", F.lit(1.0))
-    return sum_upstream(rows)
+    return sum_upstream(rows, tiles_of(ny))
 
 
 def accumulate_decay(graph: DataFrame, source: DataFrame, decay: DataFrame, ny: int, edge: Edge | str = Edge.D8, diagonal: str = "geometric") -> DataFrame:
     """n, total: as accumulate, with each donor's sum multiplied by its decay on the way to its receiver."""
     w = donor_weights(graph, ny, decay, edge, diagonal).select("n", "w")
     rows = graph.select("n", "nxt").join(source.select("n", F.col("s").alias("v")), "n").join(w, "n", "left")
-    return sum_upstream(rows)
+    return sum_upstream(rows.withColumn("w", F.coalesce("w", F.lit(0.0))), tiles_of(ny))
 
 
 def multiflow(raster: DataFrame, ny: int, cells: int, runs: int, temperature: float = 10.0, seed: int = 0, edge: Edge | str = Edge.D8) -> DataFrame:
-    """n, total: the mean accumulation over weighted draws; all draws are summed in one doubling, keyed by run."""
+    """n, total: the mean accumulation over weighted draws; all draws are summed at once, keyed by run."""
     draws = random_weighted(raster, ny, edge, seed, temperature=temperature, runs=runs)
     key = F.col("run").cast("long") * cells
     rows = draws.select((key + F.col("n")).alias("n"), F.when(F.col("nxt") >= 0, key + F.col("nxt")).otherwise(F.lit(-1)).alias("nxt"), F.lit(1.0).alias("w"), F.lit(1.0).alias("v"))
-    return sum_upstream(rows).groupBy((F.col("n") % cells).alias("n")).agg((F.sum("total") / runs).alias("total"))
+    return sum_upstream(rows, tiles_of(ny, cells)).groupBy((F.col("n") % cells).alias("n")).agg((F.sum("total") / runs).alias("total"))
+
 
+def roots(graph: DataFrame, length: Column | None = None, ny: int | None = None) -> DataFrame:
+    """n, root, depth, distance: where each cell's water ends, in how many steps, and over what summed `length`.
 
-def roots(graph: DataFrame, most_rounds: int = 64, length: Column | None = None) -> DataFrame:
-    """n, root, depth, distance: where each cell's water ends, in how many steps, and over what summed `length`."""
+    Each tile follows its own cells to where they end or leave it; only entries of tiles, far fewer, are then doubled
+    over the whole graph, and those that have arrived are set aside.
+    """
+    tile = tiles_of(ny)
     goes = F.col("nxt") >= 0
-    far = F.when(goes, length if length is not None else F.lit(1.0)).otherwise(F.lit(0.0))
-    state = settled(graph.select("n", F.when(goes, F.col("nxt")).otherwise(F.col("n")).alias("p"), goes.cast("long").alias("d"), far.alias("s")))
-    for _ in range(most_rounds):
-        ahead = state.select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("d").alias("d2"), F.col("s").alias("s2"))
-        state = settled(state.join(ahead, "p").select("n", F.col("p2").alias("p"), (F.col("d") + F.col("d2")).alias("d"), (F.col("s") + F.col("s2")).alias("s"), (F.col("p") != F.col("p2")).alias("moved")))
-        if not state.where("moved").limit(1).count():
-            return state.select("n", F.col("p").alias("root"), F.col("d").alias("depth"), F.col("s").alias("distance"))
-        state = state.drop("moved")
+    far = F.when(goes, length if length is not None else F.lit(1.0)).otherwise(F.lit(0.0)).cast("double")
+    rows = graph.select(F.col("n").cast("long").alias("n"), F.when(goes, F.col("nxt")).otherwise(F.lit(-1)).cast("long").alias("nxt"), far.alias("s")).withColumn("tile", tile(F.col("n")))
+
+    def follow(table: pa.Table) -> pa.Table:
+        n, nxt, s = _numbers(table, "n", "nxt", "s")
+        order = np.argsort(n)
+        n, nxt, s = n[order], nxt[order], s[order]
+        p = _places(n, nxt)
+        last, _, d, way = _followed(p, np.ones(len(n)), np.ones(len(n)), s)
+        out = (p < 0) & (nxt >= 0)  # one more step, over the border
+        return pa.table({"n": n, "p": nxt[last], "root": n[last], "d": (d + out[last]).astype(np.int64), "s": way + np.where(out, s, 0.0)[last]})
+
+    ship(graph.sparkSession)
+    each = settled(rows.groupBy("tile").applyInArrow(follow, "n long, p long, root long, d long, s double"))
+    wanted = each.where("p >= 0").select(F.col("p").alias("n")).distinct()
+    state = settled(each.join(wanted, "n", "left_semi"))
+    aside, live = [state.where("p < 0")], state.where("p >= 0")
+    for _ in range(state.count().bit_length() + 2):
+        if not live.limit(1).count():
+            ends = reduce(DataFrame.unionAll, aside).select(F.col("n").alias("p"), F.col("root").alias("r2"), F.col("d").alias("d2"), F.col("s").alias("s2"))
+            found = each.join(ends, "p", "left")
+            return found.select("n", F.coalesce("r2", "root").alias("root"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("distance"))
+        ahead = reduce(DataFrame.unionAll, [*aside, live]).select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("root").alias("r2"), F.col("d").alias("d2"), F.col("s").alias("s2"))
+        state = settled(live.join(ahead, "p").select("n", F.col("p2").alias("p"), F.col("r2").alias("root"), (F.col("d") + F.col("d2")).alias("d"), (F.col("s") + F.col("s2")).alias("s")))
+        aside.append(state.where("p < 0"))
+        live = state.where("p >= 0")
     raise ValueError("the graph has a cycle")
 
 
@@ -163,31 +310,91 @@ def flow_distance(graph: DataFrame, grid: Grid, target: int | None = None) -> Da
     dx = F.round(step / grid.ny)
     length = norm2(dx * grid.sx, (step - dx * grid.ny) * grid.sy)
     if target is None:
-        return roots(graph, length=length).select("n", "distance")
+        return roots(graph, length=length, ny=grid.ny).select("n", "distance")
     cut = graph.select("n", F.when(F.col("n") == target, F.lit(-1)).otherwise(F.col("nxt")).alias("nxt"))
-    return roots(cut, length=length).where(F.col("root") == target).select("n", "distance")
+    return roots(cut, length=length, ny=grid.ny).where(F.col("root") == target).select("n", "distance")
 
 
-def fill_depressions(raster: DataFrame, edge: Edge | str = Edge.D8, v: str = "h", most_rounds: int = 10_000) -> DataFrame:
-    """The raster with pits raised until every cell drains over its border.
+def _relaxed(state: DataFrame, edge: Edge, step: Callable, side: int, most_rounds: int) -> DataFrame:
+    """n, w of cells (n, x, y, h, w) once `step` moves none: each round, every tile steps until it is still by itself.
 
-    Water starts infinitely high but at the border, and sinks to the larger of the ground and its lowest neighbour
-    until nothing moves; each round is settled. Missing and NaN cells count as border.
+    step(h, w, neighbours) gives w anew, with (h, w) of the cells beside, NaN outside; w only falls. Water that crosses
+    k tiles takes k rounds, whatever the tiles' size.
     """
-    shifts = edge_of(edge).shifts
-    rows = neighbourhood(raster, [v])
-    outlet = reduce(lambda a, b: a | b, (known(neighbour(dx, dy, v)).isNull() for dx, dy in shifts))
-    state = settled(rows.select(*raster.columns, F.when(outlet, F.col(v)).otherwise(F.lit(float("inf"))).alias("w")))
+
+    def settle(key: tuple, table: pa.Table) -> pa.Table:
+        x, y, own = _numbers(table, "x", "y", "__own")
+        x0, y0 = int(x.min()) - 1, int(y.min()) - 1
+        shape = int(x.max()) - x0 + 2, int(y.max()) - y0 + 2
+        h, w, mine = np.full(shape, np.nan), np.full(shape, np.nan), np.zeros(shape, bool)
+        at = x - x0, y - y0
+        h[at], w[at], mine[at] = table.column("h").to_numpy(), table.column("w").to_numpy(), own
+        was, inner = w.copy(), (slice(1, -1), slice(1, -1))
+        shifted = lambda a, dx, dy: a[1 + dx : shape[0] - 1 + dx, 1 + dy : shape[1] - 1 + dy]
+        while True:
+            new = step(h[inner], w[inner], [(shifted(h, dx, dy), shifted(w, dx, dy)) for dx, dy in edge.shifts])
+            new = np.where(mine[inner], new, w[inner])
+            if not (new < w[inner]).any():
+                break
+            w[inner] = new
+        keep = np.flatnonzero(own)
+        at = x[keep] - x0, y[keep] - y0
+        some = table.select(["n", "x", "y", "h"]).take(keep)
+        return some.append_column("w", pa.array(w[at])).append_column("moved", pa.array(w[at] < was[at]))
+
+    ship(state.sparkSession)
     for _ in range(most_rounds):
-        low = F.least(*(F.coalesce(known(neighbour(dx, dy, "w")), F.lit(float("inf"))) for dx, dy in shifts))
-        rows = neighbourhood(state, ["w"])
-        state = settled(rows.select(*raster.columns, F.least(F.col("w"), F.greatest(F.col(v), low)).alias("w"), F.col("w").alias("was")))
-        if not state.where("w < was").limit(1).count():
-            return state.select(*(F.col("w").alias(v) if c == v else F.col(c) for c in raster.columns))
-        state = state.drop("was")
+        tiles = in_tiles(state.select("n", "x", "y", "h", "w"), 1, side).groupBy("__tx", "__ty")
+        state = settled(tiles.applyInArrow(settle, "n long, x int, y int, h double, w double, moved boolean"))
+        if not state.where("moved").limit(1).count():
+            return state.select("n", "w")
     raise ValueError("still moving")
 
 
+def _begun(raster: DataFrame, edge: Edge, v: str, w: Callable[[list[Column]], Column]) -> DataFrame:
+    near = [known(neighbour(dx, dy, v)) for dx, dy in edge.shifts]
+    x = lambda c: F.col(c).cast("int").alias(c)
+    return neighbourhood(raster, [v]).select(F.col("n").cast("long").alias("n"), x("x"), x("y"), F.col(v).cast("double").alias("h"), w(near).cast("double").alias("w"))
+
+
+def fill_depressions(raster: DataFrame, edge: Edge | str = Edge.D8, v: str = "h", most_rounds: int = 10_000, side: int = TILE) -> DataFrame:
+    """The raster with pits raised until every cell drains over its border.
+
+    Water starts infinitely high but at the border, and sinks to the larger of the ground and its lowest neighbour
+    until nothing moves. Missing and NaN cells count as border; NaN cells stay.
+    """
+    edge = edge_of(edge)
+    begun = _begun(raster, edge, v, lambda near: F.when(reduce(lambda a, b: a | b, (c.isNull() for c in near)), F.col(v)).otherwise(F.lit(float("inf"))))
+
+    def sink(h: np.ndarray, w: np.ndarray, near: list) -> np.ndarray:
+        low = reduce(np.fmin, (b for _, b in near))
+        return np.where(np.isnan(h), np.nan, np.fmin(w, np.fmax(h, low)))
+
+    found = _relaxed(begun, edge, sink, side, most_rounds).withColumnRenamed("w", "__w")
+    return raster.join(found, "n").select(*(F.col("__w").alias(v) if c == v else F.col(c) for c in raster.columns))
+
+
+def resolve_flats(raster: DataFrame, rise: float = 1e-6, edge: Edge | str = Edge.D8, v: str = "h", most_rounds: int = 10_000, side: int = TILE) -> DataFrame:
+    """The raster with flats sloped towards where they drain: each cell rises by `rise` for each step to the nearest
+    cell of its flat that has a lower neighbour or touches the border. Cells that can't reach one stay."""
+    edge = edge_of(edge)
+    begun = _begun(raster, edge, v, lambda near: F.when(reduce(lambda a, b: a | b, (c.isNull() | (c < F.col(v)) for c in near)), F.lit(0.0)).otherwise(F.lit(float("inf"))))
+
+    def spread(h: np.ndarray, w: np.ndarray, near: list) -> np.ndarray:
+        return reduce(np.fmin, (np.where(a == h, b + 1, np.inf) for a, b in near), w)
+
+    found = _relaxed(begun, edge, spread, side, most_rounds).withColumnRenamed("w", "__w")
+    sloped = F.when(F.col("__w") < F.lit(float("inf")), F.col(v) + rise * F.col("__w")).otherwise(F.col(v))
+    return raster.join(found, "n").select(*(sloped.alias(v) if c == v else F.col(c) for c in raster.columns))
+
+
+def condition(raster: DataFrame, edge: Edge | str = Edge.D8, v: str = "h", rise: float = 1e-6, passes: int = 2) -> DataFrame:
+    """Depressions filled and flats sloped, as often as asked, so that steepest descent leads every cell to the border."""
+    for _ in range(passes):
+        raster = settled(resolve_flats(settled(fill_depressions(raster, edge, v)), rise, edge, v))
+    return raster
+
+
 def upstream_of(graph: DataFrame, target: int) -> DataFrame:
     """n: the cells whose water passes the target, itself included."""
     cut = graph.select("n", F.when(F.col("n") == target, F.lit(-1)).otherwise(F.col("nxt")).alias("nxt"))

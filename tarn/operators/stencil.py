@@ -13,37 +13,41 @@ from pyspark.sql.window import Window
 from tarn.functions.values import known, norm2
 from tarn.plans.model import Edge
 
-#: Rows of a strip; the rows next to it are copied into it.
-STRIP = 256
+#: Rows and columns of a tile; the cells around it are copied into it.
+TILE = 256
 
 
-def in_strips(raster: DataFrame, radius: int, strip: int) -> DataFrame:
-    """The rows dealt into strips of `strip` rows of the grid, each with copies of the `radius` rows on either side."""
-    if radius > strip:
-        raise ValueError("a strip must be as wide as what it looks at")
-    x = F.col("x")
-    near = F.array_compact(F.array(
-        F.struct(F.lit(0).alias("by"), F.lit(True).alias("own")),
-        F.when(x % strip < radius, F.struct(F.lit(-1).alias("by"), F.lit(False).alias("own"))),
-        F.when(x % strip >= strip - radius, F.struct(F.lit(1).alias("by"), F.lit(False).alias("own"))),
-    ))
-    return raster.withColumn("__near", F.explode(near)).withColumn("__strip", F.floor(x / strip).cast("int") + F.col("__near.by")).repartition("__strip")
+def in_tiles(raster: DataFrame, radius: int, side: int) -> DataFrame:
+    """The cells dealt into square tiles of the grid, each with copies of the cells up to `radius` around it.
+
+    So a task holds a few tiles, however wide the raster is. A tile's own cells have __own.
+    """
+    if radius > side:
+        raise ValueError("a tile must be as wide as what it looks at")
+
+    def near(c: str) -> Column:
+        at = F.col(c) % side
+        return F.explode(F.array_compact(F.array(F.lit(0), F.when(at < radius, F.lit(-1)), F.when(at >= side - radius, F.lit(1)))))
+
+    rows = raster.withColumn("__bx", near("x")).withColumn("__by", near("y"))
+    tile = {"__tx": F.floor(F.col("x") / side).cast("int") + F.col("__bx"), "__ty": F.floor(F.col("y") / side).cast("int") + F.col("__by")}
+    return rows.withColumns(tile | {"__own": (F.col("__bx") == 0) & (F.col("__by") == 0)}).repartition("__tx", "__ty")
 
 
-def neighbourhood(raster: DataFrame, columns: list[str], strip: int = STRIP) -> DataFrame:
+def neighbourhood(raster: DataFrame, columns: list[str], side: int = TILE) -> DataFrame:
     """The rows with what `neighbour` reads: the columns of the eight cells around each, NULL outside.
 
-    Strips of rows get copies of the rows beside them, and one shuffle by strip serves both windows: along x, then,
-    with what that found, along y. Needs a dense grid; the columns keep NaN.
+    Tiles get copies of the cells beside them, and one shuffle by tile serves both windows: along x, then, with what
+    that found, along y. Needs a dense grid; the columns keep NaN.
     """
-    rows = in_strips(raster.withColumn("__v", F.struct(*columns)), 1, strip)
-    along = Window.partitionBy("__strip", "y").orderBy("x")
+    rows = in_tiles(raster.withColumn("__v", F.struct(*columns)), 1, side)
+    along = Window.partitionBy("__tx", "__ty", "y").orderBy("x")
     pick = lambda f, w, c, v, d: F.when(f(c, 1).over(w) == F.col(c) + d, f(v, 1).over(w))
     rows = rows.withColumns({"__up": pick(F.lag, along, "x", "__v", -1), "__down": pick(F.lead, along, "x", "__v", 1)})
     rows = rows.withColumn("__c", F.struct("__up", "__v", "__down"))
-    across = Window.partitionBy("__strip", "x").orderBy("y")
+    across = Window.partitionBy("__tx", "__ty", "x").orderBy("y")
     rows = rows.withColumns({"__left": pick(F.lag, across, "y", "__c", -1), "__right": pick(F.lead, across, "y", "__c", 1)})
-    return rows.where("__near.own")
+    return rows.where("__own")
 
 
 def neighbour(dx: int, dy: int, column: str) -> Column:
@@ -126,17 +130,17 @@ def drops(edge: Edge, v: str = "h") -> list[Column]:
     return [(F.col(v) - neighbour(dx, dy, v)) / ((dx * dx + dy * dy) ** 0.5) for dx, dy in edge.shifts]
 
 
-def gaussian_blur(raster: DataFrame, columns: list[str], sigma: float, radius: int = 16, normalize: bool = False, strip: int = STRIP) -> DataFrame:
+def gaussian_blur(raster: DataFrame, columns: list[str], sigma: float, radius: int = 16, normalize: bool = False, side: int = TILE) -> DataFrame:
     """The columns blurred along x, then y: 2 * radius + 1 taps, edges repeated; weights don't sum to one by default."""
     if len(columns) not in (1, 2):
         raise ValueError("one or two channels")
     weights = [_tap(k, sigma) for k in range(-radius, radius + 1)]
     if normalize:
         weights = [w / sum(weights) for w in weights]
-    # Rows of a strip only lack neighbours where the grid ends, so the strip's first and last rows are the grid's.
-    out = in_strips(raster, radius, max(strip, radius))
+    # A tile's own cells only lack neighbours where the grid ends, so what they repeat is the grid's edge.
+    out = in_tiles(raster, radius, max(side, radius))
     for fixed, moving in (("y", "x"), ("x", "y")):
-        w = Window.partitionBy("__strip", fixed).orderBy(moving)
+        w = Window.partitionBy("__tx", "__ty", fixed).orderBy(moving)
         whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
         def tap(c: str, k: int, w=w, whole=whole) -> Column:
@@ -145,7 +149,7 @@ def gaussian_blur(raster: DataFrame, columns: list[str], sigma: float, radius: i
             return F.coalesce(F.lag(c, -k).over(w), F.first(c).over(whole)) if k < 0 else F.coalesce(F.lead(c, k).over(w), F.last(c).over(whole))
 
         out = out.withColumns({c: reduce(operator.add, (tap(c, k) * w_ for k, w_ in zip(range(-radius, radius + 1), weights, strict=True))) for c in columns})
-    return _plain(out.where("__near.own"))
+    return _plain(out.where("__own"))
 
 
 def _tap(k: int, sigma: float) -> float:

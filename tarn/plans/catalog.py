@@ -145,7 +145,7 @@ for _edge, _k in ((Edge.D4, 4), (Edge.D8, 8)):
 
     @query(f"accumulate_{_name}", _summed_sql(_graph_sql(_TILT, _k)))
     def _accumulate(spark, d, edge=_edge):
-        return flow.accumulate(flow.steepest(tilted(spark, d), NY, edge)).select("n", *_r("total"))
+        return flow.accumulate(flow.steepest(tilted(spark, d), NY, edge), ny=NY).select("n", *_r("total"))
 
 
 @query("steepest_holes", f"SELECT * FROM {_graph_sql(_HOLES)}")
@@ -174,7 +174,7 @@ def _random(spark, d):
 
 @query("accumulate_weighted", _summed_sql(_graph_sql(_TILT), source="rain", extra=f"JOIN (SELECT n AS pn, rain FROM ({_PER})) ON pn = n"))
 def _weighted(spark, d):
-    return flow.accumulate(flow.steepest(tilted(spark, d), NY), per_order(spark, d).select("n", F.col("rain").alias("s"))).select("n", *_r("total"))
+    return flow.accumulate(flow.steepest(tilted(spark, d), NY), per_order(spark, d).select("n", F.col("rain").alias("s")), NY).select("n", *_r("total"))
 
 
 _DONORS = f"(SELECT *, row_number() OVER (PARTITION BY nxt ORDER BY CASE {' '.join(f'WHEN n - nxt = {dx * NY + dy} THEN {i}' for i, (dx, dy) in enumerate(_SHIFTS))} END) AS slot FROM {_graph_sql(_TILT)})"
@@ -210,12 +210,12 @@ _PATHS = f"WITH RECURSIVE g AS MATERIALIZED (SELECT n, nxt FROM {_graph_sql(_TIL
 
 @query("drainage_basins", f"{_PATHS} SELECT walk.n, cur AS root FROM walk JOIN g ON g.n = walk.cur WHERE g.nxt < 0")
 def _basins(spark, d):
-    return flow.roots(flow.steepest(tilted(spark, d), NY)).select("n", "root")
+    return flow.roots(flow.steepest(tilted(spark, d), NY), ny=NY).select("n", "root")
 
 
 @query("flow_depth", f"{_PATHS} SELECT n, max(depth) AS depth FROM walk GROUP BY n")
 def _depth(spark, d):
-    return flow.roots(flow.steepest(tilted(spark, d), NY)).select("n", "depth")
+    return flow.roots(flow.steepest(tilted(spark, d), NY), ny=NY).select("n", "depth")
 
 
 @query("upstream", f"{_PATHS} SELECT DISTINCT n FROM walk WHERE cur = 250")
@@ -566,4 +566,4 @@ def _meta(spark, d):
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """The twenty cells that the most water passes."""
-    return flow.accumulate(flow.steepest(height(spark, d), NY)).orderBy(F.desc("total"), "n").limit(20)
+    return flow.accumulate(flow.steepest(height(spark, d), NY), ny=NY).orderBy(F.desc("total"), "n").limit(20)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -27,28 +28,39 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where the session names none."""
+    """The folder that the driver and all executors share, from spark.checkpoint.dir.
+
+    Where the session names none, a temporary one serves a local master, as in tests; any other master raises.
+    """
     context = spark.sparkContext
     known = context._jsc.sc().getCheckpointDir()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else tempfile.mkdtemp(prefix="tarn-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="tarn-")
     if not known.isDefined():
         context.setCheckpointDir(folder)
     return folder
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of any store that Spark writes to."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fewer(df: DataFrame, per_core: int, per_task: int) -> DataFrame:
-    """df in at most `per_core` partitions for each core, or in one for each `per_task` bytes that it reads, if those are more.
+    return packed(df)
 
-    So small results don't become thousands of files, and no task of a large one takes more than before.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    leaves = [leaves.apply(k) for k in range(leaves.size())]
-    # Files only: what was settled before is small, and its size is only guessed from that of its inputs.
-    read = sum(int(x.stats().sizeInBytes()) for x in leaves if x.nodeName().startswith("LogicalRelation") or x.nodeName() == "Relation")
-    return df.coalesce(min(max(per_core * df.sparkSession.sparkContext.defaultParallelism, read // per_task), 1 << 30))
+
+def packed(df: DataFrame) -> DataFrame:
+    """A small result of much work in as many files as its bytes fill: a shuffle of the result, so that adaptive
+    execution sizes the files, and the work before it keeps its own number of tasks."""
+    return df.hint("rebalance")
 
 
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
-    return fewer(df, 8, 256 << 20).checkpoint(eager=True)
+    return df.checkpoint(eager=True)

@@ -79,9 +79,64 @@ def test_decay_modes_differ_without_straight_donors(spark):
 
 
 def test_cycle_raises(spark):
-    loop = spark.createDataFrame([(0, 1), (1, 0)], "n long, nxt long")
-    with pytest.raises(ValueError, match="cycle"):
-        flow.sum_upstream(loop.selectExpr("n", "nxt", "1.0D AS w", "1.0D AS v"), 6)
+    loop = spark.createDataFrame([(0, 1), (1, 0)], "n long, nxt long").selectExpr("n", "nxt", "1.0D AS w", "1.0D AS v")
+    for run in (lambda: flow.sum_doubling(loop, 6), lambda: flow.sum_upstream(loop).collect(), lambda: flow.sum_upstream(loop, lambda n: n).collect(), lambda: flow.roots(loop).collect()):
+        with pytest.raises(Exception, match="cycle"):
+            run()
+
+
+def plain_sums(nxt, w, v):
+    """Each node's value carried down its path, one node at a time."""
+    total = [0.0] * len(nxt)
+    for n in range(len(nxt)):
+        at, load = n, v[n]
+        while at >= 0:
+            total[at] += load
+            load, at = load * w[at], nxt[at]
+    return total
+
+
+def test_tiled_sums_equal_walked_ones(spark):
+    r = np.random.default_rng(3)
+    count, ny = 13 * 11, 11
+    h = r.random((13, 11)) + np.arange(13)[:, None] * 0.3
+    graph = [(x["n"], x["nxt"]) for x in flow.steepest(grid(spark, h), ny).orderBy("n").collect()]
+    nxt, w, v = [b for _, b in graph], r.random(count).tolist(), r.random(count).tolist()
+    df = spark.createDataFrame([(n, t, w[n], v[n]) for n, t in graph], "n long, nxt long, w double, v double")
+    want = plain_sums(nxt, w, v)
+    for tile in (None, flow.tiles_of(ny, side=3), flow.tiles_of(ny, count, side=5), lambda n: n):
+        got = {x["n"]: x["total"] for x in flow.sum_upstream(df, tile).collect()}
+        assert [got[n] for n in range(count)] == pytest.approx(want)
+    got = {x["n"]: x["total"] for x in flow.sum_doubling(df).collect()}
+    assert [got[n] for n in range(count)] == pytest.approx(want)
+
+
+def test_tiled_roots_equal_walked_ones(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    h = r.random((12, 9)) + np.arange(12)[:, None] * 0.4
+    graph = flow.steepest(grid(spark, h), 9).cache()
+    nxt = {x["n"]: x["nxt"] for x in graph.collect()}
+
+    def end(n):
+        steps = 0
+        while nxt[n] >= 0:
+            n, steps = nxt[n], steps + 1
+        return n, steps
+
+    tiles = flow.tiles_of
+    for side in (256, 3, 1):
+        monkeypatch.setattr(flow, "tiles_of", lambda ny, side=side: tiles(ny, side=side))
+        got = {x["n"]: (x["root"], x["depth"]) for x in flow.roots(graph, ny=9).collect()}
+        assert got == {n: end(n) for n in nxt}
+
+
+def test_one_outlet_takes_all(spark):
+    """A star: every node but one points at the last, which is no hot key in any round."""
+    count = 3000
+    df = spark.range(count).selectExpr("id AS n", f"CASE WHEN id < {count - 1} THEN {count - 1} ELSE -1 END AS nxt", "1.0D AS w", "1.0D AS v")
+    for tile in (None, lambda n: n % 50):
+        got = {x["n"]: x["total"] for x in flow.sum_upstream(df, tile).collect()}
+        assert got[count - 1] == count and sum(got.values()) == 2 * count - 1
 
 
 def test_creep_moves_and_keeps(spark):
@@ -98,19 +153,19 @@ def test_constant_blur_and_relief(spark):
     assert by_n(stencil.relief_shade(stencil.normal(h)), "shade") == pytest.approx([1 / math.sqrt(6)] * 12)
 
 
-def test_strips_meet(spark):
+def test_tiles_meet(spark):
     h = grid(spark, np.random.default_rng(1).random((9, 7)))
-    whole = stencil.neighbourhood(h, ["h"], strip=100)
-    strips = stencil.neighbourhood(h, ["h"], strip=2)
+    whole = stencil.neighbourhood(h, ["h"], side=100)
+    tiles = stencil.neighbourhood(h, ["h"], side=2)
     columns = [stencil.neighbour(dx, dy, "h").alias(f"v{k}") for k, (dx, dy) in enumerate(Edge.D8.shifts)]
-    a, b = (x.select("n", *columns).orderBy("n").collect() for x in (whole, strips))
+    a, b = (x.select("n", *columns).orderBy("n").collect() for x in (whole, tiles))
     assert a == b and len(a) == 63
 
 
-def test_blur_strips_meet(spark):
-    h = grid(spark, np.random.default_rng(2).random((23, 6)))
-    a, b = (stencil.gaussian_blur(h, ["h"], 1.5, radius=4, strip=k).orderBy("n").collect() for k in (100, 5))
-    assert [r["h"] for r in a] == pytest.approx([r["h"] for r in b]) and len(b) == 23 * 6
+def test_blur_tiles_meet(spark):
+    h = grid(spark, np.random.default_rng(2).random((23, 16)))
+    a, b = (stencil.gaussian_blur(h, ["h"], 1.5, radius=4, side=k).orderBy("n").collect() for k in (100, 5))
+    assert [r["h"] for r in a] == pytest.approx([r["h"] for r in b]) and len(b) == 23 * 16
     assert stencil.gaussian_blur(h, ["h"], 1.5)._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
 
 
@@ -134,6 +189,46 @@ def test_filled_pits_drain(spark):
     assert by_n(flow.fill_depressions(h), "h") == [9, 9, 9, 9, 9, 5, 5, 9, 9, 9, 9, 5]
 
 
+def flooded(h):
+    """Filled by a flood from the border, lowest cell first."""
+    import heapq
+
+    nx, ny = h.shape
+    out, seen = h.copy(), np.isnan(h)
+    near = lambda i, j: [(i + a, j + b) for a, b in Edge.D8.shifts]
+    inside = lambda i, j: 0 <= i < nx and 0 <= j < ny
+    queue = [(h[i, j], i, j) for i in range(nx) for j in range(ny) if not np.isnan(h[i, j]) and any(not inside(*c) or np.isnan(h[c]) for c in near(i, j))]
+    for _, i, j in queue:
+        seen[i, j] = True
+    heapq.heapify(queue)
+    while queue:
+        level, i, j = heapq.heappop(queue)
+        for c in near(i, j):
+            if inside(*c) and not seen[c]:
+                seen[c] = True
+                out[c] = max(level, h[c])
+                heapq.heappush(queue, (out[c], *c))
+    return out
+
+
+@pytest.mark.parametrize("side", [256, 4])
+def test_filled_equals_a_flood(spark, side):
+    h = np.random.default_rng(6).integers(0, 9, (14, 11)).astype(float)
+    h[4:6, 7] = np.nan
+    got = np.array(by_n(flow.fill_depressions(grid(spark, h), side=side), "h")).reshape(h.shape)
+    np.testing.assert_array_equal(got, flooded(h))
+
+
+def test_conditioned_rasters_drain(spark):
+    h = np.random.default_rng(7).integers(0, 4, (15, 12)).astype(float)
+    done = flow.condition(grid(spark, h))
+    got = np.array(by_n(done, "h")).reshape(h.shape)
+    assert (got >= h).all() and (got - flooded(h)).max() < 1e-3
+    ends = [(r["root"] // 12, r["root"] % 12) for r in flow.roots(flow.steepest(done, 12), ny=12).collect()]
+    assert all(x in (0, 14) or y in (0, 11) for x, y in ends)
+
+
+
 def test_points(spark):
     h = grid(spark, [[0, 1], [2, 3]])
     points = spark.createDataFrame([(0, 0.5, 0.5), (1, 1.0, 1.0), (2, 0.25, 0.0), (3, 1.5, 0.0)], "id long, px double, py double")
