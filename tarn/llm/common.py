@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.plans.state import fewer, settled, shared_folder, ship
+from tarn.plans.state import packed, remove, settled, shared_folder, ship
 
-__all__ = ["SPACES", "WORD", "documents", "gathered", "id_remainder", "settled", "shared_folder", "ship", "words"]
+__all__ = ["SPACES", "WORD", "documents", "id_remainder", "packed", "remove", "settled", "shared_folder", "ship", "words"]
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -22,10 +22,5 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % divisor
 
 
-def gathered(df: DataFrame) -> DataFrame:
-    """df in a few files for each core, or one for each GB read; for results of a few numbers a row."""
-    return fewer(df, 2, 1 << 30)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import documents, gathered, id_remainder, settled, ship
+from tarn.llm.common import documents, id_remainder, packed, settled, ship
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes of context; tokens, and byte grams, whose figures every task has at hand; grams that a task fits on average.
@@ -391,4 +391,4 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
 
 
 def op9_context_tree_scores(spark, sf_dir: str) -> DataFrame:
-    return gathered(score(documents(spark, sf_dir)))
+    return packed(score(documents(spark, sf_dir)))

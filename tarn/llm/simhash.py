@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import documents, gathered, settled, ship
+from tarn.llm.common import documents, packed, settled, ship
 from tarn.llm.components import components
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -39,8 +39,8 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts.tolist(), (ends - 1).tolist(), strict=True)])
     n, total = len(starts), np.zeros(64, np.int64)
     hashes = np.frombuffer(raw, np.uint8).reshape(n, 8)
-    for k in range(0, n, 4096):  # a long text a slice at a time
-        total += np.unpackbits(hashes[k : k + 4096], axis=1).sum(axis=0, dtype=np.int64)
+    for k in range(0, n, 255):  # as many as one byte can count
+        total += np.add.reduce(np.unpackbits(hashes[k : k + 255], axis=1), axis=0, dtype=np.uint8)
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
@@ -103,6 +103,19 @@ def agreeing(rows: int, most: int) -> int:
     return next((k for k in range(2, 5) if 16 << (64 * k // (most + k)) >= rows), 4)
 
 
+def split_keys(rows: DataFrame, key: list[str], by: str) -> DataFrame:
+    """The rows with low, high and part; rows meet where key, low and high agree, and no such group passes 2 * HALF rows.
+
+    A key with more than HALF rows is split in parts by a hash of `by`. A part's own group holds it once (part -1);
+    the groups of two parts hold both, and rows of one part needn't be compared there again.
+    """
+    parts = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("parts")).where(F.col("parts") > HALF).select(*key, F.ceil(F.col("parts") / HALF).cast("int").alias("parts"))
+    rows = rows.join(parts, key, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("half", F.pmod(F.xxhash64(by), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumns({"low": F.least("half", "other"), "high": F.greatest("half", "other")})
+    return rows.withColumn("part", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("half"))).drop("half", "other", "parts")
+
+
 def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     """(a, b): links between the nodes of distinct fingerprints (node, fp) that differ in `most` or fewer bits.
 
@@ -120,12 +133,7 @@ def links(distinct: DataFrame, most: int = 4) -> DataFrame:
     picks = [sum(masks[k] for k in pick) for pick in combinations(range(blocks), agree)]
     keys = F.array(*(F.struct(F.lit(k).alias("kind"), F.col("fp").bitwiseAND(F.lit(signed(mask))).alias("bits")) for k, mask in enumerate(picks)))
     rows = distinct.select("node", "fp", F.explode(keys).alias("key")).select("node", "fp", "key.kind", "key.bits")
-    parts = rows.groupBy("kind", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HALF).select("kind", "bits", F.ceil(F.col("n") / HALF).cast("int").alias("parts"))
-    rows = rows.join(parts, ["kind", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("half", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = rows.select("kind", "bits", F.least("half", "other").alias("low"), F.greatest("half", "other").alias("high"), "half", "node", "fp")
-    # A part's own group holds it once (other = half); the groups of two parts hold both.
-    rows = rows.withColumn("part", F.when(F.col("low") == F.col("high"), -1).otherwise(F.col("half"))).drop("half")
+    rows = split_keys(rows, ["kind", "bits"], "fp").select("kind", "bits", "low", "high", "part", "node", "fp")
     by = ["kind", "bits", "low", "high"]
     tasks = max(1, -(-count * len(picks) // TASK_ROWS))
 
@@ -167,4 +175,4 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, id_col: str
 
 
 def op6_simhash_components(spark, sf_dir: str) -> DataFrame:
-    return gathered(near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+    return packed(near_duplicates(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))

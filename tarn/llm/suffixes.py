@@ -11,7 +11,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import documents, gathered, settled, ship
+from tarn.llm.common import documents, packed, settled, ship
 
 #: Bytes of a string, and of the gram in it that places it.
 LENGTH, GRAM = 50, 20
@@ -382,7 +382,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def op2_suffix_sorted_dedup(spark, sf_dir: str) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["b"] - x["a"])
-    return gathered(dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")))
+    return packed(dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")))
 
 
 OP2_SQL = """
