@@ -23,6 +23,7 @@ ORACLE = {
     "op2_suffix_sorted_dedup": suffixes.OP2_SQL,
     "op4_systematic_mix": mixing.OP4_SQL,
     "op5_line_first_rules": quality.OP5_SQL,
+    "op7_byte_prefix_shards": sharding.OP7_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
