@@ -1,4 +1,4 @@
-"""Floating-point TIFF and GeoTIFF files: a codec for uncompressed strips and tiles, and a Spark data source."""
+"""TIFF and GeoTIFF files of one channel: a codec for strips and tiles, plain or compressed, and a Spark data source."""
 
 from __future__ import annotations
 
@@ -6,8 +6,9 @@ import io
 import os
 import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -15,13 +16,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from tarn.plans.state import ship
+from tarn.plans.state import settled, ship
 
 # Tags of the TIFF 6.0 and GeoTIFF formats, and sizes of their field types: fixed values.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, ORIENTATION, SAMPLES, ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 274, 277, 278, 279, 284
-TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FORMAT = 322, 323, 324, 325, 339
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES, FORMAT = 317, 322, 323, 324, 325, 339
 SCALE, TIEPOINTS, KEYS, DOUBLES, ASCII, METADATA, NODATA = 33550, 33922, 34735, 34736, 34737, 42112, 42113
 TYPES = {1: ("B", 1), 2: ("c", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8)}
+PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: Sample formats: unsigned, signed, floating; bits that each may have.
+KINDS = {1: ("u", (8, 16, 32)), 2: ("i", (8, 16, 32)), 3: ("f", (32, 64))}
 
 
 @dataclass
@@ -39,8 +43,11 @@ class Meta:
     coords: list[float] = field(default_factory=lambda: [0.0] * 6)
     params: list[float] = field(default_factory=list)
     keydir: list[int] = field(default_factory=list)
-    blocks: list[tuple[int, int, int, int, int]] = field(default_factory=list)  # x, y, width, height, offset
+    blocks: list[tuple[int, int, int, int, int, int]] = field(default_factory=list)  # x, y, width, height, offset, bytes
     order: str = "<"
+    kind: int = 3
+    compression: int = PLAIN
+    predictor: int = 1
 
     @property
     def low(self) -> tuple[float, float]:
@@ -55,7 +62,7 @@ class Meta:
 
     @property
     def dtype(self) -> np.dtype:
-        return np.dtype(f"{self.order}f{self.bits // 8}")
+        return np.dtype(f"{self.order}{KINDS[self.kind][0]}{self.bits // 8}")
 
 
 def peek(path: str) -> Meta:
@@ -65,51 +72,116 @@ def peek(path: str) -> Meta:
 
 
 def _header(f: io.BufferedIOBase, name: str) -> Meta:
-    head = f.read(8)
+    head = f.read(16)
     order = {b"II": "<", b"MM": ">"}.get(head[:2])
-    if order is None or struct.unpack(f"{order}H", head[2:4])[0] != 42:
+    magic = struct.unpack(f"{order}H", head[2:4])[0] if order and len(head) >= 8 else 0
+    if magic not in (42, 43):
         raise ValueError(f"{name}: no TIFF file")
-    f.seek(struct.unpack(f"{order}I", head[4:])[0])
+    # BigTIFF (43) has eight bytes where the other has four, and a longer count of tags.
+    word, wide, count = ("I", 4, "H") if magic == 42 else ("Q", 8, "Q")
+    f.seek(struct.unpack(f"{order}{word}", head[4:8] if magic == 42 else head[8:16])[0])
     tags = {}
-    for k in range(struct.unpack(f"{order}H", f.read(2))[0]):
-        tag, kind, n = struct.unpack(f"{order}HHI", f.read(8))
-        raw = f.read(4)
+    for _ in range(struct.unpack(f"{order}{count}", f.read(struct.calcsize(f"{order}{count}")))[0]):
+        tag, kind, n = struct.unpack(f"{order}HH{word}", f.read(4 + wide))
+        raw = f.read(wide)
         if kind not in TYPES:
             continue
         code, size = TYPES[kind]
-        if size * n > 4:
+        if size * n > wide:
             back = f.tell()
-            f.seek(struct.unpack(f"{order}I", raw)[0])
+            f.seek(struct.unpack(f"{order}{word}", raw)[0])
             raw = f.read(size * n)
             f.seek(back)
         raw = raw[: size * n]
         tags[tag] = raw.rstrip(b"\0").decode("latin-1") if kind == 2 else list(struct.unpack(f"{order}{n * len(code)}{code[0]}", raw))
     one = lambda t, d: tags[t][0] if t in tags else d
     m = Meta(name, one(WIDTH, 0), one(HEIGHT, 0), one(BITS, 32), tags.get(NODATA, ""), tags.get(METADATA, ""), tags.get(ASCII, ""), order=order)
-    if one(COMPRESSION, 1) != 1 or one(SAMPLES, 1) != 1 or m.bits not in (32, 64) or one(FORMAT, 1) != 3:
-        raise ValueError(f"{name}: only one uncompressed channel of 32 or 64-bit floats can be read")
+    m.kind, m.compression, m.predictor = one(FORMAT, 1), one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
+    if one(SAMPLES, 1) != 1 or m.kind not in KINDS or m.bits not in KINDS[m.kind][1]:
+        raise ValueError(f"{name}: only one channel of 8 to 32-bit integers or 32 or 64-bit floats can be read")
+    if m.compression not in (PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS) or m.predictor not in (1, 2, 3):
+        raise ValueError(f"{name}: compression {m.compression} with predictor {m.predictor} can't be read")
     if SCALE in tags:
         m.scale = [*tags[SCALE][:2], tags[SCALE][2] or 1.0] if len(tags[SCALE]) > 2 else [*tags[SCALE], 1.0]
     m.coords = (tags.get(TIEPOINTS, []) + [0.0] * 6)[:6]
     m.params, m.keydir = tags.get(DOUBLES, []), tags.get(KEYS, [])
-    if TILE_OFFSETS in tags:
+    tiles = TILE_OFFSETS in tags
+    offsets = tags.get(TILE_OFFSETS if tiles else STRIP_OFFSETS, [])
+    sizes = tags.get(TILE_BYTES if tiles else STRIP_BYTES, [0] * len(offsets))
+    if tiles:
         w, h = one(TILE_WIDTH, 0), one(TILE_HEIGHT, 0)
         across = -(-m.width // w)
-        m.blocks = [(k % across * w, k // across * h, w, h, o) for k, o in enumerate(tags[TILE_OFFSETS])]
+        m.blocks = [(k % across * w, k // across * h, w, h, o, size) for k, (o, size) in enumerate(zip(offsets, sizes, strict=True))]
     else:
-        rows = one(ROWS, m.height)
-        m.blocks = [(0, k * rows, m.width, min(rows, m.height - k * rows), o) for k, o in enumerate(tags.get(STRIP_OFFSETS, []))]
+        rows = min(one(ROWS, m.height), m.height)
+        m.blocks = [(0, k * rows, m.width, min(rows, m.height - k * rows), o, size) for k, (o, size) in enumerate(zip(offsets, sizes, strict=True))]
     return m
 
 
-def _block(f: io.BufferedIOBase, m: Meta, block: tuple[int, int, int, int, int]) -> np.ndarray | None:
+def unpack_lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, high bits first; 256 clears the table, 257 ends."""
+    out, held, have, width, at = [], 0, 0, 9, 0
+    table, before = [], b""
+    while True:
+        while have < width:
+            if at >= len(data):
+                return b"".join(out)
+            held, have, at = (held << 8 | data[at]) & 0xFFFFFF, have + 8, at + 1
+        have -= width
+        code = held >> have & ((1 << width) - 1)
+        if code == 257:
+            return b"".join(out)
+        if code == 256:
+            table, width, before = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        if not table or code > len(table) or (code == len(table) and not before):
+            raise ValueError("broken LZW data")
+        now = table[code] if code < len(table) else before + before[:1]
+        out.append(now)
+        if before and len(table) < 4096:
+            table.append(before + now[:1])
+        # The width grows one code early.
+        width = min(12, max(9, (len(table) + 1).bit_length()))
+        before = now
+
+
+def unpack_bits(data: bytes) -> bytes:
+    """A count byte, then as many bytes and one, or one byte to repeat."""
+    out, at = [], 0
+    while at < len(data):
+        n, at = data[at], at + 1
+        if n < 128:
+            out.append(data[at : at + n + 1])
+            at += n + 1
+        elif n > 128:
+            out.append(data[at : at + 1] * (257 - n))
+            at += 1
+    return b"".join(out)
+
+
+def _block(f: io.BufferedIOBase, m: Meta, block: tuple[int, int, int, int, int, int]) -> np.ndarray | None:
     """A block's values, row by row, clipped to the image; None if the file doesn't hold it."""
-    x, y, w, h, offset = block
+    x, y, w, h, offset, size = block
+    whole, each = w * h * m.bits // 8, m.bits // 8
     f.seek(offset)
-    raw = f.read(w * h * m.bits // 8)
-    if len(raw) < w * h * m.bits // 8:
+    if m.compression == PLAIN:
+        raw = f.read(whole)
+    else:
+        raw = f.read(size)
+        if len(raw) < size or not size:
+            return None
+        raw = {LZW: unpack_lzw, PACKBITS: unpack_bits}.get(m.compression, zlib.decompress)(raw)
+    if len(raw) < whole:
         return None
-    return np.frombuffer(raw, m.dtype).reshape(h, w)[: m.height - y, : m.width - x].astype(np.float64)
+    if m.predictor == 3:  # bytes of one rank after the other, each the difference to the one before
+        rows = np.cumsum(np.frombuffer(raw[:whole], np.uint8).reshape(h, w * each), axis=1, dtype=np.uint8)
+        values = np.ascontiguousarray(rows.reshape(h, each, w).transpose(0, 2, 1)).view(f">{KINDS[m.kind][0]}{each}").reshape(h, w)
+    elif m.predictor == 2:
+        whole_numbers = np.dtype(f"{m.order}u{each}")
+        values = np.cumsum(np.frombuffer(raw[:whole], whole_numbers).reshape(h, w), axis=1, dtype=whole_numbers.newbyteorder("=")).astype(whole_numbers).view(m.dtype)
+    else:
+        values = np.frombuffer(raw[:whole], m.dtype).reshape(h, w)
+    return values[: m.height - y, : m.width - x].astype(np.float64)
 
 
 def read_array(path: str) -> tuple[Meta, np.ndarray]:
@@ -125,33 +197,49 @@ def read_array(path: str) -> tuple[Meta, np.ndarray]:
     return m, out
 
 
-def encode(values: np.ndarray, meta: Meta | None = None, bits: int = 32) -> bytes:
-    """A little-endian file of one strip from values indexed [x, y]; NaN becomes the meta's no-data value, if any."""
-    m = meta or Meta()
+def _pixels(values: np.ndarray, meta: Meta | None, bits: int) -> bytes:
+    """Values indexed [x, y], row by row; NaN becomes the meta's no-data value, if any."""
     values = np.asarray(values, np.float64)
-    if m.gdal_nodata.strip():
-        values = np.where(np.isnan(values), float(m.gdal_nodata), values)
-    w, h = values.shape
-    pixels = np.ascontiguousarray(values.T).astype(f"<f{bits // 8}").tobytes()
+    if meta and meta.gdal_nodata.strip():
+        values = np.where(np.isnan(values), float(meta.gdal_nodata), values)
+    return np.ascontiguousarray(values.T).astype(f"<f{bits // 8}").tobytes()
+
+
+def _directory(at: int, w: int, h: int, rows: int, offsets: list[int], sizes: list[int], meta: Meta | None, bits: int, compression: int, big: bool = False) -> bytes:
+    """The directory of a little-endian file, as it stands at byte `at`, with what doesn't fit into its entries after it."""
+    word, wide, number = ("Q", 8, 16) if big else ("I", 4, 4)
     tags: list[tuple[int, int, list | bytes]] = [
-        (WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [bits]), (COMPRESSION, 3, [1]), (PHOTOMETRIC, 3, [1]), (STRIP_OFFSETS, 4, [0]), (ORIENTATION, 3, [1]),
-        (SAMPLES, 3, [1]), (ROWS, 4, [h]), (STRIP_BYTES, 4, [len(pixels)]), (PLANAR, 3, [1]), (FORMAT, 3, [3]),
+        (WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [bits]), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [1]), (STRIP_OFFSETS, number, offsets), (ORIENTATION, 3, [1]),
+        (SAMPLES, 3, [1]), (ROWS, 4, [rows]), (STRIP_BYTES, number, sizes), (PLANAR, 3, [1]), (FORMAT, 3, [3]),
     ]
     if meta:
-        tags += [(SCALE, 12, m.scale), (TIEPOINTS, 12, m.coords)]
-        tags += [(KEYS, 3, m.keydir)] * bool(m.keydir) + [(DOUBLES, 12, m.params)] * bool(m.params)
-        tags += [(t, 2, v.encode("latin-1") + b"\0") for t, v in ((ASCII, m.ascii_params), (METADATA, m.gdal_metadata), (NODATA, m.gdal_nodata)) if v]
-    table, extra, at = b"", b"", 8 + 2 + 12 * len(tags) + 4
-    total = sum((n + 1) // 2 * 2 for n in (len(v) if k == 2 else len(v) * TYPES[k][1] for _, k, v in tags) if n > 4)
+        tags += [(SCALE, 12, meta.scale), (TIEPOINTS, 12, meta.coords)]
+        tags += [(KEYS, 3, meta.keydir)] * bool(meta.keydir) + [(DOUBLES, 12, meta.params)] * bool(meta.params)
+        tags += [(t, 2, v.encode("latin-1") + b"\0") for t, v in ((ASCII, meta.ascii_params), (METADATA, meta.gdal_metadata), (NODATA, meta.gdal_nodata)) if v]
+    count = struct.pack("<Q" if big else "<H", len(tags))
+    table, extra, free = b"", b"", at + len(count) + (4 + 2 * wide) * len(tags) + wide
     for tag, kind, v in tags:
-        v = [at + total] if tag == STRIP_OFFSETS else v
         raw = v if kind == 2 else struct.pack(f"<{len(v)}{TYPES[kind][0]}", *v)
-        if len(raw) > 4:
-            table += struct.pack("<HHII", tag, kind, len(v), at + len(extra))
+        head = struct.pack(f"<HH{word}", tag, kind, len(v))
+        if len(raw) > wide:
+            table += head + struct.pack(f"<{word}", free + len(extra))
             extra += raw + b"\0" * (len(raw) % 2)
         else:
-            table += struct.pack("<HHI", tag, kind, len(v)) + raw.ljust(4, b"\0")
-    return struct.pack("<2sHIH", b"II", 42, 8, len(tags)) + table + struct.pack("<I", 0) + extra + pixels
+            table += head + raw.ljust(wide, b"\0")
+    return count + table + struct.pack(f"<{word}", 0) + extra
+
+
+def _start(directory: int, big: bool = False) -> bytes:
+    return struct.pack("<2sHHHQ", b"II", 43, 8, 0, directory) if big else struct.pack("<2sHI", b"II", 42, directory)
+
+
+def encode(values: np.ndarray, meta: Meta | None = None, bits: int = 32, compression: int = PLAIN) -> bytes:
+    """A little-endian file of one strip from values indexed [x, y], plain or deflated."""
+    w, h = np.shape(values)
+    pixels = _pixels(values, meta, bits)
+    pixels = zlib.compress(pixels) if compression == DEFLATE else pixels
+    pixels += b"\0" * (len(pixels) % 2)
+    return _start(8 + len(pixels)) + pixels + _directory(8 + len(pixels), w, h, h, [8], [len(pixels)], meta, bits, compression)
 
 
 def write_array(path: str, values: np.ndarray, meta: Meta | None = None, bits: int = 32) -> None:
@@ -160,8 +248,8 @@ def write_array(path: str, values: np.ndarray, meta: Meta | None = None, bits: i
 
 
 class _Block(InputPartition):
-    def __init__(self, path: str, block: tuple[int, int, int, int, int]):
-        self.path, self.block = path, block
+    def __init__(self, path: str, meta: Meta, block: tuple[int, int, int, int, int, int]):
+        self.path, self.meta, self.block = path, replace(meta, blocks=[]), block
 
 
 def files(path: str, limit: int | None = None) -> list[str]:
@@ -176,10 +264,10 @@ class _Reader(DataSourceReader):
         self.paths = files(options["path"], int(options["limit"]) if "limit" in options else None)
 
     def partitions(self) -> list[_Block]:
-        return [_Block(p, b) for p in self.paths for b in peek(p).blocks]
+        return [_Block(p, m, b) for p in self.paths for m in (peek(p),) for b in m.blocks]
 
     def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
-        m = peek(partition.path)
+        m = partition.meta
         with open(partition.path, "rb") as f:
             v = _block(f, m, partition.block)
         if v is None:
@@ -244,12 +332,22 @@ META_SCHEMA = "filename string, width long, height long, bits long, gdal_nodata
 
 
 def read_meta(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """A row for each file, from headers alone."""
-    rows = []
-    for p in files(path, limit):
-        m = peek(p)
-        rows.append((m.filename, m.width, m.height, m.bits, m.gdal_nodata, m.gdal_metadata, m.ascii_params, m.scale, m.coords, m.params, m.keydir, *m.low, *m.high))
-    return spark.createDataFrame(rows, META_SCHEMA)
+    """A row for each file, from headers alone; headers are read by tasks, where the files can be opened."""
+    paths = files(path, limit)
+    for p in paths[:1]:
+        peek(p)  # a missing file raises here, not in a task
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p in batch.column("path").to_pylist():
+                m = peek(p)
+                own = [m.filename, m.width, m.height, m.bits, m.gdal_nodata, m.gdal_metadata, m.ascii_params, m.scale, m.coords, m.params, m.keydir, *m.low, *m.high]
+                kinds = [pa.string(), *[pa.int64()] * 3, *[pa.string()] * 3, *[pa.list_(pa.float64())] * 3, pa.list_(pa.int32()), *[pa.float64()] * 4]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(own, kinds, strict=True)], names=[c.split()[0] for c in META_SCHEMA.split(", ")])
+
+    ship(spark)
+    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, -(-len(paths) // 64)))
+    return rows.mapInArrow(run, META_SCHEMA)
 
 
 def to_array(raster: DataFrame, nx: int, ny: int, v: str = "h", bound: int = 1 << 30) -> np.ndarray:
@@ -269,8 +367,50 @@ def from_array(spark: SparkSession, values: np.ndarray) -> DataFrame:
     return spark.createDataFrame(table)
 
 
-def write(raster: DataFrame, path: str, nx: int, ny: int, meta: Meta | None = None, v: str = "h", bits: int = 32) -> None:
-    write_array(path, to_array(raster, nx, ny, v), meta, bits)
+def write(raster: DataFrame, path: str, nx: int, ny: int, meta: Meta | None = None, v: str = "h", bits: int = 32, rows: int = 256, compression: int = PLAIN) -> None:
+    """One file of strips of `rows` rows, cells that the raster lacks as NaN or no data.
+
+    Tasks make the strips, plain or deflated; the driver writes them in turn and holds one partition's at a time, so
+    the raster may be larger than any memory. Files over 4 GB are BigTIFF.
+    """
+    if compression not in (PLAIN, DEFLATE):
+        raise ValueError("plain or deflated")
+    strips = -(-ny // rows)
+
+    def strip(key: tuple, table: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        n = table.column("n").to_numpy()
+        values = np.full((nx, min(rows, ny - k * rows)), np.nan)
+        values[n // ny, n % ny - k * rows] = table.column("v").to_numpy()
+        raw = _pixels(values, meta, bits)
+        return pa.table({"k": pa.array([k], pa.int64()), "data": pa.array([zlib.compress(raw) if compression == DEFLATE else raw], pa.binary())})
+
+    spark = raster.sparkSession
+    ship(spark)
+    cells = raster.select("n", F.col(v).cast("double").alias("v")).withColumn("k", F.floor(F.col("n") % ny / rows).cast("long"))
+    made = settled(cells.groupBy("k").applyInArrow(strip, "k long, data binary"))
+    empty = lambda k: (lambda raw: zlib.compress(raw) if compression == DEFLATE else raw)(_pixels(np.full((nx, min(rows, ny - k * rows)), np.nan), meta, bits))
+    big = made.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    big = big + 16 * strips > (1 << 32) - (1 << 20)
+    offsets, sizes = [], []
+    with open(path, "wb") as f:
+        f.write(_start(0, big))
+
+        def put(data: bytes) -> None:
+            offsets.append(f.tell())
+            sizes.append(len(data))
+            f.write(data + b"\0" * (len(data) % 2))
+
+        for r in made.orderBy("k").toLocalIterator():
+            while len(offsets) < r["k"]:
+                put(empty(len(offsets)))
+            put(bytes(r["data"]))
+        while len(offsets) < strips:
+            put(empty(len(offsets)))
+        at = f.tell()
+        f.write(_directory(at, nx, ny, rows, offsets, sizes, meta, bits, compression, big))
+        f.seek(0)
+        f.write(_start(at, big))
 
 
 def write_folder(rasters: DataFrame, folder: str, ny: int, v: str = "h", bits: int = 32) -> DataFrame:

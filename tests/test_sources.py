@@ -1,4 +1,5 @@
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -55,6 +56,92 @@ def test_tiles_through_spark(spark, tmp_path, image):
     assert again == rows
 
 
+def pack_lzw(data):
+    """A plain LZW writer, one code at a time."""
+    bits, table, width, before = "", {bytes([k]): k for k in range(256)}, 9, b""
+    bits += format(256, "09b")
+    size = 258
+    for k in range(len(data)):
+        now = before + data[k : k + 1]
+        if now in table:
+            before = now
+            continue
+        bits += format(table[before], f"0{width}b")
+        table[now], size, before = size, size + 1, data[k : k + 1]
+        if size >= 4094:
+            bits += format(table[before], f"0{width}b") + format(256, f"0{width if size < 4095 else 12}b")
+            table, width, before, size = {bytes([k]): k for k in range(256)}, 9, b"", 258
+            continue
+        width = 12 if size > 2047 else 11 if size > 1023 else 10 if size > 511 else 9
+    bits += (format(table[before], f"0{width}b") if before else "")
+    size += 1
+    width = 12 if size > 2047 else 11 if size > 1023 else 10 if size > 511 else 9
+    bits += format(257, f"0{width}b")
+    bits += "0" * (-len(bits) % 8)
+    return bytes(int(bits[k : k + 8], 2) for k in range(0, len(bits), 8))
+
+
+@pytest.mark.parametrize("size", [0, 1, 300, 2000, 9000, 40000])
+def test_lzw(size):
+    r = np.random.default_rng(size)
+    for data in (bytes(r.integers(0, 4, size, np.uint8)), b"ab" * (size // 2), bytes(r.integers(0, 256, size // 8, np.uint8))):
+        assert tiff.unpack_lzw(pack_lzw(data)) == data
+
+
+def test_packbits():
+    assert tiff.unpack_bits(bytes([0xFE, 0xAA, 0x02, 0x80, 0x00, 0x2A, 0xFD, 0xAA, 0x80, 0x00, 0x07])) == b"\xaa\xaa\xaa\x80\x00\x2a\xaa\xaa\xaa\xaa\x07"
+
+
+def stripped(values, kind, bits, compression, predictor, pack, big=False, order="<"):
+    """A file of one strip of any kind."""
+    w, h = values.shape
+    dtype = np.dtype(f"{order}{kind}{bits // 8}")
+    rows = np.ascontiguousarray(values.T.astype(dtype))
+    if predictor == 2:
+        whole = rows.view(np.dtype(f"{order}u{bits // 8}"))
+        rows = np.diff(whole, axis=1, prepend=np.zeros((h, 1), whole.dtype)).astype(whole.dtype)
+    elif predictor == 3:
+        ranks = rows.astype(f">{kind}{bits // 8}").view(np.uint8).reshape(h, w, bits // 8).transpose(0, 2, 1).reshape(h, -1)
+        rows = np.diff(ranks, axis=1, prepend=np.zeros((h, 1), np.uint8))
+    data = pack(rows.tobytes())
+    tags = [(256, 4, w), (257, 4, h), (258, 3, bits), (259, 3, compression), (273, 4, 16), (277, 3, 1), (278, 4, h), (279, 4, len(data)), (317, 3, predictor), (339, 3, {"u": 1, "i": 2, "f": 3}[kind])]
+    at = 16 + len(data)
+    if big:
+        table = b"".join(struct.pack(f"{order}HHQ", t, k, 1) + struct.pack(f"{order}{'I' if k == 4 else 'H'}", v).ljust(8, b"\0") for t, k, v in tags)
+        return struct.pack(f"{order}2sHHHQ", b"II" if order == "<" else b"MM", 43, 8, 0, at) + data + struct.pack(f"{order}Q", len(tags)) + table + b"\0" * 8
+    table = b"".join(struct.pack(f"{order}HHI", t, k, 1) + struct.pack(f"{order}{'I' if k == 4 else 'H'}", v).ljust(4, b"\0") for t, k, v in tags)
+    return struct.pack(f"{order}2sHI", b"II" if order == "<" else b"MM", 42, at) + b"\0" * 8 + data + struct.pack(f"{order}H", len(tags)) + table + b"\0" * 4
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+@pytest.mark.parametrize(("kind", "bits"), [("f", 32), ("f", 64), ("u", 8), ("i", 16), ("u", 16), ("i", 32)])
+@pytest.mark.parametrize(("compression", "pack"), [(1, bytes), (5, pack_lzw), (8, zlib.compress), (32946, zlib.compress)])
+def test_compressed_kinds(tmp_path, order, kind, bits, compression, pack):
+    values = np.random.default_rng(3).integers(0, 120, (9, 6)).astype(float) + (0.25 if kind == "f" else 0)
+    for predictor in (1, 2, 3) if kind == "f" else (1, 2):
+        if compression == 1 and predictor > 1:
+            continue
+        (tmp_path / "a.tif").write_bytes(stripped(values, kind, bits, compression, predictor, pack, big=predictor == 2, order=order))
+        np.testing.assert_array_equal(tiff.read_array(tmp_path / "a.tif")[1], values)
+
+
+@pytest.mark.parametrize("compression", [tiff.PLAIN, tiff.DEFLATE])
+def test_strips_are_written_by_tasks(spark, tmp_path, compression):
+    values = np.random.default_rng(5).random((12, 23))
+    values[3, 4] = np.nan
+    rows = tiff.from_array(spark, values).where("y < 5 or y > 12")  # a strip without any cell
+    tiff.write(rows, str(tmp_path / "s.tif"), 12, 23, tiff.Meta(**META), bits=64, rows=4, compression=compression)
+    m, got = tiff.read_array(tmp_path / "s.tif")
+    want = values.copy()
+    want[:, 5:13] = np.nan
+    np.testing.assert_array_equal(got, want)
+    assert len(m.blocks) == 6 and m.keydir == [1, 1, 0, 0]
+    df = tiff.read(spark, str(tmp_path / "s.tif"))
+    assert df.rdd.getNumPartitions() == 6 and df.where("not isnan(h)").count() == (~np.isnan(want)).sum()
+    (tmp_path / "d.tif").write_bytes(tiff.encode(values, compression=compression, bits=64))
+    np.testing.assert_array_equal(tiff.read_array(tmp_path / "d.tif")[1], values)
+
+
 def test_folder_limit_and_meta(spark, tmp_path, image):
     for k in range(3):
         tiff.write_array(tmp_path / f"{k}.tif", image, tiff.Meta(**META))
