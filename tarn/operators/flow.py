@@ -47,15 +47,20 @@ def random_weighted(raster: DataFrame, ny: int, edge: Edge | str = Edge.D8, seed
     neighbours gives -1. `runs` draws of one raster share its neighbourhood.
     """
     edge = edge_of(edge)
-    d = F.array(*(F.when(x > 0, x) for x in map(lambda x: F.when(~F.isnan(x), x), drops(edge, v))))
+    count = len(edge.shifts)
+    down = {f"d{k}": F.when(~F.isnan(x) & (x > 0), x) for k, x in enumerate(drops(edge, v))}
     broken = F.coalesce(F.isnan(sum(F.coalesce(x, F.lit(0.0)) for x in drops(edge, v))), F.lit(True))
-    rows = neighbourhood(raster, [v]).select("n", "x", "y", d.alias("d"), broken.alias("broken"))
-    rows = rows.withColumn("p", F.transform("d", lambda x: F.coalesce(F.exp((x - F.array_max("d")) / temperature), F.lit(0.0))))
+    rows = neighbourhood(raster, [v]).select("n", "x", "y", broken.alias("broken"), *(e.alias(c) for c, e in down.items()))
+    rows = rows.withColumn("best", F.greatest(*down))
+    rows = rows.select("n", "x", "y", "broken", *(F.coalesce(F.exp((F.col(c) - F.col("best")) / temperature), F.lit(0.0)).alias(f"p{k}") for k, c in enumerate(down)))
+    # Running sums, one column on the other, so that each is computed once for all draws.
+    for k in range(1, count):
+        rows = rows.withColumn(f"p{k}", F.col(f"p{k - 1}") + F.col(f"p{k}"))
     rows = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
-    u = uniform(F.col("n") * 1009 + F.col("run") + offset, seed) * F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    rows = rows.withColumn("u", uniform(F.col("n") * 1009 + F.col("run") + offset, seed) * F.col(f"p{count - 1}"))
     # The first k whose running sum passes u: count those that don't.
-    step = F.aggregate("p", F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("k")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["k"] + (a["s"] + x <= u).cast("int")).alias("k")))["k"]
-    k = F.when(~F.col("broken") & (step < len(edge.shifts)), step).otherwise(-1)
+    step = sum((F.col(f"p{k}") <= F.col("u")).cast("int") for k in range(count))
+    k = F.when(~F.col("broken") & (step < count), step).otherwise(-1)
     return rows.select("n", "x", "y", "run", _target(edge, k, ny).alias("nxt"))
 
 
@@ -182,7 +187,7 @@ def sum_upstream(nodes: DataFrame, tile: Callable[[Column], Column] | None = Non
     """
     tile = tile or tiles_of(None)
     rows = nodes.select(F.col("n").cast("long").alias("n"), F.when(F.col("nxt") >= 0, F.col("nxt")).otherwise(F.lit(-1)).cast("long").alias("nxt"), F.col("w").cast("double").alias("w"), F.col("v").cast("double").alias("v"))
-    rows = rows.withColumn("tile", tile(F.col("n")))
+    rows = settled(rows.withColumn("tile", tile(F.col("n"))))
     crossing = rows.where((F.col("nxt") >= 0) & (tile(F.col("nxt")) != F.col("tile")))
     entries = settled(crossing.groupBy(F.col("nxt").alias("n")).agg(F.count(F.lit(1)).alias("times")).select("n", tile(F.col("n")).alias("tile")))
 

@@ -70,15 +70,21 @@ def resize_nearest(raster: DataFrame, old: Grid, new: Grid, v: str = "h") -> Dat
     return cells.join(raster.select(F.col("n").alias("__o"), v), "__o", "left").select("n", "x", "y", v)
 
 
-def resize_bilinear(raster: DataFrame, old: Grid, new: Grid, v: str = "h") -> DataFrame:
+def resize_bilinear(raster: DataFrame, old: Grid, new: Grid, v: str | list[str] = "h") -> DataFrame:
     """n, x, y, v on another grid, by the four old cells around; one join, on cells that each give four corners."""
+    columns = [v] if isinstance(v, str) else v
     u, w = F.col("x") * (old.nx / new.nx), F.col("y") * (old.ny / new.ny)
     cells = _cells(raster, new).withColumns({"__u": u, "__w": w})
     corners = [(F.least(F.floor("__u") + i, F.lit(old.nx - 1)), F.least(F.floor("__w") + j, F.lit(old.ny - 1)), (F.col("__u") - F.floor("__u") if i else 1 - (F.col("__u") - F.floor("__u"))) * (F.col("__w") - F.floor("__w") if j else 1 - (F.col("__w") - F.floor("__w")))) for i in (0, 1) for j in (0, 1)]
     each = F.explode(F.array(*(F.struct((i.cast("long") * old.ny + j.cast("long")).alias("o"), k.alias("k")) for i, j, k in corners)))
     rows = cells.select("n", "x", "y", each.alias("c")).select("n", "x", "y", F.col("c.o").alias("__o"), F.col("c.k").alias("__k"))
-    rows = rows.join(raster.select(F.col("n").alias("__o"), v), "__o")
-    return rows.groupBy("n", "x", "y").agg(F.sum(F.col("__k") * F.col(v)).alias(v))
+    rows = rows.join(raster.select(F.col("n").alias("__o"), *columns), "__o")
+    return rows.groupBy("n", "x", "y").agg(*(F.sum(F.col("__k") * F.col(c)).alias(c) for c in columns))
+
+
+def map_values(raster: DataFrame, expression: str | Column, v: str = "h") -> DataFrame:
+    """The raster with its values by any SQL expression or column over n, x, y and the values; Catalyst compiles it."""
+    return raster.withColumn(v, F.expr(expression) if isinstance(expression, str) else expression)
 
 
 def _cells(raster: DataFrame, grid: Grid) -> DataFrame:

@@ -33,6 +33,19 @@ def at_points(points: DataFrame, raster: DataFrame, grid: Grid, v: str = "h") ->
     return points.select("id").join(got, "id", "left").select("id", *full)
 
 
+def at_line(points: DataFrame, line: DataFrame, cells: int, v: str = "h") -> DataFrame:
+    """id, value, slope of each point (id, p): linear between the two cells (i, v) around; NULL beyond the line or by a
+    missing cell. Past the last cell's start the weight of what lies beyond is zero."""
+    i = F.floor("p")
+    inside = (F.col("p") >= 0) & (F.col("p") <= cells - 1)
+    a = F.when(i >= cells - 1, F.lit(0.0)).otherwise(F.col("p") - i)
+    ends = F.array(F.struct(i.alias("i"), (1 - a).alias("w"), F.lit(-1.0).alias("u")), F.struct(F.least(i + 1, F.lit(cells - 1)).alias("i"), a.alias("w"), F.lit(1.0).alias("u")))
+    asked = points.where(inside).select("id", F.explode(ends).alias("c")).select("id", "c.*")
+    known = F.when(~F.isnan(v), F.col(v))
+    got = asked.join(line.select("i", known.alias("v")), "i").groupBy("id").agg(F.count("v").alias("k"), F.sum(F.col("w") * F.col("v")).alias("value"), F.sum(F.col("u") * F.col("v")).alias("slope"))
+    return points.select("id").join(got, "id", "left").select("id", *(F.when(F.col("k") == 2, F.col(c)).alias(c) for c in ("value", "slope")))
+
+
 def radical_inverse(k: Column, base: int, digits: int = 20) -> Column:
     """The digits of k in a base, mirrored behind the point."""
     steps = F.sequence(F.lit(1), F.lit(digits))

@@ -71,6 +71,12 @@ def gradient(raster: DataFrame, sx: float = 1.0, sy: float = 1.0, v: str = "h")
     return _plain(rows, along(1, 0, sx).alias("gx"), along(0, 1, sy).alias("gy"))
 
 
+def along(gradients: DataFrame, dx: float, dy: float) -> DataFrame:
+    """along: the slope in the direction (dx, dy), from gx and gy."""
+    size = math.hypot(dx, dy)
+    return gradients.withColumn("along", F.col("gx") * (dx / size) + F.col("gy") * (dy / size))
+
+
 def negslope(raster: DataFrame, sx: float = 1.0, sy: float = 1.0, v: str = "h") -> DataFrame:
     """slope: the length of the steepest descent along x and y; zero in pits."""
     rows, own = neighbourhood(raster, [v]), known(F.col(v))

@@ -29,11 +29,15 @@ def _excess(p: Params) -> Column:
     return F.col("slope") - p.crit_slope_bedrock
 
 
+def suspension(p: Params) -> Column:
+    """What flowing water takes up in a unit of time, by its speed and the slope."""
+    return p.suspension_fluvial / 64 * F.pow(0.125 * (p.friction_factor / 8) * p.density_water * F.col("speed") * F.col("speed") * F.col("slope"), F.lit(float(p.fluvial_exponent)))
+
+
 def exchange(g: Grid, p: Params) -> Column:
     """What a step puts down (above zero) or takes up, within limits; reads slope, speed, mass and debris."""
-    alpha, drag = p.fluvial_exponent, p.friction_factor / 8
     length = (g.sx**2 + g.sy**2) ** 0.5
-    up = p.suspension_fluvial / 64 * F.pow(0.125 * drag * p.density_water * F.col("speed") * F.col("speed") * F.col("slope"), F.lit(float(alpha)))
+    up = suspension(p)
     down = p.deposition_fluvial * 1.33 * F.col("mass")
     shear = p.gravity * (F.col("debris") * _excess(p) - p.yield_stress)
     slide = F.greatest(F.lit(0.0), p.landslide_rate * _excess(p)) + p.suspension_debris * F.greatest(F.lit(0.0), shear)

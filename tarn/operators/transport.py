@@ -83,6 +83,11 @@ def _stepsize(px: np.ndarray, py: np.ndarray, dx: np.ndarray, dy: np.ndarray) ->
     return (ways[0] + ways[1]) / 2
 
 
+def _norm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """By operations that round alike everywhere, as errors grow along a path."""
+    return np.sqrt(x * x + y * y)
+
+
 def _cell(grid: Grid, px: np.ndarray, py: np.ndarray) -> np.ndarray:
     return np.floor(px).astype(int) * grid.ny + np.floor(py).astype(int)
 
@@ -247,7 +252,7 @@ class UniformWalk(Walk):
     def step(self, f: Field, state: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         px, py, att = state[0], state[1], state[4]
         vx, vy = f.between("vx", px, py), f.between("vy", px, py)
-        speed = np.hypot(vx, vy)
+        speed = _norm(vx, vy)
         step = _stepsize(px, py, vx / speed, vy / speed)
         att = att * np.exp(-step * self.length / speed * f.of("decay", cell))
         state = np.concatenate([np.stack([px + step * vx / speed, py + step * vy / speed]), state[2:4], att[None], state[5:]])
@@ -297,7 +302,7 @@ class SlopeWalk(Walk):
         cell = _cell(self.grid, px, py)
         pull = self.pull(f, cell)
         sx, sy = pull[0] + self.force[0], pull[1] + self.force[1]
-        root = np.sqrt(np.hypot(self.grid.sx * sx, self.grid.sy * sy))
+        root = np.sqrt(_norm(self.grid.sx * sx, self.grid.sy * sy))
         sx, sy = sx / root, sy / root
         kinds = np.ones((self.shares, len(px)))
         state = np.concatenate([np.stack([px, py, cell.astype(float), np.zeros(len(px)), sx, sy]), kinds, self.sources(f, cell, pull)])
@@ -309,7 +314,7 @@ class SlopeWalk(Walk):
     def step(self, f: Field, state: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         px, py, sx, sy = state[0], state[1], state[4], state[5]
         att, source = state[6 : 6 + self.shares], state[6 + self.shares :]
-        speed = np.hypot(sx, sy)
+        speed = _norm(sx, sy)
         step = _stepsize(px, py, sx / speed, sy / speed)
         way = step * self.length
         slow, fade = self.losses(f, cell, att, source, speed, way)

@@ -521,18 +521,6 @@ def _cells(spark, d):
     return rows.withColumns({c: (F.col("n") % m) / F.lit(float(m)) for c, m in zip("rgb", (7, 11, 13), strict=True)})
 
 
-@query("solve_uniform")
-def _solve(spark, d):
-    g = stencil.gradient(tilted(spark, d))
-    rows = g.join(per_order(spark, d), "n").select("n", "x", "y", (-F.col("gx")).alias("vx"), (-F.col("gy")).alias("vy"), F.lit(0.001).alias("decay"), F.col("rain").alias("s"))
-    return transport.solve_uniform(rows, grid_of(spark, d), 8192, ["s"])
-
-
-@query("transport_fluvial")
-def _fluvial(spark, d):
-    return transport.transport_fluvial(_cells(spark, d), grid_of(spark, d), 8192)
-
-
 @query("transport_debris")
 def _debris(spark, d):
     return transport.transport_debris(_cells(spark, d), grid_of(spark, d), 8192)

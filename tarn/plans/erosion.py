@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.operators import terrain, transport
+from tarn.operators import raster, terrain, transport
 from tarn.plans.model import Grid, Params
 from tarn.plans.state import settled
 
@@ -27,3 +27,14 @@ def erode(cells: DataFrame, grid: Grid, samples: int, steps: int, param: Params
     for k in range(steps):
         cells = erosion_step(cells, grid, samples, param, seed + 2 * k)
     return cells
+
+
+def erode_levels(cells: DataFrame, grid: Grid, levels: list[tuple[Grid, int]], samples: int, param: Params = Params(), seed: int = 0) -> DataFrame:
+    """Erosion on ever finer grids: on each level the state of the one before is resized and takes so many steps."""
+    for k, (level, steps) in enumerate(levels):
+        columns = [c for c in cells.columns if c not in ("n", "x", "y")]
+        if (level.nx, level.ny) != (grid.nx, grid.ny):
+            cells = settled(raster.resize_bilinear(cells, grid, level, columns))
+        grid = level
+        cells = erode(cells, grid, samples, steps, param, seed + 1000 * k)
+    return cells

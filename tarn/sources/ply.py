@@ -2,36 +2,83 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tarn.plans.state import ship
 
 _KIND = {"ascii": "ascii 1.0", "binary": "binary_little_endian 1.0"}
 
 
-def _parts(vertices: DataFrame, faces: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    v, f = vertices.orderBy("id").select("x", "y", "z").toArrow(), faces.orderBy("id").select("a", "b", "c").toArrow()
-    return tuple(np.stack([t.column(c).to_numpy() for c in t.column_names], axis=1) for t in (v, f))
+def _head(kind: str, vertices: int, faces: int) -> bytes:
+    return "\n".join(["ply", f"format {_KIND[kind]}", f"element vertex {vertices}", *(f"property float {c}" for c in "xyz"), f"element face {faces}", "property list uchar uint vertex_indices", "end_header", ""]).encode()
+
+
+def _encoded(rows: DataFrame, columns: list[str], encode: Callable[[np.ndarray], bytes]) -> Iterator[bytes]:
+    """The rows in order of id, encoded by tasks; the driver holds one partition's bytes at a time."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array([encode(values)], pa.binary())], names=["data"])
 
-def _head(kind: str, v: np.ndarray, f: np.ndarray) -> str:
-    return "\n".join(["ply", f"format {_KIND[kind]}", f"element vertex {len(v)}", *(f"property float {c}" for c in "xyz"), f"element face {len(f)}", "property list uchar uint vertex_indices", "end_header", ""])
+    ship(rows.sparkSession)
+    for r in rows.orderBy("id").select(*columns).mapInArrow(run, "data binary").toLocalIterator():
+        yield bytes(r["data"])
+
+
+def _write(path: str, kind: str, vertices: DataFrame, faces: DataFrame, vertex: Callable, face: Callable) -> None:
+    with open(path, "wb") as out:
+        out.write(_head(kind, vertices.count(), faces.count()))
+        out.writelines(_encoded(vertices, ["x", "y", "z"], vertex))
+        out.writelines(_encoded(faces, ["a", "b", "c"], face))
 
 
 def write_ascii(path: str, vertices: DataFrame, faces: DataFrame) -> None:
     """Vertices are scaled into [0, 1] along each axis."""
-    v, f = _parts(vertices, faces)
-    low, wide = (v.min(axis=0), np.ptp(v, axis=0)) if len(v) else (0, np.ones(3))
-    v = (v - low) / np.where(wide == 0, 1, wide)
-    with open(path, "w") as out:
-        out.write(_head("ascii", v, f))
-        out.writelines("{:g} {:g} {:g}\n".format(*r) for r in v)
-        out.writelines("3 {} {} {}\n".format(*r) for r in f)
+    span = vertices.agg(*(f(c) for c in "xyz" for f in (F.min, F.max))).first()
+    low, high = np.array(span[::2], float), np.array(span[1::2], float)
+    wide = np.where(high > low, high - low, 1.0)
+    line = lambda form, values: "".join(form.format(*r) for r in values.tolist()).encode()
+    _write(path, "ascii", vertices, faces, lambda v: line("{:g} {:g} {:g}\n", (v - low) / wide), lambda f: line("3 {} {} {}\n", f))
 
 
 def write_binary(path: str, vertices: DataFrame, faces: DataFrame) -> None:
-    v, f = _parts(vertices, faces)
-    rows = np.zeros(len(f), [("k", "u1"), ("i", "<u4", 3)])
-    rows["k"], rows["i"] = 3, f
-    with open(path, "wb") as out:
-        out.write(_head("binary", v, f).encode())
-        out.write(v.astype("<f4").tobytes() + rows.tobytes())
+    def face(f: np.ndarray) -> bytes:
+        rows = np.zeros(len(f), [("k", "u1"), ("i", "<u4", 3)])
+        rows["k"], rows["i"] = 3, f
+        return rows.tobytes()
+
+    _write(path, "binary", vertices, faces, lambda v: v.astype("<f4").tobytes(), face)
+
+
+def read_vertices(spark: SparkSession, path: str, each: int = 1 << 20) -> DataFrame:
+    """id, x, y, z of a binary file; tasks read runs of `each` vertices from a path that all of them can open."""
+    with open(path, "rb") as f:
+        head = b""
+        while not head.endswith(b"end_header\n"):
+            line = f.readline()
+            if not line:
+                raise ValueError("no PLY file")
+            head += line
+    lines = head.decode().splitlines()
+    if f"format {_KIND['binary']}" not in lines:
+        raise ValueError("only little-endian binary files can be read")
+    count = next(int(x.split()[2]) for x in lines if x.startswith("element vertex"))
+    start = len(head)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in batch.column("id").to_pylist():
+                with open(path, "rb") as f:
+                    f.seek(start + 12 * first)
+                    v = np.frombuffer(f.read(12 * min(each, count - first)), "<f4").reshape(-1, 3).astype(float)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(v))), *(pa.array(v[:, k].copy()) for k in range(3))], names=["id", "x", "y", "z"])
+
+    ship(spark)
+    return spark.range(0, count, each).mapInArrow(run, "id long, x double, y double, z double")

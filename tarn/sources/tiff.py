@@ -184,17 +184,21 @@ def _block(f: io.BufferedIOBase, m: Meta, block: tuple[int, int, int, int, int,
     return values[: m.height - y, : m.width - x].astype(np.float64)
 
 
+def _image(f: io.BufferedIOBase, m: Meta) -> np.ndarray:
+    out = np.full((m.width, m.height), np.nan)
+    for b in m.blocks:
+        if (v := _block(f, m, b)) is not None:
+            out[b[0] : b[0] + v.shape[1], b[1] : b[1] + v.shape[0]] = v.T
+    if m.gdal_nodata.strip():
+        out[out == float(m.gdal_nodata)] = np.nan
+    return out
+
+
 def read_array(path: str) -> tuple[Meta, np.ndarray]:
     """The whole image, indexed [x, y]; no data is NaN."""
     m = peek(path)
-    out = np.full((m.width, m.height), np.nan)
     with open(path, "rb") as f:
-        for b in m.blocks:
-            if (v := _block(f, m, b)) is not None:
-                out[b[0] : b[0] + v.shape[1], b[1] : b[1] + v.shape[0]] = v.T
-    if m.gdal_nodata.strip():
-        out[out == float(m.gdal_nodata)] = np.nan
-    return m, out
+        return m, _image(f, m)
 
 
 def _pixels(values: np.ndarray, meta: Meta | None, bits: int) -> bytes:
@@ -432,3 +436,13 @@ def zip_save(path: str, fields: dict[str, np.ndarray], meta: Meta | None = None)
     with zipfile.ZipFile(path, "w") as z:
         for name, values in fields.items():
             z.writestr(f"{name}.tiff", encode(values, meta or Meta()))
+
+
+def zip_load(path: str) -> dict[str, np.ndarray]:
+    """The fields of such a file, by name."""
+    out = {}
+    with zipfile.ZipFile(path) as z:
+        for name in z.namelist():
+            f = io.BytesIO(z.read(name))
+            out[name.rsplit(".", 1)[0]] = _image(f, _header(f, name))
+    return out
