@@ -18,8 +18,10 @@ from tarn.plans.state import settled, ship
 
 #: Bytes of fields that every task may get; larger rasters are cut in tiles of so many cells a side.
 FIELD_BYTES, TILE = 256 << 20, 1024
-#: Particles that a task walks at a time.
-PARTICLES = 65536
+#: Particles that a task walks at a time; particles that a tile walks in one task, beyond which it is walked in several.
+PARTICLES, CROWD = 65536, 1 << 20
+#: Rounds whose sums are kept apart before they are added up.
+KEPT_ROUNDS = 8
 
 
 def _uniform(n: np.ndarray, seed: int) -> np.ndarray:
@@ -223,8 +225,15 @@ def _walked_tiled(cells: DataFrame, grid: Grid, walk: Walk, count: int) -> DataF
     schema = "kind int, key long, values array<double>"
     parts, live = [], settled(spark.range(0, count, 1, _parts(cells, count)).mapInArrow(start, schema))
     while live.limit(1).count():
-        done = settled(tiles.groupBy("key").cogroup(live.groupBy("key")).applyInArrow(meet, schema))
+        # Flow gathers particles: a crowded tile goes to several tasks, a tile without particles to none.
+        crowds = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("tasks"))
+        held = tiles.join(crowds, "key").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
+        asked = live.join(crowds, "key").withColumn("task", F.pmod(F.xxhash64("values"), F.col("tasks")).cast("int"))
+        held, asked = held.select("key", "task", "n", *walk.fields), asked.select("key", "task", "values")
+        done = settled(held.groupBy("key", "task").cogroup(asked.groupBy("key", "task")).applyInArrow(meet, schema))
         parts.append(done.where("kind = 0").select(F.col("key").alias("n"), *(F.col("values")[k].alias(c) for k, c in enumerate(walk.names))))
+        if len(parts) > KEPT_ROUNDS:
+            parts = [settled(reduce(DataFrame.unionAll, parts).groupBy("n").agg(*(F.sum(c).alias(c) for c in walk.names)))]
         live = done.where("kind = 1")
     if not parts:
         return spark.createDataFrame([], "n long, " + ", ".join(f"{c} double" for c in walk.names))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 import os
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -17,6 +16,7 @@ from tarn.functions.values import uniform, uniform_sql
 from tarn.operators import flow, raster, sampling, stencil, terrain, transport
 from tarn.plans.erosion import erosion_step
 from tarn.plans.model import Edge, Grid, NoiseParams, Params, with_cells
+from tarn.plans.state import files_folder
 from tarn.sources import tiff
 from tarn.streaming.cells import cell_sums
 
@@ -541,15 +541,13 @@ def _sample_file(folder: str) -> str:
 
 @query("tiff_roundtrip", "SELECT CAST(range AS BIGINT) AS n, CAST(range // 32 AS INTEGER) AS x, CAST(range % 32 AS INTEGER) AS y, CASE WHEN (range // 32 + range % 32) % 7 = 0 THEN NULL ELSE (range // 32) * 100.0::DOUBLE + range % 32 END AS h FROM range(48 * 32)")
 def _tiff(spark, d):
-    with tempfile.TemporaryDirectory() as folder:
-        _, values = tiff.read_array(_sample_file(folder))
+    _, values = tiff.read_array(_sample_file(files_folder(spark)))
     return tiff.from_array(spark, values).select("n", "x", "y", F.when(~F.isnan("h"), F.col("h")).alias("h"))
 
 
 @query("geotiff_meta", "SELECT 'a.tiff' AS filename, 48::BIGINT AS width, 32::BIGINT AS height, 64::BIGINT AS bits, '-9999' AS gdal_nodata, 500.0::DOUBLE AS min_x, -200.0::DOUBLE AS min_y, 1940.0::DOUBLE AS max_x, 120.0::DOUBLE AS max_y")
 def _meta(spark, d):
-    with tempfile.TemporaryDirectory() as folder:
-        return tiff.read_meta(spark, _sample_file(folder)).select("filename", "width", "height", "bits", "gdal_nodata", "min_x", "min_y", "max_x", "max_y")
+    return tiff.read_meta(spark, _sample_file(files_folder(spark))).select("filename", "width", "height", "bits", "gdal_nodata", "min_x", "min_y", "max_x", "max_y")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

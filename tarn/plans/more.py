@@ -15,24 +15,13 @@ from tarn.plans import catalog as c
 from tarn.plans.catalog import NY, _r, query
 from tarn.plans.erosion import erode_levels
 from tarn.plans.model import Grid, Params, constant
-from tarn.plans.state import shared_folder
+from tarn.plans.state import files_folder
 from tarn.sources import images, ply, tiff
 from tarn.streaming.cells import cell_sums, windowed_cell_sums
 
 P = Params()
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder in the shared one; codecs open files by path, so it must be mounted."""
-    shared = shared_folder(spark)
-    path = shared.removeprefix("file://") if shared.startswith("file://") else shared.removeprefix("file:")
-    if "://" in path:
-        raise ValueError("the shared folder must be one that files can be opened in")
-    path = os.path.join(path, f"files-{uuid.uuid4().hex}")
-    os.makedirs(path)
-    return path
-
-
 # ---- particles, step by step in SQL
 
 SAMPLES = 8192
@@ -213,7 +202,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 @query("ply_ascii", f"""WITH v AS (SELECT id, x, y FROM {c._VERTICES}), m AS (SELECT max(x) AS mx, max(y) AS my FROM v), f AS ({c.ORACLE['mesh_faces']})
 SELECT kind, CAST(count(*) AS BIGINT) AS lines FROM (SELECT 'vertex' AS kind FROM v UNION ALL SELECT 'face ' || a || ' ' || b || ' ' || c FROM f) GROUP BY kind""")
 def _ply_ascii(spark, d):
-    path = os.path.join(_folder(spark), "a.ply")
+    path = os.path.join(files_folder(spark), "a.ply")
     ply.write_ascii(path, *raster.mesh(c.holes(spark, d), c.grid_of(spark, d)))
     body = _lines(spark, path).where("value RLIKE '^[-0-9]'")
     kind = F.when(F.col("value").rlike("^3 [0-9]+ [0-9]+ [0-9]+$"), F.concat(F.lit("face "), F.substring("value", 3, 1000))).otherwise(F.lit("vertex"))
@@ -222,13 +211,13 @@ def _ply_ascii(spark, d):
 
 @query("ply_binary", f"SELECT id, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(h AS FLOAT) AS DOUBLE) AS z FROM {c._VERTICES}")
 def _ply_binary(spark, d):
-    path = os.path.join(_folder(spark), "b.ply")
+    path = os.path.join(files_folder(spark), "b.ply")
     ply.write_binary(path, *raster.mesh(c.holes(spark, d), c.grid_of(spark, d)))
     return ply.read_vertices(spark, path)
 
 
 def _raster_file(spark: SparkSession, d: str, compression: int, bits: int = 64) -> str:
-    path = os.path.join(_folder(spark), "orders.tif")
+    path = os.path.join(files_folder(spark), "orders.tif")
     g = c.grid_of(spark, d)
     tiff.write(c.holes(spark, d), path, g.nx, g.ny, tiff.Meta(gdal_nodata="-9999", scale=[30.0, 10.0, 1.0]), bits=bits, rows=16, compression=compression)
     return path
@@ -261,7 +250,7 @@ _TILES = "SELECT 'tile' || (p_partkey % 4) || '.tif' AS file, CAST(p_partkey //
 
 @query("tiff_folder", f"SELECT file, n, h FROM ({_TILES})")
 def _folder_query(spark, d):
-    folder, key = _folder(spark), F.col("p_partkey").cast("long")
+    folder, key = files_folder(spark), F.col("p_partkey").cast("long")
     rows = c._table(spark, d, "part").select(F.concat(F.lit("tile"), key % 4, F.lit(".tif")).alias("file"), F.floor(key / 4).cast("long").alias("n"), F.col("p_retailprice").cast("double").alias("h"))
     tiff.write_folder(rows, folder, 5, bits=64).count()
     return tiff.read(spark, folder).where("NOT isnan(h)").select("file", "n", "h")
@@ -269,7 +258,7 @@ def _folder_query(spark, d):
 
 @query("tiff_limit", "SELECT 'tile' || range || '.tif' AS filename, 6::BIGINT AS width, 4::BIGINT AS height FROM range(3)")
 def _limit(spark, d):
-    folder = _folder(spark)
+    folder = files_folder(spark)
     for k in range(5):
         tiff.write_array(os.path.join(folder, f"tile{k}.tif"), np.ones((6, 4)) * k)
     return tiff.read_meta(spark, folder, 3).select("filename", "width", "height")
@@ -277,7 +266,7 @@ def _limit(spark, d):
 
 @query("zip_fields", "SELECT name, CAST(range AS BIGINT) AS n, CAST(range * k AS DOUBLE) AS h FROM range(48), (VALUES ('a', 1), ('b', 2)) v(name, k)")
 def _zip(spark, d):
-    path, values = os.path.join(_folder(spark), "fields.zip"), np.arange(48.0).reshape(8, 6)
+    path, values = os.path.join(files_folder(spark), "fields.zip"), np.arange(48.0).reshape(8, 6)
     tiff.zip_save(path, {"a": values, "b": values * 2})
     return reduce_union([tiff.from_array(spark, v).select(F.lit(k).alias("name"), "n", "h") for k, v in sorted(tiff.zip_load(path).items())])
 
@@ -291,7 +280,7 @@ def reduce_union(frames: list[DataFrame]) -> DataFrame:
 
 @query("png_uplift", "SELECT CAST(range AS BIGINT) AS n, CAST(range // 9 AS INTEGER) AS x, CAST(range % 9 AS INTEGER) AS y, round((range % 9 * 20 + range // 9) / 255.0::DOUBLE, 9) AS h FROM range(12 * 9)")
 def _png(spark, d):
-    path = os.path.join(_folder(spark), "u.png")
+    path = os.path.join(files_folder(spark), "u.png")
     x, y = np.indices((12, 9))
     images.write_png(path, np.stack([y * 20 + x, x, y], axis=2).astype(np.uint8))
     return images.read_red(spark, f"file://{path}").select("n", "x", "y", *_r("h", digits=9))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import importlib.util
+import os
 import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -50,8 +52,15 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def fewer(df: DataFrame, per_core: int, per_task: int) -> DataFrame:
-    return packed(df)
+def files_folder(spark: SparkSession) -> str:
+    """A new folder in the shared one; codecs open files by path, so it must be mounted."""
+    shared = shared_folder(spark)
+    path = shared.removeprefix("file://") if shared.startswith("file://") else shared.removeprefix("file:")
+    if "://" in path:
+        raise ValueError("the shared folder must be one that files can be opened in")
+    path = os.path.join(path, f"files-{uuid.uuid4().hex}")
+    os.makedirs(path)
+    return path
 
 
 def packed(df: DataFrame) -> DataFrame:

@@ -44,6 +44,7 @@ def test_tiles_give_the_same(spark, monkeypatch):
     whole = [f().orderBy("n").collect() for f in runs]
     monkeypatch.setattr(transport, "FIELD_BYTES", 10)
     monkeypatch.setattr(transport, "TILE", 5)
+    monkeypatch.setattr(transport, "CROWD", 100)
     for f, want in zip(runs, whole, strict=True):
         for a, b in zip(f().orderBy("n").collect(), want, strict=True):
             assert list(a) == pytest.approx(list(b), rel=1e-9, nan_ok=True)
