@@ -22,11 +22,14 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 @dataclass(frozen=True)
 class Cuts:
-    """Sizes in bytes; `bits` bits of the rolling hash must be zero at a cut. `least_run` is what is worth removing."""
+    """Sizes in bytes; `bits` bits of the rolling hash must be zero at a cut, `tight_bits` within a gap of `gap` bytes
+    without one. `least_run` is what is worth removing."""
 
     smallest: int = 16
     largest: int = 1024
     bits: int = 2
+    gap: int = 256
+    tight_bits: int = 5
     least_run: int = 96
     seed: int = 8
 
@@ -47,17 +50,28 @@ def gear(buf: np.ndarray, cuts: Cuts) -> np.ndarray:
 def cut(texts: list[bytes], cuts: Cuts = Cuts()) -> Iterator[tuple[int, int, int]]:
     """(text, start, end) of each chunk, in order; chunks cover every text.
 
-    A chunk may end before a word where the top bits of the hash are zero, once it has `smallest` bytes; at `largest`
-    bytes it ends at the next character. So cuts depend on the 16 bytes before them, and an insertion only moves the
-    cuts near it.
+    A chunk may end before a word where the top bits of the hash are zero, once it has `smallest` bytes. In a gap of
+    over `gap` bytes between such places, as text without spaces has them, it may end before any character where
+    `tight_bits` are zero. So cuts depend on the bytes near them, and an insertion only moves the cuts near it. Only
+    where a text has neither, such as one character over and over, chunks end after `largest` bytes.
     """
     buf = np.frombuffer(b"".join(texts), np.uint8)
     if not len(buf):
         return
-    may = (gear(buf, cuts) >> np.uint16(16 - cuts.bits)) == 0
+    h = gear(buf, cuts)
+    may = (h >> np.uint16(16 - cuts.bits)) == 0
     may &= _SPACE[buf]
     may[:-1] &= ~_SPACE[buf[1:]]
     points = np.flatnonzero(may) + 1
+    ends = np.cumsum([len(t) for t in texts])
+    stops = np.union1d(points, ends)
+    wide = np.flatnonzero(np.diff(stops, prepend=0) > cuts.gap)
+    if len(wide):
+        tight = (h >> np.uint16(16 - cuts.tight_bits)) == 0
+        tight[:-1] &= (buf[1:] & 0xC0) != 0x80
+        tight = np.flatnonzero(tight) + 1
+        inside = np.searchsorted(stops, tight)  # the gap that each lies in
+        points = np.union1d(points, tight[np.isin(inside, wide)])
     base = 0
     for t, text in enumerate(texts):
         n = len(text)
@@ -120,8 +134,8 @@ def _runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in joined if b - a >= least]
 
 
-def dedup(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents' columns with the text that is left, plus n_bytes, n_removed, n_spans, spans (byte offsets).
+def dedup(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col: str = "text", into: str = "dedup") -> DataFrame:
+    """The documents' columns with the text that is left, and one struct: n_bytes, n_removed, n_spans, spans (byte offsets).
 
     Texts are cut into chunks by content, and chunks are compared by 96 bits of a digest. Each chunk belongs to the
     smallest doc_id that has it; in all others it is a repeat. Runs of neighbouring repeats of at least `least_run`
@@ -130,46 +144,51 @@ def dedup(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col
     The smallest id of a digest is found by partial sums before the shuffle, so a passage that a third of the
     documents share costs each task one row; where its chunks are looked up, the join may split its rows.
 
-    A null text counts as empty and stays null; rows with a null id lose nothing and own nothing. Repeated rows (equal
-    ids) own their chunks together and stay. An empty table gives an empty result. Other columns are kept; columns
-    called n_bytes, n_removed, n_spans or spans are replaced.
+    A null text counts as empty and stays null; very long texts are cut a slice at a time, but one text is held whole.
+    Rows with a null id lose nothing and own nothing. Repeated rows (equal ids) own their chunks together and stay.
+    An empty table gives an empty result. All other columns are kept, whatever their names; if one is called `into`,
+    the struct's name gets underscores until it is free.
     """
-    own = ["n_bytes", "n_removed", "n_spans", "spans"]
     ship(docs.sparkSession)
-    kept = [c for c in docs.columns if c not in own]
-    rows = docs.select(*kept)
-    chunks = chunk_table(rows, cuts, id_col, text_col)
+    while into.lower() in {c.lower() for c in docs.columns}:
+        into += "_"
+    chunks = chunk_table(docs, cuts, id_col, text_col)
     owners = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "owner")
-    repeats = chunks.join(settled(owners), ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("__repeats")).withColumnRenamed("doc_id", "__repeats_of")
-    inner = rows.join(repeats, F.col(id_col).cast("long") == F.col("__repeats_of"), "left").drop("__repeats_of")
-    names = rows.columns
-    place = {c: i for i, c in enumerate(names)}
+    repeats = chunks.join(settled(owners), ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("repeats"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"))
+    inner = rows.join(repeats, "doc_id", "left").select("row", "repeats")
+    names, place = docs.columns, docs.columns.index(text_col)
+    fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            row = batch.column(0)
+            columns = row.flatten()
             texts, sizes, removed, counts, spans = [], [], [], [], []
-            for text, found in zip(batch.column(place[text_col]), batch.column(len(names)), strict=True):
+            for text, found in zip(columns[place], batch.column(1), strict=True):
                 text, found = text.as_py(), found.as_py()
-                raw = (text or "").encode()
+                raw = (str(text) if text is not None else "").encode()
                 runs = _runs([(x["at"], x["size"]) for x in found], cuts.least_run) if found else []
                 if runs:
                     edges = [0, *(p for r in runs for p in r), len(raw)]
-                    text = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
-                texts.append(text)
+                    raw_left = b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                    text = raw_left.decode()
+                texts.append(None if text is None else str(text))
                 sizes.append(len(raw))
                 removed.append(sum(b - a for a, b in runs))
                 counts.append(len(runs))
                 spans.append([{"a": a, "b": b} for a, b in runs])
-            columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(place[c]) for c in names]
-            columns += [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*names, *own])
+            columns[place] = pa.array(texts, pa.string())
+            found = [pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))]
+            found = pa.StructArray.from_arrays(found, names=["n_bytes", "n_removed", "n_spans", "spans"])
+            yield pa.RecordBatch.from_arrays([*columns, found], names=[*names, into])
 
-    fields = [T.StructField(c, T.StringType()) if c == text_col else rows.schema[c] for c in names]
     span = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    return inner.mapInArrow(run, T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in own[:3]), T.StructField("spans", span)]))
+    result = T.StructType([*(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("spans", span)])
+    return inner.mapInArrow(run, T.StructType([*fields, T.StructField(into, result)]))
 
 
 def op8_gear_chunk_dedup(spark, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = dedup(docs)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), "text")
+    return out.select("doc_id", "dedup.n_bytes", "dedup.n_removed", "dedup.n_spans", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), "text")

@@ -322,7 +322,8 @@ def score(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text_col:
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 of the text's probability),
     code_length (bits a byte of what the tree reads).
 
-    Null and empty texts have one token, the end. A null id counts as training. Repeated rows are scored and counted
+    Null and empty texts have one token, the end; a very long one is held whole. Grams and tokens of equal count are
+    kept at hand together or not at all, which changes no score. A null id counts as training. Repeated rows are scored and counted
     one by one. An empty table gives an empty result; without training rows all bytes are equally likely and the
     base score is 0. Other columns are ignored.
     """

@@ -161,7 +161,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, most: int = 4, id_col: str
 
     Returns doc_id, fp (signed long), component_id (the smallest doc_id reachable, itself included).
 
-    Null texts count as empty, and all texts without words are linked to each other. Rows with a null id get a
+    Null texts count as empty, and all texts without words are linked to each other. A very long text is held whole,
+    its shingles' bits a slice at a time. Rows with a null id get a
     component but never name one; repeated rows get equal results. An empty table gives an empty result. Other
     columns are ignored.
     """

@@ -169,29 +169,98 @@ def test_chunks_cover_and_resist_insertions():
     assert b"".join(long[x:y].decode().encode() for _, x, y in chunks.cut([long], cuts)) == long
 
 
-def test_chunk_dedup(odd):
-    cuts = chunks.Cuts()
-    rows = rows_of(odd)
+def plain_cuts(text, cuts):
+    """The chunks of one text, byte by byte."""
+    table, n = np.random.default_rng(cuts.seed).integers(0, 1 << 16, 256, np.uint16).tolist(), len(text)
+
+    def zero(end, bits):  # the rolling hash after byte end - 1, of the batch's last 16 bytes
+        h = 0
+        for c in text[max(0, end - 16) : end]:
+            h = (2 * h + table[c]) % 65536
+        return h >> (16 - bits) == 0
+
+    space = b" \t\n\x0b\x0c\r"
+    words = [p for p in range(1, n) if text[p - 1] in space and text[p] not in space and zero(p, cuts.bits)]
+    points = list(words)
+    for a, b in zip([0, *words], [*words, n], strict=True):
+        if b - a > cuts.gap:
+            points += [p for p in range(a + 1, b) if text[p] & 0xC0 != 0x80 and zero(p, cuts.tight_bits)]
+    out, start = [], 0
+    for p in [*sorted(set(points)), n]:
+        while p - start > cuts.largest:
+            end = start + cuts.largest
+            while end < p and text[end] & 0xC0 == 0x80:
+                end += 1
+            out.append((start, end))
+            start = end
+        if start < p and (p - start >= cuts.smallest or p == n):
+            out.append((start, p))
+            start = p
+    return out
+
+
+def plain_chunk_dedup(rows, cuts):
+    """(id, text, bytes, removed, runs): what is left of each text, found with dictionaries of whole chunks."""
     texts = [(t or "").encode() for _, t in rows]
-    owner, found = {}, defaultdict(list)
-    pieces = [(rows[t][0], t, x, y) for t, x, y in chunks.cut(texts, cuts)]
-    for i, t, x, y in pieces:
+    parts = [plain_cuts(t, cuts) for t in texts]
+    owner = {}
+    for (i, _), t, own in zip(rows, texts, parts, strict=True):
         if i is not None:
-            owner[texts[t][x:y]] = min(owner.get(texts[t][x:y], i), i)
-    for i, t, x, y in pieces:
-        if i is not None and owner[texts[t][x:y]] < i:
-            found[t].append((x, y - x))
-    want = []
-    for t, (i, text) in enumerate(rows):
-        runs = chunks._runs(found[t], cuts.least_run)
-        edges = [0, *(p for r in runs for p in r), len(texts[t])]
-        left = b"".join(texts[t][a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
-        want.append((i, left if text is not None else None, sum(b - a for a, b in runs), len(runs)))
-    got = [(r["doc_id"], r["text"], r["n_removed"], r["n_spans"]) for r in chunks.dedup(odd).collect()]
-    assert sorted(got, key=str) == sorted(want, key=str)
-    assert sum(w[2] for w in want) > 1000
+            for a, b in own:
+                owner[t[a:b]] = min(owner.get(t[a:b], i), i)
+    out = []
+    for (i, text), t, own in zip(rows, texts, parts, strict=True):
+        gone = bytearray(len(t))
+        if i is not None:
+            for a, b in own:
+                if owner[t[a:b]] < i:
+                    gone[a:b] = b"\1" * (b - a)
+        runs, a = [], 0
+        while a < len(t):
+            b = a
+            while b < len(t) and gone[b] == gone[a]:
+                b += 1
+            if gone[a] and b - a >= cuts.least_run:
+                runs.append((a, b))
+            a = b
+        left = b"".join(t[k : k + 1] for k in range(len(t)) if not any(a <= k < b for a, b in runs)) if runs else t
+        out.append((i, None if text is None else left.decode(), len(t), sum(b - a for a, b in runs), len(runs)))
+    return sorted(out, key=str)
+
+
+def test_cuts_equal_the_rules():
+    r = np.random.default_rng(9)
+    for text in [bytes(r.choice(list(b"abc  "), 1500)), "日本語の文字列は続く。".encode() * 60, bytes(r.integers(97, 123, 3000, np.uint8)), b"x" * 3000, b"ab " * 300, b"", b"a"]:
+        assert [(a, b) for _, a, b in chunks.cut([text])] == plain_cuts(text, chunks.Cuts())
+
+
+def test_unspaced_passages_are_found(spark):
+    r = np.random.default_rng(10)
+    letters = [chr(c) for c in range(0x4E00, 0x4F00)]
+    passage = "".join(r.choice(letters, 600))
+    rows = [(k, "".join(r.choice(letters, 200 + 37 * k)) + passage + "".join(r.choice(letters, 300))) for k in range(4)]
+    got = {x["doc_id"]: x["dedup"]["n_removed"] for x in chunks.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0] == 0 and all(got[k] > 0.7 * 1800 for k in (1, 2, 3))
+
+
+def test_chunk_dedup(odd):
+    want = plain_chunk_dedup(rows_of(odd), chunks.Cuts())
+    got = [(r["doc_id"], r["text"], r["dedup"]["n_bytes"], r["dedup"]["n_removed"], r["dedup"]["n_spans"]) for r in chunks.dedup(odd).collect()]
+    assert sorted(got, key=str) == want
+    assert sum(w[3] for w in want) > 1000
+
+
+def test_chunk_dedup_of_the_corpus(spark, data):
+    rows = [(i, t) for i, t in rows_of(spark.read.parquet(f"{data}/documents.parquet"))]
+    got = [(r["doc_id"], r["text"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in chunks.op8_gear_chunk_dedup(spark, data).collect()]
+    assert sorted(got, key=str) == plain_chunk_dedup(rows, chunks.Cuts())
 
 
-def test_chunk_dedup_keeps_columns(odd, empty):
-    assert set(odd.columns) <= set(chunks.dedup(odd).columns)
+def test_chunk_dedup_keeps_columns(spark, odd, empty):
+    out = chunks.dedup(odd)
+    assert out.columns == [*odd.columns, "dedup"]
+    assert sorted(map(str, out.drop("dedup", "text").collect())) == sorted(map(str, odd.drop("text").collect()))
     assert chunks.dedup(empty).count() == 0
+    row = spark.createDataFrame([(1, "some text", 7, "x", 8, "y")], "doc_id long, text string, n_bytes long, __repeats_of string, row int, dedup string")
+    got = chunks.dedup(row).first()
+    assert got.asDict()["n_bytes"] == 7 and got["__repeats_of"] == "x" and got["dedup"] == "y" and got["dedup_"]["n_bytes"] == 9
