@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,11 +13,18 @@ from tarn.llm.common import SPACES, WORD, documents, words
 SYMBOLS = "#*$%&|<>"
 #: What a line may end with.
 ENDS = ".!?:;\"')]…。»”"
-#: Stock phrases of web pages, in lower case; licence notes are left alone.
-BOILERPLATE = (
-    "all rights reserved|terms of (use|service)|privacy policy|cookie policy|use of cookies|accept cookies|enable javascript|javascript is disabled"
-    "|click here|read more|sign in|log in|sign up|subscribe to our|share this|back to top|skip to content|powered by"
-)
+#: Stock phrases of web pages in English, German, French and Spanish, in lower case, as text to be found within a
+#: line; licence notes are left alone. Fixed values; LineRules takes others.
+PHRASES = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie policy", "use of cookies", "accept cookies", "enable javascript",
+    "javascript is disabled", "click here", "read more", "sign in", "log in", "sign up", "subscribe to our", "share this", "back to top", "skip to content", "powered by",
+    "alle rechte vorbehalten", "nutzungsbedingungen", "datenschutzerklärung", "verwendung von cookies", "cookies akzeptieren", "javascript ist deaktiviert", "hier klicken",
+    "weiterlesen", "jetzt anmelden", "newsletter abonnieren", "nach oben", "zum inhalt springen",
+    "tous droits réservés", "conditions d'utilisation", "politique de confidentialité", "utilisation de cookies", "accepter les cookies", "javascript est désactivé", "cliquez ici",
+    "lire la suite", "se connecter", "abonnez-vous", "haut de page", "aller au contenu",
+    "todos los derechos reservados", "términos de uso", "política de privacidad", "uso de cookies", "aceptar cookies", "javascript está desactivado", "haga clic aquí",
+    "leer más", "iniciar sesión", "suscríbase", "volver arriba", "saltar al contenido",
+)
 
 
 @dataclass(frozen=True)
@@ -31,6 +39,7 @@ class LineRules:
     short_line: int = 4
     boilerplate_words: int = 30
     max_loss: float = 0.5
+    phrases: tuple[str, ...] = PHRASES
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -42,7 +51,7 @@ def measured(line: Column) -> Column:
     end = F.right(F.rtrim(F.translate(line, SPACES, " " * len(SPACES))), F.lit(1))
     return F.struct(
         line.alias("text"), _count(line, WORD).alias("n"), _count(line, r"[!?#*$%&|<>~=_]{2,}").alias("noisy"), _count(line, r"[|»›•>]").alias("marks"),
-        F.position(end, F.lit(ENDS)).alias("ended"),
+        F.position(end, F.lit(ENDS)).alias("ended"), F.lower(line).alias("low"),
     )
 
 
@@ -57,7 +66,7 @@ def line_fails(line: Column, rules: LineRules) -> Column:
     noisy = line["noisy"] > n * rules.noisy_share
     open_ended = (line["ended"] == 0) & ((n < rules.short_line) | ~line["text"].rlike(r"[.!?]"))
     menu = (marks >= rules.menu_marks) & (marks > n * rules.menu_share)
-    stock = (n <= rules.boilerplate_words) & F.lower(line["text"]).rlike(BOILERPLATE)
+    stock = (n <= rules.boilerplate_words) & reduce(lambda a, b: a | b, (line["low"].contains(p) for p in rules.phrases), F.lit(False))
     return (n > 0) & (noisy | open_ended | menu | stock)
 
 
@@ -79,7 +88,12 @@ def clean_lines(docs: DataFrame, rules: LineRules = LineRules(), id_col: str = "
     more = ["doc"] if carry else []
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), *([F.struct(*docs.columns).alias("doc")] if carry else [])).withColumn("w", words(F.col("text"))).withColumn("lines", F.transform(F.split("text", "\n"), measured))
     n = F.size("w")
-    window = F.transform(F.sequence(F.lit(0), n - 5), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(5))))
+    # Each word is hashed once; a window's hash comes of its words' hashes, by arrays that begin one word later each.
+    each, count = F.col("words"), n - 4
+    window = F.slice(each, 1, count)
+    for k in range(1, 5):
+        window = F.zip_with(window, F.slice(each, k + 1, count), lambda a, b: F.xxhash64(a, b))
+    rows = rows.withColumn("words", F.transform("w", lambda x: F.xxhash64(x)))
     rows = rows.select(
         *more, "doc_id", "text", n.cast("long").alias("n_words"),
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -122,8 +136,9 @@ _LINE = {
 
 def decided_sql(table: str) -> str:
     """SQL for every column of the query over a table of documents."""
+    stock = "|".join(PHRASES).replace("'", "''")
     n, noisy, marks, ends = (_LINE[k] for k in ("n", "noisy", "marks", "ends"))
-    fails = f"({n} > 0 AND ({noisy} > {n} * 0.3 OR (NOT {ends} AND ({n} < 4 OR NOT regexp_matches(x, '[.!?]'))) OR ({marks} >= 3 AND {marks} > {n} * 0.2) OR ({n} <= 30 AND regexp_matches(lower(x), '{BOILERPLATE}'))))"
+    fails = f"({n} > 0 AND ({noisy} > {n} * 0.3 OR (NOT {ends} AND ({n} < 4 OR NOT regexp_matches(x, '[.!?]'))) OR ({marks} >= 3 AND {marks} > {n} * 0.2) OR ({n} <= 30 AND regexp_matches(lower(x), '{stock}'))))"
     bare = lambda x: f"length(translate({x}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))"
     return rf"""
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
