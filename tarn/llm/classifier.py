@@ -178,7 +178,8 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, id_col: str =
 def score(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score (0 to 1) of every whole text, in one pass without a shuffle.
 
-    Null and empty texts have all features zero and are scored like any other. Repeated rows get equal scores; null
+    Null and empty texts have all features zero and are scored like any other; a very long text is held whole. A value
+    on the edge of two bins is in the upper one. Repeated rows get equal scores; null
     ids pass through; an empty table gives an empty result. Other columns are ignored. A model without training rows
     gives 0.5.
     """

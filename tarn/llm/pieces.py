@@ -92,7 +92,8 @@ class Encoder:
         lists = [self.units.findall(" " + t.replace(SPACE, " ")) if t else [] for t in texts]
         if len(self.kept) > KEPT:
             self.kept = {}
-        new = list({u for x in lists for u in x if u not in self.kept})
+        whole = {u: self._long(u) for x in lists for u in x if len(u) > INDEXED}
+        new = list({u for x in lists for u in x if u not in self.kept and u not in whole})
         begin = 0
         while begin < len(new):
             end, held = begin, 0
@@ -102,8 +103,38 @@ class Encoder:
             self.kept.update(zip(new[begin:end], self._encode(new[begin:end]), strict=True))
             begin = end
         get = self.kept.__getitem__
+        if whole:
+            return [np.frombuffer(b"".join(whole[u] if u in whole else get(u) for u in x), self.kind) for x in lists]
         return [np.frombuffer(b"".join(map(get, x)), self.kind) for x in lists]
 
+    def _long(self, unit: str) -> bytes:
+        """A unit longer than what is indexed at once, a window at a time.
+
+        No symbol ever reaches over a place that no piece of two or more characters covers, so what lies between
+        such places is encoded alone. Where a window has none, as one character over and over, it is doubled.
+        """
+        out, begin, size = [], 0, INDEXED
+        while begin < len(unit):
+            end = min(len(unit), begin + size)
+            free = self._free(unit[begin : end + self.longest])
+            free = [p for p in free.tolist() if begin + p < end] + [end - begin] * (end == len(unit))
+            if not free:
+                size *= 2
+                continue
+            out += self._encode([unit[begin + a : begin + b] for a, b in zip([0, *free], free, strict=False)])
+            begin, size = begin + free[-1], INDEXED
+        return b"".join(out)
+
+    def _free(self, text: str) -> np.ndarray:
+        """The places within the text that no piece of two or more characters covers."""
+        code = self.code[np.frombuffer(text.replace(" ", SPACE).encode("utf-32-le"), np.uint32)]
+        edges = self._edges(code, len(code) - np.arange(len(code))).reshape(len(code), -1)
+        start, length = np.nonzero(edges[:, 2:] >= 0)
+        over = np.zeros(len(code) + self.longest + 2, np.int64)
+        np.add.at(over, start + 1, 1)
+        np.add.at(over, start + length + 2, -1)
+        return np.flatnonzero(np.cumsum(over)[: len(code)] == 0)[1:]
+
     def _encode(self, units: list[str]) -> list[bytes]:
         text = "\0".join(units).replace(" ", SPACE) + "\0"
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
@@ -271,7 +302,8 @@ def encode(docs: DataFrame, model: str = MODEL, id_col: str = "doc_id", text_col
     """doc_id, ids (the pieces of the whole text) and exact (whether decoding gives the text back).
 
     The model's file is read on the driver; tasks get its pieces. Ids equal those of the SentencePiece library. A text
-    with U+2581 itself isn't exact, as the model writes spaces that way. Null and empty texts have no ids. Each row is
+    with U+2581 itself isn't exact, as the model writes spaces that way. Null and empty texts have no ids. A very long
+    text is held whole, but a long run without spaces is indexed a window at a time. Each row is
     encoded alone, without a shuffle: repeated rows get equal ids, null ids of rows pass through, an empty table gives
     an empty result. Other columns are ignored.
     """

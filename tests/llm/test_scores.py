@@ -1,7 +1,10 @@
 import math
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -111,6 +114,19 @@ def test_tree_equals_the_definition(depth):
         assert tree.score([t])[0] == pytest.approx(plain(t), rel=1e-5)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 4])
+def test_scores_equal_the_definition(spark, depth):
+    """The whole operator, over held-out and training rows, against the recursion."""
+    rows = [(k, t) for k, t in enumerate(["abra cadabra", "Abracadabra  abra", "", None, "cab ab", "the cat sat", "é über", "a\nb\tc", "abra cadabra", "cat cab abra", "zz top", "a", "b a b a", "no"])]
+    joined = {i: b" ".join(ctw.tokens((t or "").encode())) for i, t in rows}
+    train = [x for i, x in joined.items() if zlib.crc32(str(i).encode()) % 10]
+    assert len(train) < len(rows)
+    plain = plain_tree(train, depth)
+    for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), depth).collect():
+        assert r["score"] == pytest.approx(plain(joined[r["doc_id"]]), rel=1e-6)
+        assert r["code_length"] == pytest.approx(-plain(joined[r["doc_id"]]) * math.log2(10) / (len(joined[r["doc_id"]]) + 1), rel=1e-6)
+
+
 def test_tree_is_a_distribution():
     tree = fitted([b"the cat sat on the mat", b"a cat"], 3)
     np.testing.assert_allclose((10.0 ** tree.log10.astype(float)).sum(axis=1), 1, rtol=1e-5)
@@ -145,6 +161,56 @@ def test_classifier_on_odd_rows(spark, odd, empty):
     assert [r["score"] for r in classifier.score(odd, classifier.train(odd, labels)).orderBy("doc_id", "score").collect()] == [r["score"] for r in classifier.score(odd, model).orderBy("doc_id", "score").collect()]
 
 
+def plain_features(text):
+    """The features by their meaning, with strings and loops."""
+    b = (text or "").encode()
+    w = [x for x in re.split(rb"[ \t\n\x0b\x0c\r]+", b) if x]
+    if not w:
+        return dict.fromkeys(classifier.FEATURES, 0.0)
+    n, size = len(w), len(b)
+    count = lambda chars: sum(b.count(bytes([x])) for x in chars)
+    upper, lower = sum(65 <= x <= 90 for x in b), sum(97 <= x <= 122 for x in b)
+    lines = [x for x in b.split(b"\n") if x.strip()]
+    mean = sum(map(len, w)) / n
+    marks = set(b"!#$%&*+/<=>@\\^_`{|}~")
+    return {
+        "log_words": math.log(1 + n), "word_bytes": mean, "upper": upper / max(1, upper + lower), "digits": sum(48 <= x <= 57 for x in b) / size,
+        "symbols": count(b"#*$%&<>") / n, "bangs": count(b"!") / n, "bars": count(b"|") / n, "ends": count(b".?") / n, "commas": count(b",") / n,
+        "distinct": len(set(w)) / n, "echoes": sum(x == y for x, y in zip(w, w[1:], strict=False)) / n, "top_word": max(Counter(w).values()) / n,
+        "same_lines": 1 - len(set(lines)) / len(lines), "line_words": n / len(lines), "ended_lines": sum(x.rstrip()[-1:] in (b".", b"!", b"?") for x in lines) / len(lines),
+        "beyond_ascii": sum(x > 127 for x in b) / size, "short_words": sum(len(x) <= 3 for x in w) / n, "marked_words": sum(x[-1] in marks for x in w) / n,
+        "deviation": math.sqrt(sum((len(x) - mean) ** 2 for x in w) / n),
+    }
+
+
+def test_scores_equal_plain_sums(spark, odd):
+    """Every document's score from its text and the model's tables, term by term."""
+    docs = documents(spark, "/root/testdata/sf0.001")
+    model = classifier.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    for rows in (docs, odd):
+        texts = sorted(((str(r["doc_id"]), r["text"]) for r in rows.select("doc_id", "text").collect()), key=str)
+        want = []
+        for i, t in texts:
+            x = plain_features(t)
+            at = [sum(e <= x[f] + 1e-12 for e in edges) for f, edges in zip(classifier.FEATURES, model.edges, strict=True)]
+            total = model.base + sum(table[k] for table, k in zip(model.single, at, strict=True)) + sum(table[at[f], at[g]] for f, g, table in model.pairs)
+            want.append((i, 1 / (1 + math.exp(-total))))
+        got = sorted((str(r["doc_id"]), r["score"]) for r in classifier.score(rows, model).collect())
+        off = sum(abs(a - b) > 1e-9 for (_, a), (_, b) in zip(got, sorted(want), strict=True))
+        assert off <= len(want) // 100  # a value on an edge may round to either side
+
+
+def test_each_tree_is_the_best_step():
+    """Two leaves: the cut of the greatest gain among all; four: each further cut the best of what is left."""
+    r = np.random.default_rng(3)
+    g, h = r.normal(size=12), r.random(12) + 0.1
+    worth = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+    m = max(range(1, 12), key=lambda k: worth(0, k) + worth(k, 12))
+    want = np.concatenate((np.full(m, g[:m].sum() / (h[:m].sum() + 1)), np.full(12 - m, g[m:].sum() / (h[m:].sum() + 1))))
+    np.testing.assert_allclose(classifier._steps(g, h, 2), want)
+    assert len(set(classifier._steps(g, h, 4))) == 4
+
+
 def test_scores_are_sums_of_tables():
     r = np.random.default_rng(0)
     x = r.random((400, len(classifier.FEATURES)))
@@ -184,5 +250,32 @@ def test_small_indexes_and_long_units(monkeypatch):
     assert [x.tolist() for x in encoder.encode(texts)] == [model.encode(t) for t in texts]
 
 
+def test_windows_of_a_long_unit(monkeypatch):
+    monkeypatch.setattr(pieces, "INDEXED", 60)
+    encoder, model = pieces.Encoder(pieces.Vocabulary.load(pieces.MODEL)), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    r = np.random.default_rng(4)
+    letters = list("abcdefghijklmnopqrstuvwxyzABCDEFGH0123456789+/")
+    texts = ["".join(r.choice(letters, 2000)), "日本語の文字列" * 40, "a" * 500, "ab" * 300 + "".join(r.choice(letters, 300)), "x" * 100 + " word " + "".join(r.choice(letters, 500)) + " end"]
+    assert [x.tolist() for x in encoder.encode(texts)] == [model.encode(t) for t in texts]
+
+
+def test_memory_of_a_long_unit():
+    """Four million characters without a space, in a process of its own: the index never holds more than a window."""
+    code = """
+import resource, sys
+import numpy as np
+from tarn.llm import pieces
+encoder = pieces.Encoder(pieces.Vocabulary.load(pieces.MODEL))
+encoder.encode(["warm up"])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = np.random.default_rng(1).integers(97, 123, 4_000_000, np.uint8).tobytes().decode()
+ids = encoder.encode([text])[0]
+assert pieces.Decoder(encoder.v).decode(ids.tolist()) == text
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+    grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout)
+    assert grown < 800
+
+
 def test_pieces_of_nothing(empty):
     assert pieces.encode(empty).count() == 0
