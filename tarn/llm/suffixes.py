@@ -15,8 +15,8 @@ from tarn.llm.common import documents, packed, settled, ship
 
 #: Bytes of a string, and of the gram in it that places it.
 LENGTH, GRAM = 50, 20
-#: Bytes of text of a page, of a slice of it, and documents that splitters are sampled from.
-PAGE, SLICE, SAMPLED = 4 << 20, 1 << 20, 2000
+#: Bytes of text of a page, of a slice of it; documents that splitters are sampled from, and anchors of a slice of them.
+PAGE, SLICE, SAMPLED, DRAWN = 4 << 20, 1 << 20, 2000, 8192
 
 
 def _words(buf: np.ndarray) -> np.ndarray:
@@ -90,7 +90,9 @@ class Anchored:
         # 48 bits of each anchor's gram, hashed anew: least hashes are small, and would crowd into the first buckets.
         mixed = h[self.anchor] * np.uint64(0x9FB21C651E98DF25)
         self.keys = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
-        self.lead = self.words[self.anchor]
+        # The gram itself, by which suffixes are dealt; it lies within the text, as its string does.
+        grams = np.lib.stride_tricks.sliding_window_view(np.concatenate((self.buf, np.zeros(GRAM, np.uint8))), GRAM)
+        self.lead = np.ascontiguousarray(grams[self.anchor]).view(f"S{GRAM}").ravel()
         del self.words
 
 
@@ -244,9 +246,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     and packed; buckets of hash ranges say which are in two or more pages. (2) For those, and for grams in two or more
     documents of the page, each page sends suffixes: the run of strings around an anchor, of equal runs only the
     earliest, as the page settles later ones itself. So what the most frequent passage sends grows with pages, not
-    documents. Sampled splitters range-partition the suffixes by their first eight bytes. (3) Each bucket sorts its
-    suffixes by multikey quicksort and compares neighbours that share a gram; equal suffixes never straddle buckets.
-    (4) Pages join the spans. The page table is shuffled once and read three times.
+    documents. Sampled splitters range-partition the suffixes by their whole first gram, so a lead that many grams share
+    is spread over buckets. (3) Each bucket sorts its suffixes by multikey quicksort and compares neighbours that
+    share a gram. Splitters stand between grams, so suffixes on either side of a bucket's boundary differ within
+    the first 20 bytes and have no string in common around their anchors. (4) Pages join the spans. The page table is
+    shuffled once and read three times. A page writes at most one value for each of its anchors, so what is written
+    grows with the text however many buckets there are.
+
+    A very long text is cut into slices; no string is in two of them. Ties: of equal strings the smallest id keeps its own.
 
     Null and empty texts lose nothing, nor do texts under 50 bytes. Rows with a null id lose nothing and take nothing
     from others. Repeated ids never take from each other. An empty table gives an empty result. Other columns are
@@ -270,11 +277,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, a in _split([x.as_py() for x in batch.column("text")]):
-                yield pa.RecordBatch.from_arrays([pa.array(a.lead[::16].copy().view(np.int64))], names=["word"])
+                lead = a.lead[:: max(1, len(a.lead) // DRAWN)].tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(lead, pa.binary())], names=["gram"])
 
-    drawn = named.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).select("text").mapInArrow(sample, "word long").toArrow()
-    drawn = np.sort(drawn.column("word").to_numpy().astype(np.int64).view(np.uint64))
-    splitters = np.unique(drawn[np.linspace(0, len(drawn) - 1, buckets + 1)[1:-1].astype(int)]) if len(drawn) and buckets > 1 else np.zeros(0, np.uint64)
+    drawn = named.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(every)) == 0).select("text").mapInArrow(sample, "gram binary").toArrow()
+    drawn = np.sort(np.array(drawn.column("gram").to_pylist(), f"S{GRAM}"))
+    splitters = np.unique(drawn[np.linspace(0, len(drawn) - 1, buckets + 1)[1:-1].astype(int)]) if len(drawn) and buckets > 1 else np.zeros(0, f"S{GRAM}")
 
     def listed(left: pa.Table, right: pa.Table) -> pa.Table:
         number, bucket, data = [], [], []
