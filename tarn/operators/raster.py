@@ -114,7 +114,14 @@ def mesh(raster: DataFrame, grid: Grid, v: str = "h", center: bool = False) -> t
     return vertices, faces
 
 
+#: Rows of the grid whose counts are summed in one task.
+NUMBERED = 4096
+
+
 def _numbered(rows: DataFrame, i: Column, j: Column) -> DataFrame:
-    counts = rows.groupBy(i.alias("i")).agg(F.count(F.lit(1)).alias("k"))
-    before = counts.select("i", F.coalesce(F.sum("k").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    """id: the place of each row in the order of i, j; from counts by i, summed within blocks of i and over blocks."""
+    counts = rows.groupBy(i.alias("i")).agg(F.count(F.lit(1)).alias("k")).withColumn("block", F.floor(F.col("i") / NUMBERED))
+    earlier = lambda w: F.coalesce(F.sum("k").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = counts.groupBy("block").agg(F.sum("k").alias("k")).select("block", earlier(Window.orderBy("block")).alias("base"))  # a row for NUMBERED rows of the grid
+    before = counts.withColumn("own", earlier(Window.partitionBy("block").orderBy("i"))).join(blocks, "block").select("i", (F.col("base") + F.col("own")).alias("before"))
     return rows.join(before, "i").withColumn("id", F.col("before") + F.row_number().over(Window.partitionBy("i").orderBy("j")) - 1).drop("before")
