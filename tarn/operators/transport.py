@@ -302,7 +302,7 @@ class SlopeWalk(Walk):
         return tuple(-self.p.gravity * f.of(u, cell) + self.viscosity * f.of(v, cell) for u, v in zip(("ux", "uy"), self.velocity, strict=True))
 
     def steepness(self, f: Field, cell: np.ndarray) -> np.ndarray:
-        return np.hypot(f.of("ux", cell), f.of("uy", cell))
+        return _norm(f.of("ux", cell), f.of("uy", cell))
 
     def sources(self, f: Field, cell: np.ndarray, pull: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
         raise NotImplementedError

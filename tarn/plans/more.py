@@ -94,17 +94,71 @@ def _fluvial(spark, d):
     return out.select("n", *_r("water"), F.round(F.col("mass") * 1e20, 3).alias("mass"), *_r("vx", "vy", digits=5), *_r("albedo_r", "albedo_g", "albedo_b"))
 
 
+#: Debris slows by what it carries, whose exponentials round differently in other engines; errors double at each
+#: step, so SQL is held to walks of a few steps. transport_debris walks to the end.
+FEW = 12
+_SLIDES = f"""WITH RECURSIVE cells AS MATERIALIZED (SELECT n, x, y, ux, uy, (n % 7) / 7.0::DOUBLE AS r, (n % 11) / 11.0::DOUBLE AS g, (n % 13) / 13.0::DOUBLE AS b FROM {c._sloped_sql(1.0, 1.0, 1.0)}),
+size AS MATERIALIZED (SELECT max(x) + 1 AS nx, (max(x) + 1) * {NY} / {SAMPLES}.0::DOUBLE AS share FROM cells),
+field AS MATERIALIZED (SELECT *, {-P.gravity}::DOUBLE * ux AS ax, {-P.gravity}::DOUBLE * uy AS ay, sqrt(ux * ux + uy * uy) AS steep, share * greatest(0, {P.landslide_rate}::DOUBLE * (sqrt(ux * ux + uy * uy) - {P.crit_slope_bedrock}::DOUBLE)) AS load FROM cells, size),
+walk AS (
+ SELECT id, px, py, cell AS last, 0 AS steps, ax / root AS sx, ay / root AS sy, 1.0::DOUBLE AS ad, 1.0::DOUBLE AS av, cell AS source, load FROM (
+  SELECT s.*, f.n AS cell, ax, ay, load, sqrt(sqrt(ax * ax + ay * ay)) AS root FROM (SELECT id, 0.5 + px * (nx - 1) AS px, py FROM size, (SELECT id, px, 0.5 + py AS py FROM {_start_sql(1, '0', '1', str(NY - 1))})) s JOIN field f ON f.n = {_CELL})
+ WHERE root > 0
+ UNION ALL
+ SELECT id, px + step * sx / speed, py + step * sy / speed, cell, steps + 1, (sx + way * ax) / (1 + way * slow), (sy + way * ay) / (1 + way * slow), ad * exp(power), av * exp(-way * slow), source, load FROM (
+  SELECT *, {P.viscosity_debris}::DOUBLE + {P.bed_shear_debris}::DOUBLE / height AS slow, way / speed * CASE WHEN stress < 0 THEN {P.deposition_debris}::DOUBLE ELSE {P.suspension_debris}::DOUBLE END * stress / speed AS power FROM (
+   SELECT *, step * sqrt(2.0::DOUBLE) AS way, {P.gravity}::DOUBLE * (steep - {P.crit_slope_bedrock}::DOUBLE - {P.yield_stress}::DOUBLE / height) AS stress FROM (
+    SELECT *, ({_way_sql('px', '(sx / speed)')} + {_way_sql('py', '(sy / speed)')}) / 2 AS step FROM (
+     SELECT w.*, f.n AS cell, ax, ay, steep, 1e-12::DOUBLE + ad * w.load AS height, sqrt(sx * sx + sy * sy) AS speed FROM (SELECT *, {_CELL} AS here FROM walk WHERE {_INSIDE} AND steps < {FEW - 1}) w JOIN field f ON f.n = w.here) WHERE speed >= 1e-12)))
+ WHERE power < 709.782712893384::DOUBLE),
+left_ AS (SELECT {_CELL} AS n, source, ad, av FROM walk WHERE {_INSIDE} AND steps < {FEW - 1} AND {_CELL} <> last),
+flux AS (SELECT l.n, sum(load * ad) AS f_d, sum(share * ax * av) AS f_x, sum(share * ay * av) AS f_y FROM left_ l JOIN field f ON f.n = l.source GROUP BY 1),
+joined AS (SELECT f.*, {', '.join(f'coalesce({k}, 0) AS {k}' for k in ('f_d', 'f_x', 'f_y'))} FROM field f LEFT JOIN flux USING (n))
+SELECT n, round(ln(1 + f_d), 6) AS debris, round({-P.gravity}::DOUBLE * ux + f_x, 5) AS dvx, round({-P.gravity}::DOUBLE * uy + f_y, 5) AS dvy FROM joined"""
+
+
+@query("transport_debris_few", _SLIDES)
+def _debris_few(spark, d):
+    out = transport.transport_debris(c._cells(spark, d), c.grid_of(spark, d), SAMPLES, Params(maxage=FEW))
+    return out.select("n", F.round(F.log(1 + F.col("debris")), 6).alias("debris"), *_r("dvx", "dvy", digits=5))
+
+
 # ---- conditioning, draws with decay, levels
 
 
-@query("fill_depressions")
+_NEAR = f"near AS MATERIALIZED (SELECT a.n, b.n AS m FROM base a JOIN base b ON abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND a.n <> b.n)"
+_BORDER = f"(x = 0 OR y = 0 OR y = {NY - 1} OR x = (SELECT max(x) FROM base))"
+
+
+def _filled_sql(base: str) -> str:
+    """Water levels that only sink, a table by cell that each round updates where a neighbour sank."""
+    return f"""WITH RECURSIVE base AS MATERIALIZED ({base}), {_NEAR},
+level(n, v) USING KEY (n) AS (SELECT n, CASE WHEN {_BORDER} THEN h ELSE 1e300::DOUBLE END FROM base
+ UNION SELECT n, new FROM (SELECT b.n, cur.v, greatest(b.h, min(k.v)) AS new FROM level k JOIN near ON near.m = k.n JOIN base b ON b.n = near.n JOIN recurring.level cur ON cur.n = b.n GROUP BY b.n, b.h, cur.v) WHERE new < v)
+SELECT b.n, b.x, b.y, level.v AS h FROM base b JOIN level USING (n)"""
+
+
+def _sloped_flats_sql(base: str) -> str:
+    return f"""WITH RECURSIVE base AS MATERIALIZED ({base}), {_NEAR},
+steps(n, v) USING KEY (n) AS (SELECT n, CASE WHEN {_BORDER} OR n IN (SELECT near.n FROM near JOIN base a ON a.n = near.n JOIN base b ON b.n = near.m WHERE b.h < a.h) THEN 0.0::DOUBLE ELSE 1e300::DOUBLE END FROM base
+ UNION SELECT n, new FROM (SELECT b.n, cur.v, min(k.v) + 1 AS new FROM steps k JOIN near ON near.m = k.n JOIN base b ON b.n = near.n JOIN base o ON o.n = k.n AND o.h = b.h JOIN recurring.steps cur ON cur.n = b.n GROUP BY b.n, cur.v) WHERE new < v)
+SELECT b.n, b.x, b.y, CASE WHEN s.v < 1e300 THEN h + 1e-6::DOUBLE * s.v ELSE h END AS h FROM base b JOIN steps s USING (n)"""
+
+
+@query("fill_depressions", f"SELECT n, round(h, 6) AS h FROM ({_filled_sql(c._TILT)})")
 def _fill(spark, d):
     return flow.fill_depressions(c.tilted(spark, d)).select("n", *_r("h"))
 
 
-@query("condition_dem")
+@query("condition_dem", f"SELECT n, round(h, 9) AS h FROM ({_sloped_flats_sql(_filled_sql(_sloped_flats_sql(_filled_sql(c._TILT))))})")
 def _condition(spark, d):
-    return flow.condition(c.tilted(spark, d)).select("n", "h")
+    return flow.condition(c.tilted(spark, d)).select("n", *_r("h", digits=9))
+
+
+@query("drained_basins", f"SELECT round(sum(total), 3) AS total, max(total) AS largest FROM ({c._summed_sql(c._graph_sql(_sloped_flats_sql(_filled_sql(_sloped_flats_sql(_filled_sql(c._TILT))))))})")
+def _drained(spark, d):
+    out = flow.accumulate(flow.steepest(flow.condition(c.tilted(spark, d)), NY), ny=NY)
+    return out.agg(F.round(F.sum("total"), 3).alias("total"), F.max("total").alias("largest"))
 
 
 _DRAWN = c._drawn_sql(c._TILT, 10.0, 7, 1)
