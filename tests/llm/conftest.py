@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, h long, fp long, copies long, page int, spans string, ids string, component_id long, score double, class int, doc string"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, h long, fp long, copies long, page int, spans string, ids string, component_id long, score double, class int, doc string, __cleaned string, cleaned string, words string, repeats string, row string, found string, own_id string, n_bytes long, __repeats_of string"
 
 
 def odd_texts():
@@ -18,7 +18,7 @@ def odd_texts():
 @pytest.fixture(scope="session")
 def odd(spark):
     """Nulls, empty and long texts, copies, shared passages, repeated rows and columns whose names clash."""
-    rows = [(k, t, "en", [None, "a", "b", "a", "c"][k % 5], None, 1, True, 2, 3, 4, 5, "s", "i", 6, 0.5, 7, "d") for k, t in enumerate(odd_texts())]
+    rows = [(k, t, "en", [None, "a", "b", "a", "c"][k % 5], None, 1, True, 2, 3, 4, 5, "s", "i", 6, 0.5, 7, "d", "c", "e", "w", "r", "o", "u", "p", 8, "q") for k, t in enumerate(odd_texts())]
     rows += [rows[1], rows[1], (None, rows[2][1], *rows[2][2:]), (None, None, *rows[2][2:])]
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 
