@@ -214,9 +214,13 @@ def sum_upstream(nodes: DataFrame, tile: Callable[[Column], Column] | None = Non
 
     by_tile = lambda df: df.groupBy("tile")
     ship(nodes.sparkSession)
-    graph = by_tile(rows).cogroup(by_tile(entries)).applyInArrow(reduced, _NODE).groupBy("n").agg(F.max("nxt").alias("nxt"), F.max("w").alias("w"), F.sum("v").alias("v"))
-    # A target that is no node has no way of its own and is nobody's to report.
-    inflow = sum_doubling(graph, entries.count().bit_length() + 2).withColumnRenamed("total", "v").withColumn("tile", tile(F.col("n")))
+    count = entries.count()
+    if count:
+        graph = by_tile(rows).cogroup(by_tile(entries)).applyInArrow(reduced, _NODE).groupBy("n").agg(F.max("nxt").alias("nxt"), F.max("w").alias("w"), F.sum("v").alias("v"))
+        # A target that is no node has no way of its own and is nobody's to report.
+        inflow = sum_doubling(graph, count.bit_length() + 2).withColumnRenamed("total", "v").withColumn("tile", tile(F.col("n")))
+    else:  # nothing leaves a tile
+        inflow = entries.withColumn("v", F.lit(0.0))
 
     def summed(left: pa.Table, right: pa.Table) -> pa.Table:
         n, total = np.zeros(0, np.int64), np.zeros(0)

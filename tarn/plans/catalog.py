@@ -180,10 +180,10 @@ def _weighted(spark, d):
 _DONORS = f"(SELECT *, row_number() OVER (PARTITION BY nxt ORDER BY CASE {' '.join(f'WHEN n - nxt = {dx * NY + dy} THEN {i}' for i, (dx, dy) in enumerate(_SHIFTS))} END) AS slot FROM {_graph_sql(_TILT)})"
 for _mode, _far in (("geometric", f"abs(nxt - n) IN ({NY - 1}, {NY + 1})"), ("slot", "slot > 4")):
 
-    @query(f"accumulate_decay_{_mode}", _summed_sql(_DONORS, f"CASE WHEN {_far} THEN power(decay, 1.414) ELSE decay END", "rain", f"JOIN (SELECT n AS pn, rain, decay FROM ({_PER})) ON pn = n", 9))
+    @query(f"accumulate_decay_{_mode}", _summed_sql(_DONORS, f"CASE WHEN {_far} THEN power(decay, 1.414) ELSE decay END", "rain", f"JOIN (SELECT n AS pn, rain, decay FROM ({_PER})) ON pn = n"))
     def _decayed(spark, d, mode=_mode):
         per = per_order(spark, d)
-        return flow.accumulate_decay(flow.steepest(tilted(spark, d), NY), per.select("n", F.col("rain").alias("s")), per.select("n", "decay"), NY, diagonal=mode).select("n", *_r("total", digits=9))
+        return flow.accumulate_decay(flow.steepest(tilted(spark, d), NY), per.select("n", F.col("rain").alias("s")), per.select("n", "decay"), NY, diagonal=mode).select("n", *_r("total"))
 
 
 _RUNS = 4
