@@ -16,7 +16,7 @@ from tarn.llm.common import documents, packed, settled, ship
 #: Bytes of a string, and of the gram in it that places it.
 LENGTH, GRAM = 50, 20
 #: Bytes of text of a page, of a slice of it; documents that splitters are sampled from, and anchors of a slice of them.
-PAGE, SLICE, SAMPLED, DRAWN = 4 << 20, 1 << 20, 2000, 8192
+PAGE, SLICE, SAMPLED, DRAWN = 4 << 20, 1 << 20, 2000, 1024
 
 
 def _words(buf: np.ndarray) -> np.ndarray:
