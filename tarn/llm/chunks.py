@@ -103,11 +103,14 @@ def _sliced(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def chunk_table(docs: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, at, size, h1, h2): each chunk's place and digest, 96 of 128 bits; rows without an id have none."""
+    """(doc_id, sig, at, size, h1, h2): each chunk's row, place and digest, 96 of 128 bits; rows without an id have none.
+
+    A row is known by its id and a hash of its text, as an id may have several texts.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
+            ids, sig = batch.column("doc_id").to_numpy(), batch.column("sig").to_numpy()
             for first, texts in _sliced(batch):
                 found = list(cut(texts, cuts))
                 if not found:
@@ -116,17 +119,18 @@ def chunk_table(docs: DataFrame, cuts: Cuts, id_col: str, text_col: str) -> Data
                 raw = b"".join([xxhash.xxh3_128_digest(texts[i][x:y]) for i, x, y in found])
                 h = np.frombuffer(raw, [("h1", "<i8"), ("h2", "<i4"), ("rest", "<i4")])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[first + t]), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(h["h1"].copy()), pa.array(h["h2"].copy())],
-                    names=["doc_id", "at", "size", "h1", "h2"],
+                    [pa.array(ids[first + t]), pa.array(sig[first + t]), pa.array(a.astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(h["h1"].copy()), pa.array(h["h2"].copy())],
+                    names=["doc_id", "sig", "at", "size", "h1", "h2"],
                 )
 
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, at int, size int, h1 long, h2 int")
+    text = F.col(text_col).cast("string")
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), text.cast("binary").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, sig long, at int, size int, h1 long, h2 int")
 
 
 def _runs(spans: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     joined: list[list[int]] = []
-    for a, n in sorted(set(spans)):
+    for a, n in sorted(spans):
         if joined and a <= joined[-1][1]:
             joined[-1][1] = max(joined[-1][1], a + n)
         else:
@@ -145,7 +149,8 @@ def dedup(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col
     documents share costs each task one row; where its chunks are looked up, the join may split its rows.
 
     A null text counts as empty and stays null; very long texts are cut a slice at a time, but one text is held whole.
-    Rows with a null id lose nothing and own nothing. Repeated rows (equal ids) own their chunks together and stay.
+    Rows with a null id lose nothing and own nothing. An id may have several texts: each row loses its own repeats of
+    smaller ids, rows of one id never take from each other, and rows equal in id and text lose the same.
     An empty table gives an empty result. All other columns are kept, whatever their names; if one is called `into`,
     the struct's name gets underscores until it is free.
     """
@@ -154,9 +159,9 @@ def dedup(docs: DataFrame, cuts: Cuts = Cuts(), id_col: str = "doc_id", text_col
         into += "_"
     chunks = chunk_table(docs, cuts, id_col, text_col)
     owners = chunks.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h1", "h2", "owner")
-    repeats = chunks.join(settled(owners), ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("repeats"))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct(*docs.columns).alias("row"))
-    inner = rows.join(repeats, "doc_id", "left").select("row", "repeats")
+    repeats = chunks.join(settled(owners), ["h1", "h2"]).where("doc_id > owner").groupBy("doc_id", "sig").agg(F.collect_set(F.struct("at", "size")).alias("repeats"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("sig"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    inner = rows.join(repeats, ["doc_id", "sig"], "left").select("row", "repeats")
     names, place = docs.columns, docs.columns.index(text_col)
     fields = [T.StructField(f.name, T.StringType()) if f.name == text_col else f for f in docs.schema]
 

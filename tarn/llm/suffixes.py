@@ -147,15 +147,15 @@ def _noted(info: pa.Table, kind: int) -> pa.Table:
     return info.filter(pa.compute.equal(info.column("kind"), kind)).sort_by("of")
 
 
-def _page(table: pa.Table, info: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """The page's documents in order of id, and which of them are copies of earlier ones."""
+def _page(table: pa.Table, info: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """The page's ids, texts and hashes in order of id and hash, and which of them are copies of earlier ones (third)."""
     ids, sig = table.column("doc_id").to_numpy(), table.column("sig").to_numpy()
     order = np.lexsort((sig, ids))
     texts = table.column("text")
     info = _noted(info, 0)
     known = set(zip(info.column("of").to_pylist(), info.column("sig").to_pylist(), strict=True))
     copy = np.array([(d, s) in known for d, s in zip(ids[order].tolist(), sig[order].tolist(), strict=True)], bool)
-    return ids[order], [texts[i].as_py() or b"" for i in order.tolist()], copy
+    return ids[order], [texts[i].as_py() or b"" for i in order.tolist()], copy, sig[order]
 
 
 def _slices(texts: list[bytes], copy: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, Anchored]]:
@@ -178,7 +178,7 @@ def _edges(buckets: int) -> np.ndarray:
 
 
 def _joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans sorted by document, with those that touch made one."""
+    """Spans sorted by row, with those that touch made one."""
     if not len(doc):
         return doc, a, b
     order = np.lexsort((a, doc))
@@ -193,7 +193,7 @@ def _joined(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
 
 
 def _match(doc: np.ndarray, low: np.ndarray, off: np.ndarray, size: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of what is in an earlier document, among the runs of strings in one bucket.
+    """Spans of what is in an earlier document, among the runs of strings in one bucket: the run's number, from, to.
 
     A run is `size` bytes from `low` on, its anchor `off` bytes in. Runs of equal bytes are matched whole; of what is
     left, suffixes are sorted from the anchor on, and where neighbours share their gram, strings are compared.
@@ -217,7 +217,7 @@ def _match(doc: np.ndarray, low: np.ndarray, off: np.ndarray, size: np.ndarray,
     rows = rest[order[many[run]]]
     group = run[many[run]]
     bounds = np.flatnonzero(np.append(True, np.diff(group) != 0)).tolist() if len(group) else []
-    got_doc, got_a = [], []
+    got, got_a = [], []
     for x, y in zip(bounds, [*bounds[1:], len(rows)], strict=False):
         earliest: dict[bytes, int] = {}  # of the strings around one gram
         for r in rows[x:y].tolist():
@@ -230,10 +230,10 @@ def _match(doc: np.ndarray, low: np.ndarray, off: np.ndarray, size: np.ndarray,
             s, d, at = own[r], docs[r], int(low[r])
             for i in range(len(s) - LENGTH + 1):
                 if earliest[s[i : i + LENGTH]] < d:
-                    got_doc.append(d)
+                    got.append(r)
                     got_a.append(at + i)
     a = np.array(got_a, np.int64)
-    return np.concatenate((doc[whole], np.array(got_doc, np.int64))), np.concatenate((low[whole], a)), np.concatenate((low[whole] + size[whole], a + LENGTH))
+    return np.concatenate((np.flatnonzero(whole), np.array(got, np.int64))), np.concatenate((low[whole], a)), np.concatenate((low[whole] + size[whole], a + LENGTH))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +242,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A byte goes if it is in a 50-byte string of its document that also starts in a document of smaller id, judged on
     the texts as given. Documents that equal an earlier one wholly are found by sha256 and take no further part.
 
-    The others are dealt into pages of about 4 MB by id. (1) Each page lists the hashes of its anchors' grams, sorted
+    The others are dealt into pages of about 4 MB by id and text. (1) Each page lists the hashes of its anchors' grams, sorted
     and packed; buckets of hash ranges say which are in two or more pages. (2) For those, and for grams in two or more
     documents of the page, each page sends suffixes: the run of strings around an anchor, of equal runs only the
     earliest, as the page settles later ones itself. So what the most frequent passage sends grows with pages, not
@@ -256,8 +256,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A very long text is cut into slices; no string is in two of them. Ties: of equal strings the smallest id keeps its own.
 
     Null and empty texts lose nothing, nor do texts under 50 bytes. Rows with a null id lose nothing and take nothing
-    from others. Repeated ids never take from each other. An empty table gives an empty result. Other columns are
-    ignored.
+    from others. An id may have several texts: rows of one id never take from each other, and each is judged by its own
+    text. Rows equal in id and text are one document until the end, where it is repeated. An empty table gives an
+    empty result. Other columns are ignored.
     """
     ship(docs.sparkSession)
     raw = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
@@ -265,13 +266,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     named = rows.where(F.col("doc_id").isNotNull())
     size = F.octet_length("text")
     seen = settled(named.select("doc_id", size.alias("size"), F.xxhash64("text").alias("sig"), F.unhex(F.sha2("text", 256)).alias("full")))
+    again = settled(seen.groupBy("doc_id", "sig").agg(F.count(F.lit(1)).alias("times")).where("times > 1"))
+    if again.limit(1).count():
+        named = named.groupBy("doc_id", F.xxhash64("text").alias("sig")).agg(F.first("text").alias("text"))
     total = seen.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     pages, buckets = max(1, total // PAGE), max(1, total // PAGE)
-    page = lambda c: F.pmod(F.xxhash64(c), F.lit(pages)).cast("int")
+    page = F.pmod(F.xxhash64("doc_id", "sig"), F.lit(pages)).cast("int").alias("page")
     firsts = seen.groupBy("full").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("last > first").select("full", "first")
-    copies = seen.join(settled(firsts), "full").where("doc_id > first").select(page("doc_id").alias("page"), F.lit(0).alias("kind"), F.col("doc_id").alias("of"), "sig", F.lit(None).cast("binary").alias("data"))
+    copies = seen.join(settled(firsts), "full").where("doc_id > first").dropDuplicates(["doc_id", "sig"]).select(page, F.lit(0).alias("kind"), F.col("doc_id").alias("of"), "sig", F.lit(None).cast("binary").alias("data"))
     copies = settled(copies)
-    table = named.select(page("doc_id").alias("page"), "doc_id", F.xxhash64("text").alias("sig"), "text")
+    table = named.select("doc_id", F.xxhash64("text").alias("sig"), "text").select(page, "doc_id", "sig", "text")
     every = max(1, seen.count() // SAMPLED)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +291,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def listed(left: pa.Table, right: pa.Table) -> pa.Table:
         number, bucket, data = [], [], []
         if left.num_rows:
-            ids, texts, copy = _page(left, right)
+            ids, texts, copy, _ = _page(left, right)
             keys, _ = _page_keys(ids, _slices(texts, copy))
             cut = np.concatenate(([0], np.searchsorted(keys, _edges(buckets)), [len(keys)]))
             for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
@@ -312,70 +316,69 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     def sent(left: pa.Table, right: pa.Table) -> pa.Table:
         number, bucket, data = [], [], []
         if left.num_rows:
-            ids, texts, copy = _page(left, right)
+            ids, texts, copy, _ = _page(left, right)
             slices = _slices(texts, copy)
             keys, twice = _page_keys(ids, slices)
             marks = _noted(right, 1).column("data")
             hit = [np.unpackbits(b)[: n[0]] for n, b in (_unpack(x.as_py(), np.int64, np.uint8) for x in marks)]
             keys = keys[(np.concatenate(hit).astype(bool) if hit else np.zeros(0, bool)) | twice]
             earliest: dict[bytes, int] = {}
-            done: list[tuple[int, int, int]] = []
+            done: list[tuple[int, int, int]] = []  # rows are known by their place in the page
             out: dict[int, list] = {}
             for d, begin, a in slices:
                 k = a.keys
                 at = np.searchsorted(keys, k)
                 pick = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == k) if len(keys) else np.zeros(0, int)
                 where = np.searchsorted(splitters, a.lead[pick], side="right")
-                doc, low = ids[d[a.owner[pick]]], a.low[pick]
+                row, low = d[a.owner[pick]], a.low[pick]
                 size, off = a.high[pick] + LENGTH - low, a.anchor[pick] - low
                 place = low - a.base[a.owner[pick]] + begin[a.owner[pick]]
                 whole = a.buf.tobytes()
-                for x in zip(where.tolist(), doc.tolist(), place.tolist(), off.tolist(), size.tolist(), low.tolist(), strict=True):
-                    s = whole[x[5] : x[5] + x[4]]
-                    if earliest.setdefault(s, x[1]) < x[1]:  # documents come in order of id
-                        done.append((x[1], x[2], x[2] + x[4]))
+                for b, doc, r, p, o, n, at in zip(*(x.tolist() for x in (where, ids[row], row, place, off, size, low)), strict=True):
+                    s = whole[at : at + n]
+                    if earliest.setdefault(s, doc) < doc:  # documents come in order of id
+                        done.append((r, p, p + n))
                     else:
-                        out.setdefault(x[0], []).append((x[1], x[2], x[3], x[4], s))
+                        out.setdefault(b, []).append((doc, r, p, o, n, s))
             number_ = left.column("page")[0].as_py()
             spans = _joined(*(np.array(c, np.int64) for c in (zip(*done, strict=True) if done else ((), (), ()))))
             home = number_ % (len(splitters) + 1)  # the bucket that hands the page's own spans on: another for each page
             for k in sorted({*out, home}):
-                c = list(zip(*out[k], strict=True)) if k in out else [(), (), (), (), ()]
+                c = list(zip(*out[k], strict=True)) if k in out else [()] * 6
                 number.append(number_)
                 bucket.append(k)
                 mine = spans if k == home else [x[:0] for x in spans]
-                data.append(_pack(np.array(c[0], np.int64), np.array(c[1], np.int64), np.array(c[2], np.uint8), np.array(c[3], np.uint8), np.frombuffer(b"".join(c[4]), np.uint8), *mine))
+                data.append(_pack(*(np.array(x, kind) for x, kind in zip(c[:5], kinds, strict=False)), np.frombuffer(b"".join(c[5]), np.uint8), *mine))
         return pa.table({"page": pa.array(number, pa.int32()), "bucket": pa.array(bucket, pa.int32()), "data": pa.array(data, pa.binary())})
 
-    kinds = (np.int64, np.int64, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.int64)
+    kinds = (np.int64, np.int32, np.int64, np.uint8, np.uint8, np.uint8, np.int64, np.int64, np.int64)
 
     def compared(group: pa.Table) -> pa.Table:
         parts = [_unpack(x.as_py(), *kinds) for x in group.column("data")]
         of = np.concatenate([np.full(len(p[0]), n) for p, n in zip(parts, group.column("page").to_pylist(), strict=True)])
-        doc, low, off, size, data = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        found = _match(doc, low, off.astype(np.int64), size.astype(np.int64), data.tobytes())
-        pages_of = dict(zip(doc.tolist(), of.tolist(), strict=True))
-        by = np.array([pages_of[d] for d in found[0].tolist()], np.int64)
+        doc, row, low, off, size, data = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        runs, a, b = _match(doc, low, off.astype(np.int64), size.astype(np.int64), data.tobytes())
+        by, found = of[runs], (row[runs].astype(np.int64), a, b)
         number, out = [], []
         for p, n in zip(parts, group.column("page").to_pylist(), strict=True):
-            spans = _joined(*(np.concatenate((x[by == n], y)) for x, y in zip(found, p[5:], strict=True)))
+            spans = _joined(*(np.concatenate((x[by == n], y)) for x, y in zip(found, p[6:], strict=True)))
             number.append(n)
             out.append(_pack(*spans))
         none = pa.nulls(len(out), pa.int64())
         return pa.table({"page": pa.array(number, pa.int32()), "kind": pa.array(np.full(len(out), 2, np.int32)), "of": none, "sig": none, "data": pa.array(out, pa.binary())})
 
     def cleaned(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, texts, copy = _page(left, right) if left.num_rows else (np.zeros(0, np.int64), [], np.zeros(0, bool))
+        ids, texts, copy, sig = _page(left, right) if left.num_rows else (np.zeros(0, np.int64), [], np.zeros(0, bool), np.zeros(0, np.int64))
         packed = [_unpack(x.as_py(), np.int64, np.int64, np.int64) for x in _noted(right, 2).column("data")]
-        doc, a, b = _joined(*(np.concatenate([np.zeros(0, np.int64), *(p[i] for p in packed)]) for i in range(3)))
+        row, a, b = _joined(*(np.concatenate([np.zeros(0, np.int64), *(p[i] for p in packed)]) for i in range(3)))
         spans, kept = [], []
-        for d, t, c in zip(ids.tolist(), texts, copy.tolist(), strict=True):
-            i, j = np.searchsorted(doc, d), np.searchsorted(doc, d, side="right")
+        for r, (t, c) in enumerate(zip(texts, copy.tolist(), strict=True)):
+            i, j = np.searchsorted(row, r), np.searchsorted(row, r, side="right")
             own = ([(0, len(t))] if len(t) >= LENGTH else []) if c else list(zip(a[i:j].tolist(), b[i:j].tolist(), strict=True))
             edges = [0, *(x for s in own for x in s), len(t)]
             kept.append(b"".join([t[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)]))
             spans.append([{"a": x, "b": y} for x, y in own])
-        return pa.table({"doc_id": pa.array(ids), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": pa.array(ids), "sig": pa.array(sig), "n_bytes": pa.array([len(t) for t in texts], pa.int64()), "spans": pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
     blobs, notes = "page int, bucket int, data binary", "page int, kind int, of long, sig long, data binary"
     of_page = table.groupBy("page")
@@ -383,9 +386,11 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     marks = lists.groupBy("bucket").applyInArrow(counted, notes)
     suffixes = of_page.cogroup(copies.unionAll(marks).groupBy("page")).applyInArrow(sent, blobs)
     found = suffixes.groupBy("bucket").applyInArrow(compared, notes)
-    out = of_page.cogroup(copies.unionAll(found).groupBy("page")).applyInArrow(cleaned, "doc_id long, n_bytes long, spans array<struct<a: long, b: long>>, kept binary")
+    out = of_page.cogroup(copies.unionAll(found).groupBy("page")).applyInArrow(cleaned, "doc_id long, sig long, n_bytes long, spans array<struct<a: long, b: long>>, kept binary")
+    if again.limit(1).count():
+        out = out.join(again, ["doc_id", "sig"], "left").withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.coalesce("times", F.lit(1).cast("long")))))
     none = F.array().cast("array<struct<a: bigint, b: bigint>>")
-    return out.unionAll(rows.where(F.col("doc_id").isNull()).select("doc_id", size.cast("long"), none, "text"))
+    return out.select("doc_id", "n_bytes", "spans", "kept").unionAll(rows.where(F.col("doc_id").isNull()).select("doc_id", size.cast("long"), none, "text"))
 
 
 def op2_suffix_sorted_dedup(spark, sf_dir: str) -> DataFrame:
@@ -394,15 +399,15 @@ def op2_suffix_sorted_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)),
-m AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id),
-g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k
-      FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM m)),
-spans AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, k),
-found AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS n, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM spans GROUP BY doc_id)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT r, doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT r, doc_id, h, unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i FROM d)),
+m AS (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY s) AS first FROM w) WHERE first < doc_id),
+g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS k
+      FROM (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= 50 THEN 0 ELSE 1 END AS new FROM m)),
+spans AS (SELECT r, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY r, k),
+found AS (SELECT r, sum(b - a) AS removed, count(*) AS n, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b FROM spans GROUP BY r)
 SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
        sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(0, n + 1), lambda k:
          substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE b[k] END) + 1, 2 * ((CASE WHEN k = n THEN length(h) // 2 ELSE a[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE b[k] END)))), '') END)) AS kept_sha256
-FROM d LEFT JOIN found ON d.doc_id = found.doc_id
+FROM d LEFT JOIN found ON d.r = found.r
 """

@@ -19,6 +19,9 @@ def odd_texts():
 def odd(spark):
     """Nulls, empty and long texts, copies, shared passages, repeated rows and columns whose names clash."""
     rows = [(k, t, "en", [None, "a", "b", "a", "c"][k % 5], None, 1, True, 2, 3, 4, 5, "s", "i", 6, 0.5, 7, "d", "c", "e", "w", "r", "o", "u", "p", 8, "q") for k, t in enumerate(odd_texts())]
+    # An id with several texts: sharing a passage, sharing nothing, of two-byte characters, a copy.
+    several = [rows[15][1] + " " + rows[4][1], "ßüä öéè " * 3 + "".join(chr(0xC0 + k * 7 % 300) for k in range(400)), rows[18][1][:60][::-1] * 4, rows[0][1]]
+    rows += [(60, t, *rows[2][2:]) for t in several] + [(5, several[0], *rows[3][2:])]
     rows += [rows[1], rows[1], (None, rows[2][1], *rows[2][2:]), (None, None, *rows[2][2:])]
     return spark.createDataFrame(rows, SCHEMA).repartition(3).cache()
 

@@ -42,6 +42,20 @@ def test_suffix_dedup(spark, odd, monkeypatch, page):
     assert sum(g[2] for g in got) > 1000
 
 
+def test_rows_of_one_id_keep_their_own_spans(spark):
+    """Texts under one id that share nothing lose nothing of each other's, whatever their characters."""
+    r = np.random.default_rng(12)
+    letters = lambda n, low: "".join(map(chr, r.integers(low, low + 200, n)))
+    passage, b, c = letters(500, 0x3B1), letters(700, 0xC0), letters(337, 0x4E00)
+    rows = [(1, passage), (5, passage + c), (5, b), (5, b), (5, None), (5, ""), (7, c + b), (7, letters(90, 0x61) + passage[:80])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(x["doc_id"], x["n_bytes"], sum(s["b"] - s["a"] for s in x["spans"]), len(x["spans"]), hashlib.sha256(bytes(x["kept"])).hexdigest()) for x in suffixes.dedup(df).collect()]
+    assert sorted(got, key=str) == removed(rows)
+    chunked = [(x["doc_id"], x["text"], x["dedup"]["n_bytes"], x["dedup"]["n_removed"], x["dedup"]["n_spans"]) for x in chunks.dedup(df).collect()]
+    assert sorted(chunked, key=str) == plain_chunk_dedup(rows, chunks.Cuts())
+    assert [(t, n) for _, t, _, n, _ in chunked if t == b] == [(b, 0)] * 2
+
+
 def test_suffix_dedup_of_nothing(empty):
     assert suffixes.dedup(empty).count() == 0
 
