@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tarn.llm import chunks, classifier, ctw, mixing, mtree, negatives, pieces, quality, sharding, simhash, suffixes, whitening
+from tarn.llm import chunks, classifier, ctw, mixing, mtree, negatives, pieces, quality, sharding, simhash, suffixes, warc, whitening
 
 QUERIES = {
     "op1_mtree_topk": mtree.op1_mtree_topk,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_gear_chunk_dedup": chunks.op8_gear_chunk_dedup,
     "op9_context_tree_scores": ctw.op9_context_tree_scores,
     "op10_suffix_array_pieces": pieces.op10_suffix_array_pieces,
+    "op11_warc_segments": warc.op11_warc_segments,
     "op12_welford_whitening": whitening.op12_welford_whitening,
     "op13_dual_tree_negatives": negatives.op13_dual_tree_negatives,
     "pipeline": corpus_pipeline.run,
@@ -26,6 +27,7 @@ ORACLE = {
     "op4_systematic_mix": mixing.OP4_SQL,
     "op5_line_first_rules": quality.OP5_SQL,
     "op7_byte_prefix_shards": sharding.OP7_SQL,
+    "op11_warc_segments": warc.OP11_SQL,
     "op13_dual_tree_negatives": negatives.OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
