@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tarn.functions.values import known, norm2, uniform
-from tarn.operators.stencil import TILE, drops, in_tiles, neighbour, neighbourhood
+from tarn.operators.flats import sloped
+from tarn.operators.spill import FAN, filled
+from tarn.operators.stencil import TILE, drops, neighbourhood
 from tarn.plans.model import Edge, Grid, edge_of
 from tarn.plans.state import settled, ship
 
@@ -324,77 +326,22 @@ def flow_distance(graph: DataFrame, grid: Grid, target: int | None = None) -> Da
     return roots(cut, length=length, ny=grid.ny).where(F.col("root") == target).select("n", "distance")
 
 
-def _relaxed(state: DataFrame, edge: Edge, step: Callable, side: int, most_rounds: int) -> DataFrame:
-    """n, w of cells (n, x, y, h, w) once `step` moves none: each round, every tile steps until it is still by itself.
+def fill_depressions(raster: DataFrame, edge: Edge | str = Edge.D8, v: str = "h", side: int = TILE, fan: int = FAN) -> DataFrame:
+    """The raster with pits raised until every cell drains over its border, over the graph of spill heights.
 
-    step(h, w, neighbours) gives w anew, with (h, w) of the cells beside, NaN outside; w only falls. Water that crosses
-    k tiles takes k rounds, whatever the tiles' size.
+    Missing and NaN cells count as border; NaN cells stay. The number of shuffles doesn't depend on the depressions.
     """
-
-    def settle(key: tuple, table: pa.Table) -> pa.Table:
-        x, y, own = _numbers(table, "x", "y", "__own")
-        x0, y0 = int(x.min()) - 1, int(y.min()) - 1
-        shape = int(x.max()) - x0 + 2, int(y.max()) - y0 + 2
-        h, w, mine = np.full(shape, np.nan), np.full(shape, np.nan), np.zeros(shape, bool)
-        at = x - x0, y - y0
-        h[at], w[at], mine[at] = table.column("h").to_numpy(), table.column("w").to_numpy(), own
-        was, inner = w.copy(), (slice(1, -1), slice(1, -1))
-        shifted = lambda a, dx, dy: a[1 + dx : shape[0] - 1 + dx, 1 + dy : shape[1] - 1 + dy]
-        while True:
-            new = step(h[inner], w[inner], [(shifted(h, dx, dy), shifted(w, dx, dy)) for dx, dy in edge.shifts])
-            new = np.where(mine[inner], new, w[inner])
-            if not (new < w[inner]).any():
-                break
-            w[inner] = new
-        keep = np.flatnonzero(own)
-        at = x[keep] - x0, y[keep] - y0
-        some = table.select(["n", "x", "y", "h"]).take(keep)
-        return some.append_column("w", pa.array(w[at])).append_column("moved", pa.array(w[at] < was[at]))
-
-    ship(state.sparkSession)
-    for _ in range(most_rounds):
-        tiles = in_tiles(state.select("n", "x", "y", "h", "w"), 1, side).groupBy("__tx", "__ty")
-        state = settled(tiles.applyInArrow(settle, "n long, x int, y int, h double, w double, moved boolean"))
-        if not state.where("moved").limit(1).count():
-            return state.select("n", "w")
-    raise ValueError("still moving")
-
-
-def _begun(raster: DataFrame, edge: Edge, v: str, w: Callable[[list[Column]], Column]) -> DataFrame:
-    near = [known(neighbour(dx, dy, v)) for dx, dy in edge.shifts]
-    x = lambda c: F.col(c).cast("int").alias(c)
-    return neighbourhood(raster, [v]).select(F.col("n").cast("long").alias("n"), x("x"), x("y"), F.col(v).cast("double").alias("h"), w(near).cast("double").alias("w"))
-
-
-def fill_depressions(raster: DataFrame, edge: Edge | str = Edge.D8, v: str = "h", most_rounds: int = 10_000, side: int = TILE) -> DataFrame:
-    """The raster with pits raised until every cell drains over its border.
-
-    Water starts infinitely high but at the border, and sinks to the larger of the ground and its lowest neighbour
-    until nothing moves. Missing and NaN cells count as border; NaN cells stay.
-    """
-    edge = edge_of(edge)
-    begun = _begun(raster, edge, v, lambda near: F.when(reduce(lambda a, b: a | b, (c.isNull() for c in near)), F.col(v)).otherwise(F.lit(float("inf"))))
-
-    def sink(h: np.ndarray, w: np.ndarray, near: list) -> np.ndarray:
-        low = reduce(np.fmin, (b for _, b in near))
-        return np.where(np.isnan(h), np.nan, np.fmin(w, np.fmax(h, low)))
-
-    found = _relaxed(begun, edge, sink, side, most_rounds).withColumnRenamed("w", "__w")
-    return raster.join(found, "n").select(*(F.col("__w").alias(v) if c == v else F.col(c) for c in raster.columns))
+    found = filled(raster, edge_of(edge), v, side, fan)
+    if set(raster.columns) == {"n", "x", "y", v}:
+        kinds = dict(raster.dtypes)
+        return found.select(*(F.col("w" if c == v else c).cast("double" if c == v else kinds[c]).alias(c) for c in raster.columns))
+    return raster.join(found.select("n", F.col("w").alias("__w")), "n").select(*(F.col("__w").alias(v) if c == v else F.col(c) for c in raster.columns))
 
 
-def resolve_flats(raster: DataFrame, rise: float = 1e-6, edge: Edge | str = Edge.D8, v: str = "h", most_rounds: int = 10_000, side: int = TILE) -> DataFrame:
+def resolve_flats(raster: DataFrame, rise: float = 1e-6, edge: Edge | str = Edge.D8, v: str = "h", side: int = TILE) -> DataFrame:
     """The raster with flats sloped towards where they drain: each cell rises by `rise` for each step to the nearest
     cell of its flat that has a lower neighbour or touches the border. Cells that can't reach one stay."""
-    edge = edge_of(edge)
-    begun = _begun(raster, edge, v, lambda near: F.when(reduce(lambda a, b: a | b, (c.isNull() | (c < F.col(v)) for c in near)), F.lit(0.0)).otherwise(F.lit(float("inf"))))
-
-    def spread(h: np.ndarray, w: np.ndarray, near: list) -> np.ndarray:
-        return reduce(np.fmin, (np.where(a == h, b + 1, np.inf) for a, b in near), w)
-
-    found = _relaxed(begun, edge, spread, side, most_rounds).withColumnRenamed("w", "__w")
-    sloped = F.when(F.col("__w") < F.lit(float("inf")), F.col(v) + rise * F.col("__w")).otherwise(F.col(v))
-    return raster.join(found, "n").select(*(sloped.alias(v) if c == v else F.col(c) for c in raster.columns))
+    return sloped(raster, rise, edge_of(edge), v, side)
 
 
 def condition(raster: DataFrame, edge: Edge | str = Edge.D8, v: str = "h", rise: float = 1e-6, passes: int = 2) -> DataFrame:

@@ -228,7 +228,6 @@ def test_conditioned_rasters_drain(spark):
     assert all(x in (0, 14) or y in (0, 11) for x, y in ends)
 
 
-
 def test_points(spark):
     h = grid(spark, [[0, 1], [2, 3]])
     points = spark.createDataFrame([(0, 0.5, 0.5), (1, 1.0, 1.0), (2, 0.25, 0.0), (3, 1.5, 0.0)], "id long, px double, py double")
