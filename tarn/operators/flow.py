@@ -13,10 +13,11 @@ from pyspark.sql.window import Window
 
 from tarn.functions.values import known, norm2, uniform
 from tarn.operators.flats import sloped
+from tarn.operators.ordered import as_of, running_sum
 from tarn.operators.spill import FAN, filled
 from tarn.operators.stencil import TILE, drops, neighbourhood
 from tarn.plans.model import Edge, Grid, edge_of
-from tarn.plans.state import settled, ship
+from tarn.plans.state import attach, settled, ship
 
 
 def _target(edge: Edge, k: Column, ny: int) -> Column:
@@ -249,7 +250,7 @@ def sum_doubling(nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
             return reduce(DataFrame.unionAll, aside).groupBy("n").agg(F.sum("v").alias("total")).join(start.select("n"), "n", "left_semi")
         gain = live.groupBy(F.col("p").alias("n")).agg(F.sum(F.col("w") * F.col("v")).alias("gain"))
         far = live.select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("w").alias("w2"))
-        moved = live.join(far, "p", "left").select("n", F.col("p2").alias("p"), (F.col("w") * F.coalesce("w2", F.lit(1.0))).alias("w"), "v")
+        moved = attach(live, far, ["p"], "left").select("n", F.col("p2").alias("p"), (F.col("w") * F.coalesce("w2", F.lit(1.0))).alias("w"), "v")
         after = settled(moved.join(gain, "n", "full").select("n", "p", "w", (F.coalesce("v", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("v")))
         aside.append(after.where("p is null").select("n", "v"))
         live = after.where("p is not null")
@@ -270,6 +271,57 @@ def accumulate_decay(graph: DataFrame, source: DataFrame, decay: DataFrame, ny:
     return sum_upstream(rows.withColumn("w", F.coalesce("w", F.lit(0.0))), tiles_of(ny))
 
 
+def accumulate_sampled(graph: DataFrame, samples: int, iterations: int | None = None, weights: DataFrame | None = None, reservoir: bool = False, seed: int = 0, ny: int | None = None) -> DataFrame:
+    """n, total: an estimate of accumulate from `samples` walks along the graph, each over at most `iterations` cells.
+
+    A walk starts at a cell drawn evenly and leaves its share, cells / samples, in each cell it visits, its start among
+    them; with weights (n, s) it leaves the start's weight times that. With `reservoir` starts are drawn in proportion to
+    the weights instead, and each walk leaves the sum of weights / samples: a draw is a place along the running sum of
+    weights, found by an as-of join. Walks that start alike go alike, so cells carry how many walks pass, not walks: whole
+    walks are sums along the graph, and walks of few cells take two joins for each binary digit of `iterations`.
+
+    Cells must be numbered from 0 without gaps. Cells that no walk visits have 0. Null and negative weights count as 0.
+    """
+    spark, cells = graph.sparkSession, graph.count()
+    draws = spark.range(samples).select(uniform(F.col("id"), seed).alias("u"))
+    if weights is not None:
+        weights = weights.select("n", F.greatest(F.coalesce(F.col("s").cast("double"), F.lit(0.0)), F.lit(0.0)).alias("s"))
+    if reservoir:
+        if weights is None:
+            raise ValueError("a reservoir needs weights")
+        sums = settled(running_sum(weights, "n", "s", "upto"))
+        mass = sums.agg(F.max("upto")).first()[0] or 0.0
+        places = sums.select((F.col("upto") - F.col("s")).alias("from"), "n")  # a cell without weight shares its place with the next
+        starts = as_of(draws.select((F.col("u") * mass).alias("at")), places, "at", "from").select(F.col("r_n").alias("n")) if mass else draws.select(F.lit(-1).cast("long").alias("n"))
+    else:
+        mass, starts = float(cells), draws.select(F.floor(F.col("u") * cells).cast("long").alias("n"))
+    begun = graph.select("n", "nxt").join(starts.groupBy("n").agg(F.count(F.lit(1)).cast("double").alias("v")), "n", "left").fillna(0.0, ["v"])
+    if weights is not None and not reservoir:
+        begun = begun.join(weights, "n", "left").select("n", "nxt", (F.col("v") * F.coalesce("s", F.lit(0.0))).alias("v"))
+    if iterations is None or iterations >= cells:
+        total = sum_upstream(begun.withColumn("w", F.lit(1.0)), tiles_of(ny))
+    else:
+        total = _few_steps(begun, iterations)
+    return total.select("n", (F.col("total") * (mass / samples)).alias("total"))
+
+
+def _few_steps(nodes: DataFrame, cells: int) -> DataFrame:
+    """n, total: v of each node and of those that reach it in fewer than `cells` steps.
+
+    Sums over the next 1, 2, 4, ... cells double with the pointers; those of the digits of `cells` are put together.
+    """
+    state = settled(nodes.select("n", F.when(F.col("nxt") >= 0, F.col("nxt")).alias("p"), F.col("v").alias("part"), F.lit(0.0).alias("total")))
+    while cells:
+        odd, cells = cells & 1, cells >> 1
+        live = state.where("p is not null")
+        gain = live.groupBy(F.col("p").alias("n")).agg(F.sum("part").alias("more"), F.sum("total").alias("rest"))
+        far = live.select(F.col("n").alias("p"), F.col("p").alias("further"))
+        moved = attach(live, far, ["p"], "left").select("n", F.col("further").alias("p"), "part", "total").unionAll(state.where("p is null"))
+        total = F.col("part") + F.coalesce("rest", F.lit(0.0)) if odd else F.col("total")
+        state = settled(moved.join(gain, "n", "left").select("n", "p", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("part"), total.alias("total")))
+    return state.select("n", "total")
+
+
 def multiflow(raster: DataFrame, ny: int, cells: int, runs: int, temperature: float = 10.0, seed: int = 0, edge: Edge | str = Edge.D8) -> DataFrame:
     """n, total: the mean accumulation over weighted draws; all draws are summed at once, keyed by run."""
     draws = random_weighted(raster, ny, edge, seed, temperature=temperature, runs=runs)
@@ -306,10 +358,10 @@ def roots(graph: DataFrame, length: Column | None = None, ny: int | None = None)
     for _ in range(state.count().bit_length() + 2):
         if not live.limit(1).count():
             ends = reduce(DataFrame.unionAll, aside).select(F.col("n").alias("p"), F.col("root").alias("r2"), F.col("d").alias("d2"), F.col("s").alias("s2"))
-            found = each.join(ends, "p", "left")
+            found = attach(each, ends, ["p"], "left")
             return found.select("n", F.coalesce("r2", "root").alias("root"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("distance"))
         ahead = reduce(DataFrame.unionAll, [*aside, live]).select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("root").alias("r2"), F.col("d").alias("d2"), F.col("s").alias("s2"))
-        state = settled(live.join(ahead, "p").select("n", F.col("p2").alias("p"), F.col("r2").alias("root"), (F.col("d") + F.col("d2")).alias("d"), (F.col("s") + F.col("s2")).alias("s")))
+        state = settled(attach(live, ahead, ["p"]).select("n", F.col("p2").alias("p"), F.col("r2").alias("root"), (F.col("d") + F.col("d2")).alias("d"), (F.col("s") + F.col("s2")).alias("s")))
         aside.append(state.where("p < 0"))
         live = state.where("p >= 0")
     raise ValueError("the graph has a cycle")

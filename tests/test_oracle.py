@@ -2,7 +2,7 @@
 
 import pytest
 
-from tarn.plans import catalog, more  # noqa: F401
+from tarn.plans import catalog, more, wider  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE))

@@ -43,3 +43,17 @@ def test_planes_have_their_slope(spark, a, b):
     x, y = np.indices((4, 5))
     for r in stencil.gradient(from_array(spark, a * x + b * y), 1.0, 1.0).collect():
         assert abs(r["gx"] - a) < 1e-9 and abs(r["gy"] - b) < 1e-9
+
+
+def test_simplex_noise_is_smooth_and_bounded(spark):
+    """Against a plain version of one octave: zero at the lattice's corners, small steps for small steps."""
+    from tarn.functions.noise import simplex_noise
+    from tarn.plans.model import NoiseParams
+
+    df = spark.sql("SELECT id AS n, CAST(id DIV 60 AS INT) AS x, CAST(id % 60 AS INT) AS y FROM range(3600)")
+    h = simplex_noise(df, NoiseParams(octaves=1, seed=0, ext=(20.0, 20.0))).toPandas().sort_values("n")["h"].to_numpy().reshape(60, 60)
+    assert abs(h[0, 0]) < 1e-12 and np.abs(h).max() <= 1 and h.std() > 0.15
+    assert max(np.abs(np.diff(h, axis=0)).max(), np.abs(np.diff(h, axis=1)).max()) < 0.35
+    other = simplex_noise(df, NoiseParams(octaves=1, seed=1, ext=(20.0, 20.0))).toPandas().sort_values("n")["h"].to_numpy()
+    assert abs(np.corrcoef(h.ravel(), other)[0, 1]) < 0.3
+    assert simplex_noise(df.limit(0)).columns == ["n", "x", "y", "h"]
