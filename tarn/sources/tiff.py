@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import os
 import struct
 import zipfile
@@ -12,11 +13,13 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
-from tarn.plans.state import settled, ship
+from tarn.plans.state import ship
+from tarn.sources import placed
 
 # Tags of the TIFF 6.0 and GeoTIFF formats, and sizes of their field types: fixed values.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, ORIENTATION, SAMPLES, ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 274, 277, 278, 279, 284
@@ -209,12 +212,19 @@ def _pixels(values: np.ndarray, meta: Meta | None, bits: int) -> bytes:
     return np.ascontiguousarray(values.T).astype(f"<f{bits // 8}").tobytes()
 
 
-def _directory(at: int, w: int, h: int, rows: int, offsets: list[int], sizes: list[int], meta: Meta | None, bits: int, compression: int, big: bool = False) -> bytes:
-    """The directory of a little-endian file, as it stands at byte `at`, with what doesn't fit into its entries after it."""
+def _directory(at: int, w: int, h: int, block: tuple[int, int] | int, offsets: list[int], sizes: list[int], meta: Meta | None, bits: int, compression: int, big: bool = False) -> bytes:
+    """The directory of a little-endian file, as it stands at byte `at`, with what doesn't fit into its entries after it.
+
+    block: the rows of a strip, or the width and height of a tile.
+    """
     word, wide, number = ("Q", 8, 16) if big else ("I", 4, 4)
+    if isinstance(block, int):
+        placed = [(STRIP_OFFSETS, number, offsets), (ROWS, 4, [block]), (STRIP_BYTES, number, sizes)]
+    else:
+        placed = [(TILE_WIDTH, 4, [block[0]]), (TILE_HEIGHT, 4, [block[1]]), (TILE_OFFSETS, number, offsets), (TILE_BYTES, number, sizes)]
     tags: list[tuple[int, int, list | bytes]] = [
-        (WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [bits]), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [1]), (STRIP_OFFSETS, number, offsets), (ORIENTATION, 3, [1]),
-        (SAMPLES, 3, [1]), (ROWS, 4, [rows]), (STRIP_BYTES, number, sizes), (PLANAR, 3, [1]), (FORMAT, 3, [3]),
+        (WIDTH, 4, [w]), (HEIGHT, 4, [h]), (BITS, 3, [bits]), (COMPRESSION, 3, [compression]), (PHOTOMETRIC, 3, [1]), (ORIENTATION, 3, [1]), (SAMPLES, 3, [1]), (PLANAR, 3, [1]),
+        (FORMAT, 3, [3]), *placed,
     ]
     if meta:
         tags += [(SCALE, 12, meta.scale), (TIEPOINTS, 12, meta.coords)]
@@ -222,7 +232,7 @@ def _directory(at: int, w: int, h: int, rows: int, offsets: list[int], sizes: li
         tags += [(t, 2, v.encode("latin-1") + b"\0") for t, v in ((ASCII, meta.ascii_params), (METADATA, meta.gdal_metadata), (NODATA, meta.gdal_nodata)) if v]
     count = struct.pack("<Q" if big else "<H", len(tags))
     table, extra, free = b"", b"", at + len(count) + (4 + 2 * wide) * len(tags) + wide
-    for tag, kind, v in tags:
+    for tag, kind, v in sorted(tags, key=lambda t: t[0]):
         raw = v if kind == 2 else struct.pack(f"<{len(v)}{TYPES[kind][0]}", *v)
         head = struct.pack(f"<HH{word}", tag, kind, len(v))
         if len(raw) > wide:
@@ -251,9 +261,8 @@ def write_array(path: str, values: np.ndarray, meta: Meta | None = None, bits: i
         f.write(encode(values, meta, bits))
 
 
-class _Block(InputPartition):
-    def __init__(self, path: str, meta: Meta, block: tuple[int, int, int, int, int, int]):
-        self.path, self.meta, self.block = path, replace(meta, blocks=[]), block
+#: Bytes of blocks, or of files, that a task reads; files whose headers the driver reads to plan, beyond which tasks do.
+PACK, HEADERS = 32 << 20, 64
 
 
 def files(path: str, limit: int | None = None) -> list[str]:
@@ -263,31 +272,95 @@ def files(path: str, limit: int | None = None) -> list[str]:
     return [os.path.join(path, x) for x in sorted(os.listdir(path)) if x.lower().endswith((".tif", ".tiff"))][:limit]
 
 
+@dataclass
+class Box:
+    """What pushed filters leave of files and cells; ends are included."""
+
+    names: set[str] | None = None
+    ends: dict[str, tuple[float, float]] = field(default_factory=dict)
+
+    def add(self, f: Filter) -> None:
+        column = f.attribute[0] if hasattr(f, "attribute") and len(f.attribute) == 1 else ""
+        if column == "file" and isinstance(f, (EqualTo, In)):
+            names = {f.value} if isinstance(f, EqualTo) else set(f.value)
+            self.names = names if self.names is None else self.names & names
+        elif column in ("x", "y"):
+            low, high = self.ends.get(column, (-math.inf, math.inf))
+            if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                low = max(low, f.value)
+            if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                high = min(high, f.value)
+            if isinstance(f, In):
+                low, high = max(low, min(f.value)), min(high, max(f.value))
+            self.ends[column] = low, high
+
+    def has(self, name: str) -> bool:
+        return self.names is None or name in self.names
+
+    def meets(self, block: tuple[int, int, int, int, int, int]) -> bool:
+        return all(self.ends.get(c, (-math.inf, math.inf))[0] < a + n and a <= self.ends.get(c, (-math.inf, math.inf))[1] for c, a, n in (("x", block[0], block[2]), ("y", block[1], block[3])))
+
+
+class _Pack(InputPartition):
+    """Blocks of files whose headers are known, or files (meta None) whose headers the task reads."""
+
+    def __init__(self, parts: list[tuple[str, Meta | None]]):
+        self.parts = parts
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.paths = files(options["path"], int(options["limit"]) if "limit" in options else None)
+        self.paths, self.pack = files(options["path"], int(options["limit"]) if "limit" in options else None), int(options.get("pack", PACK))
+        self.headers, self.box = int(options.get("headers", HEADERS)), Box()
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Filters on file, x and y pick files and blocks; Spark still applies them to cells."""
+        for f in filters:
+            self.box.add(f)
+            yield f
+
+    def partitions(self) -> list[_Pack]:
+        paths = [p for p in self.paths if self.box.has(os.path.basename(p))]
+        packs, size = [[]], 0
+        known = len(paths) <= self.headers
+        for p in paths:
+            m = peek(p) if known else None
+            for b in [b for b in m.blocks if self.box.meets(b)] if known else [None]:
+                each = (b[2] * b[3] * m.bits // 8 if m.compression == PLAIN else b[5]) if b else os.path.getsize(p)
+                if packs[-1] and size + each > self.pack:
+                    packs.append([])
+                    size = 0
+                size += each
+                if packs[-1] and b and packs[-1][-1][0] == p:
+                    packs[-1][-1][1].blocks.append(b)
+                else:
+                    packs[-1].append((p, replace(m, blocks=[b]) if b else None))
+        return [_Pack(x) for x in packs]
+
+    def read(self, partition: _Pack) -> Iterator[pa.RecordBatch]:
+        for path, m in partition.parts:
+            with open(path, "rb") as f:
+                m = m or _header(f, os.path.basename(path))
+                for b in m.blocks:
+                    if self.box.meets(b) and (v := _block(f, m, b)) is not None:
+                        yield _rows(m, b, v)
 
-    def partitions(self) -> list[_Block]:
-        return [_Block(p, m, b) for p in self.paths for m in (peek(p),) for b in m.blocks]
 
-    def read(self, partition: _Block) -> Iterator[pa.RecordBatch]:
-        m = partition.meta
-        with open(partition.path, "rb") as f:
-            v = _block(f, m, partition.block)
-        if v is None:
-            return
-        if m.gdal_nodata.strip():
-            v = np.where(v == float(m.gdal_nodata), np.nan, v)
-        y, x = np.indices(v.shape, np.int32)
-        x, y = x.ravel() + np.int32(partition.block[0]), y.ravel() + np.int32(partition.block[1])
-        n = x.astype(np.int64) * m.height + y
-        yield pa.RecordBatch.from_arrays([pa.array([m.filename] * len(n)), pa.array(n), pa.array(x), pa.array(y), pa.array(v.ravel())], names=["file", "n", "x", "y", "h"])
+def _rows(m: Meta, block: tuple[int, int, int, int, int, int], v: np.ndarray) -> pa.RecordBatch:
+    if m.gdal_nodata.strip():
+        v = np.where(v == float(m.gdal_nodata), np.nan, v)
+    y, x = np.indices(v.shape, np.int32)
+    x, y = x.ravel() + np.int32(block[0]), y.ravel() + np.int32(block[1])
+    n = x.astype(np.int64) * m.height + y
+    return pa.RecordBatch.from_arrays([pa.array([m.filename] * len(n)), pa.array(n), pa.array(x), pa.array(y), pa.array(v.ravel())], names=["file", "n", "x", "y", "h"])
 
 
 class TiffSource(DataSource):
-    """spark.read.format("tarn_tiff").load(path): a partition for each strip or tile, no data as NaN.
+    """spark.read.format("tarn_tiff").load(path): the cells of strips or tiles, no data as NaN.
 
-    The path must be one that every executor can open, such as a mounted share.
+    Filters on file, x and y leave files and blocks unread. Blocks are packed by their bytes into partitions of about
+    option `pack`. Headers of up to `headers` files are read to plan that; of more files, tasks read the headers of theirs. The
+    path must be one that every executor can open, such as a mounted share.
     """
 
     @classmethod
@@ -303,12 +376,13 @@ class TiffSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TiffSource)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str, **options: int) -> DataFrame:
     register(spark)
-    return spark.read.format("tarn_tiff").load(path)
+    return spark.read.format("tarn_tiff").options(**options).load(path)
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -320,13 +394,8 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
                 f = io.BytesIO(content.as_py())
                 m = _header(f, os.path.basename(name))
                 for b in m.blocks:
-                    if (v := _block(f, m, b)) is None:
-                        continue
-                    if m.gdal_nodata.strip():
-                        v = np.where(v == float(m.gdal_nodata), np.nan, v)
-                    y, x = np.indices(v.shape, np.int32)
-                    x, y = x.ravel() + np.int32(b[0]), y.ravel() + np.int32(b[1])
-                    yield pa.RecordBatch.from_arrays([pa.array([m.filename] * len(x)), pa.array(x.astype(np.int64) * m.height + y), pa.array(x), pa.array(y), pa.array(v.ravel())], names=["file", "n", "x", "y", "h"])
+                    if (v := _block(f, m, b)) is not None:
+                        yield _rows(m, b, v)
 
     ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, TiffSource({}).schema())
@@ -371,50 +440,46 @@ def from_array(spark: SparkSession, values: np.ndarray) -> DataFrame:
     return spark.createDataFrame(table)
 
 
-def write(raster: DataFrame, path: str, nx: int, ny: int, meta: Meta | None = None, v: str = "h", bits: int = 32, rows: int = 256, compression: int = PLAIN) -> None:
-    """One file of strips of `rows` rows, cells that the raster lacks as NaN or no data.
+def write(
+    raster: DataFrame, path: str, nx: int, ny: int, meta: Meta | None = None, v: str = "h", bits: int = 32, rows: int = 256, compression: int = PLAIN, tile: tuple[int, int] | None = None
+) -> None:
+    """One file of strips of `rows` rows, or of tiles, with cells that the raster lacks as NaN or no data.
 
-    Tasks make the strips, plain or deflated; the driver writes them in turn and holds one partition's at a time, so
-    the raster may be larger than any memory. Files over 4 GB are BigTIFF.
+    Tasks make the blocks, plain or deflated, and write them at places that follow from the sums of their sizes; the driver
+    only writes the directory, and names the file once all is there. A failed job leaves no file. Files over 4 GB are
+    BigTIFF. Tiles have multiples of 16 cells a side, as the format asks.
     """
     if compression not in (PLAIN, DEFLATE):
         raise ValueError("plain or deflated")
-    strips = -(-ny // rows)
+    if tile and any(t < 16 or t % 16 for t in tile):
+        raise ValueError("tiles have multiples of 16 cells a side")
+    bw, bh = tile or (nx, rows)
+    across, down = -(-nx // bw), -(-ny // bh)
 
-    def strip(key: tuple, table: pa.Table) -> pa.Table:
+    def block(key: tuple, table: pa.Table) -> pa.Table:
         k = key[0].as_py()
+        x0, y0 = k % across * bw, k // across * bh
+        table = table.filter(pa.compute.is_valid(table.column("n")))
         n = table.column("n").to_numpy()
-        values = np.full((nx, min(rows, ny - k * rows)), np.nan)
-        values[n // ny, n % ny - k * rows] = table.column("v").to_numpy()
+        values = np.full((bw, bh if tile else min(bh, ny - y0)), np.nan)
+        values[n // ny - x0, n % ny - y0] = table.column("v").to_numpy()
         raw = _pixels(values, meta, bits)
         return pa.table({"k": pa.array([k], pa.int64()), "data": pa.array([zlib.compress(raw) if compression == DEFLATE else raw], pa.binary())})
 
     spark = raster.sparkSession
     ship(spark)
-    cells = raster.select("n", F.col(v).cast("double").alias("v")).withColumn("k", F.floor(F.col("n") % ny / rows).cast("long"))
-    made = settled(cells.groupBy("k").applyInArrow(strip, "k long, data binary"))
-    empty = lambda k: (lambda raw: zlib.compress(raw) if compression == DEFLATE else raw)(_pixels(np.full((nx, min(rows, ny - k * rows)), np.nan), meta, bits))
-    big = made.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    big = big + 16 * strips > (1 << 32) - (1 << 20)
-    offsets, sizes = [], []
-    with open(path, "wb") as f:
-        f.write(_start(0, big))
-
-        def put(data: bytes) -> None:
-            offsets.append(f.tell())
-            sizes.append(len(data))
-            f.write(data + b"\0" * (len(data) % 2))
-
-        for r in made.orderBy("k").toLocalIterator():
-            while len(offsets) < r["k"]:
-                put(empty(len(offsets)))
-            put(bytes(r["data"]))
-        while len(offsets) < strips:
-            put(empty(len(offsets)))
-        at = f.tell()
-        f.write(_directory(at, nx, ny, rows, offsets, sizes, meta, bits, compression, big))
-        f.seek(0)
-        f.write(_start(at, big))
+    at = F.floor(F.col("n") % ny / bh) * across + F.floor(F.floor(F.col("n") / ny) / bw)
+    cells = raster.select(F.col("n").cast("long").alias("n"), F.col(v).cast("double").alias("v"), at.cast("long").alias("k"))
+    each = spark.range(across * down).select(F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("v"), F.col("id").alias("k"))
+    made = cells.unionAll(each).groupBy("k").applyInArrow(block, "k long, data binary")
+    is_big = lambda size: size + 24 * across * down > (1 << 32) - (1 << 20)
+
+    def frame(blocks: list[tuple[int, int, int]]) -> list[tuple[int, bytes]]:
+        size = sum(b[2] for b in blocks)
+        end = max((b[1] + b[2] + b[2] % 2 for b in blocks), default=16)
+        return [(0, _start(end, is_big(size))), (end, _directory(end, nx, ny, tile or bh, [b[1] for b in blocks], [b[2] for b in blocks], meta, bits, compression, is_big(size)))]
+
+    placed.write(made, path, lambda size: 16 if is_big(size) else 8, frame, even=True)
 
 
 def write_folder(rasters: DataFrame, folder: str, ny: int, v: str = "h", bits: int = 32) -> DataFrame:

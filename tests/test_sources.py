@@ -48,8 +48,8 @@ def tiled(values, w, h):
 def test_tiles_through_spark(spark, tmp_path, image):
     values = np.nan_to_num(image, nan=3.0)
     (tmp_path / "a.tif").write_bytes(tiled(values, 4, 2))
-    df = tiff.read(spark, str(tmp_path / "a.tif"))
-    assert df.rdd.getNumPartitions() == 6
+    df = tiff.read(spark, str(tmp_path / "a.tif"), pack=32)
+    assert df.rdd.getNumPartitions() == 6 and tiff.read(spark, str(tmp_path / "a.tif"), pack=64).rdd.getNumPartitions() == 3
     rows = {(r["x"], r["y"]): r["h"] for r in df.collect()}
     assert all(rows[k] == np.float32(values[k]) for k in rows) and len(rows) == 7 * 5 - 3  # the last tile is missing
     again = {(r["x"], r["y"]): r["h"] for r in tiff.read_binary(spark, str(tmp_path / "a.tif")).collect()}
@@ -136,12 +136,41 @@ def test_strips_are_written_by_tasks(spark, tmp_path, compression):
     want[:, 5:13] = np.nan
     np.testing.assert_array_equal(got, want)
     assert len(m.blocks) == 6 and m.keydir == [1, 1, 0, 0]
-    df = tiff.read(spark, str(tmp_path / "s.tif"))
+    df = tiff.read(spark, str(tmp_path / "s.tif"), pack=1)
     assert df.rdd.getNumPartitions() == 6 and df.where("not isnan(h)").count() == (~np.isnan(want)).sum()
     (tmp_path / "d.tif").write_bytes(tiff.encode(values, compression=compression, bits=64))
     np.testing.assert_array_equal(tiff.read_array(tmp_path / "d.tif")[1], values)
 
 
+@pytest.mark.parametrize("headers", [64, 0])
+def test_boxes_leave_blocks_and_files_unread(spark, tmp_path, headers):
+    values = np.random.default_rng(6).random((70, 50))
+    values[3, 4] = np.nan
+    for name in ("a.tif", "b.tif"):
+        tiff.write(tiff.from_array(spark, values), str(tmp_path / name), 70, 50, tiff.Meta(**META), bits=64, tile=(16, 32), compression=tiff.DEFLATE)
+    np.testing.assert_array_equal(tiff.read_array(tmp_path / "a.tif")[1], values)
+    assert len(tiff.peek(tmp_path / "a.tif").blocks) == 10 and sorted(p.name for p in tmp_path.iterdir()) == ["a.tif", "b.tif"]
+    whole = tiff.read(spark, str(tmp_path), pack=1, headers=headers)
+    box = whole.where("file = 'b.tif' AND x >= 20 AND x < 31 AND y BETWEEN 33 AND 40")
+    assert whole.rdd.getNumPartitions() == (20 if headers else 2) and box.rdd.getNumPartitions() == 1
+    got = {(r["file"], r["x"], r["y"]): r["h"] for r in box.collect()}
+    assert got == {("b.tif", x, y): values[x, y] for x in range(20, 31) for y in range(33, 41)}
+    assert whole.where("x > 60 AND y = 3").count() == 18 and whole.where("x IN (1, 69) AND y < 0").count() == 0
+    assert whole.where("h > 0.5 AND NOT isnan(h)").count() == 2 * (values > 0.5).sum()
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    from tarn.sources import placed
+
+    placed.register(spark)
+    bad = spark.range(8, numPartitions=4).selectExpr("id AS k", "id * 3 AS at", "CASE WHEN id = 7 THEN CAST(raise_error('no') AS BINARY) ELSE CAST('abc' AS BINARY) END AS data")
+    with pytest.raises(Exception, match="no"):
+        placed.write_runs(bad, str(tmp_path / "f"), lambda blocks: [])
+    assert not list(tmp_path.iterdir())
+    placed.write(spark.range(5).selectExpr("id AS k", "CAST(repeat('x', CAST(id AS INT)) AS BINARY) AS data"), str(tmp_path / "f"), lambda size: size, lambda blocks: [(0, b"head"), (30, str(blocks).encode())], even=True)
+    assert (tmp_path / "f").read_bytes() == b"head".ljust(10, b"\0") + b"x\0xxxxx\0xxxx".ljust(20, b"\0") + str([(0, 10, 0), (1, 10, 1), (2, 12, 2), (3, 14, 3), (4, 18, 4)]).encode()
+
+
 def test_folder_limit_and_meta(spark, tmp_path, image):
     for k in range(3):
         tiff.write_array(tmp_path / f"{k}.tif", image, tiff.Meta(**META))
@@ -166,7 +195,8 @@ def test_write_from_cells(spark, tmp_path, image):
         tiff.to_array(df, 7, 5, bound=10)
 
 
-def test_ply(spark, tmp_path):
+def test_ply(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ply, "RUN", 4)
     v, f = raster.mesh(tiff.from_array(spark, np.arange(6.0).reshape(2, 3)), Grid(2, 3))
     ply.write_ascii(tmp_path / "a.ply", v, f)
     ply.write_binary(tmp_path / "b.ply", v, f)
@@ -174,6 +204,11 @@ def test_ply(spark, tmp_path):
     assert "element vertex 6" in text and "element face 4" in text and text[-1].startswith("3 ")
     raw = (tmp_path / "b.ply").read_bytes()
     assert len(raw.split(b"end_header\n", 1)[1]) == 6 * 12 + 4 * 13
+    order = lambda df: sorted(tuple(r) for r in df.collect())
+    assert order(ply.read_vertices(spark, str(tmp_path / "b.ply"), 4)) == order(v) and order(ply.read_faces(spark, str(tmp_path / "b.ply"), 3)) == order(f)
+    body = text[text.index("end_header") + 1 :]
+    assert [x.split() for x in body[6:]] == [["3", *map(str, r[1:])] for r in order(f)]
+    assert [float(x.split()[2]) for x in body[:6]] == pytest.approx([k / 5 for k in range(6)], abs=1e-5)
 
 
 def test_dense_and_constant(spark):
