@@ -455,10 +455,15 @@ def _bilinear(spark, d):
     return raster.resize_bilinear(height(spark, d), grid_of(spark, d), Grid(60, 60)).select("n", "x", "y", *_r("h"))
 
 
-@query("sample_bilinear", f"""WITH p AS (SELECT CAST(event_id AS BIGINT) AS id, {uniform_sql("CAST(event_id AS BIGINT)", 3)} * ({_NX} - 1) AS px, {uniform_sql("CAST(event_id AS BIGINT)", 4)} * {NY - 1} AS py FROM events),
+def at_points_sql(points: str, base: str) -> str:
+    """Values and slopes between the four cells around each point (id, px, py)."""
+    return f"""WITH p AS ({points}),
 c AS (SELECT p.id, o.h, CASE WHEN i = 1 THEN px - floor(px) ELSE 1 - (px - floor(px)) END AS a, CASE WHEN j = 1 THEN py - floor(py) ELSE 1 - (py - floor(py)) END AS b, i * 2 - 1 AS u, j * 2 - 1 AS t
-FROM p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j) JOIN ({_HOLES}) o ON o.x = least(floor(px) + i, {_NX} - 1) AND o.y = least(floor(py) + j, {NY - 1}))
-SELECT id, CASE WHEN count(h) = 4 THEN round(sum(a * b * h), 5) END AS value, CASE WHEN count(h) = 4 THEN round(sum(u * b * h), 5) END AS gx, CASE WHEN count(h) = 4 THEN round(sum(t * a * h), 5) END AS gy FROM c GROUP BY id""")
+FROM p CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) k(i, j) JOIN ({base}) o ON o.x = least(floor(px) + i, {_NX} - 1) AND o.y = least(floor(py) + j, {NY - 1}))
+SELECT id, CASE WHEN count(h) = 4 THEN round(sum(a * b * h), 5) END AS value, CASE WHEN count(h) = 4 THEN round(sum(u * b * h), 5) END AS gx, CASE WHEN count(h) = 4 THEN round(sum(t * a * h), 5) END AS gy FROM c GROUP BY id"""
+
+
+@query("sample_bilinear", at_points_sql(f"SELECT CAST(event_id AS BIGINT) AS id, {uniform_sql('CAST(event_id AS BIGINT)', 3)} * ({_NX} - 1) AS px, {uniform_sql('CAST(event_id AS BIGINT)', 4)} * {NY - 1} AS py FROM events", _HOLES))
 def _sampled(spark, d):
     g, k = grid_of(spark, d), F.col("event_id").cast("long")
     points = _table(spark, d, "events").select(k.alias("id"), (uniform(k, 3) * (g.nx - 1)).alias("px"), (uniform(k, 4) * (g.ny - 1)).alias("py"))
@@ -503,9 +508,11 @@ def _octave_sql(k: int, p: NoiseParams) -> str:
 _NOISE = NoiseParams(frequency=4.0, octaves=3, ext=(float(_SIDE), float(_SIDE)))
 
 
-@query("noise_fbm", f"SELECT CAST(range AS BIGINT) AS n, round(({' + '.join(_octave_sql(k, _NOISE) for k in range(3))}) / {sum(0.6**k for k in range(3))!r}::DOUBLE, 9) AS h FROM (SELECT range, range // {_SIDE} AS x, range % {_SIDE} AS y FROM range({_SIDE * _SIDE}))")
+@query("noise_fbm", f"SELECT n, round(h / 1e5::DOUBLE + ({' + '.join(_octave_sql(k, _NOISE) for k in range(3))}) / {sum(0.6**k for k in range(3))!r}::DOUBLE, 9) AS h FROM ({_ORDERS})")
 def _noise(spark, d):
-    return noise(spark, Grid(_SIDE, _SIDE), _NOISE).select("n", *_r("h", digits=9))
+    """The orders' heights made rough by noise over their grid."""
+    rough = noise(spark, grid_of(spark, d), _NOISE).select("n", F.col("h").alias("rough"))
+    return height(spark, d).join(rough, "n").select("n", F.round(F.col("h") / 1e5 + F.col("rough"), 9).alias("h"))
 
 
 @query("event_cells", "SELECT CAST(event_id % 1500 AS BIGINT) AS n, round(sum(CAST(value AS DOUBLE)), 4) AS total, count(value) AS hits FROM events GROUP BY 1")
@@ -531,23 +538,22 @@ def _erosion(spark, d):
     return erosion_step(_cells(spark, d), grid_of(spark, d), 8192)
 
 
-def _sample_file(folder: str) -> str:
-    path = os.path.join(folder, "a.tiff")
-    x, y = np.indices((48, 32))
-    values = np.where((x + y) % 7 == 0, np.nan, x * 100.0 + y)
-    tiff.write_array(path, values, tiff.Meta(gdal_nodata="-9999", scale=[30.0, 10.0, 1.0], coords=[0, 0, 0, 500.0, -200.0, 0]), 64)
+def _sample_file(spark: SparkSession, d: str) -> str:
+    """The orders' heights with holes as a file that the driver writes from an array, as numpy's users do."""
+    g, path = grid_of(spark, d), os.path.join(files_folder(spark), "a.tiff")
+    tiff.write_array(path, tiff.to_array(holes(spark, d), g.nx, g.ny), tiff.Meta(gdal_nodata="-9999", scale=[30.0, 10.0, 1.0], coords=[0, 0, 0, 500.0, -200.0, 0]), 64)
     return path
 
 
-@query("tiff_roundtrip", "SELECT CAST(range AS BIGINT) AS n, CAST(range // 32 AS INTEGER) AS x, CAST(range % 32 AS INTEGER) AS y, CASE WHEN (range // 32 + range % 32) % 7 = 0 THEN NULL ELSE (range // 32) * 100.0::DOUBLE + range % 32 END AS h FROM range(48 * 32)")
+@query("tiff_roundtrip", f"SELECT n, x, y, h FROM ({_HOLES})")
 def _tiff(spark, d):
-    _, values = tiff.read_array(_sample_file(files_folder(spark)))
+    _, values = tiff.read_array(_sample_file(spark, d))
     return tiff.from_array(spark, values).select("n", "x", "y", F.when(~F.isnan("h"), F.col("h")).alias("h"))
 
 
-@query("geotiff_meta", "SELECT 'a.tiff' AS filename, 48::BIGINT AS width, 32::BIGINT AS height, 64::BIGINT AS bits, '-9999' AS gdal_nodata, 500.0::DOUBLE AS min_x, -200.0::DOUBLE AS min_y, 1940.0::DOUBLE AS max_x, 120.0::DOUBLE AS max_y")
+@query("geotiff_meta", f"SELECT 'a.tiff' AS filename, CAST(max(x) + 1 AS BIGINT) AS width, {NY}::BIGINT AS height, 64::BIGINT AS bits, '-9999' AS gdal_nodata, 500.0::DOUBLE AS min_x, -200.0::DOUBLE AS min_y, 500 + 30.0::DOUBLE * (max(x) + 1) AS max_x, {10.0 * NY - 200.0}::DOUBLE AS max_y FROM ({_ORDERS})")
 def _meta(spark, d):
-    return tiff.read_meta(spark, _sample_file(files_folder(spark))).select("filename", "width", "height", "bits", "gdal_nodata", "min_x", "min_y", "max_x", "max_y")
+    return tiff.read_meta(spark, _sample_file(spark, d)).select("filename", "width", "height", "bits", "gdal_nodata", "min_x", "min_y", "max_x", "max_y")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:

@@ -184,23 +184,29 @@ def _top(spark, d):
 # ---- small operators
 
 
-@query("constant_field", "SELECT CAST(range AS BIGINT) AS n, CAST(range // 30 AS INTEGER) AS x, CAST(range % 30 AS INTEGER) AS y, 4.5::DOUBLE AS h FROM range(40 * 30)")
+@query("constant_field", f"SELECT n, x, y, (SELECT max(h) FROM ({c._ORDERS})) AS h FROM ({c._ORDERS})")
 def _constant(spark, d):
-    return constant(spark, Grid(40, 30), 4.5)
+    return constant(spark, c.grid_of(spark, d), c.height(spark, d).agg(F.max("h")).first()[0])
 
 
 def _mirror_sql(k: str, base: int) -> str:
-    return "(" + " + ".join(f"(({k} // {base**j}) % {base}) * {base ** -(j + 1)!r}::DOUBLE" for j in range(12)) + ")"
+    return "(" + " + ".join(f"(({k} // {base**j}) % {base}) * {base ** -(j + 1)!r}::DOUBLE" for j in range(20)) + ")"
 
 
-@query("sample_halton", f"SELECT CAST(range AS BIGINT) AS id, round({_mirror_sql('(range + 1)', 2)} * 99, 9) AS px, round({_mirror_sql('(range + 1)', 3)} * 49, 9) AS py FROM range(4000)")
+_EACH = f"(SELECT n FROM ({c._ORDERS}))"
+
+
+@query("sample_halton", c.at_points_sql(f"SELECT n AS id, {_mirror_sql('(n + 1)', 2)} * ({c._NX} - 1) AS px, {_mirror_sql('(n + 1)', 3)} * {NY - 1} AS py FROM {_EACH}", c._TILT))
 def _halton(spark, d):
-    return sampling.halton(spark, Grid(100, 50), 4000).select("id", *_r("px", "py", digits=9))
+    """As many points as cells, from the sequence, and the heights there."""
+    g = c.grid_of(spark, d)
+    return sampling.at_points(sampling.halton(spark, g, g.cells), c.tilted(spark, d), g).select("id", *_r("value", "gx", "gy", digits=5))
 
 
-@query("sample_random", f"SELECT CAST(range AS BIGINT) AS id, round({uniform_sql('(range * 2)', 9)} * 99, 9) AS px, round({uniform_sql('(range * 2 + 1)', 9)} * 49, 9) AS py FROM range(4000)")
+@query("sample_random", c.at_points_sql(f"SELECT n AS id, {uniform_sql('(n * 2)', 9)} * ({c._NX} - 1) AS px, {uniform_sql('(n * 2 + 1)', 9)} * {NY - 1} AS py FROM {_EACH}", c._TILT))
 def _random(spark, d):
-    return sampling.random_points(spark, Grid(100, 50), 4000, 9).select("id", *_r("px", "py", digits=9))
+    g = c.grid_of(spark, d)
+    return sampling.at_points(sampling.random_points(spark, g, g.cells, 9), c.tilted(spark, d), g).select("id", *_r("value", "gx", "gy", digits=5))
 
 
 @query("select_index", f"SELECT n, x, y, h FROM ({c._ORDERS}) WHERE n IN (SELECT CAST(l_orderkey AS BIGINT) FROM lineitem WHERE l_quantity > 49)")
@@ -253,21 +259,36 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(f"file://{path}").select("value")
 
 
-@query("ply_ascii", f"""WITH v AS (SELECT id, x, y FROM {c._VERTICES}), m AS (SELECT max(x) AS mx, max(y) AS my FROM v), f AS ({c.ORACLE['mesh_faces']})
-SELECT kind, CAST(count(*) AS BIGINT) AS lines FROM (SELECT 'vertex' AS kind FROM v UNION ALL SELECT 'face ' || a || ' ' || b || ' ' || c FROM f) GROUP BY kind""")
+_SPAN = ", ".join(f"min({k}) AS low_{k}, CASE WHEN max({k}) > min({k}) THEN max({k}) - min({k}) ELSE 1 END AS wide_{k}" for k in "xyz")
+_SCALED = ", ".join(f"CAST(format('{{:g}}', ({k} - low_{k}) / wide_{k}) AS DOUBLE) AS {n}" for k, n in zip("xyz", "abc", strict=True))
+
+
+@query("ply_ascii", f"""WITH v AS (SELECT CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, h AS z FROM {c._VERTICES}), f AS ({c.ORACLE['mesh_faces']})
+SELECT 'vertex' AS kind, {_SCALED} FROM v, (SELECT {_SPAN} FROM v) UNION ALL SELECT 'face', CAST(a AS DOUBLE), CAST(b AS DOUBLE), CAST(c AS DOUBLE) FROM f""")
 def _ply_ascii(spark, d):
+    """Every line of the file, read as text."""
     path = os.path.join(files_folder(spark), "a.ply")
     ply.write_ascii(path, *raster.mesh(c.holes(spark, d), c.grid_of(spark, d)))
-    body = _lines(spark, path).where("value RLIKE '^[-0-9]'")
-    kind = F.when(F.col("value").rlike("^3 [0-9]+ [0-9]+ [0-9]+$"), F.concat(F.lit("face "), F.substring("value", 3, 1000))).otherwise(F.lit("vertex"))
-    return body.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("lines"))
+    parts = F.split("value", " ")
+    body = _lines(spark, path).where("value RLIKE '^[-0-9]'").select(parts.alias("p"), (F.size(parts) == 4).alias("face"))
+    number = lambda k: F.when(F.col("face"), F.get("p", F.lit(k + 1))).otherwise(F.get("p", F.lit(k))).cast("double")
+    return body.select(F.when(F.col("face"), "face").otherwise("vertex").alias("kind"), *(number(k).alias(n) for k, n in enumerate("abc")))
 
 
 @query("ply_binary", f"SELECT id, CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(h AS FLOAT) AS DOUBLE) AS z FROM {c._VERTICES}")
 def _ply_binary(spark, d):
+    return ply.read_vertices(spark, _mesh_file(spark, d))
+
+
+@query("ply_binary_faces", f"SELECT id, a, b, c FROM ({c.ORACLE['mesh_faces']})")
+def _ply_binary_faces(spark, d):
+    return ply.read_faces(spark, _mesh_file(spark, d))
+
+
+def _mesh_file(spark: SparkSession, d: str) -> str:
     path = os.path.join(files_folder(spark), "b.ply")
     ply.write_binary(path, *raster.mesh(c.holes(spark, d), c.grid_of(spark, d)))
-    return ply.read_vertices(spark, path)
+    return path
 
 
 def _raster_file(spark: SparkSession, d: str, compression: int, bits: int = 64) -> str:
@@ -310,19 +331,33 @@ def _folder_query(spark, d):
     return tiff.read(spark, folder).where("NOT isnan(h)").select("file", "n", "h")
 
 
-@query("tiff_limit", "SELECT 'tile' || range || '.tif' AS filename, 6::BIGINT AS width, 4::BIGINT AS height FROM range(3)")
+@query("tiff_box", f"SELECT n, x, y, h FROM ({c._HOLES}) WHERE x BETWEEN 5 AND 40 AND y >= 30 AND y < 75")
+def _box(spark, d):
+    """A box of a tiled file: blocks outside it aren't read."""
+    path, g = os.path.join(files_folder(spark), "tiles.tif"), c.grid_of(spark, d)
+    tiff.write(c.holes(spark, d), path, g.nx, g.ny, tiff.Meta(gdal_nodata="-9999"), bits=64, compression=tiff.DEFLATE, tile=(16, 32))
+    return _known(tiff.read(spark, path).where("x BETWEEN 5 AND 40 AND y >= 30 AND y < 75")).drop("file")
+
+
+@query("tiff_limit", "SELECT 'tile' || p_partkey % 4 || '.tif' AS filename, CAST(max(p_partkey // 4) // 5 + 1 AS BIGINT) AS width, 5::BIGINT AS height FROM part WHERE p_partkey % 4 < 3 GROUP BY 1")
 def _limit(spark, d):
-    folder = files_folder(spark)
-    for k in range(5):
-        tiff.write_array(os.path.join(folder, f"tile{k}.tif"), np.ones((6, 4)) * k)
+    """The headers of the first three files of a folder."""
+    folder, key = files_folder(spark), F.col("p_partkey").cast("long")
+    rows = c._table(spark, d, "part").select(F.concat(F.lit("tile"), key % 4, F.lit(".tif")).alias("file"), F.floor(key / 4).cast("long").alias("n"), F.col("p_retailprice").cast("double").alias("h"))
+    tiff.write_folder(rows, folder, 5, bits=64).count()
     return tiff.read_meta(spark, folder, 3).select("filename", "width", "height")
 
 
-@query("zip_fields", "SELECT name, CAST(range AS BIGINT) AS n, CAST(range * k AS DOUBLE) AS h FROM range(48), (VALUES ('a', 1), ('b', 2)) v(name, k)")
+_PARTS = "SELECT CAST(p_partkey AS BIGINT) AS n, CAST(p_retailprice AS DOUBLE) AS price, CAST(p_size AS DOUBLE) AS size FROM part"
+
+
+@query("zip_fields", f"SELECT 'price' AS name, n, price AS h FROM ({_PARTS}) UNION ALL SELECT 'size', n, size FROM ({_PARTS})")
 def _zip(spark, d):
-    path, values = os.path.join(files_folder(spark), "fields.zip"), np.arange(48.0).reshape(8, 6)
-    tiff.zip_save(path, {"a": values, "b": values * 2})
-    return reduce_union([tiff.from_array(spark, v).select(F.lit(k).alias("name"), "n", "h") for k, v in sorted(tiff.zip_load(path).items())])
+    """Fields of the parts as arrays on the driver, saved and loaded as numpy's users do."""
+    path, rows = os.path.join(files_folder(spark), "fields.zip"), c._table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("n"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+    nx = rows.agg(F.max("n")).first()[0] // 50 + 1
+    tiff.zip_save(path, {k: tiff.to_array(rows, nx, 50, k) for k in ("price", "size")}, bits=64)
+    return reduce_union([tiff.from_array(spark, v).where("NOT isnan(h)").select(F.lit(k).alias("name"), "n", "h") for k, v in sorted(tiff.zip_load(path).items())])
 
 
 def reduce_union(frames: list[DataFrame]) -> DataFrame:
@@ -332,11 +367,12 @@ def reduce_union(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-@query("png_uplift", "SELECT CAST(range AS BIGINT) AS n, CAST(range // 9 AS INTEGER) AS x, CAST(range % 9 AS INTEGER) AS y, round((range % 9 * 20 + range // 9) / 255.0::DOUBLE, 9) AS h FROM range(12 * 9)")
+@query("png_uplift", "SELECT CAST(p_partkey AS BIGINT) AS n, CAST(p_partkey // 50 AS INTEGER) AS x, CAST(p_partkey % 50 AS INTEGER) AS y, round(p_size / 255.0::DOUBLE, 9) AS h FROM part")
 def _png(spark, d):
-    path = os.path.join(files_folder(spark), "u.png")
-    x, y = np.indices((12, 9))
-    images.write_png(path, np.stack([y * 20 + x, x, y], axis=2).astype(np.uint8))
+    """The parts' sizes as the red channel of an image, and back."""
+    path, rows = os.path.join(files_folder(spark), "u.png"), c._table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("n"), "p_size")
+    red = np.nan_to_num(tiff.to_array(rows, rows.agg(F.max("n")).first()[0] // 50 + 1, 50, "p_size"))
+    images.write_png(path, np.stack([red, red * 0, red * 0 + 7], axis=2).astype(np.uint8))
     return images.read_red(spark, f"file://{path}").select("n", "x", "y", *_r("h", digits=9))
 
 

@@ -496,11 +496,11 @@ def write_folder(rasters: DataFrame, folder: str, ny: int, v: str = "h", bits: i
     return rasters.select("file", "n", F.col(v).cast("double").alias(v)).groupBy("file").applyInArrow(run, "file string, cells long")
 
 
-def zip_save(path: str, fields: dict[str, np.ndarray], meta: Meta | None = None) -> None:
+def zip_save(path: str, fields: dict[str, np.ndarray], meta: Meta | None = None, bits: int = 32) -> None:
     """One GeoTIFF for each field, in a ZIP file."""
     with zipfile.ZipFile(path, "w") as z:
         for name, values in fields.items():
-            z.writestr(f"{name}.tiff", encode(values, meta or Meta()))
+            z.writestr(f"{name}.tiff", encode(values, meta or Meta(), bits))
 
 
 def zip_load(path: str) -> dict[str, np.ndarray]:
