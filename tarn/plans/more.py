@@ -15,9 +15,9 @@ from tarn.plans import catalog as c
 from tarn.plans.catalog import NY, _r, query
 from tarn.plans.erosion import erode_levels
 from tarn.plans.model import Grid, Params, constant
-from tarn.plans.state import files_folder
+from tarn.plans.state import files_folder, shared_folder
 from tarn.sources import images, ply, tiff
-from tarn.streaming.cells import cell_sums, windowed_cell_sums
+from tarn.streaming.cells import cell_sums, drain, windowed_cell_sums
 
 P = Params()
 
@@ -380,13 +380,11 @@ def _png(spark, d):
 
 
 def _streamed(spark: SparkSession, d: str, make, mode: str) -> DataFrame:
-    """What a stream over the events has summed when its input ends; settled in the shared folder by a memory sink."""
-    schema = c._table(spark, d, "events").schema
+    """What a stream over the events has written to files in the shared folder when its input ends."""
+    schema, folder = c._table(spark, d, "events").schema, f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).parquet(d, pathGlobFilter="events.parquet")
-    name = f"stream_{uuid.uuid4().hex}"
-    q = make(stream.withColumn("value", F.col("value").cast("double"))).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    drain(make(stream.withColumn("value", F.col("value").cast("double")).withColumn("ts", F.col("ts").cast("timestamp"))), folder, mode)
+    return spark.read.parquet(f"{folder}/out")
 
 
 @query("stream_cells", c.ORACLE["event_cells"])
@@ -394,10 +392,14 @@ def _stream(spark, d):
     return _streamed(spark, d, lambda s: cell_sums(s, F.col("event_id") % 1500), "complete").select("n", *_r("total", digits=4), "hits")
 
 
-@query("stream_windows", "SELECT date_trunc('hour', ts) AS start, CAST(event_id % 50 AS BIGINT) AS n, round(sum(CAST(value AS DOUBLE)), 4) AS total, count(value) AS hits FROM events GROUP BY 1, 2")
+_PASSED = "(SELECT make_timestamp((epoch_ms(max(ts)) - 7200000) * 1000) FROM events)"
+
+
+@query("stream_windows", f"SELECT date_trunc('hour', ts) AS start, CAST(event_id % 50 AS BIGINT) AS n, round(sum(CAST(value AS DOUBLE)), 4) AS total, count(value) AS hits FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= {_PASSED} GROUP BY 1, 2")
 def _windows(spark, d):
-    make = lambda s: windowed_cell_sums(s.withColumn("ts", F.col("ts").cast("timestamp")), F.col("event_id") % 50, "30 days", "1 hour")
-    return _streamed(spark, d, make, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "n", *_r("total", digits=4), "hits")
+    """The windows that the watermark, two hours behind, has passed."""
+    out = _streamed(spark, d, lambda s: windowed_cell_sums(s, F.col("event_id") % 50, "2 hours", "1 hour"), "append")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n", *_r("total", digits=4), "hits")
 
 
 _MANY = 64

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tarn.functions.noise import simplex_noise
@@ -10,6 +12,8 @@ from tarn.operators import flow, ordered
 from tarn.plans import catalog as c
 from tarn.plans.catalog import NY, _r, query
 from tarn.plans.model import NoiseParams
+from tarn.plans.state import shared_folder
+from tarn.streaming.cells import drain, running_means, sessions
 
 # ---- sampled walks
 
@@ -114,3 +118,57 @@ _GAINS = [_NOISE.gain**k for k in range(_NOISE.octaves)]
 @query("simplex_noise", f"SELECT n, round(({' + '.join(f'o{k}.h * {g!r}::DOUBLE' for k, g in enumerate(_GAINS))}) / {sum(_GAINS)!r}::DOUBLE, 6) AS h FROM {_octave_sql(0)} o0 {' '.join(f'JOIN {_octave_sql(k)} o{k} USING (n)' for k in range(1, _NOISE.octaves))}")
 def _simplex(spark, d):
     return simplex_noise(c.height(spark, d).select("n", "x", "y"), _NOISE).select("n", *_r("h"))
+
+
+# ---- two feeds of events, the second with rows that come late
+
+#: Seconds that the watermark stays behind, that end a session, that end a cell's mean.
+_LATE, _GAP, _IDLE = 21_600, 7_200, 43_200
+_IN_FIRST = "(day < 18 AND event_id % 5 <> 0)"
+_FEEDS = f"(SELECT event_id, CAST(user_id AS BIGINT) AS n, ts, value, CASE WHEN {_IN_FIRST} THEN 1 ELSE 2 END AS feed FROM (SELECT *, day(ts) AS day FROM events))"
+
+
+def _fed(spark, d, make):
+    """Files that a stream makes of two feeds, one after the other: of the first 18 days four events in five come in the
+    first feed, the fifth ones come late, with the rest of the month."""
+    folder = f"{shared_folder(spark)}/feeds-{uuid.uuid4().hex}"
+    rows = c._table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", F.col("user_id").cast("long").alias("n"), "ts", F.col("value").cast("double").alias("value"))
+    first = (F.dayofmonth("ts") < 18) & (F.col("event_id") % 5 != 0)
+    for feed in (rows.where(first), rows.where(~first)):
+        feed.write.mode("append").parquet(f"{folder}/in")
+        drain(make(spark.readStream.schema(rows.schema).parquet(f"{folder}/in")), folder)
+    return spark.read.parquet(f"{folder}/out")
+
+
+_MARKS = f"""marks AS (SELECT make_timestamp((epoch_ms(max(ts) FILTER (WHERE feed = 1)) - {_LATE * 1000}) * 1000) AS w1, make_timestamp((epoch_ms(max(ts)) - {_LATE * 1000}) * 1000) AS w2 FROM feeds)"""
+
+
+def _runs_sql(rows: str) -> str:
+    """Each row with its session's number, over rows (n, ts, value, ...)."""
+    return f"""(SELECT *, sum(new) OVER (PARTITION BY n ORDER BY ts, event_id) AS k FROM (
+SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY n ORDER BY ts, event_id) + to_seconds({_GAP}) THEN 0 ELSE 1 END AS new FROM {rows}))"""
+
+
+_SESSION = f"SELECT n, min(ts) AS start, max(ts) + to_seconds({_GAP}) AS \"end\", round(avg(value), 6) AS mean, count(value) AS hits"
+
+
+@query("stream_sessions", f"""WITH feeds AS {_FEEDS}, {_MARKS},
+one AS {_runs_sql('(SELECT * FROM feeds WHERE feed = 1)')}, ends AS (SELECT n, k, max(ts) + to_seconds({_GAP}) AS stop FROM one GROUP BY 1, 2),
+closed AS (SELECT one.* FROM one JOIN ends USING (n, k), marks WHERE stop <= w1),
+two AS {_runs_sql(f'(SELECT event_id, n, ts, value FROM one JOIN ends USING (n, k), marks WHERE stop > w1 UNION ALL SELECT event_id, n, ts, value FROM feeds, marks WHERE feed = 2 AND ts + to_seconds({_GAP}) > w1)')}
+{_SESSION} FROM closed GROUP BY n, k UNION ALL SELECT s.* FROM ({_SESSION} FROM two GROUP BY n, k) s, marks WHERE s."end" <= w2""")
+def _sessions(spark, d):
+    out = _fed(spark, d, lambda s: sessions(s, F.col("n"), f"{_LATE} seconds", f"{_GAP} seconds"))
+    return out.select("n", *(F.col(k).cast("timestamp_ntz").alias(k) for k in ("start", "end")), *_r("mean"), "hits")
+
+
+_MEAN = "SELECT n, min(ts) AS first, max(ts) AS last, round(avg(value), 6) AS mean, count(value) AS hits"
+
+
+@query("stream_means", f"""WITH feeds AS {_FEEDS}, {_MARKS},
+one AS (SELECT f.*, max(ts) OVER (PARTITION BY n) + to_seconds({_IDLE}) < w1 AS told FROM feeds f, marks WHERE feed = 1),
+two AS (SELECT n, ts, value FROM one WHERE NOT told UNION ALL SELECT n, ts, value FROM feeds, marks WHERE feed = 2 AND ts > w1)
+{_MEAN} FROM one WHERE told GROUP BY n UNION ALL SELECT s.* FROM ({_MEAN} FROM two GROUP BY n) s, marks WHERE s.last + to_seconds({_IDLE}) < w2""")
+def _means(spark, d):
+    out = _fed(spark, d, lambda s: running_means(s, F.col("n"), f"{_LATE} seconds", _IDLE))
+    return out.select("n", *(F.col(k).cast("timestamp_ntz").alias(k) for k in ("first", "last")), *_r("mean"), "hits")

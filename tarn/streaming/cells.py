@@ -1,9 +1,15 @@
-"""Running sums of a stream of values over the cells of a raster."""
+"""Running sums, means and sessions of a stream of values over the cells of a raster."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def cell_sums(events: DataFrame, cell: Column, value: str = "value") -> DataFrame:
@@ -15,3 +21,61 @@ def windowed_cell_sums(events: DataFrame, cell: Column, late: str, width: str, t
     """The same by time window; rows later than the watermark are left out on a stream."""
     rows = events.withWatermark(ts, late).select(F.window(ts, width).alias("w"), cell.cast("long").alias("n"), F.col(value).alias("v"))
     return rows.groupBy("w", "n").agg(F.sum("v").alias("total"), F.count("v").alias("hits")).select(F.col("w.start").alias("start"), "n", "total", "hits")
+
+
+def sessions(events: DataFrame, cell: Column, late: str, gap: str, ts: str = "ts", value: str = "value") -> DataFrame:
+    """n, start, end, mean, hits of each run of a cell's values that follow each other within the gap.
+
+    On a stream in append mode a session is told once the watermark has passed its end, and its state goes; rows whose own
+    session the watermark has passed are left out.
+    """
+    rows = events.withWatermark(ts, late).select(F.session_window(ts, gap).alias("w"), cell.cast("long").alias("n"), F.col(value).alias("v"))
+    return rows.groupBy("w", "n").agg(F.avg("v").alias("mean"), F.count("v").alias("hits")).select("n", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "mean", "hits")
+
+
+_MEANS = "n long, first timestamp, last timestamp, mean double, hits long"
+
+
+def running_means(events: DataFrame, cell: Column, late: str, idle: float, ts: str = "ts", value: str = "value") -> DataFrame:
+    """n, first, last, mean, hits of each cell of a stream, told once it has been idle for `idle` seconds by the watermark.
+
+    Each cell has a state of four numbers: how many values, their mean, updated by each value, and the first and the last
+    time. A timer at the last time plus `idle` tells the cell's row and removes the state, so state holds the cells that
+    were hit lately, not all that ever were. Rows later than the watermark are left out; null values count as no hit.
+    """
+    rows = events.withWatermark(ts, late).select(cell.cast("long").alias("n"), F.col(ts).alias("t"), F.col(value).cast("double").alias("v"))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            hits, mean, first, last = state.get
+            state.remove()
+            yield pd.DataFrame({"n": [key[0]], "first": [pd.Timestamp(first, unit="us")], "last": [pd.Timestamp(last, unit="us")], "mean": [mean if hits else None], "hits": [hits]})
+            return
+        hits, mean, first, last = state.get if state.exists else (0, 0.0, 2**62, -(2**62))
+        for batch in batches:
+            times = batch["t"].to_numpy().astype("datetime64[us]").astype("int64")
+            first, last = min(first, int(times.min())), max(last, int(times.max()))
+            values = batch["v"].to_numpy()
+            values = values[~np.isnan(values)]
+            if len(values):
+                hits += len(values)
+                mean += float((values - mean).sum()) / hits
+        state.update((hits, mean, first, last))
+        state.setTimeoutTimestamp(max(last // 1000 + int(idle * 1000), state.getCurrentWatermarkMs() + 1))
+
+    return rows.groupBy("n").applyInPandasWithState(run, _MEANS, "hits long, mean double, first long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def drain(stream: DataFrame, folder: str, mode: str = "append") -> StreamingQuery:
+    """Runs a stream over what its sources have now, into files under folder/out, and waits; a further run goes on from there.
+
+    append writes what is final; complete writes the whole result of the last batch. Nothing passes the driver.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{folder}/out")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/out"))
+    q = writer.start()
+    q.awaitTermination()
+    return q
