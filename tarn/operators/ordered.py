@@ -6,12 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarn.plans.state import settled
+from tarn.plans.state import join_dealt
 
 #: Rows that a slice of the order should have, and slices along it at most (64 x 64).
 EACH, GROUPS = 1 << 20, 64
-#: A bin of intervals is crowded if it has more points than this, and more than one in so many of all.
-CROWDED, MOST = 100_000, 4096
+#: Points of one bin of intervals beyond which they are dealt to parts.
+CROWDED = 100_000
 
 
 def slices(rows: DataFrame, at: Column, each: int = EACH) -> Column:
@@ -89,8 +89,8 @@ def within_intervals(points: DataFrame, intervals: DataFrame, at: str, start: st
 
     An interval goes to bins of the smallest power-of-two width that isn't less than its length, so it lies in at most
     two; a point looks into its bin of each width that any interval has (at most 64). Bins are joined by equality. Points
-    of a crowded bin are dealt to parts, and its intervals copied to each part, so no task has all of a hot bin; at most
-    MOST bins are crowded, whatever the table. Nulls and empty intervals pair with nothing. Numbers, dates and timestamps
+    of a crowded bin are dealt to parts, and its intervals copied to each part, so no task has all of a hot bin.
+    Nulls and empty intervals pair with nothing. Numbers, dates and timestamps
     serve.
     """
     by = by or []
@@ -108,12 +108,5 @@ def within_intervals(points: DataFrame, intervals: DataFrame, at: str, start: st
     point = points.where(F.col(at).isNotNull()).select(*(F.col(a).alias(k) for (a, _), k in zip(by, keys, strict=True)), number(at).alias("__t"), whole(points).alias("__l"))
     seen = point.withColumn("__level", F.explode(F.array(*(F.lit(x) for x in levels)) if levels else F.array().cast("array<int>"))).withColumn("__bin", bin_of(F.col("__t"), F.col("__level")))
     cell = [*keys, "__level", "__bin"]
-    room = max(CROWDED, seen.count() // MOST)
-    crowded = settled(seen.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > room).select(*cell, F.ceil(F.col("__n") / room).cast("int").alias("__parts")))
-    if crowded.limit(1).count():
-        parts = F.coalesce("__parts", F.lit(1))
-        seen = seen.join(F.broadcast(crowded), cell, "left").withColumn("__part", F.pmod(F.xxhash64("__l"), parts)).drop("__parts")
-        r = r.join(F.broadcast(crowded), cell, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("__parts")
-        cell = [*cell, "__part"]
-    hit = seen.join(r, cell).where((F.col("__a") <= F.col("__t")) & (F.col("__t") < F.col("__b")))
+    hit = join_dealt(seen, r, cell, CROWDED).where((F.col("__a") <= F.col("__t")) & (F.col("__t") < F.col("__b")))
     return hit.select("__l.*", *(F.col("__r")[c].alias(f"{prefix}{c}") for c in intervals.columns))

@@ -94,3 +94,20 @@ def attach(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inne
     known = settled(F.broadcast(hot).join(values, keys, how) if how == "left" else values.join(F.broadcast(hot), keys))
     rest = rows.join(F.broadcast(hot), keys, "left_anti").join(values, keys, how)
     return rows.join(F.broadcast(known), keys).select(*rest.columns).unionAll(rest)
+
+
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], room: int = 100_000) -> DataFrame:
+    """The inner join where a key may have most rows of `left`: those are dealt to parts, and its right rows copied to each.
+
+    A key is crowded if it has more rows than `room` and than one in 4096 of all, so a table of at most 4096 rows says which
+    are. `left` is read twice.
+    """
+    limit = max(room, left.count() // 4096)
+    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit)
+    crowded = settled(counts.select(*keys, F.ceil(F.col("__n") / limit).cast("int").alias("__parts")))
+    if not crowded.limit(1).count():
+        return left.join(right, keys)
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = left.join(F.broadcast(crowded), keys, "left").withColumn("__part", F.pmod(F.xxhash64(*(c for c in left.columns)), parts)).drop("__parts")
+    copied = right.join(F.broadcast(crowded), keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts.cast("long") - 1))).drop("__parts")
+    return dealt.join(copied, [*keys, "__part"]).drop("__part")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.noise import simplex_noise
 from tarn.functions.values import uniform_sql
-from tarn.operators import flow, ordered
+from tarn.operators import flow, ordered, paths
 from tarn.plans import catalog as c
 from tarn.plans.catalog import NY, _r, query
 from tarn.plans.model import NoiseParams
@@ -88,6 +88,18 @@ def _running(spark, d):
     return ordered.running_sum(c.per_order(spark, d).select("n", "rain"), "n", "rain", "upto", each=4096).select("n", "upto")
 
 
+# ---- ways of events along the flow
+
+
+@query("event_paths", f"""WITH RECURSIVE g AS MATERIALIZED {c._graph_sql(c._TILT)}, size AS (SELECT count(*) AS cells FROM g),
+walk AS (SELECT event_id AS id, CAST(0 AS BIGINT) AS step, CAST(event_id * 7919 % cells AS BIGINT) AS n FROM events, size UNION ALL SELECT w.id, step + 1, g.nxt FROM walk w JOIN g USING (n) WHERE g.nxt >= 0)
+SELECT id, step, n FROM walk""")
+def _paths(spark, d):
+    graph, cells = flow.steepest(c.tilted(spark, d), NY).select("n", "nxt"), c.grid_of(spark, d).cells
+    starts = c._table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 7919 % cells).alias("n"))
+    return paths.flow_paths(graph, starts, NY, side=64)
+
+
 # ---- gradient noise
 
 _NOISE = NoiseParams(octaves=3, seed=4, ext=(24.0, 16.0))

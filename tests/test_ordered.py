@@ -100,3 +100,35 @@ def test_sampled_mean_is_near_the_sum(spark):
     for n, want in exact.items():  # the number of walks through a cell is binomial
         p = want / len(exact)
         assert abs(got[n] - want) <= 5 * len(exact) * np.sqrt(p * (1 - p) / samples) + 1e-9
+
+
+@pytest.mark.parametrize("crowd", [4096, 3])
+def test_paths_equal_walks(spark, monkeypatch, crowd):
+    from tarn.operators import paths
+
+    monkeypatch.setattr(paths, "CROWD", crowd)
+    monkeypatch.setattr(paths, "BATCH", 50)
+    graph = slope(spark, 600)
+    to = {r["n"]: r["nxt"] for r in graph.collect()}
+    starts = [(k, k * 37 % 600) for k in range(80)] + [(k, 5) for k in range(80, 120)] + [(200, None), (201, 9999)]
+    want = []
+    for i, n in starts:
+        step = 0
+        while n is not None and n >= 0 and n in to:
+            want.append((i, step, n))
+            n, step = to[n], step + 1
+    got = paths.flow_paths(graph, spark.createDataFrame(starts, "id long, n long"), 30, side=7)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert paths.flow_paths(graph, spark.createDataFrame([], "id long, n long"), 30).count() == 0
+
+
+def test_paths_in_sql(spark):
+    from tarn.operators import paths
+
+    paths.register(spark)
+    spark.sql("SELECT 0 AS kind, id AS a, id + 1 AS b, 0L AS step, id DIV 3 AS tile, 0 AS part FROM range(6) UNION ALL SELECT 1, 1L, 77L, 4L, 0L, 0").createOrReplaceTempView("rows_of_tiles")
+    got = spark.sql("SELECT * FROM flow_paths(TABLE(rows_of_tiles) PARTITION BY (tile, part))").collect()
+    assert sorted(tuple(r) for r in got) == [(77, 4, 1, -1), (77, 5, 2, 3)]
+    with pytest.raises(Exception, match="cycle"):
+        spark.sql("SELECT 0 AS kind, id AS a, (id + 1) % 3 AS b, 0L AS step, 0 AS tile, 0 AS part FROM range(3) UNION ALL SELECT 1, 1L, 1L, 0L, 0, 0").createOrReplaceTempView("ring")
+        spark.sql("SELECT * FROM flow_paths(TABLE(ring) PARTITION BY (tile, part))").collect()
