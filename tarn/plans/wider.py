@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions.noise import simplex_noise
 from tarn.functions.values import uniform_sql
-from tarn.operators import flow, ordered, paths
+from tarn.operators import flow, ordered, paths, pyramid
 from tarn.plans import catalog as c
 from tarn.plans.catalog import NY, _r, query
 from tarn.plans.model import NoiseParams
@@ -184,3 +184,14 @@ two AS (SELECT n, ts, value FROM one WHERE NOT told UNION ALL SELECT n, ts, valu
 def _means(spark, d):
     out = _fed(spark, d, lambda s: running_means(s, F.col("n"), f"{_LATE} seconds", _IDLE))
     return out.select("n", *(F.col(k).cast("timestamp_ntz").alias(k) for k in ("first", "last")), *_r("mean"), "hits")
+
+
+# ---- tiles of growing side
+
+
+_LEVELS, _SIDE = 4, 16
+
+
+@query("tile_pyramid", " UNION ALL ".join(f"SELECT {k} AS level, CAST(x // {_SIDE * 2**k} AS BIGINT) AS tx, CAST(y // {_SIDE * 2**k} AS BIGINT) AS ty, count(*) AS cells, count(h) AS known, round(sum(h), 3) AS total, min(h) AS low, max(h) AS high FROM ({c._HOLES}) GROUP BY ALL" for k in range(_LEVELS)))
+def _pyramid(spark, d):
+    return pyramid.tile_pyramid(c.holes(spark, d), _LEVELS, _SIDE).select("level", "tx", "ty", "cells", "known", *_r("total", digits=3), "low", "high")
