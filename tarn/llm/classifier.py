@@ -151,7 +151,8 @@ def _featured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Gam:
     """Fit to at most `bound` labelled documents, those of smallest hash of the id, none with remainder 0 of five.
 
-    The bound holds for labelled rows only; it limits what the driver collects to `bound` rows of numbers.
+    The bound holds for labelled rows only; it limits what the driver collects to `bound` rows of numbers, also where one
+    id has many documents: of those of the last id that fits, the ones of smallest features are taken.
     """
     rows = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).where(id_remainder(F.col(id_col), 5) != 0)
     rows = rows.groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).cast("double").alias("label"))
@@ -167,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = 20_000, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     found = _featured(docs, id_col, text_col).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, x array<double>")
-    found = found.toPandas().sort_values("doc_id", kind="stable")
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(bound).toPandas()
     if not len(found):
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = np.stack(found["x"].to_list()).astype(float)

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.plans.state import packed, remove, settled, shared_folder, ship
+from tarn.plans.state import attach, packed, remove, settled, shared_folder, ship
 
 __all__ = ["SPACES", "WORD", "attach", "documents", "id_remainder", "packed", "remove", "settled", "shared_folder", "ship", "words"]
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-#: A key is hot if it has more rows than this many, and more than this share of all, so there are at most 4096 hot ones.
-HOT_ROWS, HOT_SHARE = 10_000, 1 / 4096
 
 
 def words(text: Column) -> Column:
@@ -26,19 +24,3 @@ def id_remainder(doc_id: Column, divisor: int) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
-
-
-def attach(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows joined with the one row of `values` that has their keys, inner or left, where a key may have most rows.
-
-    Hot keys are joined by broadcasting their values, at most 1 / HOT_SHARE rows, so their rows stay where they are;
-    the others are joined as Spark likes. `rows` is read three times, so it should be settled or cheap.
-    """
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(" and ".join(f"`{k}` is not null" for k in keys))
-    total = rows.count()
-    hot = settled(counts.where(F.col("__rows") > max(HOT_ROWS, int(total * HOT_SHARE))).select(*keys))
-    if not hot.limit(1).count():
-        return rows.join(values, keys, how)
-    known = settled(F.broadcast(hot).join(values, keys, how) if how == "left" else values.join(F.broadcast(hot), keys))
-    rest = rows.join(F.broadcast(hot), keys, "left_anti").join(values, keys, how)
-    return rows.join(F.broadcast(known), keys).select(*rest.columns).unionAll(rest)

@@ -1,8 +1,9 @@
 import numpy as np
 import pytest
 
-from tarn.llm import common, negatives
+from tarn.llm import negatives
 from tarn.llm.common import attach
+from tarn.plans import state
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score double, uid int, x string, found int"
 
@@ -48,8 +49,8 @@ def test_equals_brute_force(spark, vectors, monkeypatch, sizes):
     for k, v in sizes.items():
         monkeypatch.setattr(negatives, k, v)
     if sizes:
-        monkeypatch.setattr(common, "HOT_ROWS", 20)
-        monkeypatch.setattr(common, "HOT_SHARE", 0.1)
+        monkeypatch.setattr(state, "HOT_ROWS", 20)
+        monkeypatch.setattr(state, "HOT_SHARE", 0.1)
     got = listed(negatives.mine(frame(spark, vectors)))
     assert got == brute(vectors)
     assert len(got) > 100
@@ -96,8 +97,8 @@ def test_cells_are_of_similar_size():
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_attach_joins_hot_keys(spark, monkeypatch, how):
-    monkeypatch.setattr(common, "HOT_ROWS", 10)
-    monkeypatch.setattr(common, "HOT_SHARE", 0.2)
+    monkeypatch.setattr(state, "HOT_ROWS", 10)
+    monkeypatch.setattr(state, "HOT_SHARE", 0.2)
     rows = spark.createDataFrame([(1, k) for k in range(50)] + [(2, 1), (3, 2), (None, 3)] + [(4, k) for k in range(30)], "k long, v long")
     values = spark.createDataFrame([(1, "a"), (2, "b"), (9, "c")], "k long, w string")
     got = sorted(map(tuple, attach(rows, values, ["k"], how).select("k", "v", "w").collect()), key=str)

@@ -279,3 +279,14 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 
 def test_pieces_of_nothing(empty):
     assert pieces.encode(empty).count() == 0
+
+
+def test_the_bound_holds_where_one_id_has_many_texts(spark, monkeypatch):
+    """At most `bound` rows reach the fit, whatever the ids."""
+    seen = []
+    monkeypatch.setattr(classifier, "fit", lambda x, y, **_: seen.append(len(x)))
+    docs = spark.createDataFrame([(i if i < 40 else 1, f"some words of text number {i}.") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    for bound in (10, 3, 1000):
+        classifier.train(docs, labels, bound)
+    assert seen[0] <= 10 and seen[1] <= 3 and seen[2] > 200

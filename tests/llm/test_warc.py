@@ -6,7 +6,8 @@ import random
 
 import pytest
 
-from tarn.llm import common, warc
+from tarn.llm import warc
+from tarn.plans import state
 
 SCHEMA = "page_id long, url string, html string, records string, sha1 int, first string, times long, copy string"
 
@@ -48,8 +49,8 @@ def frame(spark, rows):
 
 @pytest.mark.parametrize("segment", [200, 1 << 20])
 def test_pages_come_back(spark, pages, tmp_path, monkeypatch, segment):
-    monkeypatch.setattr(common, "HOT_ROWS", 10)
-    monkeypatch.setattr(common, "HOT_SHARE", 0.1)
+    monkeypatch.setattr(state, "HOT_ROWS", 10)
+    monkeypatch.setattr(state, "HOT_SHARE", 0.1)
     folder = f"file://{tmp_path}/w"
     warc.write(frame(spark, pages), folder, segment, archive=8000)
     names = sorted(p.name for p in (tmp_path / "w").iterdir())
