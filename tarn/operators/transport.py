@@ -221,12 +221,12 @@ def _walked_tiled(cells: DataFrame, grid: Grid, walk: Walk, count: int) -> DataF
 
     x, y = F.col("x"), F.col("y")
     beside = [F.when((x + dx >= 0) & (x + dx < grid.nx) & (y + dy >= 0) & (y + dy < grid.ny), F.floor((x + dx) / side) * across + F.floor((y + dy) / side)) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    tiles = cells.select("n", *walk.fields, F.explode(F.array_distinct(F.array_compact(F.array(*beside)))).alias("key"))
+    tiles = settled(cells.select("n", *walk.fields, F.explode(F.array_distinct(F.array_compact(F.array(*beside)))).alias("key")))
     schema = "kind int, key long, values array<double>"
     parts, live = [], settled(spark.range(0, count, 1, _parts(cells, count)).mapInArrow(start, schema))
     while live.limit(1).count():
         # Flow gathers particles: a crowded tile goes to several tasks, a tile without particles to none.
-        crowds = live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("tasks"))
+        crowds = settled(live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("tasks")))
         held = tiles.join(crowds, "key").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
         asked = live.join(crowds, "key").withColumn("task", F.pmod(F.xxhash64("values"), F.col("tasks")).cast("int"))
         held, asked = held.select("key", "task", "n", *walk.fields), asked.select("key", "task", "values")

@@ -76,9 +76,9 @@ def begun(ax, ay):
     return (ax / root, ay / root) if root else None
 
 
-def test_water_equals_single_walks(spark):
-    v, df = fields(spark, 30)
-    u, samples = slopes(v), 400
+def water(v, samples, seed):
+    """What rain leaves on its way, by particles of plain numbers: water, mass, vx, vy and colour of each cell."""
+    u = slopes(v)
     share = G.sx * G.sy * G.cells / samples
     pull = lambda n: (-P.gravity * u["ux"][n] + P.viscosity_water * v["vx"][n], -P.gravity * u["uy"][n] + P.viscosity_water * v["vy"][n])
 
@@ -97,20 +97,15 @@ def test_water_equals_single_walks(spark):
         for k in ("mx", "my"):
             s[k] *= math.exp(-far * 0.125 * P.friction_factor / 8 / (1e-12 + v["water"][n]))
 
-    total, area = walk(samples, 3, start, step), G.sx * G.sy
-    for r in transport.transport_fluvial(df, G, samples, P, 3).collect():
-        n = r["n"]
-        got = lambda k, n=n: total.get((n, k), 0.0)
-        assert r["water"] == pytest.approx((area * v["rain"][n] + got("water")) / G.sy, rel=1e-9)
-        assert r["mass"] == pytest.approx(got("mass") / G.sy, rel=1e-9, abs=1e-30)
-        assert r["vx"] == pytest.approx((-area * P.gravity * u["ux"][n] + got("mx")) / G.sy, rel=1e-8)
-        assert r["vy"] == pytest.approx((-area * P.gravity * u["uy"][n] + got("my")) / G.sy, rel=1e-8)
-        assert r["albedo_g"] == pytest.approx(got("g") / got("mass") if got("mass") > 0 else v["g"][n], rel=1e-9)
+    total, area = walk(samples, seed, start, step), G.sx * G.sy
+    got = lambda k: np.array([total.get((n, k), 0.0) for n in range(G.cells)])
+    out = {"water": (area * v["rain"] + got("water")) / G.sy, "mass": got("mass") / G.sy, "vx": (-area * P.gravity * u["ux"] + got("mx")) / G.sy, "vy": (-area * P.gravity * u["uy"] + got("my")) / G.sy}
+    return out | {"albedo_g": np.where(got("mass") > 0, got("g") / np.where(got("mass") > 0, got("mass"), 1), v["g"])}
 
 
-def test_debris_equals_single_walks(spark):
-    v, df = fields(spark, 4)
-    u, samples = slopes(v), 400
+def debris(v, samples, seed):
+    """What slides leave on their way: debris, dvx, dvy and colour of each cell."""
+    u = slopes(v)
     share = G.sx * G.sy * G.cells / samples
     steep = lambda n: math.hypot(u["ux"][n], u["uy"][n])
     pull = lambda n: (-P.gravity * u["ux"][n] + P.viscosity_debris * v["dvx"][n], -P.gravity * u["uy"][n] + P.viscosity_debris * v["dvy"][n])
@@ -134,14 +129,69 @@ def test_debris_equals_single_walks(spark):
         for k in ("mx", "my"):
             s[k] *= math.exp(-far * slow)
 
-    total, area = walk(samples, 4, start, step), G.sx * G.sy
-    assert any(k == "load" and x > 0 for (_, k), x in total.items())
-    for r in transport.transport_debris(df, G, samples, P, 4).collect():
-        n = r["n"]
-        got = lambda k, n=n: total.get((n, k), 0.0)
-        assert r["debris"] == pytest.approx(got("load") / G.sy, rel=1e-6, abs=1e-12)
-        assert r["dvx"] == pytest.approx((-area * P.gravity * u["ux"][n] + got("mx")) / G.sy, rel=1e-6)
-        assert r["albedo_b"] == pytest.approx(got("b") / got("load") if got("load") > 0 else v["b"][n], rel=1e-6)
+    total, area = walk(samples, seed, start, step), G.sx * G.sy
+    got = lambda k: np.array([total.get((n, k), 0.0) for n in range(G.cells)])
+    out = {"debris": got("load") / G.sy, "dvx": (-area * P.gravity * u["ux"] + got("mx")) / G.sy, "dvy": (-area * P.gravity * u["uy"] + got("my")) / G.sy}
+    return out | {"albedo_b": np.where(got("load") > 0, got("b") / np.where(got("load") > 0, got("load"), 1), v["b"])}
+
+
+def test_water_equals_single_walks(spark):
+    v, df = fields(spark, 30)
+    want = water(v, 400, 3)
+    for r in transport.transport_fluvial(df, G, 400, P, 3).collect():
+        for k, rel in (("water", 1e-9), ("mass", 1e-9), ("vx", 1e-8), ("vy", 1e-8), ("albedo_g", 1e-9)):
+            assert r[k] == pytest.approx(want[k][r["n"]], rel=rel, abs=1e-30)
+
+
+def test_debris_equals_single_walks(spark):
+    v, df = fields(spark, 4)
+    want = debris(v, 400, 4)
+    assert want["debris"].max() > 0
+    for r in transport.transport_debris(df, G, 400, P, 4).collect():
+        for k in ("debris", "dvx", "albedo_b"):
+            assert r[k] == pytest.approx(want[k][r["n"]], rel=1e-6, abs=1e-12)
+
+
+def eroded(v, samples, seed):
+    """One step of the loop with plain numbers: exchange with water and slides, creep, uplift."""
+    now, slope = water(v, samples, seed) | debris(v, samples, seed + 1), np.hypot(*slopes(v).values())
+    speed, length = np.hypot(now["vx"], now["vy"]), math.hypot(G.sx, G.sy)
+    up = P.suspension_fluvial / 64 * (0.125 * P.friction_factor / 8 * P.density_water * speed**2 * slope) ** P.fluvial_exponent
+    excess = slope - P.crit_slope_bedrock
+    shear = P.gravity * (now["debris"] * excess - P.yield_stress)
+    slide = np.maximum(0, P.landslide_rate * excess) + P.suspension_debris * np.maximum(0, shear)
+    settle = np.minimum(now["debris"], np.maximum(0, -P.deposition_debris * shear))
+    change = P.time_step * (P.deposition_fluvial * 1.33 * now["mass"] - up + settle - slide)
+    t = np.maximum(-0.25 * length * slope, np.minimum(change, 0.25 * length * 0.3)) / G.sz
+    loose = np.where(t > 0, t, np.maximum(t, -v["sediment"]))
+    shape = (G.nx, G.ny)
+    sed, top = v["sediment"].reshape(shape) * G.sz, (v["bedrock"] + v["sediment"]).reshape(shape) * G.sz
+    creep = np.zeros(shape)
+    for i in range(G.nx):
+        for j in range(G.ny):
+            for a, b, far in ((i - 1, j, G.sx), (i + 1, j, G.sx), (i, j - 1, G.sy), (i, j + 1, G.sy)):
+                if 0 <= a < G.nx and 0 <= b < G.ny:
+                    fall = abs(top[i, j] - top[a, b]) - P.crit_slope_sediment * far
+                    give = max(0.0, min(sed[i, j] if top[i, j] > top[a, b] else sed[a, b], 0.5 * fall))
+                    creep[i, j] += -give if top[i, j] > top[a, b] else give
+    raised = P.time_step * P.uplift * v["uplift"] / G.sz
+    layers = {"bedrock": v["bedrock"] + raised + np.where(t < 0, t - loose, 0), "sediment": v["sediment"] + loose + 0.25 * creep.ravel() / G.sz}
+    return v | {k: now[k] for k in ("water", "mass", "vx", "vy", "debris", "dvx", "dvy")} | layers
+
+
+def test_steps_of_the_loop_equal_plain_numbers(spark):
+    from tarn.plans.erosion import erode
+
+    v, df = fields(spark, 6)
+    v |= {"mass": np.zeros(G.cells), "debris": np.zeros(G.cells), "uplift": np.arange(G.cells) / G.cells}
+    df = df.withColumns({"mass": F.lit(0.0), "debris": F.lit(0.0), "uplift": F.col("n") / float(G.cells)})
+    got = erode(df, G, 150, 4, P, 9).toPandas().sort_values("n")
+    start = v
+    for k in range(4):
+        v = eroded(v, 150, 9 + 2 * k)
+    assert np.abs(v["sediment"] - start["sediment"]).max() > 0.1
+    for k in ("bedrock", "sediment", "water", "debris", "vx"):
+        np.testing.assert_allclose(got[k].to_numpy(), v[k], rtol=1e-5, atol=1e-8, err_msg=k)
 
 
 def test_uniform_equals_single_walks(spark):
