@@ -18,6 +18,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of new units that are indexed at once; units whose ids a task keeps; longest unit relaxed with others.
 INDEXED, KEPT, LONG = 1 << 20, 200_000, 256
+#: A stretch that repeats up to PERIOD characters is shortened to about RUN characters if it has four times as many; it is
+#: tried with AROUND characters beside it.
+RUN, PERIOD, AROUND = 1 << 16, 64, 4096
 #: Bytes of text that a task holds at a time.
 SLICE = 4 << 20
 _NONE = 1 << 40
@@ -80,6 +83,10 @@ class Encoder:
         self.priority = np.array([place[s] for s in vocabulary.scores] + [_NONE])
         joins = "" if any("\n" in p for _, p in normal) else "\n"
         self.units = re.compile(rf"{joins}| *[^ {joins}]+| +" if joins else r" *[^ ]+| +")
+        self.width = np.zeros(len(vocabulary.pieces), np.int64)
+        self.width[self.ids] = self.size
+        lead = [b for b in range(256) if b & 0xC0 != 0x80]  # a spelled character counts at its first byte
+        self.width[vocabulary.first_byte + np.array(lead)] = 1
         self.kept: dict[str, bytes] = {}
         self.kind = np.uint16 if len(vocabulary.pieces) < 65536 else np.uint32
 
@@ -108,10 +115,67 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, x)), self.kind) for x in lists]
 
     def _long(self, unit: str) -> bytes:
-        """A unit longer than what is indexed at once, a window at a time.
+        """A unit longer than what is indexed at once: repeats shortened, then a window at a time.
+
+        What a stretch of repeats becomes repeats too, but for its ends. So the stretch is shortened by whole cycles of its ids,
+        and those are put back in its middle. A cycle is only trusted if the ids of the shortened stretch and of one that
+        is a cycle longer, both with what stands beside them, differ by just that cycle.
+        """
+        short, cuts = self._shortened(unit)
+        ids = np.frombuffer(self._windows(short), self.kind)
+        ends, parts, at = np.cumsum(self.width[ids]), [], 0
+        for middle, chars, times in cuts:
+            k = int(np.searchsorted(ends, middle)) + 1
+            last = k + int(np.searchsorted(ends[k:], ends[k - 1] + chars)) + 1
+            if ends[last - 1] - ends[k - 1] != chars or not np.array_equal(ids[k:last], ids[last : 2 * last - k]):
+                return self._windows(unit)
+            parts += [ids[at:k], np.tile(ids[k:last], times)]
+            at = k
+        return np.concatenate([*parts, ids[at:]]).tobytes()
+
+    def _shortened(self, unit: str) -> tuple[str, list[tuple[int, int, int]]]:
+        """The unit with long repeats shortened, and for each the middle of what is left, the cycle's characters and how
+        many cycles are gone."""
+        points = np.frombuffer(unit.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at, kept, begin, held, cuts, probe = 0, [], 0, 0, [], min(AROUND, RUN)
+        while at + probe <= len(points):
+            piece = points[at : at + probe]
+            p = next((p for p in range(1, min(PERIOD, probe // 4) + 1) if (piece[p:] == piece[:-p]).all()), None)
+            if p is None:
+                at += probe
+                continue
+            odd = np.flatnonzero(points[begin : len(points) - p] != points[begin + p :]) + begin
+            start = int(odd[odd < at][-1]) + 1 if (odd < at).any() else begin
+            end = int(odd[odd >= at][0]) + p if (odd >= at).any() else len(points)
+            if end - start >= 4 * RUN and (chars := self._cycle(unit, start, end)):
+                times = (end - start - RUN) // chars
+                left = end - start - times * chars
+                kept.append(unit[begin : start + left])
+                cuts.append((held + start - begin + left // 2, chars, times))
+                held += start + left - begin
+                begin = end
+            at = end
+        return "".join([*kept, unit[begin:]]), cuts
+
+    def _cycle(self, unit: str, start: int, end: int) -> int:
+        """How many characters the ids' cycle in unit[start:end] has, 0 if no cycle can be trusted."""
+        ids = np.frombuffer(self._encode([unit[start : start + RUN]])[0], self.kind)
+        middle = ids[len(ids) // 4 : len(ids) // 4 * 3]
+        t = next((t for t in range(1, len(middle) // 2) if np.array_equal(middle[t:], middle[:-t])), 0)
+        chars = int(self.width[middle[:t]].sum())
+        if not t or not chars or 2 * chars > RUN // 4:
+            return 0
+        left = end - start - (end - start - RUN) // chars * chars
+        before, after = unit[max(0, start - AROUND) : start], unit[end : end + AROUND]
+        a, b = (np.frombuffer(x, self.kind) for x in self._encode([before + unit[start : start + n] + after for n in (left, left + chars)]))
+        k = int(np.searchsorted(np.cumsum(self.width[a]), len(before) + left // 2)) + 1
+        return chars if np.array_equal(b, np.concatenate((a[: k + t], a[k:]))) else 0
+
+    def _windows(self, unit: str) -> bytes:
+        """A unit a window at a time.
 
         No symbol ever reaches over a place that no piece of two or more characters covers, so what lies between
-        such places is encoded alone. Where a window has none, as one character over and over, it is doubled.
+        such places is encoded alone. Where a window has none, as may be in repeats that weren't shortened, it is doubled.
         """
         out, begin, size = [], 0, INDEXED
         while begin < len(unit):

@@ -224,14 +224,10 @@ def test_scores_are_sums_of_tables():
 
 def test_ids_equal_the_library(spark, odd):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    rows = {r["doc_id"]: r["text"] for r in odd.where("doc_id is not null").select("doc_id", "text").collect()}
+    rows = [(r["doc_id"], r["text"] or "") for r in odd.select("doc_id", "text").collect()]  # an id may have several texts
     encoded = pieces.encode(odd)
-    for r in encoded.where("doc_id is not null").collect():
-        text = rows[r["doc_id"]] or ""
-        assert r["ids"] == model.encode(text)
-        assert r["exact"] == ("▁" not in text)
-    back = {r["doc_id"]: r["text"] for r in pieces.decode(encoded).where("doc_id is not null").collect()}
-    assert back == {i: (t or "").replace("▁", " ") for i, t in rows.items()}
+    assert sorted((str(r["doc_id"]), list(r["ids"]), r["exact"]) for r in encoded.collect()) == sorted((str(i), model.encode(t), "▁" not in t) for i, t in rows)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in pieces.decode(encoded).collect()) == sorted((str(i), t.replace("▁", " ")) for i, t in rows)
 
 
 def test_ids_on_corpus(spark):
@@ -259,6 +255,20 @@ def test_windows_of_a_long_unit(monkeypatch):
     assert [x.tolist() for x in encoder.encode(texts)] == [model.encode(t) for t in texts]
 
 
+def test_long_repeats_equal_the_library(monkeypatch):
+    """Repeats of one to many characters, with and without neighbours, at all remainders of their cycle."""
+    monkeypatch.setattr(pieces, "INDEXED", 3000)
+    monkeypatch.setattr(pieces, "RUN", 1500)
+    monkeypatch.setattr(pieces, "AROUND", 400)
+    encoder, model = pieces.Encoder(pieces.Vocabulary.load(pieces.MODEL)), sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    shortened, windows = [], encoder._windows
+    monkeypatch.setattr(encoder, "_windows", lambda u: shortened.append(len(u)) or windows(u))
+    texts = [c * (9000 + k) for k, c in enumerate(["a", "ab", "the", "=", "-", "haha", "0", "é", "日本", "x1"])] + ["a" * n for n in range(7000, 7040)]
+    texts += ["start" + "a" * 8000 + "end", "q" * 7001 + "ing" * 3000 + "zz", "word " + "-" * 9001 + " and " + "=" * 7000, " " * 9000 + "x", "z" * 20 + "😀" * 4000 + "lol" * 3000]
+    assert [x.tolist() for x in encoder.encode(texts)] == [model.encode(t) for t in texts]
+    assert sum(n < 5000 for n in shortened) > len(shortened) * 0.8
+
+
 def test_memory_of_a_long_unit():
     """Four million characters without a space, in a process of its own: the index never holds more than a window."""
     code = """
@@ -269,8 +279,9 @@ encoder = pieces.Encoder(pieces.Vocabulary.load(pieces.MODEL))
 encoder.encode(["warm up"])
 before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 text = np.random.default_rng(1).integers(97, 123, 4_000_000, np.uint8).tobytes().decode()
-ids = encoder.encode([text])[0]
-assert pieces.Decoder(encoder.v).decode(ids.tolist()) == text
+for text in (text, "a" * 20_000_000, "ab-" * 2_000_000 + "c" * 5_000_000):
+    ids = encoder.encode([text])[0]
+    assert pieces.Decoder(encoder.v).decode(ids.tolist()) == text
 print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
 """
     grown = int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout)
