@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 
 from tarn.llm.common import packed, settled, ship
 
-#: Entries of a page; vectors of a tree; queries that meet a tree in one task; routing objects above the trees.
-PAGE, BLOCK, CHUNK, ROUTES = 64, 8192, 4096, 1024
+#: Entries of a page; vectors of a tree; queries of a chunk; chunks that meet a tree in one task; routing objects above trees.
+PAGE, BLOCK, CHUNK, TOGETHER, ROUTES = 64, 8192, 4096, 8, 1024
 
 
 @dataclass
@@ -133,8 +133,8 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     objects are the routing objects of one tree's top; each object goes to the nearest, and what a routing object
     has is cut into trees of about BLOCK objects. Trees are built once and settled with their covering radii. A query
     first meets a tree of its nearest routing object, and the distance of its k-th answer then bounds the
-    search: it meets only trees that the bound can't exclude. Queries of neighbouring routing objects meet a tree
-    together, in chunks of about CHUNK.
+    search: it meets only trees of routing objects whose farthest object the bound can't exclude. Queries travel packed,
+    chunks of about CHUNK of neighbouring routing objects, a value for each chunk, home and tree.
 
     Returns query_id, rank (from 1), vec_id, score; ties go to the smaller vec_id. A query's own row is no candidate.
 
@@ -218,64 +218,78 @@ def top_k(vectors: DataFrame, k: int = 20, every: int = 20, scale: int = 64, id_
     pages = settled(dealt.groupBy("tree").applyInArrow(build, "tree long, home long, dim int, radius double, packed binary"))
     queries = settled(dealt.where("asks").select("uid", "v", "dim", "home", "chunk", "tree"))
 
+    def bundled(uid: np.ndarray, v: np.ndarray, own: np.ndarray, reach: np.ndarray) -> bytes:
+        """Queries as one value; vectors as the narrowest whole numbers that hold them."""
+        most = np.abs(v).max(initial=0)
+        kind = np.int8 if most < 1 << 7 else np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64
+        return pickle.dumps((uid, v.astype(kind), own, reach))
+
+    def bundle(table: pa.Table) -> pa.Table:
+        """One row for each chunk and home: its queries, packed."""
+        v = _matrix(table)
+        columns = [table.column(c).to_numpy() for c in ("uid", "tree", "reach")]
+        data = bundled(columns[0], v, columns[1], columns[2])
+        return pa.table({"chunk": table.column("chunk").slice(0, 1), "home": table.column("home").slice(0, 1), "dim": table.column("dim").slice(0, 1), "data": pa.array([data], pa.binary())})
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         q, u, s, far = [], [], [], []
         if left.num_rows and right.num_rows:
             made, ids = pickle.loads(left.column("packed")[0].as_py())
-            v = _matrix(right)
-            score, row = made.search(v, k + 1, right.column("reach").to_numpy())
-            square = np.einsum("ij,ij->i", v, v).astype(float) + made.top
-            for uid, sq, ss, rr in zip(right.column("uid").to_pylist(), square.tolist(), score.tolist(), row.tolist(), strict=True):
-                found = sorted((-x, i) for x, r in zip(ss, rr, strict=True) if r >= 0 for i in ids[r])[: k + 1]
-                reach = float(np.sqrt(max(0.0, sq + 2 * found[-1][0])) * (1 + 1e-9) + 1e-6) if len(found) > k else float("inf")
-                q += [uid] * len(found)
-                u += [i for _, i in found]
-                s += [int(-x) for x, _ in found]
-                far += [reach] * len(found)
+            for data in right.column("data"):
+                uids, v, _, reach = pickle.loads(data.as_py())
+                v = v.astype(np.int64)
+                score, row = made.search(v, k + 1, reach)
+                square = np.einsum("ij,ij->i", v, v).astype(float) + made.top
+                for uid, sq, ss, rr in zip(uids.tolist(), square.tolist(), score.tolist(), row.tolist(), strict=True):
+                    found = sorted((-x, i) for x, r in zip(ss, rr, strict=True) if r >= 0 for i in ids[r])[: k + 1]
+                    near = float(np.sqrt(max(0.0, sq + 2 * found[-1][0])) * (1 + 1e-9) + 1e-6) if len(found) > k else float("inf")
+                    q += [uid] * len(found)
+                    u += [i for _, i in found]
+                    s += [int(-x) for x, _ in found]
+                    far += [near] * len(found)
         return pa.table({"quid": pa.array(q, pa.int64()), "vec_id": pa.array(u, pa.int64()), "score": pa.array(s, pa.int64()), "reach": pa.array(far, pa.float64())})
 
-    def met(asked: DataFrame) -> DataFrame:
-        """What queries (uid, v, tree, chunk, reach) find in their trees."""
-        pairs = asked.select("tree", F.col("chunk").alias("into")).distinct()
-        wanted = pages.join(pairs, "tree").select(F.col("tree").alias("of"), F.col("into").alias("for"), "packed")
-        return wanted.groupBy("of", "for").cogroup(asked.groupBy("tree", "chunk")).applyInArrow(search, "quid long, vec_id long, score long, reach double")
-
-    near = settled(met(queries.select("uid", "v", "tree", "chunk", F.lit(float("inf")).alias("reach"))))
-    known = pages.select("tree", "home", "dim", "radius").toArrow()  # one row for each tree
-    above = spark.sparkContext.broadcast({c: known.column(c).to_numpy() for c in known.column_names})
-
-    def spread(batches):
-        dims, routes, first = shared.value
-        all_trees = above.value
-        for batch in batches:
-            uid, v, own, chunk, reach, into = [], [], [], [], [], []
-            dim = batch.column("dim").to_numpy()
-            table = pa.Table.from_batches([batch])
-            for d in np.unique(dim).tolist():
-                mine = table.take(np.flatnonzero(dim == d))
-                pick = np.flatnonzero(all_trees["dim"] == d)
-                x, limit = _matrix(mine).astype(np.float64), mine.column("reach").to_numpy()
-                low = np.zeros((len(x), len(pick)))
-                if d in routes and d:
-                    at = all_trees["home"][pick] - first[d] * (ROUTES + 1)
-                    dots = x @ routes[d].T
-                    away = np.sqrt(np.maximum(0, np.einsum("ij,ij->i", x, x)[:, None] + dims[d][1] - 2 * dots))
-                    low = away[:, at] - all_trees["radius"][pick][None, :]
-                may = (low <= limit[:, None]) & (all_trees["tree"][pick][None, :] != mine.column("tree").to_numpy()[:, None])
-                a, b = np.nonzero(may)
-                uid.append(mine.column("uid").to_numpy()[a])
-                chunk.append(mine.column("chunk").to_numpy()[a])
-                reach.append(limit[a])
-                into.append(all_trees["tree"][pick][b])
-                own.append(mine.column("v").combine_chunks().take(pa.array(a)))
-            for u, c, r, t, x in zip(uid, chunk, reach, into, own, strict=True):
-                for i in range(0, len(u), 20_000):
-                    y = x.slice(i, 20_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(u[i : i + 20_000]), y.combine_chunks() if isinstance(y, pa.ChunkedArray) else y, pa.array(t[i : i + 20_000]), pa.array(c[i : i + 20_000]), pa.array(r[i : i + 20_000])], names=["uid", "v", "tree", "chunk", "reach"])
-
+    radii = {r["home"]: r["radius"] for r in pages.groupBy("home").agg(F.max("radius").alias("radius")).collect()}  # one for each routing object
+    above = spark.sparkContext.broadcast(radii)
+
+    def spread(first_tree: bool):
+        """The bundles that each tree gets: its own queries at first, then those that can't exclude what its routing object has."""
+
+        def run(batches):
+            dims, routes, first = shared.value
+            trees, _ = plan.value
+            for batch in batches:
+                for chunk, d, data in zip(batch.column("chunk").to_pylist(), batch.column("dim").to_pylist(), batch.column("data"), strict=True):
+                    uid, v, own, reach = pickle.loads(data.as_py())
+                    out = [(t, own == t) for t in np.unique(own).tolist()] if first_tree else []
+                    if not first_tree:
+                        homes = [h for h in sorted(above.value) if h // (ROUTES + 1) == first[d]]
+                        low = np.zeros((len(v), len(homes)))
+                        if d in routes and d:
+                            x = v.astype(float)
+                            away = np.sqrt(np.maximum(0, np.einsum("ij,ij->i", x, x)[:, None] + dims[d][1] - 2 * (x @ routes[d].T)))
+                            low = away[:, np.array(homes) - first[d] * (ROUTES + 1)] - np.array([above.value[h] for h in homes])[None, :]
+                        for j, h in enumerate(homes):
+                            may = low[:, j] <= reach
+                            out += [(t, may & (own != t)) for t in range(trees[h][0], trees[h][0] + trees[h][1])] if may.any() else []
+                    for t, pick in out:
+                        if pick.any():
+                            part = bundled(uid[pick], v[pick], own[pick], reach[pick])
+                            yield pa.RecordBatch.from_arrays([pa.array([t], pa.int64()), pa.array([chunk // TOGETHER], pa.int64()), pa.array([part], pa.binary())], names=["tree", "part", "data"])
+
+        return run
+
+    def met(asked: DataFrame, first_tree: bool) -> DataFrame:
+        """What queries (uid, v, dim, home, tree, chunk, reach) find in trees: a row for each chunk and tree is shuffled, not for each query."""
+        bundles = asked.groupBy("chunk", "home").applyInArrow(bundle, "chunk long, home long, dim int, data binary")
+        sent = settled(bundles.mapInArrow(spread(first_tree), "tree long, part long, data binary"))
+        wanted = pages.join(sent.select("tree", "part").distinct(), "tree").select(F.col("tree").alias("of"), F.col("part").alias("for"), "packed")
+        return wanted.groupBy("of", "for").cogroup(sent.groupBy("tree", "part")).applyInArrow(search, "quid long, vec_id long, score long, reach double")
+
+    near = settled(met(queries.withColumn("reach", F.lit(float("inf"))), True))
     bound = near.groupBy("quid").agg(F.min("reach").alias("reach"))
-    asked = queries.join(bound, queries["uid"] == bound["quid"]).drop("quid").mapInArrow(spread, "uid long, v array<long>, tree long, chunk long, reach double")
-    hits = near.unionAll(met(settled(asked))).select("quid", "vec_id", "score")
+    asked = queries.join(bound, queries["uid"] == bound["quid"]).drop("quid")
+    hits = near.unionAll(met(asked, False)).select("quid", "vec_id", "score")
     best = Window.partitionBy("quid").orderBy(F.desc("score"), "vec_id")
     named = hits.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     answers = named.groupBy("quid").agg(F.sort_array(F.collect_list(F.struct("n", "vec_id", "score"))).alias("found"))

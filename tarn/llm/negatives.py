@@ -14,9 +14,10 @@ from pyspark.sql.window import Window
 
 from tarn.llm.common import attach, packed, settled, ship
 
-#: Vectors of a tree; anchors of a tree; chunks of anchors that meet a tree in one task; cells above the trees, vectors
+#: Vectors of a tree, from the least to the most as the table grows; anchors of a tree; chunks of anchors that meet a tree in one task; cells above the trees, vectors
 #: drawn for each cell's cuts; vectors of a leaf.
 BLOCK, CHUNK, TOGETHER, CELLS, DRAWN, LEAF = 8192, 4096, 8, 4096, 16, 64
+WIDEST = 8 * BLOCK
 #: No upper end of a window.
 OPEN = 1 << 52
 
@@ -97,6 +98,15 @@ class BallTree:
         self.radius = np.array([np.sqrt(((v[a:b] - c) ** 2).sum(axis=1).max()) for (a, b), c in zip(ranges, self.centre, strict=True)])
         self.pure = np.array([label[a] == label[b - 1] for a, b in ranges], bool)
 
+    def __getstate__(self) -> dict:
+        """Vectors travel as the narrowest whole numbers that hold them."""
+        most = np.abs(self.v).max(initial=0)
+        kind = np.int8 if most < 1 << 7 else np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else float
+        return self.__dict__ | {"v": self.v.astype(kind)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"v": state["v"].astype(float)}
+
 
 def intervals(a: np.ndarray, ra: np.ndarray, b: np.ndarray, rb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The least and the greatest inner product that a vector of ball a can have with one of ball b, for all pairs."""
@@ -196,7 +206,7 @@ def mine(
 
     Equal vectors of one label are one object with its few smallest ids, which is all that an answer can name. A bounded
     sample (DRAWN vectors for each of at most CELLS cells) gives the cuts that deal objects to cells of near ones; a
-    cell's objects make trees of about BLOCK, its anchors chunks of about CHUNK. Chunks meet the trees of their own cells
+    cell's objects make trees of about BLOCK (up to WIDEST as the table grows), its anchors chunks of about CHUNK. Chunks meet the trees of their own cells
     first, so that each anchor knows what it must beat, and then the trees that the interval of inner products between
     their leaves and a cell's ball can't exclude: a chunk is sent once to each such tree, packed. Windows of negatives
     are known before the search. If no tree can be excluded, all anchors meet all trees, in blocks.
@@ -223,7 +233,8 @@ def mine(
 
     sizes = {r["d"]: r["n"] for r in objects.groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
     total = sum(sizes.values())
-    cells = min(CELLS, -(-total // BLOCK))
+    size = min(WIDEST, max(BLOCK, total // 1024))  # larger trees meet fewer times
+    cells = min(CELLS, -(-total // size))
     drawn = objects.orderBy(F.xxhash64("uid"), "uid").limit(cells * DRAWN).select("d", "x").collect() if total else []
     cuts, first, n_cells = {}, {}, 0
     for d in sorted(sizes):
@@ -249,7 +260,7 @@ def mine(
     dim_of = {c + first[d]: d for d in sizes for c in range(len(cuts[d].centre))}
     for cell in sorted(counts):
         many, asking_ = counts[cell]
-        trees[cell] = (tree, -(-many // BLOCK))
+        trees[cell] = (tree, -(-many // size))
         tree += trees[cell][1]
         if asking_ > room or dim_of[cell] != before:  # a chunk has vectors of one length
             chunk, room = chunk + 1, CHUNK
