@@ -317,7 +317,8 @@ def _deflate(spark, d):
 
 @query("tiff_any_store", _FILE)
 def _any_store(spark, d):
-    return _known(tiff.read_binary(spark, f"file://{_raster_file(spark, d, tiff.DEFLATE)}"))
+    """By a URI, as from a store that isn't mounted."""
+    return _known(tiff.read(spark, f"file://{_raster_file(spark, d, tiff.DEFLATE)}"))
 
 
 _TILES = "SELECT 'tile' || (p_partkey % 4) || '.tif' AS file, CAST(p_partkey // 4 AS BIGINT) AS n, CAST(p_retailprice AS DOUBLE) AS h FROM part"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import math
 import os
+import re
 import struct
 import zipfile
 import zlib
@@ -14,6 +15,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
@@ -68,9 +70,20 @@ class Meta:
         return np.dtype(f"{self.order}{KINDS[self.kind][0]}{self.bits // 8}")
 
 
-def peek(path: str) -> Meta:
+def _store(path: str | os.PathLike) -> tuple[pyarrow.fs.FileSystem, str] | None:
+    """The store and the path in it of a URI; None for a plain path."""
+    return pyarrow.fs.FileSystem.from_uri(path) if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:/", str(path)) else None
+
+
+def _open(path: str | os.PathLike) -> io.BufferedIOBase:
+    """A file that can be read at any place, so blocks are read alone whatever the store."""
+    found = _store(path)
+    return found[0].open_input_file(found[1]) if found else open(path, "rb")
+
+
+def peek(path: str | os.PathLike) -> Meta:
     """The header alone. A missing file raises FileNotFoundError; what the codec can't read raises ValueError."""
-    with open(path, "rb") as f:
+    with _open(path) as f:
         return _header(f, os.path.basename(path))
 
 
@@ -200,7 +213,7 @@ def _image(f: io.BufferedIOBase, m: Meta) -> np.ndarray:
 def read_array(path: str) -> tuple[Meta, np.ndarray]:
     """The whole image, indexed [x, y]; no data is NaN."""
     m = peek(path)
-    with open(path, "rb") as f:
+    with _open(path) as f:
         return m, _image(f, m)
 
 
@@ -266,10 +279,20 @@ PACK, HEADERS = 32 << 20, 64
 
 
 def files(path: str, limit: int | None = None) -> list[str]:
-    """A file, or the TIFF files of a folder in order of name, at most `limit`."""
-    if not os.path.isdir(path):
+    """A file, or the TIFF files of a folder in order of name, at most `limit`; a path or a URI."""
+    if found := _store(path):
+        if found[0].get_file_info(found[1]).type != pyarrow.fs.FileType.Directory:
+            return [path]
+        names = [f.base_name for f in found[0].get_file_info(pyarrow.fs.FileSelector(found[1]))]
+    elif not os.path.isdir(path):
         return [path]
-    return [os.path.join(path, x) for x in sorted(os.listdir(path)) if x.lower().endswith((".tif", ".tiff"))][:limit]
+    else:
+        names = os.listdir(path)
+    return [f"{path.rstrip('/')}/{x}" for x in sorted(names) if x.lower().endswith((".tif", ".tiff"))][:limit]
+
+
+def _bytes(path: str) -> int:
+    return found[0].get_file_info(found[1]).size if (found := _store(path)) else os.path.getsize(path)
 
 
 @dataclass
@@ -326,7 +349,7 @@ class _Reader(DataSourceReader):
         for p in paths:
             m = peek(p) if known else None
             for b in [b for b in m.blocks if self.box.meets(b)] if known else [None]:
-                each = (b[2] * b[3] * m.bits // 8 if m.compression == PLAIN else b[5]) if b else os.path.getsize(p)
+                each = (b[2] * b[3] * m.bits // 8 if m.compression == PLAIN else b[5]) if b else _bytes(p)
                 if packs[-1] and size + each > self.pack:
                     packs.append([])
                     size = 0
@@ -339,7 +362,7 @@ class _Reader(DataSourceReader):
 
     def read(self, partition: _Pack) -> Iterator[pa.RecordBatch]:
         for path, m in partition.parts:
-            with open(path, "rb") as f:
+            with _open(path) as f:
                 m = m or _header(f, os.path.basename(path))
                 for b in m.blocks:
                     if self.box.meets(b) and (v := _block(f, m, b)) is not None:
@@ -360,7 +383,7 @@ class TiffSource(DataSource):
 
     Filters on file, x and y leave files and blocks unread. Blocks are packed by their bytes into partitions of about
     option `pack`. Headers of up to `headers` files are read to plan that; of more files, tasks read the headers of theirs. The
-    path must be one that every executor can open, such as a mounted share.
+    path may be a URI of any store that pyarrow opens, or one that every executor can open, such as a mounted share.
     """
 
     @classmethod

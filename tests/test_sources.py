@@ -156,6 +156,8 @@ def test_boxes_leave_blocks_and_files_unread(spark, tmp_path, headers):
     got = {(r["file"], r["x"], r["y"]): r["h"] for r in box.collect()}
     assert got == {("b.tif", x, y): values[x, y] for x in range(20, 31) for y in range(33, 41)}
     assert whole.where("x > 60 AND y = 3").count() == 18 and whole.where("x IN (1, 69) AND y < 0").count() == 0
+    far = tiff.read(spark, f"file://{tmp_path}", pack=1, headers=headers)
+    assert sorted(map(str, far.where("x < 3").collect())) == sorted(map(str, whole.where("x < 3").collect()))
     assert whole.where("h > 0.5 AND NOT isnan(h)").count() == 2 * (values > 0.5).sum()
 
 
