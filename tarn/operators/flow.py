@@ -246,11 +246,11 @@ def sum_doubling(nodes: DataFrame, most_rounds: int = 64) -> DataFrame:
     start = settled(nodes.select("n", F.when(F.col("nxt") >= 0, F.col("nxt")).alias("p"), F.col("w").cast("double").alias("w"), F.col("v").cast("double").alias("v")))
     aside, live = [start.where("p is null").select("n", "v")], start.where("p is not null")
     for _ in range(most_rounds):
-        if not live.limit(1).count():
+        if not (left := live.count()):
             return reduce(DataFrame.unionAll, aside).groupBy("n").agg(F.sum("v").alias("total")).join(start.select("n"), "n", "left_semi")
         gain = live.groupBy(F.col("p").alias("n")).agg(F.sum(F.col("w") * F.col("v")).alias("gain"))
         far = live.select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("w").alias("w2"))
-        moved = attach(live, far, ["p"], "left").select("n", F.col("p2").alias("p"), (F.col("w") * F.coalesce("w2", F.lit(1.0))).alias("w"), "v")
+        moved = attach(live, far, ["p"], "left", left).select("n", F.col("p2").alias("p"), (F.col("w") * F.coalesce("w2", F.lit(1.0))).alias("w"), "v")
         after = settled(moved.join(gain, "n", "full").select("n", "p", "w", (F.coalesce("v", F.lit(0.0)) + F.coalesce("gain", F.lit(0.0))).alias("v")))
         aside.append(after.where("p is null").select("n", "v"))
         live = after.where("p is not null")
@@ -322,6 +322,29 @@ def _few_steps(nodes: DataFrame, cells: int) -> DataFrame:
     return state.select("n", "total")
 
 
+def upstream_sample(graph: DataFrame, k: int = 4, seed: int = 0, most_rounds: int = 64) -> DataFrame:
+    """n, place (from 0), cell: a reservoir of each cell, k of the cells whose water passes it, itself among them, drawn
+    evenly without replacement (all, if there are fewer).
+
+    Each cell has a number from the hash, and the reservoir is the k cells of least number. So reservoirs merge, whatever
+    they share, and pointers may double: after j rounds a cell has drawn from all that reach it in fewer than 2 ** j
+    steps. Before the shuffle each task keeps k of what it sends to a cell, so an outlet gets no more than that from each.
+    A cycle raises.
+    """
+    here = Window.partitionBy("n").orderBy("u", "cell")
+    drawn = settled(graph.select("n", uniform(F.col("n"), seed).alias("u"), F.col("n").alias("cell")))
+    live = settled(graph.select("n", "nxt").where("nxt >= 0").withColumnRenamed("nxt", "p"))
+    for _ in range(most_rounds):
+        if not (left := live.count()):
+            return drawn.select("n", (F.row_number().over(here) - 1).alias("place"), "cell")
+        sent = drawn.join(live, "n").select(F.col("p").alias("n"), "u", "cell")
+        ranked = drawn.unionAll(sent).withColumn("rank", F.dense_rank().over(here)).where(F.col("rank") <= k)  # equal rows have one rank
+        drawn = settled(ranked.groupBy("n", "u", "cell").agg(F.max("rank")).select("n", "u", "cell"))
+        far = live.select(F.col("n").alias("p"), F.col("p").alias("p2"))
+        live = settled(attach(live, far, ["p"], total=left).select("n", F.col("p2").alias("p")))
+    raise ValueError("the graph has a cycle")
+
+
 def multiflow(raster: DataFrame, ny: int, cells: int, runs: int, temperature: float = 10.0, seed: int = 0, edge: Edge | str = Edge.D8) -> DataFrame:
     """n, total: the mean accumulation over weighted draws; all draws are summed at once, keyed by run."""
     draws = random_weighted(raster, ny, edge, seed, temperature=temperature, runs=runs)
@@ -356,12 +379,12 @@ def roots(graph: DataFrame, length: Column | None = None, ny: int | None = None)
     state = settled(each.join(wanted, "n", "left_semi"))
     aside, live = [state.where("p < 0")], state.where("p >= 0")
     for _ in range(state.count().bit_length() + 2):
-        if not live.limit(1).count():
+        if not (left := live.count()):
             ends = reduce(DataFrame.unionAll, aside).select(F.col("n").alias("p"), F.col("root").alias("r2"), F.col("d").alias("d2"), F.col("s").alias("s2"))
             found = attach(each, ends, ["p"], "left")
             return found.select("n", F.coalesce("r2", "root").alias("root"), (F.col("d") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("s") + F.coalesce("s2", F.lit(0.0))).alias("distance"))
         ahead = reduce(DataFrame.unionAll, [*aside, live]).select(F.col("n").alias("p"), F.col("p").alias("p2"), F.col("root").alias("r2"), F.col("d").alias("d2"), F.col("s").alias("s2"))
-        state = settled(attach(live, ahead, ["p"]).select("n", F.col("p2").alias("p"), F.col("r2").alias("root"), (F.col("d") + F.col("d2")).alias("d"), (F.col("s") + F.col("s2")).alias("s")))
+        state = settled(attach(live, ahead, ["p"], total=left).select("n", F.col("p2").alias("p"), F.col("r2").alias("root"), (F.col("d") + F.col("d2")).alias("d"), (F.col("s") + F.col("s2")).alias("s")))
         aside.append(state.where("p < 0"))
         live = state.where("p >= 0")
     raise ValueError("the graph has a cycle")

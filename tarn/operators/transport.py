@@ -17,7 +17,7 @@ from tarn.plans.model import Grid, Params
 from tarn.plans.state import settled, ship
 
 #: Bytes of fields that every task may get; larger rasters are cut in tiles of so many cells a side.
-FIELD_BYTES, TILE = 256 << 20, 1024
+FIELD_BYTES, TILE = 64 << 20, 1024
 #: Particles that a task walks at a time; particles that a tile walks in one task, beyond which it is walked in several.
 PARTICLES, CROWD = 65536, 1 << 20
 #: Rounds whose sums are kept apart before they are added up.

@@ -13,7 +13,7 @@ from tarn.functions.values import uniform_sql
 from tarn.operators import flow, raster, sampling, stencil, terrain, transport
 from tarn.plans import catalog as c
 from tarn.plans.catalog import NY, _r, query
-from tarn.plans.erosion import erode_levels
+from tarn.plans.erosion import erode, erode_levels
 from tarn.plans.model import Grid, Params, constant
 from tarn.plans.state import files_folder, shared_folder
 from tarn.sources import images, ply, tiff
@@ -176,6 +176,19 @@ def _levels(spark, d):
     return erode_levels(c._cells(spark, d), g, [(Grid(g.nx // 2, g.ny // 2, 2.0, 2.0), 1), (g, 1)], 2048)
 
 
+@query("erosion_loop")
+def _loop(spark, d):
+    """Four whole steps; tests hold such steps to plain numbers."""
+    return erode(c._cells(spark, d), c.grid_of(spark, d), SAMPLES, 4)
+
+
+@query("erode_levels_more")
+def _levels_more(spark, d):
+    """Three steps on a grid of half the cells along each side, then two on the whole one."""
+    g = c.grid_of(spark, d)
+    return erode_levels(c._cells(spark, d), g, [(Grid(g.nx // 2, g.ny // 2, 2.0, 2.0), 3), (g, 2)], SAMPLES)
+
+
 @query("top_discharge", f"SELECT n, total FROM ({c._summed_sql(c._graph_sql(c._ORDERS))}) ORDER BY total DESC, n LIMIT 20")
 def _top(spark, d):
     return flow.accumulate(flow.steepest(c.height(spark, d), NY), ny=NY).select("n", *_r("total")).orderBy(F.desc("total"), "n").limit(20)

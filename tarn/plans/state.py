@@ -78,13 +78,14 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def attach(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+def attach(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
     """rows joined with the one row of `values` that has their keys, inner or left, where a key may have most rows.
 
     Hot keys are joined by broadcasting their values, at most 1 / HOT_SHARE rows, so their rows stay where they are;
-    the others are joined as Spark likes. `rows` is read three times, so it should be settled or cheap.
+    the others are joined as Spark likes. `rows` is read three times, so it should be settled or cheap. total: how many
+    rows there are, if that is known.
     """
-    total = rows.count()
+    total = rows.count() if total is None else total
     if total <= HOT_ROWS:
         return rows.join(values, keys, how)
     counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).where(" and ".join(f"`{k}` is not null" for k in keys))

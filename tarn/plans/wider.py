@@ -51,6 +51,14 @@ def _sampled_reservoir(spark, d):
     return flow.accumulate_sampled(graph, WALKS, CELLS, c.per_order(spark, d).select("n", F.col("rain").alias("s")), True, 5, NY).select("n", *_r("total"))
 
 
+@query("upstream_sample", f"""WITH RECURSIVE g AS MATERIALIZED {c._graph_sql(c._TILT)},
+walk AS (SELECT n, n AS cell FROM g UNION ALL SELECT g.nxt, w.cell FROM walk w JOIN g USING (n) WHERE g.nxt >= 0),
+placed AS (SELECT n, CAST(row_number() OVER (PARTITION BY n ORDER BY {uniform_sql('cell', 8)}, cell) - 1 AS INTEGER) AS place, cell FROM walk)
+SELECT n, place, cell FROM placed WHERE place < 4""")
+def _reservoirs(spark, d):
+    return flow.upstream_sample(flow.steepest(c.tilted(spark, d), NY), 4, 8)
+
+
 # ---- events and orders, by time: events run over a month, so their times are stretched over the orders' years
 
 _STRETCH, _BASE = 80, 1704067200000000 * 80 - 788918400000000
@@ -161,7 +169,7 @@ def _runs_sql(rows: str) -> str:
 SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY n ORDER BY ts, event_id) + to_seconds({_GAP}) THEN 0 ELSE 1 END AS new FROM {rows}))"""
 
 
-_SESSION = f"SELECT n, min(ts) AS start, max(ts) + to_seconds({_GAP}) AS \"end\", round(avg(value), 6) AS mean, count(value) AS hits"
+_SESSION = f"SELECT n, min(ts) AS start, max(ts) + to_seconds({_GAP}) AS \"end\", round(avg(value) * {c.KEPT}::DOUBLE, 6) AS mean, count(value) AS hits"
 
 
 @query("stream_sessions", f"""WITH feeds AS {_FEEDS}, {_MARKS},
@@ -171,10 +179,10 @@ two AS {_runs_sql(f'(SELECT event_id, n, ts, value FROM one JOIN ends USING (n,
 {_SESSION} FROM closed GROUP BY n, k UNION ALL SELECT s.* FROM ({_SESSION} FROM two GROUP BY n, k) s, marks WHERE s."end" <= w2""")
 def _sessions(spark, d):
     out = _fed(spark, d, lambda s: sessions(s, F.col("n"), f"{_LATE} seconds", f"{_GAP} seconds"))
-    return out.select("n", *(F.col(k).cast("timestamp_ntz").alias(k) for k in ("start", "end")), *_r("mean"), "hits")
+    return out.select("n", *(F.col(k).cast("timestamp_ntz").alias(k) for k in ("start", "end")), F.round(F.col("mean") * c.KEPT, 6).alias("mean"), "hits")
 
 
-_MEAN = "SELECT n, min(ts) AS first, max(ts) AS last, round(avg(value), 6) AS mean, count(value) AS hits"
+_MEAN = f"SELECT n, min(ts) AS first, max(ts) AS last, round(avg(value) * {c.KEPT}::DOUBLE, 6) AS mean, count(value) AS hits"
 
 
 @query("stream_means", f"""WITH feeds AS {_FEEDS}, {_MARKS},
@@ -183,7 +191,7 @@ two AS (SELECT n, ts, value FROM one WHERE NOT told UNION ALL SELECT n, ts, valu
 {_MEAN} FROM one WHERE told GROUP BY n UNION ALL SELECT s.* FROM ({_MEAN} FROM two GROUP BY n) s, marks WHERE s.last + to_seconds({_IDLE}) < w2""")
 def _means(spark, d):
     out = _fed(spark, d, lambda s: running_means(s, F.col("n"), f"{_LATE} seconds", _IDLE))
-    return out.select("n", *(F.col(k).cast("timestamp_ntz").alias(k) for k in ("first", "last")), *_r("mean"), "hits")
+    return out.select("n", *(F.col(k).cast("timestamp_ntz").alias(k) for k in ("first", "last")), F.round(F.col("mean") * c.KEPT, 6).alias("mean"), "hits")
 
 
 # ---- tiles of growing side

@@ -132,3 +132,17 @@ def test_paths_in_sql(spark):
     with pytest.raises(Exception, match="cycle"):
         spark.sql("SELECT 0 AS kind, id AS a, (id + 1) % 3 AS b, 0L AS step, 0 AS tile, 0 AS part FROM range(3) UNION ALL SELECT 1, 1L, 1L, 0L, 0, 0").createOrReplaceTempView("ring")
         spark.sql("SELECT * FROM flow_paths(TABLE(ring) PARTITION BY (tile, part))").collect()
+
+
+def test_reservoirs_are_even(spark):
+    graph = slope(spark)
+    exact = {r["n"]: r["total"] for r in flow.accumulate(graph, ny=30).collect()}
+    got = flow.upstream_sample(graph, 5, 3).toPandas()
+    assert got.groupby("n").size().to_dict() == {n: min(5, t) for n, t in exact.items()}
+    assert not got.duplicated(["n", "cell"]).any() and got.groupby("n")["place"].max().to_dict() == {n: min(5, t) - 1 for n, t in exact.items()}
+    # Over many seeds each upstream cell of a large one is drawn about as often as any other.
+    big = max(exact, key=exact.get)
+    times = sum(flow.upstream_sample(graph, 5, seed).where(F.col("n") == big).groupBy("cell").count().toPandas().set_index("cell")["count"].reindex(range(1200), fill_value=0) for seed in range(4))
+    assert times.sum() == 20 and times.max() <= 3
+    with pytest.raises(ValueError):
+        flow.upstream_sample(spark.createDataFrame([(0, 1), (1, 0)], "n long, nxt long"), most_rounds=8)
