@@ -1,3 +1,4 @@
+import itertools
 import math
 import re
 import subprocess
@@ -192,12 +193,18 @@ def test_scores_equal_plain_sums(spark, odd):
         want = []
         for i, t in texts:
             x = plain_features(t)
-            at = [sum(e <= x[f] + 1e-12 for e in edges) for f, edges in zip(classifier.FEATURES, model.edges, strict=True)]
-            total = model.base + sum(table[k] for table, k in zip(model.single, at, strict=True)) + sum(table[at[f], at[g]] for f, g, table in model.pairs)
-            want.append((i, 1 / (1 + math.exp(-total))))
-        got = sorted((str(r["doc_id"]), r["score"]) for r in classifier.score(rows, model).collect())
-        off = sum(abs(a - b) > 1e-9 for (_, a), (_, b) in zip(got, sorted(want), strict=True))
-        assert off <= len(want) // 100  # a value on an edge may round to either side
+            # A value on an edge may round to either side of it: both scores are right then, no other.
+            near = [{sum(e <= x[f] + d for e in edges) for d in (1e-12, -1e-12)} for f, edges in zip(classifier.FEATURES, model.edges, strict=True)]
+            both = []
+            for at in itertools.islice(itertools.product(*near), 1 << 14):
+                total = model.base + sum(table[k] for table, k in zip(model.single, at, strict=True)) + sum(table[at[f], at[g]] for f, g, table in model.pairs)
+                both.append(1 / (1 + math.exp(-total)))
+            want.append((i, t or "", both))
+        left = Counter()
+        for r in classifier.score(rows, model).collect():
+            left[str(r["doc_id"])] += 1
+            assert any(abs(r["score"] - s) < 1e-9 for i, _, both in want if i == str(r["doc_id"]) for s in both)
+        assert left == Counter(i for i, _, _ in want)
 
 
 def test_each_tree_is_the_best_step():
@@ -301,3 +308,80 @@ def test_the_bound_holds_where_one_id_has_many_texts(spark, monkeypatch):
     for bound in (10, 3, 1000):
         classifier.train(docs, labels, bound)
     assert seen[0] <= 10 and seen[1] <= 3 and seen[2] > 200
+
+
+def plain_boosting(x, y, rounds, pair_rounds, pairs, bins, rate, leaves):
+    """The whole fit row by row: (base, single tables, pairs with their tables)."""
+    n, width = len(x), len(x[0])
+    edges = [sorted(set(np.quantile([r[f] for r in x], np.linspace(0, 1, bins + 1)[1:-1]).tolist())) for f in range(width)]
+    at = [[sum(e <= r[f] for e in edges[f]) for f in range(width)] for r in x]
+    p = (sum(y) + 1) / (n + 2)
+    base = math.log(p / (1 - p))
+    margin = [base] * n
+    single = [[0.0] * (len(e) + 1) for e in edges]
+    value = lambda rows, slope: (sum(slope[i][0] for i in rows), sum(slope[i][1] for i in rows))
+    worth = lambda s: s[0] ** 2 / (s[1] + 1)
+    newton = lambda s: s[0] / (s[1] + 1)
+
+    def slopes():
+        q = [1 / (1 + math.exp(-m)) for m in margin]
+        return [(t - v, v * (1 - v)) for t, v in zip(y, q, strict=True)]
+
+    for _ in range(rounds):
+        for f in range(width):
+            s, parts = slopes(), [(0, len(single[f]))]
+            own = lambda a, b, f=f: [i for i in range(n) if a <= at[i][f] < b]
+            while len(parts) < leaves:
+                best, cut = 1e-9, None
+                for k, (a, b) in enumerate(parts):
+                    for m in range(a + 1, b):
+                        gain = worth(value(own(a, m), s)) + worth(value(own(m, b), s)) - worth(value(own(a, b), s))
+                        if gain > best + 1e-12:
+                            best, cut = gain, (k, m)
+                if not cut:
+                    break
+                k, m = cut
+                parts[k : k + 1] = [(parts[k][0], m), (m, parts[k][1])]
+            for a, b in parts:
+                step = rate * newton(value(own(a, b), s))
+                for m in range(a, b):
+                    single[f][m] += step
+                for i in own(a, b):
+                    margin[i] += step
+
+    def quadrants(f, k, s):
+        best = (-1.0, None)
+        for i in range(1, len(single[f])):
+            for j in range(1, len(single[k])):
+                four = [[r for r in range(n) if (at[r][f] < i) == top and (at[r][k] < j) == left] for top in (True, False) for left in (True, False)]
+                gain = sum(worth(value(rows, s)) for rows in four)
+                if gain > best[0] + 1e-12:
+                    best = gain, (i, j, [newton(value(rows, s)) for rows in four])
+        return best
+
+    s = slopes()
+    chosen = sorted(((quadrants(f, k, s)[0], f, k) for f in range(width) for k in range(f)), reverse=True)[:pairs]
+    tables = [(f, k, np.zeros((len(single[f]), len(single[k])))) for _, f, k in chosen]
+    for _ in range(pair_rounds):
+        for f, k, table in tables:
+            i, j, v = quadrants(f, k, slopes())[1]
+            for a in range(len(single[f])):
+                for b in range(len(single[k])):
+                    table[a, b] += rate * v[(a >= i) * 2 + (b >= j)]
+            for r in range(n):
+                margin[r] += rate * v[(at[r][f] >= i) * 2 + (at[r][k] >= j)]
+    return base, single, tables
+
+
+def test_the_whole_fit_equals_plain_boosting():
+    r = np.random.default_rng(11)
+    x = r.random((60, 4))
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + 0.2 * r.random(60)) > 0.8).astype(float)
+    options = dict(rounds=5, pair_rounds=3, pairs=2, bins=6, rate=0.3, leaves=3)
+    model, (base, single, tables) = classifier.fit(x, y, **options), plain_boosting(x.tolist(), y.tolist(), **options)
+    assert model.base == pytest.approx(base)
+    for mine, want in zip(model.single, single, strict=True):
+        np.testing.assert_allclose(mine, want, atol=1e-9)
+    assert [(f, k) for f, k, _ in model.pairs] == [(f, k) for f, k, _ in tables]
+    for (_, _, mine), (_, _, want) in zip(model.pairs, tables, strict=True):
+        np.testing.assert_allclose(mine, want, atol=1e-9)
