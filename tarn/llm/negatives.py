@@ -80,7 +80,7 @@ class BallTree:
             if up >= 0:
                 nodes[up][2 if nodes[up][2] < 0 else 3] = me
             nodes.append([a, b, -1, -1])
-            if b - a <= leaf:
+            if b - a <= (leaf if pure else leaf // 8):  # labels part early, as they alone may exclude a pair
                 continue
             if not pure:  # at the change of label nearest to the middle
                 changes = np.flatnonzero(label[a + 1 : b] != label[a : b - 1]) + a + 1
