@@ -105,7 +105,7 @@ SELECT id, step, n FROM walk""")
 def _paths(spark, d):
     graph, cells = flow.steepest(c.tilted(spark, d), NY).select("n", "nxt"), c.grid_of(spark, d).cells
     starts = c._table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") * 7919 % cells).alias("n"))
-    return paths.flow_paths(graph, starts, NY, side=64)
+    return paths.flow_paths(graph, starts, NY)
 
 
 # ---- gradient noise
