@@ -7,17 +7,19 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.functions.values import over
 from tarn.operators.stencil import neighbourhood, upwind_columns
 from tarn.operators.terrain import EPS
 from tarn.plans.model import Grid, Params
-from tarn.plans.state import settled, ship
+from tarn.plans.state import bucketed, settled, ship
 
-#: Bytes of fields that every task may get; larger rasters are cut in tiles of so many cells a side.
+#: Bytes of fields that every task may get; larger rasters are cut in tiles of so many cells a side, longer on narrow grids.
 FIELD_BYTES, TILE = 64 << 20, 1024
+#: Cells around a tile that it has copies of and walks over, so that a particle on a border doesn't change tiles at each step.
+MARGIN = 64
 #: Particles that a task walks at a time; particles that a tile walks in one task, beyond which it is walked in several.
 PARTICLES, CROWD = 65536, 1 << 20
 #: Rounds whose sums are kept apart before they are added up.
@@ -33,20 +35,39 @@ def _uniform(n: np.ndarray, seed: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(16))).astype(float) / 4294967296.0
 
 
+class Tiles:
+    """How a grid is cut: tiles of at most TILE cells along y and TILE ** 2 in all, each with the cells around it."""
+
+    def __init__(self, grid: Grid):
+        self.grid, self.wide = grid, min(TILE, grid.ny)
+        self.long, self.around = TILE * TILE // self.wide, min(MARGIN, TILE)
+        self.across = -(-grid.ny // self.wide)
+        self.count = -(-grid.nx // self.long) * self.across
+
+    def of(self, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        return np.floor(px).astype(int) // self.long * self.across + np.floor(py).astype(int) // self.wide
+
+    def reach(self, tile: int) -> tuple[int, int, int, int]:
+        """The cells that a tile has, with those around it: from x, from y, to x, to y."""
+        x, y, m = tile // self.across * self.long, tile % self.across * self.wide, self.around
+        return max(x - m, 0), max(y - m, 0), min(x + self.long + m, self.grid.nx), min(y + self.wide + m, self.grid.ny)
+
+    def holding(self, x: Column, y: Column) -> Column:
+        """The tiles that have a cell."""
+        at = lambda c, d, n: F.least(F.greatest(c + d, F.lit(0)), F.lit(n - 1))
+        ways = (-self.around, 0, self.around)
+        return F.array_distinct(F.array(*(F.floor(at(x, dx, self.grid.nx) / self.long) * self.across + F.floor(at(y, dy, self.grid.ny) / self.wide) for dx in ways for dy in ways)))
+
+
 class Field:
-    """Columns of the cells of a grid or of one tile of it, with the cells beside the tile."""
+    """Columns of the cells of a grid or of one tile of it, with the cells around the tile."""
 
-    def __init__(self, grid: Grid, table: pa.Table, columns: list[str], tile: int | None = None, side: int = 0):
+    def __init__(self, grid: Grid, table: pa.Table, columns: list[str], tile: int | None = None, tiles: Tiles | None = None):
         self.grid = grid
-        if tile is None:
-            self.x0, self.y0, self.own = 0, 0, (0, 0, grid.nx, grid.ny)
-            wide, self.ny = grid.nx, grid.ny
-        else:
-            across = -(-grid.ny // side)
-            x, y = tile // across * side, tile % across * side
-            self.own = (x, y, min(x + side, grid.nx), min(y + side, grid.ny))
-            self.x0, self.y0 = x - 1, y - 1
-            wide, self.ny = self.own[2] - x + 2, self.own[3] - y + 2
+        self.x0, self.y0, x1, y1 = (0, 0, grid.nx, grid.ny) if tile is None else tiles.reach(tile)
+        # The last cells need their neighbours, unless the grid ends there.
+        self.own = (self.x0, self.y0, x1 - (x1 < grid.nx), y1 - (y1 < grid.ny))
+        wide, self.ny = x1 - self.x0, y1 - self.y0
         n = table.column("n").to_numpy()
         at = (n // grid.ny - self.x0) * self.ny + n % grid.ny - self.y0
         self.values = {}
@@ -185,16 +206,18 @@ def _walked_whole(cells: DataFrame, grid: Grid, walk: Walk, count: int) -> DataF
 
 
 def _walked_tiled(cells: DataFrame, grid: Grid, walk: Walk, count: int) -> DataFrame:
-    spark, across, side = cells.sparkSession, -(-grid.ny // TILE), TILE
+    """Cells are dealt to their tiles once, in buckets of files that no round shuffles again; what is shuffled are particles.
 
-    def tile_of(px: np.ndarray, py: np.ndarray) -> np.ndarray:
-        return np.floor(px).astype(int) // side * across + np.floor(py).astype(int) // side
+    A particle changes tiles where it has left the cells around its own, so rounds follow the length of ways, not how often
+    they cross a border.
+    """
+    spark, tiles = cells.sparkSession, Tiles(grid)
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             px, py = walk.places(batch.column(0).to_numpy())
             ok = _inside(grid, px, py)
-            yield rows(tile_of(px[ok], py[ok]), np.stack([px[ok], py[ok]]))
+            yield rows(tiles.of(px[ok], py[ok]), np.stack([px[ok], py[ok]]))
 
     def rows(key: np.ndarray, values: np.ndarray, kind: int = 1) -> pa.RecordBatch:
         each = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1) * len(values), pa.int32()), pa.array(values.T.ravel()))
@@ -203,7 +226,7 @@ def _walked_tiled(cells: DataFrame, grid: Grid, walk: Walk, count: int) -> DataF
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         out = [rows(np.zeros(0), np.zeros((1, 0)))]
         if left.num_rows and right.num_rows:
-            f = Field(grid, left, walk.fields, left.column("key")[0].as_py(), side)
+            f = Field(grid, left, walk.fields, left.column("key")[0].as_py(), tiles)
             total = np.zeros((len(walk.names), len(f.values[walk.fields[0]])))
             given = right.column("values").combine_chunks()
             given = given.chunk(0) if isinstance(given, pa.ChunkedArray) else given
@@ -214,27 +237,31 @@ def _walked_tiled(cells: DataFrame, grid: Grid, walk: Walk, count: int) -> DataF
                     with np.errstate(all="ignore"):
                         state = walk.begin(f, state[0], state[1])
                 gone = walk.run(f, state, total)
-                out.append(rows(tile_of(gone[0], gone[1]), gone))
+                out.append(rows(tiles.of(gone[0], gone[1]), gone))
             hit = np.flatnonzero(total.any(axis=0))
             out.append(rows((hit // f.ny + f.x0) * grid.ny + hit % f.ny + f.y0, total[:, hit], 0))
         return pa.Table.from_batches(out)
 
-    x, y = F.col("x"), F.col("y")
-    beside = [F.when((x + dx >= 0) & (x + dx < grid.nx) & (y + dy >= 0) & (y + dy < grid.ny), F.floor((x + dx) / side) * across + F.floor((y + dy) / side)) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    tiles = settled(cells.select("n", *walk.fields, F.explode(F.array_distinct(F.array_compact(F.array(*beside)))).alias("key")))
+    each = cells.select("n", *walk.fields, F.explode(tiles.holding(F.col("x"), F.col("y"))).alias("key"))
     schema = "kind int, key long, values array<double>"
     parts, live = [], settled(spark.range(0, count, 1, _parts(cells, count)).mapInArrow(start, schema))
-    while live.limit(1).count():
-        # Flow gathers particles: a crowded tile goes to several tasks, a tile without particles to none.
-        crowds = settled(live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("tasks")))
-        held = tiles.join(crowds, "key").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)))
-        asked = live.join(crowds, "key").withColumn("task", F.pmod(F.xxhash64("values"), F.col("tasks")).cast("int"))
-        held, asked = held.select("key", "task", "n", *walk.fields), asked.select("key", "task", "values")
-        done = settled(held.groupBy("key", "task").cogroup(asked.groupBy("key", "task")).applyInArrow(meet, schema))
-        parts.append(done.where("kind = 0").select(F.col("key").alias("n"), *(F.col("values")[k].alias(c) for k, c in enumerate(walk.names))))
-        if len(parts) > KEPT_ROUNDS:
-            parts = [settled(reduce(DataFrame.unionAll, parts).groupBy("n").agg(*(F.sum(c).alias(c) for c in walk.names)))]
-        live = done.where("kind = 1")
+    with bucketed(each, "key", min(tiles.count * 4, 1024)) as dealt:
+        while True:
+            # Flow gathers particles: a crowded tile goes to several tasks, a tile without particles to none.
+            crowds = settled(live.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CROWD).cast("int").alias("tasks")))
+            found = crowds.collect()  # a row for each tile that has particles
+            if not found:
+                break
+            held, asked, keys = dealt.where(F.col("key").isin([r["key"] for r in found])), live, ["key"]
+            if max(r["tasks"] for r in found) > 1:
+                held, keys = held.join(F.broadcast(crowds), "key").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))), ["key", "task"]
+                asked = live.join(F.broadcast(crowds), "key").withColumn("task", F.pmod(F.xxhash64("values"), F.col("tasks")).cast("int"))
+            held, asked = held.select(*keys, "n", *walk.fields), asked.select(*keys, "values")
+            done = settled(held.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(meet, schema))
+            parts.append(done.where("kind = 0").select(F.col("key").alias("n"), *(F.col("values")[k].alias(c) for k, c in enumerate(walk.names))))
+            if len(parts) > KEPT_ROUNDS:
+                parts = [settled(reduce(DataFrame.unionAll, parts).groupBy("n").agg(*(F.sum(c).alias(c) for c in walk.names)))]
+            live = done.where("kind = 1")
     if not parts:
         return spark.createDataFrame([], "n long, " + ", ".join(f"{c} double" for c in walk.names))
     return reduce(DataFrame.unionAll, parts)

@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +80,20 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def bucketed(df: DataFrame, key: str, buckets: int) -> Iterator[DataFrame]:
+    """df kept in the shared folder in buckets by a key while the block runs: grouping by that key alone shuffles nothing,
+    however often it is done."""
+    spark, name = df.sparkSession, f"tarn_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+
+
 def attach(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "inner", total: int | None = None) -> DataFrame:
     """rows joined with the one row of `values` that has their keys, inner or left, where a key may have most rows.
 
