@@ -30,8 +30,11 @@ def norm2(x: Column, y: Column) -> Column:
 
 
 def uniform(n: Column, seed: int = 0) -> Column:
-    """A number in [0, 1) of each integer n below 3e9, the same in any engine with 64-bit integers."""
-    x = (n.cast("long") * 2654435761 + seed * 40503).bitwiseAND(F.lit(MASK))
+    """A number in [0, 1) of each integer n, the same in any engine with 64-bit integers; equal for n that are equal
+    modulo 2 ** 32. The product is made of halves, as the whole one passes 64 bits beyond 3e9."""
+    n, half = n.cast("long"), F.lit(65535)
+    low, high = n.bitwiseAND(half) * 2654435761, (F.shiftright(n, 16).bitwiseAND(half) * 2654435761).bitwiseAND(half)
+    x = (low + high * 65536 + seed * 40503).bitwiseAND(F.lit(MASK))
     for _ in range(2):
         x = (x.bitwiseXOR(F.shiftright(x, 16)) * 73244475).bitwiseAND(F.lit(MASK))
     return x.bitwiseXOR(F.shiftright(x, 16)) / F.lit(4294967296.0)
