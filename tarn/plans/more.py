@@ -167,7 +167,7 @@ _DRAWN = c._drawn_sql(c._TILT, 10.0, 7, 1)
 @query("discharge_drawn", c._summed_sql(_DRAWN, f"CASE WHEN abs(nxt - n) IN ({NY - 1}, {NY + 1}) THEN power(0.9::DOUBLE, 1.414) ELSE 0.9::DOUBLE END"))
 def _discharge(spark, d):
     graph = flow.random_weighted(c.tilted(spark, d), NY, seed=7, temperature=10.0).select("n", "nxt")
-    return flow.accumulate_decay(graph, graph.select("n", F.lit(1.0).alias("s")), graph.select("n", F.lit(0.9).alias("decay")), NY).select("n", *_r("total"))
+    return flow.accumulate_decay(graph, F.lit(1.0), F.lit(0.9), NY).select("n", *_r("total"))
 
 
 @query("erode_levels")

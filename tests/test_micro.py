@@ -250,3 +250,25 @@ def test_unknown_choices_raise(spark):
     for bad in (lambda: edge_of("d6"), lambda: edge_of(9), lambda: stencil.laplacian(h, ["h"] * 3), lambda: stencil.gaussian_blur(h, [], 1.0), lambda: raster.arithmetic(h, h, "power")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_hash_of_large_numbers(spark):
+    from pyspark.sql import functions as F
+
+    from tarn.functions.values import uniform
+
+    numbers = [0, 1, 65535, 65536, 2**32 - 1, 2**32, 3_474_701_500, 9_080_998_991, 54_000_000 * 1009, 2**62 + 5, -1]
+    for r in spark.createDataFrame([(n,) for n in numbers], "n long").select("n", uniform(F.col("n"), 7).alias("u")).collect():
+        x = (r["n"] * 2654435761 + 7 * 40503) % 2**32
+        for _ in range(2):
+            x = ((x ^ (x >> 16)) * 73244475) % 2**32
+        assert r["u"] == (x ^ (x >> 16)) / 2**32
+
+
+@pytest.mark.parametrize("mode", ["geometric", "slot"])
+def test_decay_by_column_needs_no_join(spark, mode):
+    from pyspark.sql import functions as F
+
+    graph = flow.steepest(grid(spark, [[9, 8, 7], [8, 5, 4], [7, 4, 1]]), 3).select("n", "nxt")
+    by_rows = flow.accumulate_decay(graph, graph.select("n", F.lit(1.0).alias("s")), graph.select("n", F.lit(0.9).alias("decay")), 3, diagonal=mode)
+    assert by_n(flow.accumulate_decay(graph, F.lit(1.0), F.lit(0.9), 3, diagonal=mode), "total") == pytest.approx(by_n(by_rows, "total"))
