@@ -539,16 +539,15 @@ def _erosion(spark, d):
 
 
 def _sample_file(spark: SparkSession, d: str) -> str:
-    """The orders' heights with holes as a file that the driver writes from an array, as numpy's users do."""
+    """The orders' heights with holes as a file."""
     g, path = grid_of(spark, d), os.path.join(files_folder(spark), "a.tiff")
-    tiff.write_array(path, tiff.to_array(holes(spark, d), g.nx, g.ny), tiff.Meta(gdal_nodata="-9999", scale=[30.0, 10.0, 1.0], coords=[0, 0, 0, 500.0, -200.0, 0]), 64)
+    tiff.write(holes(spark, d), path, g.nx, g.ny, tiff.Meta(gdal_nodata="-9999", scale=[30.0, 10.0, 1.0], coords=[0, 0, 0, 500.0, -200.0, 0]), bits=64)
     return path
 
 
 @query("tiff_roundtrip", f"SELECT n, x, y, h FROM ({_HOLES})")
 def _tiff(spark, d):
-    _, values = tiff.read_array(_sample_file(spark, d))
-    return tiff.from_array(spark, values).select("n", "x", "y", F.when(~F.isnan("h"), F.col("h")).alias("h"))
+    return tiff.read(spark, _sample_file(spark, d)).select("n", "x", "y", F.when(~F.isnan("h"), F.col("h")).alias("h"))
 
 
 @query("geotiff_meta", f"SELECT 'a.tiff' AS filename, CAST(max(x) + 1 AS BIGINT) AS width, {NY}::BIGINT AS height, 64::BIGINT AS bits, '-9999' AS gdal_nodata, 500.0::DOUBLE AS min_x, -200.0::DOUBLE AS min_y, 500 + 30.0::DOUBLE * (max(x) + 1) AS max_x, {10.0 * NY - 200.0}::DOUBLE AS max_y FROM ({_ORDERS})")

@@ -237,3 +237,12 @@ def test_stream_sums(spark, tmp_path):
     got = {r["n"]: (r["total"], r["hits"]) for r in spark.table("sums").collect()}
     assert got == {k: (float(sum(range(k, 100, 5))), 20) for k in range(5)}
     assert windowed_cell_sums(rows, F.col("id") % 5, "1 hour", "10 minutes").count() == 50
+
+
+@pytest.mark.parametrize("name", ["tiff_roundtrip", "geotiff_meta"])
+def test_files_of_queries_pass_no_cells_through_the_driver(spark, data, monkeypatch, name):
+    from tarn.plans import catalog
+
+    monkeypatch.setattr(tiff, "to_array", None)
+    monkeypatch.setattr(tiff, "from_array", None)
+    assert catalog.QUERIES[name](spark, data).count() == (1500 if name == "tiff_roundtrip" else 1)
