@@ -44,3 +44,12 @@ def test_sessions_close_in_append_mode(spark, tmp_path):
     q = drain(make(), f"{tmp_path}")
     assert seconds(spark.read.parquet(f"{tmp_path}/out").where("n = 2").collect(), "start", "end") == [(2, 85.0, 120.0, 5.0, 2)]
     assert spark.read.parquet(f"{tmp_path}/out").count() == 3 and operators(q)[-1]["numRowsTotal"] == 1
+
+
+def test_windows_that_are_open_at_the_end_are_there(spark, data):
+    from tarn.plans import catalog, more  # noqa: F401
+
+    got = catalog.QUERIES["stream_windows"](spark, data)
+    events = spark.read.parquet(f"{data}/events.parquet")
+    assert got.agg(F.sum("hits")).first()[0] == events.where("value IS NOT NULL").count()
+    assert got.agg(F.max("start")).first()[0] == events.agg(F.date_trunc("hour", F.max("ts"))).first()[0].replace(tzinfo=None)
