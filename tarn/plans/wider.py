@@ -56,7 +56,7 @@ walk AS (SELECT n, n AS cell FROM g UNION ALL SELECT g.nxt, w.cell FROM walk w J
 placed AS (SELECT n, CAST(row_number() OVER (PARTITION BY n ORDER BY {uniform_sql('cell', 8)}, cell) - 1 AS INTEGER) AS place, cell FROM walk)
 SELECT n, place, cell FROM placed WHERE place < 4""")
 def _reservoirs(spark, d):
-    return flow.upstream_sample(flow.steepest(c.tilted(spark, d), NY), 4, 8)
+    return flow.upstream_sample(flow.steepest(c.tilted(spark, d), NY), 4, 8, ny=NY)
 
 
 # ---- events and orders, by time: events run over a month, so their times are stretched over the orders' years

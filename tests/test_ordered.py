@@ -146,3 +146,24 @@ def test_reservoirs_are_even(spark):
     assert times.sum() == 20 and times.max() <= 3
     with pytest.raises(ValueError):
         flow.upstream_sample(spark.createDataFrame([(0, 1), (1, 0)], "n long, nxt long"), most_rounds=8)
+
+
+def test_reservoirs_over_many_tiles(spark, monkeypatch):
+    ny, of = 30, flow.tiles_of
+    graph = slope(spark)
+    monkeypatch.setattr(flow, "tiles_of", lambda n: of(n, side=7))
+    moved = []
+    doubling = flow._least_doubling
+    monkeypatch.setattr(flow, "_least_doubling", lambda drawn, live, *rest: moved.append(live.count()) or doubling(drawn, live, *rest))
+    got = flow.upstream_sample(graph, 3, 6, ny=ny).toPandas().sort_values(["n", "place"])
+    to = {r["n"]: r["nxt"] for r in graph.collect()}
+    number = {r["n"]: r["u"] for r in spark.range(len(to)).select(F.col("id").alias("n"), uniform(F.col("id"), 6).alias("u")).collect()}
+    above = {n: [] for n in to}
+    for n in to:
+        at = n
+        while at >= 0:
+            above[at].append(n)
+            at = to[at]
+    want = [(n, place, cell) for n in sorted(above) for place, cell in enumerate(sorted(above[n], key=lambda m: (number[m], m))[:3])]
+    assert list(got.itertuples(index=False, name=None)) == want
+    assert 0 < moved[0] < len(to) / 2  # only entries of tiles are doubled
