@@ -53,3 +53,17 @@ def test_windows_that_are_open_at_the_end_are_there(spark, data):
     events = spark.read.parquet(f"{data}/events.parquet")
     assert got.agg(F.sum("hits")).first()[0] == events.where("value IS NOT NULL").count()
     assert got.agg(F.max("start")).first()[0] == events.agg(F.date_trunc("hour", F.max("ts"))).first()[0].replace(tzinfo=None)
+
+
+def test_cells_share_states(spark, tmp_path):
+    """Cells of one state are told by their own times, also where others of it have values in the same batch."""
+    feed(spark, tmp_path, [(1, 1000.0, 2.0), (17, 1000.0, 4.0), (None, 1000.0, 6.0), (-15, 1000.0, None), *((16 * k + 2, 1001.0, float(k)) for k in range(1000))])
+    feed(spark, tmp_path, [(33, 1100.0, 1.0)])
+    feed(spark, tmp_path, [(17, 1095.0, 8.0), (49, 1300.0, 3.0)])  # the watermark is at 1090
+    one_by_one = spark.readStream.schema("n long, ts timestamp, value double").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = drain(running_means(one_by_one, F.col("n"), "10 seconds", 50.0), f"{tmp_path}")
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == 1005 and got.where("n is null").first()["mean"] == 6.0 and got.where("n = -15").first()["mean"] is None
+    assert seconds(got.where("n % 16 = 1 and n > 0").collect(), "first", "last") == [(1, 1000.0, 1000.0, 2.0, 1), (17, 1000.0, 1095.0, 6.0, 2), (33, 1100.0, 1100.0, 1.0, 1)]
+    assert got.where("n % 16 = 2 and mean = (n - 2) / 16 and hits = 1").count() == 1000
+    assert max(x["numRowsTotal"] for x in operators(q)) == 4 and operators(q)[-1]["numRowsTotal"] == 1  # cell 49
