@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarn.functions.values import known
-from tarn.operators.stencil import TILE, in_tiles, neighbour, neighbourhood
+from tarn.operators.stencil import TILE, in_tiles
 from tarn.plans.model import Edge
 from tarn.plans.state import settled, ship
 
@@ -41,18 +38,32 @@ def flat_steps(raster: DataFrame, edge: Edge, v: str = "h", side: int = TILE, mo
     """n, steps of the cells of flats: over cells of equal height to the nearest that has a lower neighbour or touches the
     border, which has none itself; infinite where there is none.
 
-    Only cells with a neighbour of equal height are kept. Each tile spreads steps by itself and tells what it has found
-    along its edge; a round works on those tiles alone that another tile has told something. A flat over k tiles
-    takes about k rounds, in which each tile works when the front passes it; rasters without wide flats take one.
+    Only cells with a neighbour of equal height are kept, which each tile finds after one shuffle. Each tile spreads steps
+    by itself and tells what it has found along its edge; a round works on those tiles alone that another tile has told
+    something. A flat over k tiles takes about k rounds, in which each tile works when the front passes it; rasters without
+    wide flats take one.
     """
-    near = [known(neighbour(dx, dy, v)) for dx, dy in edge.shifts]
-    either = lambda cs: reduce(lambda a, b: a | b, cs)
-    drains, level = either([c.isNull() | (c < F.col(v)) for c in near]), either([F.coalesce(c == F.col(v), F.lit(False)) for c in near])
-    rows = neighbourhood(raster, [v]).where(level).select(
-        F.col("n").cast("long").alias("n"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), F.col(v).cast("double").alias("h"), F.when(drains, 0.0).otherwise(float("inf")).alias("w"))
-    tile = lambda c: F.floor(F.col(c) / side).cast("int").alias(f"t{c}")
     ship(raster.sparkSession)
-    flats = settled(rows.select("n", "x", "y", "h", "w", tile("x"), tile("y")))
+    h = F.coalesce(F.col(v).cast("double"), F.lit(float("nan"))).alias("h")
+    cells = in_tiles(raster.select(F.col("n").cast("long").alias("n"), F.col("x").cast("int").alias("x"), F.col("y").cast("int").alias("y"), h), 1, side)
+    found = "n long, x int, y int, h double, w double, tx int, ty int"
+
+    def level(key: tuple, table: pa.Table) -> pa.Table:
+        """The tile's cells with a neighbour of equal height; 0 where one has a lower one or none at all."""
+        n, x, y, h, own = (table.column(c).to_numpy() for c in ("n", "x", "y", "h", "__own"))
+        x0, y0 = int(x.min()) - 1, int(y.min()) - 1
+        around = np.full((int(x.max()) - x0 + 2, int(y.max()) - y0 + 2), np.nan)
+        around[x - x0, y - y0] = h
+        n, x, y, h = n[own], x[own], y[own], h[own]
+        flat, drains = np.zeros(len(n), bool), np.zeros(len(n), bool)
+        for dx, dy in edge.shifts:
+            c = around[x - x0 + dx, y - y0 + dy]
+            flat |= c == h
+            drains |= np.isnan(c) | (c < h)
+        tx, ty = (np.full(int(flat.sum()), k.as_py(), np.int32) for k in key)
+        return pa.table({"n": n[flat], "x": x[flat], "y": y[flat], "h": h[flat], "w": np.where(drains[flat], 0.0, np.inf), "tx": tx, "ty": ty})
+
+    flats = settled(cells.select("n", "x", "y", "h", "__own", "__tx", "__ty").groupBy("__tx", "__ty").applyInArrow(level, found))
     kinds = "n long, x int, y int, h double, w double"
 
     def worked(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:

@@ -26,8 +26,10 @@ def in_tiles(raster: DataFrame, radius: int, side: int) -> DataFrame:
         raise ValueError("a tile must be as wide as what it looks at")
 
     def near(c: str) -> Column:
+        # Constant arrays: a lambda for each cell would cost more than the shuffle.
         at = F.col(c) % side
-        return F.explode(F.array_compact(F.array(F.lit(0), F.when(at < radius, F.lit(-1)), F.when(at >= side - radius, F.lit(1)))))
+        low, high, to = at < radius, at >= side - radius, lambda *steps: F.array(*(F.lit(k) for k in steps))
+        return F.explode(F.when(low & high, to(0, -1, 1)).when(low, to(0, -1)).when(high, to(0, 1)).otherwise(to(0)))
 
     rows = raster.withColumn("__bx", near("x")).withColumn("__by", near("y"))
     tile = {"__tx": F.floor(F.col("x") / side).cast("int") + F.col("__bx"), "__ty": F.floor(F.col("y") / side).cast("int") + F.col("__by")}

@@ -128,3 +128,26 @@ def test_flats_rise_towards_where_they_drain(spark, side):
         df = spark.createDataFrame([(x * 27 + y, x, y, float(h[x, y])) for x in range(31) for y in range(27)], "n long, x int, y int, h double").repartition(2)
         got = flow.resolve_flats(df, 0.25, side=side).toPandas().sort_values("n")["h"].to_numpy().reshape(31, 27)
         assert np.array_equal(got, stepped(h, shifts, 0.25), equal_nan=True)
+
+
+def test_flats_are_found_without_windows(spark, monkeypatch):
+    """Dealing cells into tiles takes no lambda for each cell, and flats no sorts within tiles."""
+    from tarn.operators import flats
+
+    plans = []
+    monkeypatch.setattr(flats, "settled", lambda df, f=flats.settled: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or f(df))
+    h = np.random.default_rng(4).integers(0, 3, (23, 19)).astype(float)
+    df = spark.createDataFrame([(x * 19 + y, x, y, float(h[x, y])) for x in range(23) for y in range(19)], "n long, x int, y int, h double")
+    got = flow.resolve_flats(df, 0.25, side=6).toPandas().sort_values("n")["h"].to_numpy().reshape(23, 19)
+    assert np.array_equal(got, stepped(h, Edge.D8.shifts, 0.25))
+    assert "Window" not in plans[0] and not any("lambda" in p for p in plans)
+
+
+@pytest.mark.parametrize("radius, side", [(1, 1), (1, 2), (2, 3), (1, 4)])
+def test_tiles_get_the_cells_around_them(spark, radius, side):
+    from tarn.operators.stencil import in_tiles
+
+    df = spark.createDataFrame([(x, y) for x in range(9) for y in range(5)], "x int, y int")
+    got = {(r["x"], r["y"], r["__tx"], r["__ty"], r["__own"]) for r in in_tiles(df, radius, side).collect()}
+    near = lambda k: {(k + d) // side for d in (-radius, 0, radius)}
+    assert got == {(x, y, tx, ty, tx == x // side and ty == y // side) for x in range(9) for y in range(5) for tx in near(x) for ty in near(y)}
