@@ -14,7 +14,7 @@ from tarn.functions.values import over
 from tarn.operators.stencil import neighbourhood, upwind_columns
 from tarn.operators.terrain import EPS
 from tarn.plans.model import Grid, Params
-from tarn.plans.state import bucketed, settled, ship
+from tarn.plans.state import bucketed, settled, ship, shuffles_removed
 
 #: Bytes of fields that every task may get; larger rasters are cut in tiles of so many cells a side, longer on narrow grids.
 FIELD_BYTES, TILE = 64 << 20, 1024
@@ -186,7 +186,9 @@ def _parts(cells: DataFrame, count: int) -> int:
 
 def _walked_whole(cells: DataFrame, grid: Grid, walk: Walk, count: int) -> DataFrame:
     spark = cells.sparkSession
-    shared = spark.sparkContext.broadcast(Field(grid, cells.select("n", *walk.fields).toArrow(), walk.fields))
+    with shuffles_removed(spark):
+        table = cells.select("n", *walk.fields).toArrow()
+    shared = spark.sparkContext.broadcast(Field(grid, table, walk.fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value

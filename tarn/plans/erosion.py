@@ -7,15 +7,20 @@ from pyspark.sql import functions as F
 
 from tarn.operators import raster, terrain, transport
 from tarn.plans.model import Grid, Params
-from tarn.plans.state import settled
+from tarn.plans.state import forget, scratch, settled
 
 
 def erosion_step(cells: DataFrame, grid: Grid, samples: int, param: Params = Params(), seed: int = 0) -> DataFrame:
     """One step. cells: n, x, y, bedrock, sediment, rain, uplift, water, mass, vx, vy, debris, dvx, dvy, r, g, b."""
-    fluvial = settled(transport.transport_fluvial(cells, grid, samples, param, seed))
-    slides = settled(transport.transport_debris(cells, grid, samples, param, seed + 1))
+    with scratch() as keep:
+        return keep(_step(cells, grid, samples, param, seed))
+
+
+def _step(cells: DataFrame, grid: Grid, samples: int, param: Params, seed: int) -> DataFrame:
+    fluvial = settled(transport.transport_fluvial(cells, grid, samples, param, seed).select("n", "water", "mass", "vx", "vy"))
+    slides = settled(transport.transport_debris(cells, grid, samples, param, seed + 1).select("n", "debris", "dvx", "dvy"))
     rest = cells.select("n", "x", "y", "bedrock", "sediment", "rain", "uplift", "r", "g", "b")
-    state = fluvial.select("n", "water", "mass", "vx", "vy").join(slides.select("n", "debris", "dvx", "dvy"), "n")
+    state = fluvial.join(slides, "n")
     layers = cells.select("n", "x", "y", "bedrock", "sediment")
     moved = terrain.mass_transfer(layers, state, cells.select("n", "uplift"), grid, param)
     crept = terrain.mass_creep(layers, grid, param).select("n", F.col("d_sediment").alias("creep"))
@@ -24,17 +29,28 @@ def erosion_step(cells: DataFrame, grid: Grid, samples: int, param: Params = Par
 
 
 def erode(cells: DataFrame, grid: Grid, samples: int, steps: int, param: Params = Params(), seed: int = 0) -> DataFrame:
+    """So many steps; a step's tables are removed once the next one has its own."""
     for k in range(steps):
-        cells = erosion_step(cells, grid, samples, param, seed + 2 * k)
+        before, cells = cells, erosion_step(cells, grid, samples, param, seed + 2 * k)
+        if k:
+            forget(before)
     return cells
 
 
 def erode_levels(cells: DataFrame, grid: Grid, levels: list[tuple[Grid, int]], samples: int, param: Params = Params(), seed: int = 0) -> DataFrame:
     """Erosion on ever finer grids: on each level the state of the one before is resized and takes so many steps."""
+    made = False
     for k, (level, steps) in enumerate(levels):
         columns = [c for c in cells.columns if c not in ("n", "x", "y")]
         if (level.nx, level.ny) != (grid.nx, grid.ny):
-            cells = settled(raster.resize_bilinear(cells, grid, level, columns))
+            before, cells = cells, settled(raster.resize_bilinear(cells, grid, level, columns))
+            if made:
+                forget(before)
+            made = True
         grid = level
-        cells = erode(cells, grid, samples, steps, param, seed + 1000 * k)
+        if steps:
+            before, cells = cells, erode(cells, grid, samples, steps, param, seed + 1000 * k)
+            if made:
+                forget(before)
+            made = True
     return cells

@@ -8,8 +8,9 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,10 +75,54 @@ def packed(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """What is planned in the block loses its shuffles' files as soon as it has run; else they stay until the driver
+    happens to collect garbage. A stage that needs them again is run again."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+#: What has been settled in the block of `scratch` that runs.
+_made: ContextVar[list[DataFrame] | None] = ContextVar("made", default=None)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared folder, without its lineage."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_removed(df.sparkSession):
+        planned = df.select("*")
+    out = planned.checkpoint(eager=True)
+    if (made := _made.get()) is not None:
+        made.append(out)
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the files of a settled table that nothing reads any more."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove(df.sparkSession, file.get())
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are settled in the block are removed when it ends, but for those that go through the given function."""
+    kept, token = [], _made.set(made := [])
+    try:
+        yield lambda df: kept.append(df) or df
+    finally:
+        _made.reset(token)
+        for df in made:
+            if not any(df is k for k in kept):
+                forget(df)
+        if (outer := _made.get()) is not None:
+            outer.extend(kept)
 
 
 @contextmanager
@@ -86,7 +131,8 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> Iterator[DataFrame]:
     however often it is done."""
     spark, name = df.sparkSession, f"tarn_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/{name}"
-    df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    with shuffles_removed(spark):
+        df.repartition(buckets, key).write.bucketBy(buckets, key).option("path", path).saveAsTable(name)
     try:
         yield spark.table(name)
     finally:

@@ -1,5 +1,8 @@
 """Particles on straight channels, where the result is known."""
 
+import time
+from pathlib import Path
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 from tarn.operators import transport
 from tarn.plans.erosion import erode
 from tarn.plans.model import Grid, Params, constant
+from tarn.plans.state import scratch, settled
 
 
 def test_uniform_flow_gathers_downstream(spark):
@@ -90,3 +94,30 @@ def test_particles_to_and_fro_over_a_border_take_few_rounds(spark, monkeypatch):
     tiled = transport.solve_uniform(cells, g, 50, ["s"]).orderBy("n").collect()
     assert [r["flux_s"] for r in tiled] == pytest.approx([r["flux_s"] for r in whole])
     assert len(kept) <= 9  # particles cross x = 16 some forty times, from a tile to the next twice
+
+
+def test_steps_leave_only_the_last_state(spark):
+    """Tables of earlier steps, and what a step had settled for itself, are removed; so are the shuffles that made them."""
+
+    def kept() -> int:
+        return len({p.parent for p in Path(spark.conf.get("spark.checkpoint.dir")).rglob("part-*")})
+
+    g, before = Grid(8, 6), kept()
+    out = erode(_slope(spark, g), g, 500, 2)
+    assert kept() == before + 1 and out.count() == g.cells
+
+
+def test_a_settled_table_leaves_no_shuffle(spark):
+    blocks = lambda: spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")
+    shuffled = lambda: {b for b in blocks() if "shuffle_" in b and b.endswith(".data")}
+    before = shuffled()
+    with scratch() as keep:
+        gone, out = (settled(spark.range(20_000).groupBy((F.col("id") % 5000).alias("k")).count()) for _ in range(2))
+        keep(out)
+    until = time.monotonic() + 20
+    while shuffled() - before and time.monotonic() < until:  # files are removed in the background
+        time.sleep(0.2)
+    assert not shuffled() - before
+    assert out.count() == 5000 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+    with pytest.raises(Exception):  # noqa: B017
+        gone.count()
