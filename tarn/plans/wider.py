@@ -87,8 +87,8 @@ def _as_of(spark, d):
 ON o.who = e.user_id % 40 AND e.t >= o.day AND e.t < o.day + to_days(CAST(1 + o.key % 9 * o.key % 60 AS INTEGER)) GROUP BY 1""")
 def _intervals(spark, d):
     spans = _bought(spark, d).withColumn("until", F.col("day") + F.make_dt_interval(days=(1 + F.col("key") % 9 * F.col("key") % 60).cast("int")))
-    pairs = ordered.within_intervals(_events(spark, d).withColumn("who", F.col("user_id") % 40), spans, "t", "day", "until", [("who", "who")])
-    return pairs.groupBy(F.col("r_key").alias("order_key")).agg(F.count(F.lit(1)).alias("hits"), F.round(F.sum("value"), 4).alias("total"))
+    sums = ordered.interval_sums(_events(spark, d).withColumn("who", F.col("user_id") % 40), spans, "t", "day", "until", "value", ["key"], [("who", "who")])
+    return sums.select(F.col("key").alias("order_key"), "hits", F.round("total", 4).alias("total"))
 
 
 @query("running_rain", f"SELECT n, sum(rain) OVER (ORDER BY n) AS upto FROM ({c._PER})")

@@ -167,3 +167,28 @@ def test_reservoirs_over_many_tiles(spark, monkeypatch):
     want = [(n, place, cell) for n in sorted(above) for place, cell in enumerate(sorted(above[n], key=lambda m: (number[m], m))[:3])]
     assert list(got.itertuples(index=False, name=None)) == want
     assert 0 < moved[0] < len(to) / 2  # only entries of tiles are doubled
+
+
+def test_sums_in_intervals_are_those_of_their_pairs(spark):
+    """Slices, crowded parts, equal rows, nulls, NaN and values of very different size; no pair is formed."""
+    rng = np.random.default_rng(4)
+    odd = {7: None, 11: float("nan"), 13: 1e18, 17: float("inf")}
+    value = lambda n: odd.get(n % 400, float(rng.integers(0, 1000)) / 4)
+    a = spark.createDataFrame([(int(rng.integers(0, 3)) if n % 50 else None, int(rng.integers(0, 900)) if n % 41 else None, value(n)) for n in range(2000)] + [(1, 500, 2.0)] * 300, "k int, t int, v double")
+    spans = [(int(rng.integers(0, 4)) if n % 50 else None, int(s := rng.integers(0, 900)), int(s + (rng.integers(0, 40) if n % 3 else rng.integers(-5, 900))), n // 2) for n in range(600)]
+    b = spark.createDataFrame(spans + [(1, 490, 520, 9999)] * 200, "k long, a int, b int, id long")
+    kept = lambda df: {r["id"]: (r["hits"], r["total"]) for r in df.collect()}
+    want = kept(ordered.within_intervals(a, b, "t", "a", "b", [("k", "k")]).groupBy(F.col("r_id").alias("id")).agg(F.count(F.lit(1)).alias("hits"), F.sum("v").alias("total")))
+    for each, room in ((1 << 20, 1 << 20), (150, 1 << 20), (150, 20)):
+        got = kept(ordered.interval_sums(a, b, "t", "a", "b", "v", ["id"], [("k", "k")], each, room))
+        assert got.keys() == want.keys()
+        for n, (hits, total) in want.items():
+            assert got[n][0] == hits and ((got[n][1] is None) if total is None else got[n][1] == pytest.approx(total, nan_ok=True, rel=1e-12))
+    assert ordered.interval_sums(a, b.limit(0), "t", "a", "b", "v", ["id"]).count() == 0
+
+
+def test_sums_over_more_pairs_than_could_be_formed(spark):
+    """A thousand million pairs of one key."""
+    a, b = (spark.range(50_000).select(F.col("id").alias(c), F.col("id").cast("double").alias("v")) for c in ("t", "a"))
+    got = ordered.interval_sums(a, b.withColumn("b", F.lit(50_000)), "t", "a", "b", "v", ["a"]).agg(F.sum("hits").alias("hits"), F.max("total").alias("top")).first()
+    assert (got["hits"], got["top"]) == (50_000 * 50_001 // 2, 50_000 * 49_999 / 2)
